@@ -65,7 +65,7 @@ def _meet(state: Column, unit: Column, seed: int, level: int) -> Column:
     a, b = state["rest"], unit
     total = a["p"] + b["p"]
     small = total < 1
-    first = _draw(F.lit(seed), F.lit(level), a["key"], b["key"], a["row_id"], b["row_id"]) * F.when(small, total).otherwise(2 - total) < F.when(small, a["p"]).otherwise(1 - b["p"])
+    first = _draw(F.lit(seed), F.lit(level), a["key"], b["key"]) * F.when(small, total).otherwise(2 - total) < F.when(small, a["p"]).otherwise(1 - b["p"])
     # Small: the winner takes all and the other is out. Else the winner is whole and the other keeps the rest.
     settled = F.when(first == small, b["row_id"]).otherwise(a["row_id"])
     remains = F.when(first == small, a).otherwise(b)
@@ -76,7 +76,8 @@ def _meet(state: Column, unit: Column, seed: int, level: int) -> Column:
 
 def _round(units: DataFrame, keys: list[str], seed: int, level: int) -> DataFrame:
     """Holds the meetings of each group: its rest and what became of the others."""
-    sorted_units = F.array_sort(F.collect_list(F.struct("size", "key", "row_id", "p").cast(UNIT)))
+    # The longest first, so that the fraction left at the end is a short document's.
+    sorted_units = F.reverse(F.array_sort(F.collect_list(F.struct("size", "key", "row_id", "p").cast(UNIT))))
     grouped = units.groupBy(*keys).agg(sorted_units.alias("units"))
     start = F.struct(F.element_at("units", 1).alias("rest"), F.array().cast("array<struct<row_id:bigint,extra:int>>").alias("done")).cast(STATE)
     held = F.aggregate(F.slice("units", 2, F.greatest(F.size("units") - 1, F.lit(0))), start, lambda s, u: _meet(s, u, seed, level))

@@ -2,9 +2,19 @@
 
 from __future__ import annotations
 
+from .chat_format import OP8_SQL, op8
 from .exact_dedup import OP3_SQL, op3
 from .mixing import op10
+from .packing import op5
 from .url_filter import OP7_SQL, op7
+from .vector_topk import OP9_SQL, op9
 
-QUERIES = {"op3_exact_dedup": op3, "op7_url_filter": op7, "op10_mixing": op10}
-ORACLES = {"op3_exact_dedup": OP3_SQL, "op7_url_filter": OP7_SQL}
+QUERIES = {
+    "op3_exact_dedup": op3,
+    "op5_packing": op5,
+    "op7_url_filter": op7,
+    "op8_chat_format": op8,
+    "op9_vector_topk": op9,
+    "op10_mixing": op10,
+}
+ORACLES = {"op3_exact_dedup": OP3_SQL, "op7_url_filter": OP7_SQL, "op8_chat_format": OP8_SQL, "op9_vector_topk": OP9_SQL}

@@ -5,11 +5,15 @@ from __future__ import annotations
 from .chat_format import OP8_SQL, op8
 from .exact_dedup import OP3_SQL, op3
 from .mixing import op10
+from .ngram_join import OP2_SQL, op2
 from .packing import op5
+from .quality import op1
 from .url_filter import OP7_SQL, op7
 from .vector_topk import OP9_SQL, op9
 
 QUERIES = {
+    "op1_quality": op1,
+    "op2_ngram_join": op2,
     "op3_exact_dedup": op3,
     "op5_packing": op5,
     "op7_url_filter": op7,
@@ -17,4 +21,4 @@ QUERIES = {
     "op9_vector_topk": op9,
     "op10_mixing": op10,
 }
-ORACLES = {"op3_exact_dedup": OP3_SQL, "op7_url_filter": OP7_SQL, "op8_chat_format": OP8_SQL, "op9_vector_topk": OP9_SQL}
+ORACLES = {"op2_ngram_join": OP2_SQL, "op3_exact_dedup": OP3_SQL, "op7_url_filter": OP7_SQL, "op8_chat_format": OP8_SQL, "op9_vector_topk": OP9_SQL}

@@ -7,20 +7,24 @@ short lists, keeps what occurs T - L times or more there, and probes the L longe
 
 1. One pass makes every document's shingle set: its size, a 128-bit key that equal sets
    share, and a sketch of how frequent shingles are (counters by hash, summed).
-2. A second pass orders each set from rare to frequent by the sketch, which is the same
-   order for all, and emits its head, n - ceil(p n / q) + 1 shingles: linked sets share a
-   shingle of their heads. Sets that meet there are joined with the list's first set, not
-   with each other, and the components of these few edges are blocks no link leaves.
+2. Linked sets differ in k = (a + b) (q - p) / (q + p) shingles at most. So if all
+   shingles are dealt into k + 1 + e parts by their hash, linked sets agree entirely on
+   1 + e parts or more. A second pass emits a signature of each of the k + 1 parts that
+   hold most shingles that aren't frequent; of two sets' common parts the best one is
+   among both's. Sets that share a signature are chained, not paired, and the components
+   of these few edges are blocks that no link leaves. Sizes fall into bands of ratio
+   q/p; a set signs for its own band and the one below, whose k is the same for all.
 3. Only documents of blocks are read again. A block is searched by DivideSkip within a
    task; one above a bounded weight is cut into chunks, and pairs of chunks are tasks.
    A task returns each set's number of links and a spanning forest, never its pairs.
 4. The components of the forests' edges are the result.
 
-Everything is exact at any size: the sketch orders, and decides nothing else.
+Everything is exact at any size: the sketch chooses between parts, and nothing else.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import zlib
 from collections.abc import Iterator
@@ -32,82 +36,40 @@ from pyspark.sql import functions as F
 
 from .common import materialize, table
 from .components import components
+from .hashing import WordHasher, mix
 
 SKETCH_BITS, SKETCH_PARTS = 20, 64
-#: Shingles of a chunk of a block, and bytes of text that are hashed at a time.
-CHUNK_WEIGHT, CHUNK_BYTES = 1_000_000, 1 << 20
+#: Signatures that a task sorts at a time.
+FLUSH = 500_000
+#: Shingles of a chunk of a block.
+CHUNK_WEIGHT = 1_000_000
 MU = 0.0085  # DivideSkip's constant for the number of long lists
 
-_SPACE = np.zeros(256, dtype=bool)
-_SPACE[[32, *range(9, 14)]] = True
-_LETTER = np.random.default_rng(20).integers(0, 1 << 63, 256, dtype=np.uint64)
-_LETTER[65:91] = _LETTER[97:123]
-_STEP = 0x9E3779B97F4A7C15 | 1
-_BACK = pow(_STEP, -1, 1 << 64)
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, dtype=np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
-
-
 class Shingler:
     """Distinct shingle hashes (uint64, sorted) of texts: of ``width`` words, or of the whole where there are fewer."""
 
     def __init__(self, width: int):
-        self.width, self.up, self.down = width, _powers(_STEP, CHUNK_BYTES), _powers(_BACK, CHUNK_BYTES)
+        self.width, self.hasher = width, WordHasher()
 
     def sets(self, texts: pa.Array) -> Iterator[np.ndarray]:
         """One set per text, in order; null and wordless texts have empty ones."""
-        texts = texts.cast(pa.large_binary())
-        offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
-        data = np.frombuffer(texts.buffers()[2], dtype=np.uint8) if texts.buffers()[2] else np.zeros(0, dtype=np.uint8)
-        i = 0
-        while i < len(texts):
-            j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + CHUNK_BYTES, "right")) - 1)
-            yield from self._chunk(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-            i = j
-
-    def _chunk(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
-        n = len(data)
-        if n > len(self.up):
-            self.up, self.down = _powers(_STEP, n), _powers(_BACK, n)
-        space = _SPACE[data]
-        fresh = np.ones(n + 1, dtype=bool)  # a text begins, or the byte before is white space
-        fresh[1:] = np.append(space[:-1], True) if n else []
-        fresh[offsets] = True
-        starts = np.flatnonzero(fresh[:n] & ~space)
-        ended = np.append(space, True)
-        ended[offsets[1:]] = True
-        ends = np.flatnonzero(ended)
-        ends = ends[np.searchsorted(ends, starts, "right")] if len(starts) else starts
-        sums = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum(_LETTER[data] * self.up[:n], out=sums[1:])
-        words = _mix((sums[ends] - sums[starts]) * self.down[starts])
-        edges = np.searchsorted(starts, offsets)
         k = self.width
-        rolled = words
-        if len(words) >= k:
-            rolled = words[: len(words) - k + 1]
-            for i in range(1, k):
-                rolled = _mix(rolled * np.uint64(3) + words[i : len(words) - k + 1 + i])
-        for a, b in zip(edges[:-1], edges[1:], strict=True):
-            if b - a >= k:
-                yield np.unique(rolled[a : b - k + 1])
-            elif b > a:
-                h = np.uint64(b - a) + np.zeros(1, dtype=np.uint64)
-                for w in words[a:b]:
-                    h = _mix(h * np.uint64(5) + w)
-                yield h
-            else:
-                yield np.zeros(0, dtype=np.uint64)
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+        for words, edges in self.hasher.chunks(texts):
+            rolled = words
+            if len(words) >= k:
+                rolled = words[: len(words) - k + 1]
+                for i in range(1, k):
+                    rolled = mix(rolled * np.uint64(3) + words[i : len(words) - k + 1 + i])
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                if b - a >= k:
+                    yield np.unique(rolled[a : b - k + 1])
+                elif b > a:
+                    h = np.uint64(b - a) + np.zeros(1, dtype=np.uint64)
+                    for w in words[a:b]:
+                        h = mix(h * np.uint64(5) + w)
+                    yield h
+                else:
+                    yield np.zeros(0, dtype=np.uint64)
 
 
 def _key(shingles: np.ndarray) -> bytes:
@@ -118,7 +80,7 @@ def _bucket(shingles: np.ndarray) -> np.ndarray:
     return (shingles >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
 
-BASE = "doc_id long, n long, key binary, part int, counts binary"
+BASE = "doc_id long, n long, key binary, short long, part int, counts binary"
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
@@ -137,12 +99,12 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
                     sketch += np.bincount(np.concatenate(waiting), minlength=len(sketch))
                     waiting, held = [], 0
             none = pa.nulls(len(n))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), none.cast(pa.int32()), none.cast(pa.binary())], names=["doc_id", "n", "key", "part", "counts"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(np.array([_short(k) for k in keys], dtype=np.uint64).view(np.int64)), none.cast(pa.int32()), none.cast(pa.binary())], names=["doc_id", "n", "key", "short", "part", "counts"])
         if waiting:
             sketch += np.bincount(np.concatenate(waiting), minlength=len(sketch))
         parts = [(i, zlib.compress(p.tobytes(), 1)) for i, p in enumerate(np.split(sketch, SKETCH_PARTS)) if p.any()]
         none = pa.nulls(len(parts))
-        yield pa.RecordBatch.from_arrays([none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.binary()), pa.array([i for i, _ in parts], pa.int32()), pa.array([c for _, c in parts], pa.binary())], names=["doc_id", "n", "key", "part", "counts"])
+        yield pa.RecordBatch.from_arrays([none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.binary()), none.cast(pa.int64()), pa.array([i for i, _ in parts], pa.int32()), pa.array([c for _, c in parts], pa.binary())], names=["doc_id", "n", "key", "short", "part", "counts"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(make, BASE)
 
@@ -165,25 +127,119 @@ def _sketch(base: DataFrame) -> np.ndarray:
     return np.minimum(out.ravel(), np.iinfo(np.uint32).max).astype(np.uint32)
 
 
-def _heads(docs: DataFrame, width: int, sketch: np.ndarray, p: int, q: int) -> DataFrame:
-    """shingle, key: the rarest n - ceil(p n / q) + 1 shingles of every set."""
+def _bands(p: int, q: int) -> list[int]:
+    """The smallest size of each band; partners of a set are in its band or a neighbouring one."""
+    out = [1]
+    while out[-1] < 1 << 40:
+        out.append(out[-1] * q // p + 1)
+    return out
+
+
+class Signer:
+    """The signatures of sets, for linking at p/q."""
+
+    def __init__(self, p: int, q: int, sketch: np.ndarray):
+        self.p, self.q, self.least = p, q, _bands(p, q)
+        self.light = sketch <= 4 * sketch.mean() + 16
+        self.cuts: dict[int, np.ndarray] = {}
+
+    def parts(self, band: int) -> tuple[int, int]:
+        """k + 1, and e, for pairs of a set of this band and one of it or the next."""
+        most = self.least[band + 1] - 1 + self.least[band + 2] - 1
+        k = most * (self.q - self.p) // (self.q + self.p)
+        return k + 1, (k + 1) // 8
+
+    def sign(self, s: np.ndarray) -> np.ndarray:
+        own = bisect.bisect_right(self.least, len(s)) - 1
+        sums = np.zeros(len(s) + 1, dtype=np.uint64)
+        np.cumsum(mix(s + np.uint64(7)), out=sums[1:])
+        light = np.zeros(len(s) + 1, dtype=np.int64)
+        np.cumsum(self.light[_bucket(s)], out=light[1:])
+        out = []
+        for band in range(max(0, own - 1), own + 1):
+            wanted, spare = self.parts(band)
+            m = wanted + spare
+            if m not in self.cuts:
+                self.cuts[m] = np.array([(i << 64) // m for i in range(1, m)], dtype=np.uint64)
+            at = np.concatenate([[0], np.searchsorted(s, self.cuts[m]), [len(s)]])
+            content, weight = np.diff(sums[at]), np.diff(light[at])
+            best = np.lexsort((content, weight))[spare:]
+            out.append(mix(content[best] ^ mix((band << 32) + best.astype(np.uint64))))
+        return np.concatenate(out)
+
+
+def _short(key: bytes) -> int:
+    return int.from_bytes(key[:8], "little")
+
+
+MET = "signature long, a long, b long"
+
+
+def _edges(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs once each."""
+    pairs = np.unique(np.stack([a, b], 1), axis=0) if len(a) else np.zeros((0, 2), dtype=np.int64)
+    return pairs[:, 0], pairs[:, 1]
+
+
+def _chain(signatures: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of rows in order of signature and key: where each signature starts, and edges between neighbours of one signature."""
+    same = signatures[1:] == signatures[:-1]
+    edge = np.flatnonzero(same & (keys[1:] != keys[:-1]))
+    return np.flatnonzero(np.append(True, ~same)) if len(keys) else edge, *_edges(keys[edge], keys[edge + 1])
+
+
+def _sharing(docs: DataFrame, width: int, sketch: np.ndarray, p: int, q: int) -> DataFrame:
+    """a, b: edges that connect all sets with a signature in common.
+
+    A task connects what meets in it and hands on one set for each signature, so a
+    signature that very many sets share is a row for each task that met it.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(sketch)
 
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, counts = Shingler(width), sent.value
-        for b in batches:
-            shingles, keys, sizes = [], [], []
-            for s in shingler.sets(b.column("text")):
+    def flushed(found: list[np.ndarray], keys: list[int]) -> pa.RecordBatch:
+        own = np.repeat(np.array(keys, dtype=np.uint64).view(np.int64), [len(x) for x in found])
+        signatures = np.concatenate(found).view(np.int64)
+        order = np.lexsort((own, signatures))
+        signatures, own = signatures[order], own[order]
+        first, a, b = _chain(signatures, own)
+        none = pa.nulls(len(first), pa.int64())
+        return pa.RecordBatch.from_arrays(
+            [pa.concat_arrays([pa.array(signatures[first]), pa.array(a)]), pa.concat_arrays([pa.array(own[first]), pa.array(a)]), pa.concat_arrays([none, pa.array(b)])],
+            names=["signature", "a", "b"],
+        )
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler, signer = Shingler(width), Signer(p, q, sent.value)
+        found, keys, held = [], [], 0
+        for batch in batches:
+            for s in shingler.sets(batch.column("text")):
                 if len(s):
-                    head = len(s) - -(-p * len(s) // q) + 1
-                    shingles.append(s[np.lexsort((s, counts[_bucket(s)]))[:head]])
-                    keys.append(_key(s))
-                    sizes.append(head)
-            if keys:
-                all_keys = pa.array(keys, pa.binary()).take(pa.array(np.repeat(np.arange(len(keys)), sizes)))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(shingles).view(np.int64)), all_keys], names=["shingle", "key"])
-
-    return docs.select("text").mapInArrow(make, "shingle long, key binary")
+                    found.append(signer.sign(s))
+                    keys.append(_short(_key(s)))
+                    held += len(found[-1])
+                if held > FLUSH:
+                    yield flushed(found, keys)
+                    found, keys, held = [], [], 0
+        if found:
+            yield flushed(found, keys)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for batch in batches:
+            signature, a = batch.column("signature").to_numpy(), batch.column("a").to_numpy()
+            b = batch.column("b").to_numpy(zero_copy_only=False)
+            given = ~np.isnan(b) if b.dtype == np.float64 else np.ones(len(b), dtype=bool)
+            passed = batch.filter(pa.array(given))
+            signature, a = signature[~given], a[~given]
+            if last is not None:
+                signature, a = np.append(last[0], signature), np.append(last[1], a)
+            if len(a):
+                last = signature[-1], a[-1]
+            x, y = _chain(signature, a)[1:]
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays([passed.column("a"), pa.array(x)]), pa.concat_arrays([passed.column("b"), pa.array(y)])], names=["a", "b"])
+
+    signed = docs.select("text").mapInArrow(sign, MET)
+    return signed.repartition("signature").sortWithinPartitions("signature", "a").mapInArrow(meet, "a long, b long")
 
 
 def _ranges(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -249,7 +305,6 @@ def divide_skip(sets: list[np.ndarray], p: int, q: int, side: np.ndarray | None
             yield i, linked
 
 
-TASK = "block binary, low int, high int, n long, key binary, copies long, chunk int, shingles binary"
 FOUND = "key binary, other binary, links long"
 
 
@@ -326,16 +381,11 @@ def ngram_join(docs: DataFrame, width: int = 3, p: int = 9, q: int = 10) -> Data
     table gives an empty result; other columns are ignored.
     """
     base = materialize(_sets(docs, width), "shingle-sets")
-    rows = base.where("key is not null").select("doc_id", "n", "key")
-    heads = materialize(_heads(docs, width, _sketch(base), p, q), "shingle-heads")
-    # Of the key, eight bytes tell the sets of one list apart.
-    short = F.xxhash64("key")
-    shared = heads.groupBy("shingle").agg(F.min(short).alias("a"), F.max(short).alias("b")).where("a <> b").select("shingle")
-    met = materialize(heads.join(shared, "shingle"), "shingle-lists")
-    stars = met.join(met.groupBy("shingle").agg(F.min("key").alias("b")), "shingle").where("key <> b")
-    blocks = components(stars.select(F.col("key").alias("a"), "b"))
-    sets = rows.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.count("*").alias("copies"))
-    members = blocks.select(F.col("node").alias("key"), F.col("root").alias("block")).join(sets, "key")
+    rows = base.where("key is not null").select("doc_id", "n", "key", "short")
+    sets = rows.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("short").alias("short"), F.count("*").alias("copies"))
+    # Eight bytes of the key are enough where sets only meet; what links is told by all of it.
+    blocks = components(_sharing(docs, width, _sketch(base), p, q))
+    members = blocks.select(F.col("node").alias("short"), F.col("root").alias("block")).join(sets, "short").drop("short")
     weights = members.groupBy("block").agg(F.ceil(F.sum("n") / CHUNK_WEIGHT).cast("int").alias("chunks"))
     members = materialize(members.join(weights, "block"), "shingle-blocks")
     filled = _with_shingles(docs, members, width).withColumn("chunk", F.pmod(F.xxhash64("key"), F.col("chunks")).cast("int"))
@@ -349,7 +399,7 @@ def ngram_join(docs: DataFrame, width: int = 3, p: int = 9, q: int = 10) -> Data
     linked = roots.join(classes, "root").select(F.col("node").alias("key"), "least").join(links, "key", "left")
     per_set = sets.join(linked, "key", "left").select("key", "copies", F.when(F.col("least").isNotNull(), F.col("least")).otherwise(F.col("doc_id")).alias("least"), F.coalesce("links", F.lit(0)).alias("links"))
     alone = F.col("n") == 0
-    return rows.join(per_set, "key").select(
+    return rows.drop("short").join(per_set, "key").select(
         "doc_id",
         F.col("n").alias("n_shingles"),
         F.when(alone, F.col("doc_id")).otherwise(F.col("least")).alias("component_id"),

@@ -147,9 +147,9 @@ class Trie:
         place[both] = self.successors.find(at[both].astype(np.uint64) * self.width + name[both].astype(np.uint64))
         seen = place >= 0
         value, left = np.zeros(len(at)), np.zeros(len(at))
-        value[seen] = -self.codes[place[seen]] * STEP
+        value[seen] = self.codes[place[seen]] * -STEP
         known = at >= 0
-        left[known] = -self.left[at[known]] * STEP
+        left[known] = self.left[at[known]] * -STEP
         return value, seen, left
 
 

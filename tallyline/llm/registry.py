@@ -5,6 +5,7 @@ from __future__ import annotations
 from .chat_format import OP8_SQL, op8
 from .exact_dedup import OP3_SQL, op3
 from .html_extract import op4
+from .lm_scoring import op6
 from .mixing import op10
 from .ngram_join import OP2_SQL, op2
 from .packing import op5
@@ -18,6 +19,7 @@ QUERIES = {
     "op3_exact_dedup": op3,
     "op4_html_extract": op4,
     "op5_packing": op5,
+    "op6_lm_scoring": op6,
     "op7_url_filter": op7,
     "op8_chat_format": op8,
     "op9_vector_topk": op9,

@@ -1,0 +1 @@
+"""Bank reconciliation as Spark jobs: statements, ledgers, invoices, matching, retrieval, reports."""

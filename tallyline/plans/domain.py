@@ -122,7 +122,7 @@ TABLES = {
         SELECT t.id AS transaction_id, t.workspace_id, j.j AS position, t.direction, (t.id + j.j) % 3 <> 0 AS needs_document, (t.id + j.j) % 4 <> 0 AS confident, (t.id + j.j) % 8 = 0 AS has_clarification
         FROM transactions t CROSS JOIN (SELECT 0 AS j UNION ALL SELECT 1) j WHERE NOT t.judged AND (j.j = 0 OR t.id % 2 = 0)""",
     "adjudications": """
-        SELECT id AS invoice_id, CASE WHEN id % 6 <> 0 THEN 'SAME' WHEN id % 12 = 0 THEN 'UNSURE' ELSE 'DIFFERENT' END AS verdict, CASE WHEN id % 6 <> 0 THEN CAST(id % 4 / 3 AS INT) END AS candidate
+        SELECT id AS invoice_id, CASE WHEN id % 11 <> 0 THEN 'SAME' WHEN id % 4 = 0 THEN 'UNSURE' ELSE 'DIFFERENT' END AS verdict, CASE WHEN id % 11 <> 0 THEN CASE WHEN id % 16 = 2 THEN 1 ELSE 0 END END AS candidate
         FROM invoices WHERE id % 14 <> 0""",
     "duplicate_verdicts": """
         SELECT id AS incoming_id, CASE id % 3 WHEN 0 THEN 'YES' WHEN 1 THEN 'NO' ELSE 'UNSURE' END AS same, 'The judge says so' AS reason FROM invoices WHERE id % 4 <> 0""",

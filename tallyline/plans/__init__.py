@@ -1,6 +1,6 @@
 """Queries over the driver tables, with SQL that says the same."""
 
-from . import queries
+from . import queries, statement_queries
 from .queries import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "queries"]
+__all__ = ["ORACLES", "QUERIES", "queries", "statement_queries"]

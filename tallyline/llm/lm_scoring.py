@@ -32,7 +32,7 @@ from .ngram_trie import Trie
 
 START, END = np.uint64(0x5A5A5A5A5A5A0000), np.uint64(0xA5A5A5A5A5A50000)
 DISCOUNT = 0.9
-FLUSH, SHARD_EVENTS = 1_000_000, 2_000_000
+FLUSH, SHARD_EVENTS = 500_000, 1_400_000
 HEAVY_SHARE = 512
 #: Documents of a block in which sums travel.
 BLOCK_BITS = 10
@@ -182,10 +182,10 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict
 
 
 def _by_block(docs: np.ndarray, kind: int, *columns: np.ndarray) -> list[tuple]:
-    """Rows (kind, block, places, columns) of values by sorted document."""
+    """Rows (kind, block, places, columns) of values by sorted document; int64 columns are packed."""
     block = docs >> BLOCK_BITS
     cut = np.flatnonzero(np.append(True, block[1:] != block[:-1])) if len(docs) else np.zeros(0, dtype=np.int64)
-    return [(kind, int(block[i]), (docs[i:j] & ((1 << BLOCK_BITS) - 1)).astype(np.uint16).tobytes(), *[c[i:j].tobytes() for c in columns]) for i, j in zip(cut, np.append(cut[1:], len(docs)), strict=True)]
+    return [(kind, int(block[i]), (docs[i:j] & ((1 << BLOCK_BITS) - 1)).astype(np.uint16).tobytes(), *[_small(c[i:j]) if c.dtype == np.int64 else c[i:j].tobytes() for c in columns]) for i, j in zip(cut, np.append(cut[1:], len(docs)), strict=True)]
 
 
 def _by_word(words: np.ndarray, kind: int, shards: int, *columns: np.ndarray) -> list[tuple]:
@@ -209,7 +209,7 @@ def _score_shards(heavy: np.ndarray, counts: np.ndarray, shards: int, discount:
             yield _batch(one(rows))
 
     def one(rows: list[dict]) -> list[tuple]:
-        vs, ws, per_pair, docs, trains, pair_trains = [], [], [], [], [], []
+        vs, ws, per_pair, docs, pair_trains = [], [], [], [], []
         for r in rows:
             vs.append(np.repeat(np.frombuffer(r["a"], dtype=np.uint64), _unsmall(r["b"])))
             ws.append(_unpack_names(r["c"]))
@@ -218,6 +218,9 @@ def _score_shards(heavy: np.ndarray, counts: np.ndarray, shards: int, discount:
             docs.append((marks >> 1) + np.frombuffer(r["f"], dtype=np.int64)[0])
             pair_trains.append(np.add.reduceat(marks & 1, np.cumsum(sizes) - sizes))
         v, w, sizes, doc = (np.concatenate(x) for x in (vs, ws, per_pair, docs))
+        rows.clear()
+        for x in (vs, ws, per_pair, docs):
+            x.clear()
         order = np.lexsort((w, v))
         v, w, count = v[order], w[order], np.concatenate(pair_trains)[order]
         fresh = np.append(True, (v[1:] != v[:-1]) | (w[1:] != w[:-1]))
@@ -241,8 +244,8 @@ def _score_shards(heavy: np.ndarray, counts: np.ndarray, shards: int, discount:
         event = np.repeat(of_pair, sizes)
         ids, at = np.unique(doc, return_inverse=True)
         base = np.log10(total + 1.0)[context]
-        sums = [np.bincount(at, x[event], minlength=len(ids)) for x in (base, value)]
-        whole = [np.bincount(at, x[event] if x is not None else None, minlength=len(ids)).astype(np.int32) for x in (None, (total > 0)[context], ~seen)]
+        sums = [np.bincount(at, x[event], minlength=len(ids)).astype(t) for x, t in ((base, np.float64), (value, np.float32))]
+        whole = [np.bincount(at, x[event] if x is not None else None, minlength=len(ids)).astype(np.int64) for x in (None, (total > 0)[context], ~seen)]
         out = _by_block(ids, 0, *sums, *whole)
         lost = np.flatnonzero((~seen & (known_name < 0))[event])
         out += _by_word(w[event[lost]], 1, shards, doc[lost])
@@ -273,7 +276,7 @@ def _unigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             value = np.where(at >= 0, np.log10(counts[at] + 1.0), 0.0) if len(words) else np.zeros(len(w))
             ids, own = np.unique(doc, return_inverse=True)
             none = np.zeros(len(ids))
-            yield _batch(_by_block(ids, 0, none, np.bincount(own, value), *[none.astype(np.int32)] * 3))
+            yield _batch(_by_block(ids, 0, none, np.bincount(own, value).astype(np.float32), *[none.astype(np.int64)] * 3))
 
 
 def _sum_blocks(left: np.ndarray, log_size: float) -> Callable:
@@ -286,8 +289,9 @@ def _sum_blocks(left: np.ndarray, log_size: float) -> Callable:
                 if r["kind"] == 4:
                     sums[1] += np.bincount(at, left[np.frombuffer(r["b"], dtype=np.uint16)], minlength=n)
                 else:
-                    for i, (c, t) in enumerate(zip("bcdef", (np.float64, np.float64, np.int32, np.int32, np.int32), strict=True)):
-                        sums[i] += np.bincount(at, np.frombuffer(r[c], dtype=t), minlength=n)
+                    values = [np.frombuffer(r["b"], dtype=np.float64), np.frombuffer(r["c"], dtype=np.float32), *[_unsmall(r[c]) for c in "def"]]
+                    for i, x in enumerate(values):
+                        sums[i] += np.bincount(at, x, minlength=n)
             base, score, tokens, known, unseen = sums
             at = np.flatnonzero(tokens)
             yield pa.RecordBatch.from_arrays(

@@ -39,6 +39,8 @@ from .components import components
 from .hashing import WordHasher, mix
 
 SKETCH_BITS, SKETCH_PARTS = 20, 64
+#: Bits of the filter that says which documents are read again.
+FILTER_BITS = 23
 #: Signatures that a task sorts at a time.
 FLUSH = 500_000
 #: Shingles of a chunk of a block.
@@ -352,21 +354,50 @@ def _search(tasks: DataFrame, p: int, q: int) -> DataFrame:
     return tasks.mapInArrow(run, FOUND)
 
 
-def _with_shingles(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """wanted (doc_id, key, ...) with the shingles of the document that has the key."""
-    names = [c for c in wanted.columns if c != "doc_id"]
+def _id_bits(ids: np.ndarray) -> np.ndarray:
+    return (mix(ids.astype(np.int64).view(np.uint64)) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+
+
+def _ids(column: pa.Array) -> np.ndarray:
+    return column.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _id_filter(members: DataFrame) -> np.ndarray:
+    """One bit for each hash of an id of members: 2**FILTER_BITS bits, whatever their number."""
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(1 << FILTER_BITS, dtype=np.uint8)
+        for b in batches:
+            bits[_id_bits(_ids(b.column("doc_id")))] = 1
+        words = np.packbits(bits, bitorder="little").view(np.int64)
+        at = np.flatnonzero(words)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(words[at])], names=["at", "bits"])
+
+    out = np.zeros((1 << FILTER_BITS) // 64, dtype=np.int64)
+    marked = members.select("doc_id").mapInArrow(mark, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits"))
+    for r in marked.collect():
+        out[r["at"]] = r["bits"]
+    return np.unpackbits(out.view(np.uint8), bitorder="little")
+
+
+def _with_shingles(docs: DataFrame, members: DataFrame, width: int) -> DataFrame:
+    """members (doc_id, key, ...) with their shingles.
+
+    A filter of their ids keeps all other texts from being hashed or exchanged; what
+    passes by chance, or has a member's id and another text, fails the join on the key.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(np.packbits(_id_filter(members), bitorder="little"))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(width)
+        shingler, bits = Shingler(width), np.unpackbits(sent.value, bitorder="little")
         for b in batches:
-            sets = list(shingler.sets(b.column("text")))
-            own = pa.array([_key(s) == k for s, k in zip(sets, b.column("key").to_pylist(), strict=True)])
-            out = pa.RecordBatch.from_arrays([b.column(c) for c in names] + [pa.array([s.tobytes() for s in sets], pa.binary())], names=[*names, "shingles"])
-            yield out.filter(own)
-
-    same = F.expr("d.doc_id <=> w.doc_id")
-    both = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").alias("d").join(wanted.alias("w"), same).select("d.text", *[f"w.{c}" for c in names])
-    return both.mapInArrow(make, ", ".join(f"{c} {t}" for c, t in wanted.dtypes if c != "doc_id") + ", shingles binary")
+            wanted = b.filter(pa.array(bits[_id_bits(_ids(b.column("doc_id")))] == 1))
+            for part in (wanted.slice(i, 256) for i in range(0, wanted.num_rows, 256)):
+                sets = list(shingler.sets(part.column("text")))
+                yield pa.RecordBatch.from_arrays([pa.array([_key(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["key", "shingles"])
+
+    made = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(make, "key binary, shingles binary")
+    return members.drop("doc_id").join(made, "key")
 
 
 def ngram_join(docs: DataFrame, width: int = 3, p: int = 9, q: int = 10) -> DataFrame:

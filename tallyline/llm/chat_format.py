@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, unused
 
 
 @dataclass(frozen=True)
@@ -222,8 +222,10 @@ def turn_records(turns: DataFrame) -> DataFrame:
 
 
 def format_chat(records: DataFrame) -> DataFrame:
-    """records (with a JSON column ``record``) with formatted, loss_spans, fingerprint and layout."""
-    return records.withColumn("chat", F.pandas_udf(format_records, FORMATTED)("record")).select("*", "chat.*").drop("chat")
+    """records (with a JSON column ``record``) with formatted, loss_spans, fingerprint and layout (columns of those names are replaced)."""
+    chat, names = unused("chat", records.columns), [c.split()[0] for c in FORMATTED.split(", ")]
+    rows = records.withColumn(chat, F.pandas_udf(format_records, FORMATTED)("record"))
+    return rows.withColumns({n: F.col(chat)[n] for n in names}).drop(chat)
 
 
 CONTROL_CASE = r"\### Assistant: </turn> ok"

@@ -56,3 +56,11 @@ def doc_crc(doc_id: Column) -> Column:
 def word_count(text: Column) -> Column:
     """Number of words ``[^\\x20\\x09-\\x0D]+``; null has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
+
+
+def unused(name: str, columns: list[str]) -> str:
+    """name, or a longer one that none of the columns has (Spark ignores case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE_PATTERN, materialize, table
+from .common import SPACE_PATTERN, materialize, table, unused
 
 FAN_IN = 8
 
@@ -102,6 +102,7 @@ SELECT doc_id, keep_id, CAST(group_size AS BIGINT) AS group_size, place = 1 AS k
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that stay, with the columns they came with."""
-    rows = docs.withColumn("_row", F.monotonically_increasing_id())
-    kept = exact_dedup(docs).where("kept").select(F.col("row_id").alias("_row"))
-    return rows.join(kept, "_row", "left_semi").select(*docs.columns)
+    row = unused("row", docs.columns)
+    rows = docs.withColumn(row, F.monotonically_increasing_id())
+    kept = exact_dedup(docs).where("kept").select(F.col("row_id").alias(row))
+    return rows.join(kept, row, "left_semi").select(*docs.columns)

@@ -49,14 +49,15 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _events(batches: Iterator[pa.RecordBatch], flush: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """(context, token, row_id, trained on) of a task's events, some flush of them at a time."""
+    """(context, token, row_id, trained on) of a task's events, some flush of them at a time, and (row_id, doc_id, is null) of their documents."""
     hasher, held, n = WordHasher(), [], 0
     for b in batches:
         rows, train, i = b.column("row_id").to_numpy(), b.column("train").to_numpy(zero_copy_only=False).astype(bool), 0
+        ids, null = b.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False), b.column("doc_id").is_null().to_numpy(zero_copy_only=False)
         for words, edges in hasher.chunks(b.column("text")):
             d = len(edges) - 1
             sizes = np.diff(edges) + 1
-            held.append((np.insert(words, edges[:-1], START), np.insert(words, edges[1:], END), np.repeat(rows[i : i + d], sizes), np.repeat(train[i : i + d], sizes)))
+            held.append((np.insert(words, edges[:-1], START), np.insert(words, edges[1:], END), np.repeat(rows[i : i + d], sizes), np.repeat(train[i : i + d], sizes), rows[i : i + d], ids[i : i + d], null[i : i + d]))
             n, i = n + int(sizes.sum()), i + d
             if n >= flush:
                 yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
@@ -66,14 +67,14 @@ def _events(batches: Iterator[pa.RecordBatch], flush: int) -> Iterator[tuple[np.
 
 
 def _prepared(docs: DataFrame, train: Column) -> DataFrame:
-    return docs.select(F.monotonically_increasing_id().alias("row_id"), F.coalesce(train, F.lit(False)).alias("train"), F.coalesce("text", F.lit("")).alias("text"))
+    return docs.select(F.monotonically_increasing_id().alias("row_id"), F.coalesce(train, F.lit(False)).alias("train"), F.coalesce("text", F.lit("")).alias("text"), F.col("doc_id").cast("long").alias("doc_id"))
 
 
 def _heavy(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, int, int]:
     """Heavy contexts (sorted, START among them), their training counts, all events and all training events."""
 
     def common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for v, _, _, train in _events(batches, FLUSH):
+        for v, _, _, train, *_ in _events(batches, FLUSH):
             u, c = np.unique(v, return_counts=True)
             often = c * HEAVY_SHARE >= len(v)
             u, c = u[often].view(np.int64), c[often]
@@ -88,7 +89,7 @@ def _heavy(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, int, int]:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros(len(heavy), dtype=np.int64)
-        for v, _, _, train in _events(batches, FLUSH):
+        for v, _, _, train, *_ in _events(batches, FLUSH):
             at = _place(heavy, v[train])
             sums += np.bincount(at[at >= 0], minlength=len(heavy))
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(heavy))), pa.array(sums)], names=["at", "n"])
@@ -128,11 +129,11 @@ def _unpack_names(raw: bytes) -> np.ndarray:
 
 
 def _to_shards(heavy: np.ndarray, shards: int) -> Callable:
-    """Packs events: key shard, a contexts, b their numbers of pairs, c successors, d their numbers of events, e documents and training marks, f the first row id."""
+    """Packs events (kind 0), and documents' ids by block (kind 6). Events: key shard, a contexts, b their numbers of pairs, c successors, d their numbers of events, e documents and training marks, f the first row id."""
     mask = np.uint64((1 << 21) - 1)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for v, w, doc, train in _events(batches, FLUSH):
+        for v, w, doc, train, *named in _events(batches, FLUSH):
             first_doc = doc[0]
             names, name = np.unique(w, return_inverse=True)
             spread = _place(heavy, v) >= 0
@@ -154,12 +155,10 @@ def _to_shards(heavy: np.ndarray, shards: int) -> Callable:
             per_context = np.bincount(context, minlength=len(order))
             token = names[((code[pair] >> np.uint64(21)) & mask).astype(np.int64)]
             home = shard[order]
-            cut = np.flatnonzero(np.append(True, home[1:] != home[:-1]))
-            ends = np.append(cut[1:], len(order))
             pair_at = np.append(0, np.cumsum(per_context))
             event_at = np.append(pair, len(code))
-            out = []
-            for i, j in zip(cut, ends, strict=True):
+            out = _by_block(named[0], 6, named[1].astype(np.int64).view(np.uint64), named[2].astype(np.uint8))
+            for i, j in _runs(home):
                 p, q = pair_at[i], pair_at[j]
                 out.append((0, int(home[i]), v[at][order[i:j]].tobytes(), _small(per_context[i:j]), _pack_names(token[p:q]), _small(per_pair[p:q]), _small(marks[event_at[p] : event_at[q]]), np.int64(first_doc).tobytes()))
             yield _batch(out)
@@ -181,11 +180,18 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict
         yield now, held
 
 
+def _runs(keys: np.ndarray) -> list[tuple[int, int]]:
+    """Where runs of equal keys begin and end."""
+    if not len(keys):
+        return []
+    cut = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    return list(zip(cut.tolist(), [*cut[1:].tolist(), len(keys)], strict=True))
+
+
 def _by_block(docs: np.ndarray, kind: int, *columns: np.ndarray) -> list[tuple]:
     """Rows (kind, block, places, columns) of values by sorted document; int64 columns are packed."""
     block = docs >> BLOCK_BITS
-    cut = np.flatnonzero(np.append(True, block[1:] != block[:-1])) if len(docs) else np.zeros(0, dtype=np.int64)
-    return [(kind, int(block[i]), (docs[i:j] & ((1 << BLOCK_BITS) - 1)).astype(np.uint16).tobytes(), *[_small(c[i:j]) if c.dtype == np.int64 else c[i:j].tobytes() for c in columns]) for i, j in zip(cut, np.append(cut[1:], len(docs)), strict=True)]
+    return [(kind, int(block[i]), (docs[i:j] & ((1 << BLOCK_BITS) - 1)).astype(np.uint16).tobytes(), *[_small(c[i:j]) if c.dtype == np.int64 else c[i:j].tobytes() for c in columns]) for i, j in _runs(block)]
 
 
 def _by_word(words: np.ndarray, kind: int, shards: int, *columns: np.ndarray) -> list[tuple]:
@@ -193,12 +199,11 @@ def _by_word(words: np.ndarray, kind: int, shards: int, *columns: np.ndarray) ->
     shard = (mix(words) % np.uint64(shards)).astype(np.int64)
     order = np.argsort(shard, kind="stable")
     shard = shard[order]
-    cut = np.flatnonzero(np.append(True, shard[1:] != shard[:-1])) if len(order) else np.zeros(0, dtype=np.int64)
-    return [(kind, int(shard[i]), words[order[i:j]].tobytes(), *[c[order[i:j]].tobytes() for c in columns]) for i, j in zip(cut, np.append(cut[1:], len(order)), strict=True)]
+    return [(kind, int(shard[i]), words[order[i:j]].tobytes(), *[c[order[i:j]].tobytes() for c in columns]) for i, j in _runs(shard)]
 
 
 def _score_shards(heavy: np.ndarray, counts: np.ndarray, shards: int, discount: float) -> Callable:
-    """Of each shard: 0 sums by document, 1 events left to the unigram level, 2 word counts, 3 heavy contexts' numbers of successors, 4 unseen events of heavy contexts, 5 the number of words."""
+    """Of each shard: 0 sums by document, 1 events left to the unigram level, 2 word counts, 3 heavy contexts' numbers of successors, 4 unseen events of heavy contexts, 5 the number of words; 6 documents' ids, handed on."""
     heavy_names = heavy.copy()
     heavy_names[heavy == START] = END  # as a successor it is the end that stands for every text once
     by_name = np.argsort(heavy_names >> NAMES)
@@ -206,7 +211,10 @@ def _score_shards(heavy: np.ndarray, counts: np.ndarray, shards: int, discount:
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in _grouped(batches):
-            yield _batch(one(rows))
+            names_of_docs = [tuple(r.values()) for r in rows if r["kind"] == 6]
+            events = [r for r in rows if r["kind"] == 0]
+            rows.clear()
+            yield _batch(names_of_docs + (one(events) if events else []))
 
     def one(rows: list[dict]) -> list[tuple]:
         vs, ws, per_pair, docs, pair_trains = [], [], [], [], []
@@ -283,10 +291,12 @@ def _sum_blocks(left: np.ndarray, log_size: float) -> Callable:
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = 1 << BLOCK_BITS
         for block, rows in _grouped(batches):
-            sums = np.zeros((5, n))
+            sums, ids, null = np.zeros((5, n)), np.zeros(n, dtype=np.int64), np.zeros(n, dtype=bool)
             for r in rows:
                 at = np.frombuffer(r["a"], dtype=np.uint16)
-                if r["kind"] == 4:
+                if r["kind"] == 6:
+                    ids[at], null[at] = np.frombuffer(r["b"], dtype=np.int64), np.frombuffer(r["c"], dtype=np.uint8)
+                elif r["kind"] == 4:
                     sums[1] += np.bincount(at, left[np.frombuffer(r["b"], dtype=np.uint16)], minlength=n)
                 else:
                     values = [np.frombuffer(r["b"], dtype=np.float64), np.frombuffer(r["c"], dtype=np.float32), *[_unsmall(r[c]) for c in "def"]]
@@ -295,8 +305,8 @@ def _sum_blocks(left: np.ndarray, log_size: float) -> Callable:
             base, score, tokens, known, unseen = sums
             at = np.flatnonzero(tokens)
             yield pa.RecordBatch.from_arrays(
-                [pa.array((block << BLOCK_BITS) + at), pa.array(tokens[at].astype(np.int64)), pa.array(known[at].astype(np.int64)), pa.array(base[at] - tokens[at] * log_size), pa.array(score[at] - unseen[at] * log_size)],
-                names=["row_id", "n_tokens", "n_known", "base_score", "score"],
+                [pa.array((block << BLOCK_BITS) + at), pa.array(ids[at], mask=null[at]), pa.array(tokens[at].astype(np.int64)), pa.array(known[at].astype(np.int64)), pa.array(base[at] - tokens[at] * log_size), pa.array(score[at] - unseen[at] * log_size)],
+                names=["row_id", "doc_id", "n_tokens", "n_known", "base_score", "score"],
             )
 
     return add
@@ -337,10 +347,9 @@ def lm_scores(docs: DataFrame, train: Column, discount: float = DISCOUNT) -> Dat
     n_words = sums.get(-1, 0) + int((is_word & (counts > 0)).sum()) + int(counts[~is_word][0] > 0)
     left = np.where(counts > 0, np.log10(np.maximum(np.minimum(1.0, discount * kinds / np.maximum(counts, 1)), 1e-300)), 0.0)
     unigrams = scored.where("kind in (1, 2)").repartition("key").sortWithinPartitions("key").mapInArrow(_unigrams, PACKED)
-    parts = scored.where("kind in (0, 4)").unionByName(unigrams)
-    by_doc = parts.repartition("key").sortWithinPartitions("key").mapInArrow(_sum_blocks(left, float(np.log10(trained + n_words + 1))), "row_id long, n_tokens long, n_known long, base_score double, score double")
-    ids = docs.select(F.monotonically_increasing_id().alias("row_id"), "doc_id")
-    return ids.join(by_doc, "row_id").withColumn("train_tokens", F.lit(trained).cast("long"))
+    parts = scored.where("kind in (0, 4, 6)").unionByName(unigrams)
+    by_doc = parts.repartition("key").sortWithinPartitions("key").mapInArrow(_sum_blocks(left, float(np.log10(trained + n_words + 1))), "row_id long, doc_id long, n_tokens long, n_known long, base_score double, score double")
+    return by_doc.withColumn("train_tokens", F.lit(trained).cast("long"))
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, table, word_count
+from .common import materialize, table, unused, word_count
 
 WEIGHTS = (5, 2, 1)
 TOTAL_SHARE = 1.5
@@ -145,6 +145,7 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it, with the columns it came with."""
-    counts = mix(docs).where("copies > 0").select(F.col("row_id").alias("_row"), "copies")
-    rows = docs.withColumn("_row", F.monotonically_increasing_id()).join(counts, "_row")
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*docs.columns)
+    row, times = unused("row", docs.columns), unused("copies", docs.columns)
+    counts = mix(docs).where("copies > 0").select(F.col("row_id").alias(row), F.col("copies").alias(times))
+    rows = docs.withColumn(row, F.monotonically_increasing_id()).join(counts, row)
+    return rows.withColumn(times, F.explode(F.sequence(F.lit(1), times))).select(*docs.columns)

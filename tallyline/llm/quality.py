@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import doc_crc, table
+from .common import doc_crc, table, unused
 
 SAMPLE, BUCKETS, FACTORS, EPOCHS = 6000, 1 << 14, 8, 12
 THRESHOLD = 0.7
@@ -214,22 +214,23 @@ def score_quality(docs: DataFrame, machine: Machine, columns: list[str], metadat
     """
     sent = docs.sparkSession.sparkContext.broadcast(machine)
     columns = [c for c in columns if c != "score"]
-    source = docs.select(*columns, F.col("text").alias("_text"), *[F.col(m).alias(f"_meta_{i}") for i, m in enumerate(metadata)])
-    kept = source.select(*columns).schema
+    source = docs.select(*columns, F.col("text"), *metadata)
+    # Columns go by place: kept ones first, then the text and the metadata.
+    names = [f"c{i}" for i in range(len(source.columns))]
+    kept = docs.select(*columns).schema
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         features = Features(model.buckets)
         for whole in batches:
             for b in (whole.slice(i, 256) for i in range(0, whole.num_rows, 256)):
-                out = [features.one(t) for t in b.column("_text").to_pylist()]
-                more = _metadata(b, tuple(f"_meta_{i}" for i in range(len(metadata))))
+                out = [features.one(t) for t in b.column(len(columns)).to_pylist()]
+                more = _metadata(b, tuple(names[len(columns) + 1 :]))
                 dense = np.array([np.append(d, m) for (_, _, d), m in zip(out, more, strict=True)])
                 score = model.score(*model.join([a for a, _, _ in out], [v for _, v, _ in out], dense))
-                yield pa.RecordBatch.from_arrays([b.column(c) for c in columns] + [pa.array(score)], names=[*columns, "score"])
+                yield pa.RecordBatch.from_arrays([*b.columns[: len(columns)], pa.array(score)], names=[*columns, "score"])
 
-    schema = kept.add("score", "double")
-    return source.mapInArrow(rows, schema)
+    return source.toDF(*names).mapInArrow(rows, kept.add("score", "double"))
 
 
 METADATA = ("n_chars",)
@@ -252,6 +253,7 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the classifier doesn't reject, with the columns they came with."""
-    scored = score_quality(docs.withColumnRenamed("score", "_score") if "score" in docs.columns else docs, _trained(spark, sf_dir), ["_score" if c == "score" else c for c in docs.columns], METADATA)
-    kept = scored.where(~rejected(F.col("score"))).drop("score")
-    return kept.withColumnRenamed("_score", "score") if "score" in docs.columns else kept
+    own = unused("score_of_docs", docs.columns)
+    renamed = docs.withColumnRenamed("score", own)
+    scored = score_quality(renamed, _trained(spark, sf_dir), renamed.columns, METADATA)
+    return scored.where(~rejected(F.col("score"))).drop("score").withColumnRenamed(own, "score")

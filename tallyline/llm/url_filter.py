@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, table
+from .common import ascii_lower, table, unused
 
 BUCKETS = 1024
 #: Rules travel inside the plan; larger rule sets are refused rather than sent everywhere.
@@ -159,8 +159,9 @@ def filter_urls(urls: DataFrame, rules: tuple[Rule, ...], otherwise: str = "allo
         candidates = F.concat(candidates, F.array(*[_entry(t, r) for t, r in anywhere]).cast(entry_type))
     fitting = F.filter(candidates, lambda e: F.rlike(subject, e["pattern"]))
     ranked = F.transform(fitting, lambda e: F.struct((-e["weight"]).alias("less"), e["rule"].alias("rule"), e["verdict"].alias("verdict")))
-    out = out.withColumn("_best", F.array_min(ranked))
-    return out.withColumns({"rule": F.col("_best.rule"), "verdict": F.coalesce(F.col("_best.verdict"), F.lit(otherwise))}).drop("_best")
+    best = unused("best", urls.columns)
+    out = out.withColumn(best, F.array_min(ranked))
+    return out.withColumns({"rule": F.col(best)["rule"], "verdict": F.coalesce(F.col(best)["verdict"], F.lit(otherwise))}).drop(best)
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:

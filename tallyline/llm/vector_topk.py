@@ -46,7 +46,8 @@ def _pivots(vectors: DataFrame, sample: int, pivots: int) -> dict[int, np.ndarra
     rows = vectors.orderBy(F.xxhash64("vec_id"), "row_id").limit(sample).select("v").collect()
     out = {}
     for dim in {len(r["v"]) for r in rows}:
-        x = np.array([r["v"] for r in rows if len(r["v"]) == dim], dtype=np.float64).reshape(-1, dim)
+        own = [r["v"] for r in rows if len(r["v"]) == dim]
+        x = np.array(own, dtype=np.float64).reshape(len(own), dim)
         chosen, gap = [0], ((x - x[0]) ** 2).sum(1)
         while len(chosen) < min(pivots, len(x)) and gap.max() > 0:
             chosen.append(int(gap.argmax()))

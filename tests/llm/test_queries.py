@@ -1,0 +1,38 @@
+"""Every query of the subpackage on the smallest driver tables, against its SQL where there is one."""
+
+from __future__ import annotations
+
+import os
+
+import duckdb
+import pytest
+
+DATA = "/root/testdata/sf0.001"
+pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="the driver's tables aren't here")
+
+from tallyline.llm.registry import ORACLES, QUERIES  # noqa: E402
+
+
+def _rows(frame):
+    frame = frame[sorted(frame.columns)]
+    return sorted(tuple("" if v is None or v != v else str(v) for v in r) for r in frame.astype(object).itertuples(index=False))
+
+
+@pytest.mark.parametrize("name", QUERIES)
+def test_query(spark, name):
+    got = QUERIES[name](spark, DATA).toPandas()
+    assert len(got)
+    if name in ORACLES:
+        with duckdb.connect() as db:
+            for t in os.listdir(DATA):
+                db.execute(f"CREATE VIEW {t[:-8]} AS SELECT * FROM '{DATA}/{t}'")
+            assert _rows(got) == _rows(db.execute(ORACLES[name]).fetchdf())
+
+
+def test_pipeline(spark):
+    from corpus_pipeline import STAGES, run
+
+    assert [s.__module__.rpartition(".")[2] for _, s in STAGES] == ["quality", "exact_dedup", "ngram_join", "mixing", "packing"]
+    out = run(spark, DATA).toPandas()
+    lengths = out.groupby("sequence_id")["length"].sum()
+    assert all(n == 1024 or n & (n - 1) == 0 for n in lengths)

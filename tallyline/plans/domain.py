@@ -26,8 +26,8 @@ TABLES = {
         SELECT o.o_orderkey AS id, a.workspace_id, a.id AS account_id, CAST(o.o_orderdate AS DATE) AS value_date,
           CAST(round(o.o_totalprice * 100) AS BIGINT) AS amount_minor, o.o_orderstatus AS status, a.currency,
           s.s_suppkey AS supplier, s.s_name AS supplier_name
-        FROM orders o JOIN accounts a ON a.id = o.o_custkey CROSS JOIN (SELECT count(*) AS n FROM supplier) z
-        JOIN supplier s ON s.s_suppkey = o.o_orderkey % z.n""",
+        FROM (SELECT *, o_orderkey % (SELECT count(*) FROM supplier) AS vendor FROM orders) o JOIN accounts a ON a.id = o.o_custkey
+        JOIN supplier s ON s.s_suppkey = o.vendor""",
     "transactions": """
         SELECT id, workspace_id, account_id, value_date, amount_minor, CASE WHEN status = 'P' THEN 'CREDIT' ELSE 'DEBIT' END AS direction, currency,
           CASE id % 4 WHEN 0 THEN concat('UPI/', upper(supplier_name), ' / ', id) WHEN 1 THEN concat(supplier_name, ' Pvt Ltd - INV-', id)

@@ -32,7 +32,7 @@ from .ngram_trie import Trie
 
 START, END = np.uint64(0x5A5A5A5A5A5A0000), np.uint64(0xA5A5A5A5A5A50000)
 DISCOUNT = 0.9
-FLUSH, SHARD_EVENTS = 500_000, 1_400_000
+FLUSH, SHARD_EVENTS = 400_000, 1_000_000
 HEAVY_SHARE = 512
 #: Documents of a block in which sums travel.
 BLOCK_BITS = 10
@@ -249,7 +249,8 @@ def _score_shards(heavy: np.ndarray, counts: np.ndarray, shards: int, discount:
         value = np.where(seen, value, np.where(spread >= 0, 0.0, left))
         known_name = np.where(seen, -1, _place(names, w))
         value = value + np.where(known_name >= 0, np.log10(name_counts[known_name] + 1.0), 0.0)
-        event = np.repeat(of_pair, sizes)
+        event = np.repeat(of_pair.astype(np.int32), sizes)
+        del order, fresh, group, of_pair, trie
         ids, at = np.unique(doc, return_inverse=True)
         base = np.log10(total + 1.0)[context]
         sums = [np.bincount(at, x[event], minlength=len(ids)).astype(t) for x, t in ((base, np.float64), (value, np.float32))]
@@ -327,7 +328,9 @@ def lm_scores(docs: DataFrame, train: Column, discount: float = DISCOUNT) -> Dat
     heavy, counts, events, trained = _heavy(rows)
     shards = max(1, -(-events // SHARD_EVENTS))
     packed = rows.mapInArrow(_to_shards(heavy, shards), PACKED)
-    scored = packed.repartition("key").sortWithinPartitions("key").mapInArrow(_score_shards(heavy, counts, shards, discount), PACKED)
+    # A shard is a partition; documents' ids are spread over all of them by their block.
+    home = F.when(F.col("kind") == 0, F.col("key")).otherwise(F.pmod("key", F.lit(shards))).cast("int")
+    scored = packed.repartitionById(shards, home).sortWithinPartitions("key").mapInArrow(_score_shards(heavy, counts, shards, discount), PACKED)
     scored = materialize(scored, "lm-shards")
 
     def statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -346,7 +349,7 @@ def lm_scores(docs: DataFrame, train: Column, discount: float = DISCOUNT) -> Dat
     is_word = heavy != START
     n_words = sums.get(-1, 0) + int((is_word & (counts > 0)).sum()) + int(counts[~is_word][0] > 0)
     left = np.where(counts > 0, np.log10(np.maximum(np.minimum(1.0, discount * kinds / np.maximum(counts, 1)), 1e-300)), 0.0)
-    unigrams = scored.where("kind in (1, 2)").repartition("key").sortWithinPartitions("key").mapInArrow(_unigrams, PACKED)
+    unigrams = scored.where("kind in (1, 2)").repartitionById(shards, F.col("key").cast("int")).sortWithinPartitions("key").mapInArrow(_unigrams, PACKED)
     parts = scored.where("kind in (0, 4, 6)").unionByName(unigrams)
     by_doc = parts.repartition("key").sortWithinPartitions("key").mapInArrow(_sum_blocks(left, float(np.log10(trained + n_words + 1))), "row_id long, doc_id long, n_tokens long, n_known long, base_score double, score double")
     return by_doc.withColumn("train_tokens", F.lit(trained).cast("long"))

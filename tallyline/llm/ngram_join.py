@@ -44,7 +44,7 @@ FILTER_BITS = 23
 #: Signatures that a task sorts at a time.
 FLUSH = 500_000
 #: Shingles of a chunk of a block.
-CHUNK_WEIGHT = 1_000_000
+CHUNK_WEIGHT = 400_000
 MU = 0.0085  # DivideSkip's constant for the number of long lists
 
 class Shingler:

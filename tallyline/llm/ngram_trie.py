@@ -13,6 +13,8 @@ import tempfile
 
 import numpy as np
 
+#: Lookups that are worked on together.
+AT_ONCE = 1 << 15
 #: Steps of a log10 probability's code; 65535 of them reach to -32.
 STEP = 1 / 2048
 _SELECT = np.zeros((256, 8), dtype=np.uint8)  # the place of the k-th zero bit of a byte
@@ -95,9 +97,14 @@ class EliasFano:
         return np.minimum(out, self.n)
 
     def find(self, x: np.ndarray) -> np.ndarray:
-        """The place of each x, or -1: a binary search of the low parts among those of equal high part."""
-        if not self.n:
-            return np.full(len(x), -1)
+        """The place of each x, or -1."""
+        out = np.full(len(x), -1)
+        for i in range(0, len(x) if self.n else 0, AT_ONCE):
+            out[i : i + AT_ONCE] = self._find(x[i : i + AT_ONCE])
+        return out
+
+    def _find(self, x: np.ndarray) -> np.ndarray:
+        """A binary search of the low parts among those of equal high part."""
         x = x.astype(np.uint64)
         high = (x >> np.uint64(self.low_bits)).astype(np.int64)
         low = x & np.uint64((1 << self.low_bits) - 1)

@@ -296,7 +296,7 @@ def divide_skip(sets: list[np.ndarray], p: int, q: int, side: np.ndarray | None
         total = shared[found]
         rows = row_of[long]
         if (rows >= 0).any():
-            total = total + np.rint(bits[rows[rows >= 0]].sum(0)[i + 1 + found]).astype(np.int64)
+            total = total + np.rint(bits[rows[rows >= 0], i + 1 : end].sum(0)[found]).astype(np.int64)
         probed = long[rows < 0]
         for at in range(0, len(probed), 256):
             wish = (probed[at : at + 256, None] * m + (found + i + 1)[None]).ravel()
@@ -331,21 +331,18 @@ def _search(tasks: DataFrame, p: int, q: int) -> DataFrame:
         cross = rows[0]["low"] != rows[0]["high"]
         side = np.array([r["chunk"] for r in rows]) if cross else None
         copies = np.array([r["copies"] for r in rows])
-        links, parent, edges = np.zeros(len(rows), dtype=np.int64), list(range(len(rows))), []
-
-        def root(x: int) -> int:
-            while parent[x] != x:
-                parent[x] = x = parent[parent[x]]
-            return x
+        links, edges = np.zeros(len(rows), dtype=np.int64), []
+        label = np.arange(len(rows))  # of each set, the component that this task's links have made so far
 
         for i, linked in divide_skip([np.frombuffer(r["shingles"], dtype=np.uint64) for r in rows], p, q, side):
             links[i] += copies[linked].sum()
             links[linked] += copies[i]
-            for j in linked:
-                a, b = root(i), root(int(j))
-                if a != b:
-                    parent[max(a, b)] = min(a, b)
-                    edges.append((i, int(j)))
+            new = linked[label[linked] != label[i]]
+            if len(new):
+                # One edge to each component that is met: fewer edges than sets in all.
+                met, first = np.unique(label[new], return_index=True)
+                edges += [(i, int(j)) for j in new[first]]
+                label[np.isin(label, met)] = label[i]
         linked = np.flatnonzero(links)
         keys = [rows[i]["key"] for i in linked] + [rows[i]["key"] for i, _ in edges]
         others = [None] * len(linked) + [rows[j]["key"] for _, j in edges]

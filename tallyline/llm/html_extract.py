@@ -11,7 +11,9 @@ Entropy alone can't tell a menu that changes from page to page from an article,
 judge a host of few pages. So an element's kind comes first: elements that never hold an
 article's text (menus, headers, footers, sidebars, forms, adverts, notices, comments,
 scripts ...) go by tag, role or class, and where a page marks its article, the text
-directly in it stays, however often the site repeats it.
+directly in it stays, however often the site repeats it. A class or id counts by its head
+word (``cookie-notice`` is a notice, ``search-results`` are results, ``has-sidebar`` says
+nothing of its element), and an element that holds the article never goes by its name.
 
 The tree is never built in one place. A page's nodes become rows of (host, path, hash),
 counted by shuffled aggregation; a host with a third of all pages is as many counters as
@@ -57,22 +59,36 @@ BOILERPLATE = frozenset(
     "notice notices cookie cookies consent gdpr popup modal overlay newsletter subscribe subscription signup comment comments disqus respond reply replies share sharing social related recommended pagination pager widget toolbar search login".split()
 )
 ARTICLE_ROLES = frozenset(("main", "article"))
+#: What has these names holds other articles than the page's, where the page has one outside.
+TALK = frozenset("comment comments reply replies respond disqus related recommended".split())
+REPLIES = frozenset(("comment", "comments", "reply", "replies"))
+#: Words that follow the head word of a class or id.
+HOLDERS = frozenset("area bar block body box button buttons container form icon icons inner item items link links list outer panel section slot text unit wrap wrapper posts articles stories".split())
+#: Words before a name that make it say what an element has or lacks, not what it is.
+STATES = frozenset("after before has have hide is js no not show with without".split())
+#: A form with one of these around it is the whole page.
+LANDMARKS = frozenset(("h1", "nav", "footer"))
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*(?:>|\Z)", re.S)
 _ATTR = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|itemprop)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
-_WORD = re.compile(r"[a-z]+|\d+")
+_WORD = re.compile(r"[a-z]+")
 _SPACES = re.compile(r"\s+")
 
 
 class Node:
-    """An element. Its kind is never, article or plain; what stands in a "never" is one too."""
+    """An element. Its kind is never, article or plain; what stands in a "never" is one too.
 
-    __slots__ = ("children", "depth", "inner", "kind", "name", "parent", "path", "tag")
+    While a page is parsed, kind may also be named or talk: a "never" by its name alone, that
+    _settle decides on when it is known what stands in it.
+    """
+
+    __slots__ = ("children", "depth", "holds", "inner", "kind", "name", "parent", "path", "tag")
 
     def __init__(self, tag: str, name: str, parent: Node | None, kind: str):
         self.tag, self.name, self.parent = tag, name, parent
         self.kind = "never" if parent and parent.kind == "never" else kind
         self.inner = parent is not None and (parent.inner or parent.kind == "article")  # stands in an article
+        self.holds = False  # an article stands in it
         self.depth = parent.depth + 1 if parent else 0
         self.path = f"{parent.path}>{name}" if parent else name
         self.children: list[Node | str] = []
@@ -83,17 +99,58 @@ def _kind(tag: str, attributes: str) -> tuple[str, str]:
     found = {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTR.finditer(attributes)} if attributes else {}
     classes = sorted(set(found.get("class", "").lower().split()))
     name = ".".join([tag, *[re.sub(r"\d+", "#", c) for c in classes]])
-    words = {w for k in ("class", "id", "role") for w in _WORD.findall(found.get(k, "").lower())}
-    if tag in NEVER or "hidden" in found or found.get("aria-hidden", "").lower() == "true":
+    words = {_head(t) for k in ("class", "id", "role") for t in found.get(k, "").lower().split()}
+    if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or tag in NEVER and tag != "form":
         return "never", name
     if tag in ("article", "main") or found.get("role", "").lower() in ARTICLE_ROLES or found.get("itemprop", "").lower() == "articlebody":
-        return ("never" if words & {"comment", "comments", "reply", "replies"} else "article"), name
-    return ("never" if words & BOILERPLATE and tag not in ("body", "html") else "plain"), name
+        return ("talk" if words & REPLIES else "article"), name
+    if tag in ("body", "html"):
+        return "plain", name
+    return ("talk" if words & TALK else "named" if words & BOILERPLATE or tag == "form" else "plain"), name
+
+
+def _head(token: str) -> str:
+    """The word that says what a class or id names; empty where it names a state."""
+    words = _WORD.findall(token.partition("--")[0])
+    while len(words) > 1 and words[-1] in HOLDERS:
+        words.pop()
+    return words[-1] if words and not STATES.intersection(words[:-1]) else ""
+
+
+def _settle(nodes: list[Node]) -> None:
+    """Decides on the named and the talk: what holds an article stays, a talk only where no other article has text.
+
+    nodes: parents before children.
+    """
+    apart: set[int] = set()  # in a talk
+    for n in nodes:
+        if n.kind == "talk" or id(n.parent) in apart:
+            apart.add(id(n))
+    written: set[int] = set()  # have text outside of what is named, talk or never
+    wrapping: set[int] = set()
+    elsewhere = False  # an article outside of any talk has text
+    for n in reversed(nodes):
+        if n.kind in ("plain", "article") and (id(n) in written or any(isinstance(c, str) and c.strip() for c in n.children)):
+            written.add(id(n.parent))
+            elsewhere = elsewhere or n.kind == "article" and id(n) not in apart
+        if n.kind == "article" or n.holds and n.kind != "never":
+            n.parent.holds = True
+        if n.tag in LANDMARKS or id(n) in wrapping:
+            wrapping.add(id(n.parent))
+    for n in nodes:
+        if n.parent.kind == "never":
+            n.kind = "never"
+        elif n.kind == "talk":
+            n.kind = "plain" if n.holds and not elsewhere else "never"
+        elif n.kind == "named":
+            n.kind = "plain" if n.holds or n.tag == "form" and id(n) in wrapping else "never"
+        n.inner = n.parent.inner or n.parent.kind == "article"
 
 
 def parse(source: str) -> Node:
     """A forgiving parse: unclosed and stray tags as browsers take them, texts decoded."""
     top = now = Node("", "", None, "plain")
+    nodes: list[Node] = []
     at, end = 0, len(source)
 
     def text(a: int, b: int) -> None:
@@ -129,7 +186,8 @@ def parse(source: str) -> Node:
             if node.parent and node.tag == tag:
                 now = node.parent
             elif tag == "br":
-                now.children.append(Node("br", "br", now, "plain"))
+                nodes.append(Node("br", "br", now, "plain"))
+                now.children.append(nodes[-1])
             continue
         if tag in ("html", "body") and any(a.tag == tag for a in _ancestors(now)):
             continue
@@ -141,6 +199,7 @@ def parse(source: str) -> Node:
             close(("head",), ())
         kind, name = _kind(tag, m[3])
         node = Node(tag, name, now, kind)
+        nodes.append(node)
         now.children.append(node)
         if tag in RAW:
             stop = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(source, at)
@@ -151,6 +210,7 @@ def parse(source: str) -> Node:
             at = closing + 1 if stop and closing >= 0 else end
         elif tag not in VOID and node.depth < MAX_DEPTH:
             now = node
+    _settle(nodes)
     return top
 
 

@@ -168,3 +168,23 @@ def test_elias_fano_and_trie():
     for c in np.unique(pairs[:, 0]):
         mine = np.flatnonzero(pairs[:, 0] == c)
         assert (10 ** value[mine]).sum() + 10 ** left[mine[0]] <= 1 + 1e-9
+
+
+@pytest.mark.parametrize(
+    ("html", "expected"),
+    [
+        ('<div class="content has-sidebar"><article>A</article></div>', ["A"]),
+        ('<div class="page with-header"><main>A</main></div>', ["A"]),
+        ('<div class="no-comments"><p>A</div><div class="search-results">B</div>', ["A", "B"]),
+        ('<article class="post no-comments">A', ["A"]),
+        ('<form id="aspnetForm"><div class="nav">n</div><article>A</article><input></form>', ["A"]),
+        ('<form id="aspnetForm"><nav>n</nav><div>A</div></form>', ["A"]),
+        ('<div class="sidebar">s<div itemprop="articleBody">A</div></div>', ["A"]),
+        ('<div class="search"><div role="main">A</div></div>', ["A"]),
+        ('<article>A<div class="comments"><article>c</article></div></article><div class="related"><article>r</article></div>', ["A"]),
+        ('<div class="comments"><article>A</article></div>', ["A"]),
+        ('<div class="comments-area">c</div><div id="sidebar-2">s</div><div class="menu--open">m</div><form>f</form>A', ["A"]),
+    ],
+)
+def test_wrappers_of_an_article_stay(html, expected):
+    assert blocks(parse(html), frozenset()) == expected

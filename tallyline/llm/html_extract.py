@@ -26,6 +26,7 @@ import hashlib
 import html
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -36,8 +37,8 @@ from .common import ascii_lower, materialize, table
 
 #: Elements below this importance are removed, on hosts of MIN_PAGES different pages or more.
 THRESHOLD, MIN_PAGES = 0.2, 5
-#: Elements nested deeper than this are not entered; their text counts to the element above.
-MAX_DEPTH = 300
+#: The style tree has so many levels: elements below share the path of the one above them there. Pages have any depth.
+PATH_DEPTH = 300
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes plaintext".split())
@@ -90,7 +91,7 @@ class Node:
         self.inner = parent is not None and (parent.inner or parent.kind == "article")  # stands in an article
         self.holds = False  # an article stands in it
         self.depth = parent.depth + 1 if parent else 0
-        self.path = f"{parent.path}>{name}" if parent else name
+        self.path = name if not parent else f"{parent.path}>{name}" if self.depth <= PATH_DEPTH else parent.path
         self.children: list[Node | str] = []
 
 
@@ -151,6 +152,7 @@ def parse(source: str) -> Node:
     """A forgiving parse: unclosed and stray tags as browsers take them, texts decoded."""
     top = now = Node("", "", None, "plain")
     nodes: list[Node] = []
+    opened: Counter[str] = Counter()  # the open elements by tag: spares the way up for what isn't open
     at, end = 0, len(source)
 
     def text(a: int, b: int) -> None:
@@ -159,12 +161,20 @@ def parse(source: str) -> Node:
 
     def close(tags: tuple[str, ...], within: tuple[str, ...]) -> None:
         """Ends the outermost open element of these tags below the nearest container."""
-        nonlocal now
-        node = now
+        if not any(opened[t] for t in tags):
+            return
+        node, to = now, now
         while node.parent and node.tag not in within:
             if node.tag in tags:
-                now = node.parent
+                to = node.parent
             node = node.parent
+        leave(to)
+
+    def leave(to: Node) -> None:
+        nonlocal now
+        while now is not to:
+            opened[now.tag] -= 1
+            now = now.parent
 
     while at < end:
         m = _TOKEN.search(source, at)
@@ -178,18 +188,18 @@ def parse(source: str) -> Node:
         tag = m[2].lower()
         if m[1]:
             node = now
-            while node.parent and node.tag != tag:
+            while node.parent and node.tag != tag and opened[tag]:
                 # The end of an inline element doesn't reach out of the block it stands in.
                 if tag not in BLOCK and node.tag in BLOCK:
                     break
                 node = node.parent
             if node.parent and node.tag == tag:
-                now = node.parent
+                leave(node.parent)
             elif tag == "br":
                 nodes.append(Node("br", "br", now, "plain"))
                 now.children.append(nodes[-1])
             continue
-        if tag in ("html", "body") and any(a.tag == tag for a in _ancestors(now)):
+        if tag in ("html", "body") and opened[tag]:
             continue
         if tag in CLOSES_P:
             close(("p",), ("article", "section", "div", "td", "th", "li", "blockquote", "body", "main", "form", "table", "button"))
@@ -208,32 +218,25 @@ def parse(source: str) -> Node:
             at = stop.start() if stop else end
             closing = source.find(">", at)
             at = closing + 1 if stop and closing >= 0 else end
-        elif tag not in VOID and node.depth < MAX_DEPTH:
+        elif tag not in VOID:
             now = node
+            opened[tag] += 1
     _settle(nodes)
     return top
 
 
-def _ancestors(node: Node) -> Iterator[Node]:
-    while node:
-        yield node
-        node = node.parent
-
-
 def _own_text(node: Node) -> str:
     """The text in the node and its inline descendants, not in blocks below."""
     parts = []
-
-    def walk(n: Node) -> None:
-        for c in n.children:
-            if isinstance(c, str):
-                parts.append(c)
-            elif c.tag not in BLOCK and c.kind != "never":
-                walk(c)
-                if c.tag in INLINE_SPACE:
-                    parts.append(" ")
-
-    walk(node)
+    todo = node.children[::-1]
+    while todo:
+        c = todo.pop()
+        if isinstance(c, str):
+            parts.append(c)
+        elif c.tag not in BLOCK and c.kind != "never":
+            if c.tag in INLINE_SPACE:
+                todo.append(" ")
+            todo += c.children[::-1]
     return _SPACES.sub(" ", "".join(parts)).strip()
 
 
@@ -249,22 +252,28 @@ def blocks(top: Node, removed: frozenset[str] | set[str]) -> list[str]:
             out.append(line)
         run.clear()
 
-    def walk(node: Node, protected: bool) -> None:
-        for c in node.children:
-            if isinstance(c, str):
-                run.append(c)
-                continue
-            if c.kind == "never" or (c.path in removed and not _protected(c, protected)):
+    def walk(root: Node, protected: bool) -> None:
+        inside = [(iter(root.children), False)]
+        while inside:
+            children, block = inside[-1]
+            for c in children:
+                if isinstance(c, str):
+                    run.append(c)
+                    continue
+                if c.kind == "never" or (c.path in removed and not _protected(c, protected)):
+                    if c.tag in BLOCK:
+                        flush()
+                    continue
+                if c.tag in INLINE_SPACE:
+                    run.append(" ")
                 if c.tag in BLOCK:
                     flush()
-                continue
-            if c.tag in INLINE_SPACE:
-                run.append(" ")
-            if c.tag in BLOCK:
-                flush()
-            walk(c, protected)
-            if c.tag in BLOCK:
-                flush()
+                inside.append((iter(c.children), c.tag in BLOCK))
+                break
+            else:
+                inside.pop()
+                if block:
+                    flush()
 
     for root in roots or [top]:
         walk(root, bool(roots))
@@ -278,10 +287,11 @@ def _protected(node: Node, in_article: bool) -> bool:
 
 
 def _elements(top: Node) -> Iterator[Node]:
-    for c in top.children:
-        if not isinstance(c, str):
-            yield c
-            yield from _elements(c)
+    todo = [c for c in reversed(top.children) if not isinstance(c, str)]
+    while todo:
+        node = todo.pop()
+        yield node
+        todo += [c for c in reversed(node.children) if not isinstance(c, str)]
 
 
 def _hash(text: str) -> int:

@@ -14,7 +14,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tallyline.llm.chat_format import MAPPINGS, escape, format_chat, format_turns, parse_turns, read_back, READ_BACK, turn_records, unescape
-from tallyline.llm.html_extract import blocks, extract, parse
+from tallyline.llm.html_extract import blocks, extract, page_features, parse
 from tallyline.llm.ngram_trie import EliasFano, Levels, Trie, STEP
 from tallyline.llm.url_filter import CONTRACT_RULES, DEFAULT_PATTERNS, Rule, filter_urls
 from tallyline.llm.vector_topk import top_k
@@ -188,3 +188,13 @@ def test_elias_fano_and_trie():
 )
 def test_wrappers_of_an_article_stay(html, expected):
     assert blocks(parse(html), frozenset()) == expected
+
+
+@pytest.mark.parametrize("depth", [10, 299, 300, 301, 400, 20000])
+def test_deep_elements_with_end_tags(depth):
+    inside = lambda tag: f"<{tag}>" * depth + "{}" + f"</{tag}>" * depth
+    page = "<div id=page><article>" + inside("div").format("text") + "<p>rest</p></article></div>after"
+    assert blocks(parse(page), frozenset()) == ["text", "rest"]
+    assert blocks(parse(inside("div").format("<p>a</p>b<aside>no</aside><nav>no</nav>") + "c"), frozenset()) == ["a", "b", "c"]
+    assert blocks(parse(inside("b").format("a<br>b") + "</i>c"), frozenset()) == ["a bc"]
+    assert len(page_features(parse(page))) == min(depth, 298) + 3  # the outer div, the article and its p

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import materialize, table, unused
 from .components import components
 from .hashing import WordHasher, mix
 
@@ -82,11 +82,11 @@ def _bucket(shingles: np.ndarray) -> np.ndarray:
     return (shingles >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
 
-BASE = "doc_id long, n long, key binary, short long, part int, counts binary"
+BASE = "row_id long, doc_id long, n long, key binary, short long, part int, counts binary"
 
 
-def _sets(docs: DataFrame, width: int) -> DataFrame:
-    """Rows of two kinds: doc_id, n, key for each document; part, counts of each task's sketch."""
+def _sets(docs: DataFrame, width: int, row: str | None) -> DataFrame:
+    """Rows of two kinds: row_id, doc_id, n, key for each document; part, counts of each task's sketch."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, sketch, waiting, held = Shingler(width), np.zeros(1 << SKETCH_BITS, dtype=np.int64), [], 0
@@ -101,14 +101,14 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
                     sketch += np.bincount(np.concatenate(waiting), minlength=len(sketch))
                     waiting, held = [], 0
             none = pa.nulls(len(n))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(np.array([_short(k) for k in keys], dtype=np.uint64).view(np.int64)), none.cast(pa.int32()), none.cast(pa.binary())], names=["doc_id", "n", "key", "short", "part", "counts"])
+            yield pa.RecordBatch.from_arrays([b.column("row_id"), b.column("doc_id"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(np.array([_short(k) for k in keys], dtype=np.uint64).view(np.int64)), none.cast(pa.int32()), none.cast(pa.binary())], names=["row_id", "doc_id", "n", "key", "short", "part", "counts"])
         if waiting:
             sketch += np.bincount(np.concatenate(waiting), minlength=len(sketch))
         parts = [(i, zlib.compress(p.tobytes(), 1)) for i, p in enumerate(np.split(sketch, SKETCH_PARTS)) if p.any()]
         none = pa.nulls(len(parts))
-        yield pa.RecordBatch.from_arrays([none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.binary()), none.cast(pa.int64()), pa.array([i for i, _ in parts], pa.int32()), pa.array([c for _, c in parts], pa.binary())], names=["doc_id", "n", "key", "short", "part", "counts"])
+        yield pa.RecordBatch.from_arrays([none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.binary()), none.cast(pa.int64()), pa.array([i for i, _ in parts], pa.int32()), pa.array([c for _, c in parts], pa.binary())], names=["row_id", "doc_id", "n", "key", "short", "part", "counts"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(make, BASE)
+    return docs.select((F.col(row) if row else F.monotonically_increasing_id()).alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(make, BASE)
 
 
 def _sketch(base: DataFrame) -> np.ndarray:
@@ -397,23 +397,26 @@ def _with_shingles(docs: DataFrame, members: DataFrame, width: int) -> DataFrame
     return members.drop("doc_id").join(made, "key")
 
 
-def ngram_join(docs: DataFrame, width: int = 3, p: int = 9, q: int = 10) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, n_shingles, component_id, n_links: one row per row of docs.
+def ngram_join(docs: DataFrame, width: int = 3, p: int = 9, q: int = 10, row: str | None = None) -> DataFrame:
+    """docs (doc_id, text) -> row_id, doc_id, n_shingles, component_id, n_links, kept: one row per row of docs.
 
     A set holds a text's distinct runs of ``width`` words, A-Z in lower case; with fewer
     words, the whole sequence. Documents link when their sets' Jaccard similarity is p/q
     or more; component_id is the smallest doc_id that links reach, n_links the number of
     other rows a row links with. Null and wordless texts have an empty set, no links and
     themselves as component. Rows with a null id take part and never name a component
-    unless all its rows have null ids. Repeated rows are copies like any other. An empty
-    table gives an empty result; other columns are ignored.
+    unless all its rows have null ids. Repeated rows are copies like any other. kept marks
+    one row of each component: the smallest doc_id (null last), then the smallest
+    row_id, which is docs' column ``row`` or the order of reading. An empty table gives an
+    empty result; other columns are ignored.
     """
-    base = materialize(_sets(docs, width), "shingle-sets")
-    rows = base.where("key is not null").select("doc_id", "n", "key", "short")
-    sets = rows.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("short").alias("short"), F.count("*").alias("copies"))
+    base = materialize(_sets(docs, width, row), "shingle-sets")
+    rows = base.where("key is not null").select("row_id", "doc_id", "n", "key", "short")
+    first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_id")
+    sets = rows.groupBy("key").agg(F.min(first).alias("first"), F.first("n").alias("n"), F.first("short").alias("short"), F.count("*").alias("copies"))
     # Eight bytes of the key are enough where sets only meet; what links is told by all of it.
     blocks = components(_sharing(docs, width, _sketch(base), p, q))
-    members = blocks.select(F.col("node").alias("short"), F.col("root").alias("block")).join(sets, "short").drop("short")
+    members = blocks.select(F.col("node").alias("short"), F.col("root").alias("block")).join(sets.withColumn("doc_id", F.col("first.doc_id")).drop("first"), "short").drop("short")
     weights = members.groupBy("block").agg(F.ceil(F.sum("n") / CHUNK_WEIGHT).cast("int").alias("chunks"))
     members = materialize(members.join(weights, "block"), "shingle-blocks")
     filled = _with_shingles(docs, members, width).withColumn("chunk", F.pmod(F.xxhash64("key"), F.col("chunks")).cast("int"))
@@ -423,20 +426,22 @@ def ngram_join(docs: DataFrame, width: int = 3, p: int = 9, q: int = 10) -> Data
     found = materialize(_search(tasks.repartition(*place).sortWithinPartitions(*place, "n", "key"), p, q), "shingle-links")
     roots = components(found.where("other is not null").select(F.col("key").alias("a"), F.col("other").alias("b")))
     links = found.groupBy("key").agg(F.sum("links").alias("links"))
-    classes = sets.join(roots, sets["key"] == roots["node"]).groupBy("root").agg(F.min("doc_id").alias("least"))
+    classes = sets.join(roots, sets["key"] == roots["node"]).groupBy("root").agg(F.min("first").alias("least"))
     linked = roots.join(classes, "root").select(F.col("node").alias("key"), "least").join(links, "key", "left")
-    per_set = sets.join(linked, "key", "left").select("key", "copies", F.when(F.col("least").isNotNull(), F.col("least")).otherwise(F.col("doc_id")).alias("least"), F.coalesce("links", F.lit(0)).alias("links"))
+    per_set = sets.join(linked, "key", "left").select("key", "copies", F.when(F.col("least").isNotNull(), F.col("least")).otherwise(F.col("first")).alias("least"), F.coalesce("links", F.lit(0)).alias("links"))
     alone = F.col("n") == 0
     return rows.drop("short").join(per_set, "key").select(
+        "row_id",
         "doc_id",
         F.col("n").alias("n_shingles"),
-        F.when(alone, F.col("doc_id")).otherwise(F.col("least")).alias("component_id"),
+        F.when(alone, F.col("doc_id")).otherwise(F.col("least.doc_id")).alias("component_id"),
         F.when(alone, 0).otherwise(F.col("links") + F.col("copies") - 1).alias("n_links"),
+        (alone | (F.col("row_id") == F.col("least.row_id"))).alias("kept"),
     )
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join(table(spark, sf_dir, "documents"))
+    return ngram_join(table(spark, sf_dir, "documents")).drop("row_id", "kept")
 
 
 OP2_SQL = r"""
@@ -467,12 +472,14 @@ FROM s JOIN u ON u.sh = list_sort(s.sh) JOIN least USING (set_id) LEFT JOIN n_li
 
 
 def ngram_join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group, the one with the smallest id, with the columns it came with.
+    """One row of each near-duplicate group, with the columns it came with.
 
-    Near duplicates share words in runs of five to a similarity of 0.8 or more. Of rows
-    that repeat an id, all that hold the group's smallest id stay: exact deduplication
-    comes before.
+    Near duplicates share words in runs of five to a similarity of 0.8 or more. The row
+    with the smallest id stays (null last), of several the first read; rows are told apart
+    by their place, so ids may be null or repeat. Rows without words all stay.
     """
-    joined = ngram_join(docs, width=5, p=4, q=5)
-    dropped = joined.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    row = unused("row", docs.columns)
+    # Written once: a table that is computed anew may number its rows differently.
+    rows = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "near-rows")
+    kept = ngram_join(rows, width=5, p=4, q=5, row=row).where("kept").select(F.col("row_id").alias(row))
+    return rows.join(kept, row, "left_semi").select(*docs.columns)

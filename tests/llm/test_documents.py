@@ -152,6 +152,22 @@ def test_ngram_join_stage(docs, spark):
     assert {r.doc_id for r in out.collect() if r.doc_id is not None} == {r.component_id for r in joined.collect()}
 
 
+def test_ngram_join_stage_keeps_one_row_of_each_group(spark, tmp_path):
+    rng = random.Random(8)
+    a, b, c, d = (_text(rng, 200) for _ in range(4))
+    near = lambda t, i: t + f" x{i}"
+    rows = [
+        (1, a, "a"), (2, near(a, 1), "a"), (2, b, "b"),  # id 2 is a near copy and a clean row
+        (None, near(a, 2), "a"), (None, c, "c"), (None, near(c, 1), "c"), (None, near(c, 2), "c"),
+        (5, d, "d"), (5, near(d, 1), "d"), (4, near(d, 2), "d"), (4, near(d, 2), "d"),
+        (None, "", ""), (None, None, ""), (9, " ", ""),
+    ]
+    spark.createDataFrame(rows, "doc_id long, text string, row string").repartition(3).write.parquet(str(tmp_path / "d"))
+    out = ngram_join_stage(spark, spark.read.parquet(str(tmp_path / "d")), "")
+    assert out.columns == ["doc_id", "text", "row"]
+    _same([(r.doc_id, r.row) for r in out.collect()], [(1, "a"), (2, "b"), (None, "c"), (4, "d"), (None, ""), (None, ""), (9, "")])
+
+
 def test_mixing(docs, rows, nothing):
     out = mix(docs).toPandas()
     assert len(out) == len(rows)

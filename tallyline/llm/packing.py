@@ -1,15 +1,17 @@
 """Mixture-controlled packing of tokenised documents by deficit round-robin.
 
 Documents are dealt to partitions by a hash, so that each partition is a fair sample of
-the corpus. A task tokenises its documents into one queue per source. Every window gives
-each source a quantum, its target share of the window, on top of the deficit it has left
-from the windows before; the source with the greatest deficit is served next, from the
+the corpus. Texts are tokenised where they are read, and the tokens of each source are
+counted over all documents: the shares are every task's targets. A task holds one queue
+per source. Every window gives each source of the corpus a quantum, its target share of
+the window, on top of the deficit it has left from the windows before, whether or not the
+task has documents of it; the source with the greatest deficit is served next, from the
 head of its queue, until the window is full. Documents are cut only where a window ends,
 and what is cut off stays at the head of its queue.
 
-The last window of a partition is rarely full. Its pieces, and what each source has
-been owed, go up a tree: the remainders of up to 64 partitions meet as queues, with the
-summed deficits, and are packed the same way. What the root has left over is shorter than
+The last window of a partition is rarely full. Its pieces go up a tree, and with them a
+row for each source with what it is owed: the remainders of up to 64 partitions meet as
+queues, with the summed deficits, and are packed the same way. What the root has left over is shorter than
 a window and becomes sequences whose lengths are powers of two, so nothing is padded.
 """
 
@@ -83,34 +85,44 @@ class Piece:
 class RoundRobin:
     """Source queues, their deficits and the window being filled."""
 
-    def __init__(self, window: int, weights: dict[str | None, float] | None, base: int):
+    def __init__(self, window: int, weights: dict[str | None, float], base: int):
         self.window, self.weights, self.next_id = window, weights, base
+        self.total = sum(weights.values()) or 1.0
         self.queues: dict[str | None, deque[Piece]] = {}
         self.tokens: dict[str | None, int] = {}
-        self.deficit: dict[str | None, float] = {}
+        self.owed: dict[str | None, float] = {}  # carried in, less what was served
+        self.credit = 0  # tokens of the windows so far: each source's quanta are its share of them
         self.held = 0
 
     def add(self, piece: Piece) -> None:
         self.queues.setdefault(piece.source, deque()).append(piece)
         self.tokens[piece.source] = self.tokens.get(piece.source, 0) + len(piece.ids)
-        self.deficit.setdefault(piece.source, 0.0)
         self.held += len(piece.ids)
 
+    def deficit(self, source: str | None) -> float:
+        return self.owed.get(source, 0.0) + self.credit * self.weights.get(source, 0.0) / self.total
+
+    def deficits(self) -> Iterator[tuple[str | None, float]]:
+        """Every source's deficit, of those without documents here too."""
+        if self.credit or self.owed:
+            for s in self.weights.keys() | self.owed.keys():
+                yield s, self.deficit(s)
+
     def serve(self, down_to: int) -> Iterator[tuple[int, int, Piece]]:
         """(sequence_id, offset, piece) of full windows, until fewer than down_to or a window's tokens are held."""
-        shares = {s: (self.weights.get(s, 0.0) if self.weights else n) for s, n in self.tokens.items() if n}
-        total = sum(shares.values()) or 1.0
         while self.held >= max(self.window, down_to):
-            space, sequence = self.window, self.next_id
-            self.next_id += 1
-            for s, share in shares.items():
-                self.deficit[s] += self.window * share / total
-            while space:
-                s = max((s for s, n in self.tokens.items() if n), key=lambda s: self.deficit[s])
-                piece = self._take(s, space)
-                yield sequence, self.window - space, piece
-                space -= len(piece.ids)
-                self.deficit[s] -= len(piece.ids)
+            yield from self._fill(self.window)
+
+    def _fill(self, size: int) -> Iterator[tuple[int, int, Piece]]:
+        space, sequence = size, self.next_id
+        self.next_id += 1
+        self.credit += size
+        while space:
+            s = max((s for s, n in self.tokens.items() if n), key=lambda s: (self.weights.get(s, 0.0) > 0, self.deficit(s)))
+            piece = self._take(s, space)
+            yield sequence, size - space, piece
+            space -= len(piece.ids)
+            self.owed[s] = self.owed.get(s, 0.0) - len(piece.ids)
 
     def _take(self, source: str | None, most: int) -> Piece:
         queue = self.queues[source]
@@ -129,14 +141,7 @@ class RoundRobin:
     def powers(self) -> Iterator[tuple[int, int, Piece]]:
         """What is left, in sequences whose lengths are powers of two."""
         while self.held:
-            space = size = 1 << (self.held.bit_length() - 1)
-            while space:
-                s = max((s for s, n in self.tokens.items() if n), key=lambda s: self.deficit[s])
-                piece = self._take(s, space)
-                yield self.next_id, size - space, piece
-                space -= len(piece.ids)
-                self.deficit[s] -= len(piece.ids)
-            self.next_id += 1
+            yield from self._fill(1 << (self.held.bit_length() - 1))
 
 
 def _placed(sequence: int, offset: int, p: Piece) -> tuple:
@@ -144,8 +149,13 @@ def _placed(sequence: int, offset: int, p: Piece) -> tuple:
     return (p.row_id, p.doc_id, p.source, p.start, len(p.ids), zlib.crc32(raw), p.doc_tokens, sequence, offset, None, None)
 
 
-def _unplaced(p: Piece, deficit: float) -> tuple:
-    return (p.row_id, p.doc_id, p.source, p.start, len(p.ids), None, p.doc_tokens, None, None, p.ids.astype("<u4").tobytes(), deficit)
+def _unplaced(p: Piece) -> tuple:
+    return (p.row_id, p.doc_id, p.source, p.start, len(p.ids), None, p.doc_tokens, None, None, p.ids.astype("<u4").tobytes(), None)
+
+
+def _left(robin: RoundRobin) -> list[tuple]:
+    """What goes up the tree: the pieces, and a row without ids for each source's deficit."""
+    return [_unplaced(p) for p in robin.rest()] + [(-1, 0, s, 0, 0, None, 0, None, None, None, d) for s, d in robin.deficits()]
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -166,21 +176,32 @@ def pack(docs: DataFrame, window: int = WINDOW, weights: dict[str | None, float]
     """
     spread = F.xxhash64("doc_id", "text")
     rows = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce("text", F.lit("")).alias("text"))
-    dealt = rows.repartition(spread).sortWithinPartitions(F.xxhash64("doc_id"), "row_id")
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids_of = tokenizer(vocabulary).ids
+        for b in batches:
+            for part in (b.slice(i, 1024) for i in range(0, b.num_rows, 1024)):
+                ids = [np.append(ids_of(t), np.uint32(SEPARATOR)).astype("<u4") for t in part.column("text").to_pylist()]
+                kept = [part.column(c) for c in ("row_id", "doc_id", "source", "spread")]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array([len(i) for i in ids], pa.int64()), pa.array([i.tobytes() for i in ids], pa.binary())], names=["row_id", "doc_id", "source", "spread", "n", "ids"])
+
+    tokens = materialize(rows.withColumn("spread", spread).mapInArrow(encode, "row_id long, doc_id long, source string, spread long, n long, ids binary"), "tokens")
+    if weights is None:
+        weights = {r["source"]: r["n"] for r in tokens.groupBy("source").agg(F.sum("n").alias("n")).collect()}
+    dealt = tokens.select("row_id", "doc_id", "source", "ids", "spread").repartition("spread").sortWithinPartitions(F.xxhash64("doc_id"), "row_id")
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         robin = RoundRobin(window, weights, TaskContext.get().partitionId() << 33)
-        encode = tokenizer(vocabulary).ids
         for b in batches:
             out = []
-            for row_id, doc_id, source, text in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-                ids = np.append(encode(text), np.uint32(SEPARATOR))
+            for row_id, doc_id, source, raw in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+                ids = np.frombuffer(raw, dtype="<u4")
                 robin.add(Piece(row_id, doc_id, source, 0, len(ids), ids))
                 if robin.held >= HELD_TOKENS:
                     out += [_placed(*x) for x in robin.serve(HELD_TOKENS // 2)]
             yield _batch(out)
         yield _batch([_placed(*x) for x in robin.serve(0)])
-        yield _batch([_unplaced(p, robin.deficit[p.source]) for p in robin.rest()])
+        yield _batch(_left(robin))
 
     level = materialize(dealt.mapInArrow(first, PIECE).withColumn("part", F.when(F.col("sequence_id").isNull(), F.spark_partition_id())), "packed")
     parts = [level.where("sequence_id is not null").drop("part")]
@@ -202,7 +223,7 @@ def pack(docs: DataFrame, window: int = WINDOW, weights: dict[str | None, float]
     return out.drop("ids", "deficit")
 
 
-def _meeting(window: int, weights: dict | None, depth: int, last: bool):
+def _meeting(window: int, weights: dict, depth: int, last: bool):
     """Packs the remainders of at most FAN_IN partitions, each shorter than a window."""
 
     def meet(pdf):
@@ -210,14 +231,15 @@ def _meeting(window: int, weights: dict | None, depth: int, last: bool):
 
         part = int(pdf["part"].iloc[0])
         robin = RoundRobin(window, weights, (depth << 58) + (part << 33))
-        for r in pdf.sort_values(["row_id", "start"]).itertuples():
+        owed = pdf["ids"].isna()
+        for r in pdf[~owed].sort_values(["row_id", "start"]).itertuples():
             none = lambda x: None if pd.isna(x) else x
             doc_id = none(r.doc_id)
             robin.add(Piece(int(r.row_id), None if doc_id is None else int(doc_id), none(r.source), int(r.start), int(r.doc_tokens), np.frombuffer(r.ids, dtype="<u4")))
-        for source, owed in pdf.assign(from_part=pdf["deficit"]).groupby("source", dropna=False)["from_part"].sum().items():
-            robin.deficit[None if pd.isna(source) else source] = float(owed)
+        for source, deficit in pdf[owed].groupby("source", dropna=False)["deficit"].sum().items():
+            robin.owed[None if pd.isna(source) else source] = float(deficit)
         rows = [_placed(*x) for x in robin.serve(0)]
-        rows += [_placed(*x) for x in robin.powers()] if last else [_unplaced(p, robin.deficit[p.source]) for p in robin.rest()]
+        rows += [_placed(*x) for x in robin.powers()] if last else _left(robin)
         return pa.Table.from_batches([_batch(rows)]).to_pandas(integer_object_nulls=True).assign(part=part)
 
     return meet

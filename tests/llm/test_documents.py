@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tallyline.llm.common import doc_crc
+from tallyline.llm.common import doc_crc, materialize
 from tallyline.llm.exact_dedup import exact_dedup, exact_dedup_stage, merge_runs, digests
 from tallyline.llm.lm_scoring import DISCOUNT, lm_scores
 from tallyline.llm.mixing import mix, mixing_stage, source_targets
@@ -266,6 +266,46 @@ def test_round_robin_carries_deficits():
     assert share["a"] > 2 * share["b"]
 
 
+def test_windows_follow_the_corpus_and_not_the_queues():
+    robin = RoundRobin(100, {"a": 1.0, "b": 1.0, "c": 2.0, None: 0.0}, 0)
+    robin.add(Piece(0, 0, "a", 0, 9000, np.zeros(9000, dtype=np.uint32)))
+    for i in range(10):
+        robin.add(Piece(i, i, "b", 0, 50, np.zeros(50, dtype=np.uint32)))
+    robin.add(Piece(11, 11, None, 0, 30, np.zeros(30, dtype=np.uint32)))
+    per = defaultdict(Counter)
+    for sequence, _, piece in robin.serve(0):
+        per[sequence][piece.source] += len(piece.ids)
+    # Half and half as long as b lasts; what has no weight waits for the others.
+    assert all(abs(sum(per[i]["b"] for i in range(n)) - 50 * n) <= 50 for n in range(1, 10))
+    assert [p.source for p in robin.rest()] == [None] and sum(len(p.ids) for p in robin.rest()) == 30
+    owed = dict(robin.deficits())
+    assert set(owed) == {"a", "b", "c", None} and owed["c"] == 100 * len(per) / 2 and sum(owed.values()) == pytest.approx(0)
+
+
+def test_packing_counts_each_deficit_once(spark, monkeypatch):
+    rng = random.Random(4)
+    docs = spark.createDataFrame([(i, _text(rng, rng.choice([3, 40, 700])), "abc"[i % 3]) for i in range(300)], "doc_id long, text string, source string")
+    monkeypatch.setattr("tallyline.llm.packing.FAN_IN", 2)
+    seen = []
+
+    def watched(df, name):
+        out = materialize(df, name)
+        if "part" in out.columns:
+            seen.append(out.where("sequence_id is null and ids is null").groupBy("part").agg(F.count("*").alias("n"), F.countDistinct("source").alias("s"), F.sum("deficit").alias("d"), F.max(F.abs("deficit")).alias("m")).collect())
+        return out
+
+    monkeypatch.setattr("tallyline.llm.packing.materialize", watched)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        pieces = pack(docs, window=64).toPandas()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert len(seen) >= 2 and len(seen[0]) > 1
+    for r in (r for level in seen for r in level):
+        assert r.n == r.s == 3 and r.d == pytest.approx(0, abs=1e-6)
+    assert pieces["row_id"].nunique() == 300
+
+
 def test_machine_equals_all_pairs():
     rng = np.random.default_rng(0)
     m = Machine(20, 3, 2)

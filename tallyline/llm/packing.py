@@ -158,6 +158,11 @@ def _left(robin: RoundRobin) -> list[tuple]:
     return [_unplaced(p) for p in robin.rest()] + [(-1, 0, s, 0, 0, None, 0, None, None, None, d) for s, d in robin.deficits()]
 
 
+def _narrow(ids: np.ndarray) -> bytes:
+    """Two bytes for each id, or four where one needs more."""
+    return ids.astype("<u2" if ids.max() < 1 << 16 else "<u4").tobytes()
+
+
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     columns = zip(*rows, strict=True) if rows else [()] * len(SCHEMA)
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, SCHEMA.types, strict=True)], schema=SCHEMA)
@@ -183,19 +188,19 @@ def pack(docs: DataFrame, window: int = WINDOW, weights: dict[str | None, float]
             for part in (b.slice(i, 1024) for i in range(0, b.num_rows, 1024)):
                 ids = [np.append(ids_of(t), np.uint32(SEPARATOR)).astype("<u4") for t in part.column("text").to_pylist()]
                 kept = [part.column(c) for c in ("row_id", "doc_id", "source", "spread")]
-                yield pa.RecordBatch.from_arrays([*kept, pa.array([len(i) for i in ids], pa.int64()), pa.array([i.tobytes() for i in ids], pa.binary())], names=["row_id", "doc_id", "source", "spread", "n", "ids"])
+                yield pa.RecordBatch.from_arrays([*kept, pa.array([len(i) for i in ids], pa.int64()), pa.array([_narrow(i) for i in ids], pa.binary())], names=["row_id", "doc_id", "source", "spread", "n", "ids"])
 
     tokens = materialize(rows.withColumn("spread", spread).mapInArrow(encode, "row_id long, doc_id long, source string, spread long, n long, ids binary"), "tokens")
     if weights is None:
         weights = {r["source"]: r["n"] for r in tokens.groupBy("source").agg(F.sum("n").alias("n")).collect()}
-    dealt = tokens.select("row_id", "doc_id", "source", "ids", "spread").repartition("spread").sortWithinPartitions(F.xxhash64("doc_id"), "row_id")
+    dealt = tokens.select("row_id", "doc_id", "source", "n", "ids", "spread").repartition("spread").sortWithinPartitions(F.xxhash64("doc_id"), "row_id")
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         robin = RoundRobin(window, weights, TaskContext.get().partitionId() << 33)
         for b in batches:
             out = []
-            for row_id, doc_id, source, raw in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-                ids = np.frombuffer(raw, dtype="<u4")
+            for row_id, doc_id, source, n, raw in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
+                ids = np.frombuffer(raw, dtype="<u2" if len(raw) == 2 * n else "<u4").astype("<u4")
                 robin.add(Piece(row_id, doc_id, source, 0, len(ids), ids))
                 if robin.held >= HELD_TOKENS:
                     out += [_placed(*x) for x in robin.serve(HELD_TOKENS // 2)]

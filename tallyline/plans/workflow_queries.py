@@ -179,6 +179,17 @@ def search_queries(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "requirements").select("id", start.alias("start"), end.alias("end"), after.alias("after_epoch"), before.alias("before_epoch"), T.vendor_query(after, before, names).alias("vendor_query"), T.keyword_query(after, before).alias("keyword_query"))
 
 
+@query("vendor_searches")
+def vendor_searches(spark: SparkSession, d: str) -> DataFrame:
+    """The searches for all names of a payment's vendors; aliases are known in the workspaces that pay their vendor."""
+    payments, requirements = load(spark, d, "payments"), load(spark, d, "requirements")
+    vendors = payments.select("workspace_id", F.col("supplier").alias("id"), F.col("supplier_name").alias("name"), F.lit(None).cast("string").alias("legal_name")).distinct()
+    aliases = load(spark, d, "aliases").withColumn("alias", F.col("alias_normalized")).join(vendors.select("workspace_id", F.col("id").alias("vendor_id")), "vendor_id")
+    names = T.search_names(requirements, load(spark, d, "transactions"), aliases, vendors)
+    _, _, after, before = T.window(F.col("created_on"))
+    return requirements.select("id", "created_on").join(names, "id").select("id", T.vendor_query(after, before, F.col("names")).alias("vendor_query"))
+
+
 MAILS = r"""
 WITH parts AS (SELECT m.*, CASE WHEN regexp_matches(sender, '^(.*?)<([^>]+)>\s*$') THEN trim(regexp_replace(regexp_extract(sender, '^(.*?)<([^>]+)>\s*$', 1), '["'']', '', 'g')) ELSE '' END AS name,
   CASE WHEN regexp_matches(sender, '^(.*?)<([^>]+)>\s*$') THEN lower(trim(regexp_extract(sender, '^(.*?)<([^>]+)>\s*$', 2))) WHEN contains(sender, '@') THEN lower(trim(sender)) ELSE '' END AS address FROM mails m),

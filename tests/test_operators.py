@@ -210,3 +210,13 @@ def test_walk_with_one_amount_column(spark):
     assert [r.direction for r in signed] == ["DEBIT", "DEBIT", "CREDIT", "CREDIT"]
     shown = walk.lines(walk.walk(frame, _mapping(spark, amount_shape="AMOUNT_WITH_INDICATOR", indicator_column=3, **shape))).orderBy("row_index").collect()
     assert [r.direction for r in shown] == ["DEBIT", "CREDIT", "DEBIT", "CREDIT"]
+
+
+def test_search_names_come_from_aliases_in_descriptions(spark):
+    requirements = spark.createDataFrame([(1, 1, 11, None), (2, 1, 12, " ACME "), (3, 2, 13, "Other"), (4, 1, 14, " "), (5, 3, 15, "x")], "id long, workspace_id long, transaction_id long, vendor_guess string")
+    said = {11: "upi ac me stores 77", 12: "acme zeta", 13: "acme", 14: "nothing", 15: "acme"}
+    transactions = spark.createDataFrame([(i, {13: 2, 15: 3}.get(i, 1), t) for i, t in said.items()], "id long, workspace_id long, description_normalized string")
+    aliases = spark.createDataFrame([(1, 7, "Acme Stores", "acmestores"), (1, 7, "acme", "acme"), (1, 8, "Z", "zeta"), (1, 9, "none", ""), (2, 7, "Two", "two")], "workspace_id long, vendor_id long, alias string, alias_normalized string")
+    vendors = spark.createDataFrame([(7, 1, "Acme", "Acme Ltd"), (8, 1, "Zeta", None), (9, 1, "No", "No"), (7, 2, "Far", "Far")], "id long, workspace_id long, name string, legal_name string")
+    got = {r.id: r.names for r in retrieval.search_names(requirements, transactions, aliases, vendors).collect()}
+    assert got == {1: ["Acme", "Acme Ltd", "Acme Stores"], 2: [" ACME ", "Acme Ltd", "Acme Stores", "Zeta", "Z"], 3: ["Other"], 4: [], 5: ["x"]}

@@ -1,10 +1,12 @@
 """Chat formatting: records of many layouts become turns, and turns become training text.
 
 A record is a JSON object. Its fingerprint is a hash of the sorted paths of its nested
-fields; the fingerprint selects a declarative mapping, a list of steps that say which
-path holds which role's text. No layout is guessed from values. A record whose
-fingerprint is unknown is matched against the mappings' required paths (extra fields
-are common) and the answer is remembered under its fingerprint.
+fields, each with the kinds of what stands there (object, list, text, other); the
+fingerprint selects a declarative mapping, a list of steps that say which path holds
+which role's text. No layout is guessed from values. A fingerprint met for the first
+time is matched against the mappings' required paths and kinds (extra fields are common),
+by what it hashes alone, and the answer is remembered under it: the answer never depends
+on which of the records that share a fingerprint came first.
 
 The template writes a turn as ``<turn:ROLE>`` newline TEXT newline ``</turn>`` newline.
 Inside roles and texts every ``\\`` and ``<`` (in roles also ``>`` and newline) has a
@@ -43,14 +45,24 @@ class Mapping:
     name: str
     steps: tuple[Step, ...]
 
-    def paths(self) -> set[str]:
-        """The paths that a record must have."""
-        out = set()
+    def fits(self, shape: set[str]) -> bool:
+        """Whether a record of this shape (see ``shape``) has what the steps read."""
         for s in self.steps:
-            out |= {f"{s.path}[].{s.role_field}", f"{s.path}[].{s.text_field}"} if s.role_field else {s.path}
-        return out
+            if not s.role_field:
+                if not any(s.path + kind in shape for kind in KINDS):
+                    return False
+            elif f"{s.path}:list" not in shape:
+                return False
+            else:
+                # Elements must be objects, all of them; an empty list is a conversation without turns.
+                elements = [kind for kind in KINDS if f"{s.path}[]{kind}" in shape]
+                if elements and (elements != [":object"] or not all(any(f"{s.path}[].{f}{kind}" in shape for kind in KINDS) for f in (s.role_field, s.text_field))):
+                    return False
+        return True
 
 
+KINDS = (":object", ":list", ":text", ":other")
+
 SPEAKERS = (("human", "user"), ("gpt", "assistant"), ("bot", "assistant"), ("model", "assistant"))
 
 #: In order of preference, should a record fit several.
@@ -71,36 +83,41 @@ MAPPINGS = (
 TURN = re.compile(r"<turn:((?:[^\\<>\n]+|\\.)*)>\n((?:[^\\<]+|\\.)*)\n</turn>\n", re.S)
 
 
-def field_paths(value: object, at: str = "") -> set[str]:
-    """The paths of all fields: ``a.b`` for objects, ``a[].b`` for lists of objects."""
+def shape(record: object) -> set[str]:
+    """The paths of all fields with the kind of what they hold: ``a.b:text`` in objects, ``a[].b:text`` in lists of objects."""
     out: set[str] = set()
-    if isinstance(value, dict):
-        for k, v in value.items():
-            p = f"{at}.{k}" if at else k
-            out |= {p} | field_paths(v, p)
-    elif isinstance(value, list):
-        for v in value:
-            out |= field_paths(v, f"{at}[]")
+    todo = [("", record)]
+    while todo:
+        at, value = todo.pop()
+        if isinstance(value, dict):
+            out.add(f"{at}:object")
+            todo += [(f"{at}.{_segment(k)}" if at else _segment(k), v) for k, v in value.items()]
+        elif isinstance(value, list):
+            out.add(f"{at}:list")
+            todo += [(f"{at}[]", v) for v in value]
+        else:
+            out.add(f"{at}:text" if isinstance(value, str) else f"{at}:other")
     return out
 
 
-def fingerprint(paths: Iterable[str]) -> str:
-    return hashlib.sha256("\n".join(sorted(paths)).encode("utf-8", "surrogatepass")).hexdigest()[:16]
+def _segment(key: str) -> str:
+    """A key that can't be taken for a path."""
+    return re.sub(r"([\\.:\[\n])", lambda m: f"\\{ord(m[1])}", key)
+
+
+def fingerprint(fields: Iterable[str]) -> str:
+    return hashlib.sha256("\n".join(sorted(fields)).encode("utf-8", "surrogatepass")).hexdigest()[:16]
 
 
 def select_mapping(record: object, known: dict[str, Mapping | None]) -> tuple[str, Mapping | None]:
     """The record's fingerprint and mapping; known is what earlier records of the task taught."""
-    paths = field_paths(record)
-    key = fingerprint(paths)
+    fields = shape(record)
+    key = fingerprint(fields)
     if key not in known:
-        known[key] = next((m for m in MAPPINGS if m.paths() <= paths or _empty_list(m, record)), None)
+        known[key] = next((m for m in MAPPINGS if m.fits(fields)), None) if ":object" in fields else None
     return key, known[key]
 
 
-def _empty_list(mapping: Mapping, record: object) -> bool:
-    return isinstance(record, dict) and len(mapping.steps) == 1 and mapping.steps[0].role_field is not None and record.get(mapping.steps[0].path) == []
-
-
 def _at(record: object, path: str) -> object:
     for k in path.split("."):
         record = record.get(k) if isinstance(record, dict) else None
@@ -114,14 +131,14 @@ def _text(value: object) -> str:
 
 
 def to_turns(record: object, mapping: Mapping) -> list[tuple[str, str]]:
-    """Canonical (role, text) turns; null roles and texts are empty."""
+    """Canonical (role, text) turns; null or missing roles and texts are empty, what is neither is written as JSON."""
     turns = []
     for s in mapping.steps:
         value = _at(record, s.path)
         if s.role_field:
-            for x in value or []:
-                role = _text(x.get(s.role_field)) if isinstance(x, dict) else ""
-                turns.append((dict(s.role_names).get(role, role), _text(x.get(s.text_field)) if isinstance(x, dict) else _text(x)))
+            for x in value:
+                role = _text(x.get(s.role_field))
+                turns.append((dict(s.role_names).get(role, role), _text(x.get(s.text_field))))
         else:
             more = _text(_at(record, s.joined_with)) if s.joined_with else ""
             turns.append((s.role, _text(value) + (f"\n\n{more}" if more else "")))
@@ -171,21 +188,31 @@ READ_BACK = "n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256
 def format_records(records: pd.Series) -> pd.DataFrame:
     """JSON records -> training text, loss mask, fingerprint and layout name.
 
-    A record that is null, no JSON, or of a layout without a mapping gives null text,
-    spans and layout.
+    A record that is null, no JSON, nested too deeply for the JSON reader, or of a layout
+    without a mapping gives null text, spans and layout; the first three also a null
+    fingerprint. Halves of surrogate pairs, which no UTF-8 text can hold, become U+FFFD.
     """
     known: dict[str, Mapping | None] = {}
     out = []
     for r in records:
-        try:
-            record = json.loads(r) if r is not None else None
-        except ValueError:
-            record = None
-        key, mapping = select_mapping(record, known) if record is not None else (None, None)
-        out.append((*(format_turns(to_turns(record, mapping)) if mapping else (None, None)), key, mapping and mapping.name))
+        row = (None, None, None, None)
+        if r is not None:
+            try:
+                record = json.loads(r)
+                key, mapping = select_mapping(record, known)
+                row = (*(format_turns([(_whole(a), _whole(b)) for a, b in to_turns(record, mapping)]) if mapping else (None, None)), key, mapping and mapping.name)
+            except (ValueError, RecursionError):
+                pass
+        out.append(row)
     return pd.DataFrame(out, columns=["formatted", "loss_spans", "fingerprint", "layout"])
 
 
+def _whole(text: str) -> str:
+    if text.isascii():
+        return text
+    return text.encode("utf-16-le", "surrogatepass").decode("utf-16-le", "replace")
+
+
 def read_back(formatted: pd.Series, spans: pd.Series) -> pd.DataFrame:
     """What the formatted text and its mask say, for checking the round trip."""
     out = []
@@ -205,7 +232,11 @@ def _sha(text: str) -> str:
 
 
 def turn_records(turns: DataFrame) -> DataFrame:
-    """Rows by turn (conv_id, turn, role, text) -> conv_id and a JSON record of layout "turns".
+    """Rows by turn (conv_id, turn, role, text) -> conv_id and a JSON record, of the layout that the conversation's turns suggest.
+
+    A user's and an assistant's turn make a prompt and a response, with a system's turn
+    before them a system prompt; other conversations of these three roles make lists of
+    messages or of speakers, by a hash of conv_id, and all others a list of turns.
 
     A conversation is one training text, so its turns meet in one row. They are put in
     order of turn (null last), then role and text, so that ties and repeated rows have
@@ -216,9 +247,22 @@ def turn_records(turns: DataFrame) -> DataFrame:
         F.col("turn").isNull().alias("last"), F.col("turn").alias("turn"),
         F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"),
     )
-    ordered = F.array_sort(F.collect_list(turn))
-    listed = F.transform(ordered, lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
-    return turns.groupBy("conv_id").agg(F.to_json(F.struct(listed.alias("turns"))).alias("record"))
+    ordered = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("t"))
+    roles = F.col("t.role")
+    is_ = lambda *names: roles == F.array(*map(F.lit, names))
+    text = lambda i, name: F.element_at("t", i)["text"].alias(name)
+    listed = lambda name, role, said, names: F.to_json(F.struct(F.transform("t", lambda t: F.struct(names(t["role"]).alias(role), t["text"].alias(said))).alias(name)))
+    same = lambda role: role
+    speaker = lambda role: F.when(role == "user", "human").when(role == "assistant", "gpt").otherwise(role)
+    usual = F.forall(roles, lambda r: r.isin("user", "assistant", "system"))
+    record = (
+        F.when(is_("user", "assistant"), F.to_json(F.struct(text(1, "prompt"), text(2, "response"))))
+        .when(is_("system", "user", "assistant"), F.to_json(F.struct(text(1, "system"), text(2, "prompt"), text(3, "response"))))
+        .when(usual & (F.pmod(F.xxhash64("conv_id"), F.lit(2)) == 0), listed("messages", "role", "content", same))
+        .when(usual, listed("conversations", "from", "value", speaker))
+        .otherwise(listed("turns", "role", "text", same))
+    )
+    return ordered.select("conv_id", record.alias("record"))
 
 
 def format_chat(records: DataFrame) -> DataFrame:

@@ -8,12 +8,13 @@ import math
 import re
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tallyline.llm.chat_format import MAPPINGS, escape, format_chat, format_turns, parse_turns, read_back, READ_BACK, turn_records, unescape
+from tallyline.llm.chat_format import MAPPINGS, format_chat, format_records, format_turns, parse_turns, read_back, READ_BACK, turn_records, unescape
 from tallyline.llm.html_extract import blocks, extract, page_features, parse
 from tallyline.llm.ngram_trie import EliasFano, Levels, Trie, STEP
 from tallyline.llm.url_filter import CONTRACT_RULES, DEFAULT_PATTERNS, Rule, filter_urls
@@ -90,7 +91,8 @@ def test_turns_round_trip(turns):
     assert parse_turns(formatted) == turns
     lost = [unescape(formatted[a:b]) for a, b in zip(spans[::2], spans[1::2])]
     assert lost == [t for r, t in turns if r == "assistant"]
-    assert formatted.count("</turn>") == len(turns) + sum(0 for _ in turns) or any("\\" in escape(t) for _, t in turns)
+    # Without the escapes' second characters, markers stand where turns end and nowhere else.
+    assert re.sub(r"\\.", "", formatted, flags=re.S).count("</turn>") == len(turns)
 
 
 def test_layouts_and_bad_records(spark):
@@ -112,6 +114,37 @@ def test_layouts_and_bad_records(spark):
     assert got["messages"].fingerprint != got["conversations"].fingerprint and len({m.name for m in MAPPINGS}) == len(MAPPINGS)
 
 
+json_values = st.recursive(
+    st.none() | st.booleans() | st.integers() | st.floats() | st.text(max_size=4),
+    lambda inner: st.lists(inner, max_size=3) | st.dictionaries(st.sampled_from(["messages", "turns", "conversations", "role", "content", "text", "from", "value", "prompt", "response", "data", "a.b"]), inner, max_size=4),
+    max_leaves=8,
+)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(json_values, max_size=6), st.randoms(use_true_random=False))
+def test_any_record_in_any_order(values, rng):
+    records = [json.dumps(v) for v in values] + ['{"messages": []}', '{"messages": 5}', '{"messages": "hey"}', '{"messages": ["a"]}', '{"messages": {"role": "user"}}', "[" * 100_000, '{"prompt": "\\ud800", "response": "\\ud83d\\ude00"}']
+    alone = {r: format_records(pd.Series([r])).iloc[0].tolist() for r in records}
+    rng.shuffle(records)
+    together = format_records(pd.Series(records))
+    assert [x.tolist() for _, x in together.iterrows()] == [alone[r] for r in records]
+    assert alone['{"messages": []}'][0] == "" and alone["[" * 100_000] == [None] * 4
+    assert all(alone[r][0] is None for r in ('{"messages": 5}', '{"messages": "hey"}', '{"messages": ["a"]}', '{"messages": {"role": "user"}}'))
+    assert parse_turns(alone[[r for r in alone if "ud800" in r][0]][0]) == [("user", "\ufffd"), ("assistant", "\U0001f600")]
+    for text in together["formatted"].dropna():
+        parse_turns(text)
+
+
+def test_conversations_take_several_layouts(spark):
+    roles = [["user", "assistant"], ["system", "user", "assistant"], ["user", "assistant", "user"], ["user"], ["assistant", "human"], ["gpt", "user"], ["system", "system"]]
+    rows = [(c, t, r, f"{c}-{t} <") for c in range(40) for t, r in enumerate(roles[c % len(roles)])]
+    got = format_chat(turn_records(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect()
+    assert {r.layout for r in got} == {"prompt response", "system prompt", "messages", "conversations", "turns"}
+    for r in got:
+        assert parse_turns(r.formatted) == [(role, text) for c, _, role, text in rows if c == r.conv_id]
+
+
 def test_turn_tables(spark):
     rows = [(1, 1, "assistant", "</turn> \\<turn:user>"), (1, 0, "user", None), (1, 1, "assistant", "</turn> \\<turn:user>"), (1, None, None, "last"), (2, 0, "assistant", ""), (None, 0, "user", "n"), (3, 5, "assistant", "x" * 100000)]
     done = format_chat(turn_records(spark.createDataFrame([(*r, "z") for r in rows], "conv_id long, turn long, role string, text string, record string")))

@@ -36,11 +36,46 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet into the shared folder and reads it back.
 
     Cuts the lineage: a lost executor costs a re-read and no recomputation, and rows,
-    row ids included, stay as they were written.
+    row ids included, stay as they were written. The table stays until ``release``.
     """
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+#: What materialize wrote, by application.
+_written: dict[str, list[str]] = {}
+
+
+def mark(spark: SparkSession) -> int:
+    """How many tables materialize has written so far, for release."""
+    return len(_written.get(spark.sparkContext.applicationId, []))
+
+
+def release(spark: SparkSession, since: int = 0, until: int | None = None) -> None:
+    """Deletes the tables that this application's operators wrote between two marks.
+
+    DataFrames that the operators returned read those tables: release them when the rows
+    have been written or fetched, not before.
+    """
+    paths = _written.get(spark.sparkContext.applicationId, [])
+    for path in paths[since:until]:
+        if path:
+            file = spark._jvm.org.apache.hadoop.fs.Path(path)
+            file.getFileSystem(spark._jsc.hadoopConfiguration()).delete(file, True)
+    paths[since:until] = [""] * len(paths[since:until])  # marks keep their meaning
+
+
+def numbered(docs: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """docs, written once with a column that numbers its rows, and that column's name.
+
+    A table that is computed anew may number its rows differently, so what is decided by
+    row number is joined to the rows that were written with it.
+    """
+    row = unused("row", docs.columns)
+    return materialize(docs.withColumn(row, F.monotonically_increasing_id()), name), row
 
 
 def ascii_lower(text: Column) -> Column:
@@ -58,6 +93,11 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
 
 
+def quoted(columns: list[str]) -> list[Column]:
+    """Columns by their whole names, dots and backticks included."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in columns]
+
+
 def unused(name: str, columns: list[str]) -> str:
     """name, or a longer one that none of the columns has (Spark ignores case)."""
     taken = {c.lower() for c in columns}

@@ -14,17 +14,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE_PATTERN, materialize, table, unused
+from .common import SPACE_PATTERN, materialize, numbered, quoted, table
 
 FAN_IN = 8
 
 
-def digests(docs: DataFrame) -> DataFrame:
-    """A narrow row for each document: row id, doc_id, digest, lengths."""
+def digests(docs: DataFrame, row: str | None = None) -> DataFrame:
+    """A narrow row for each document: row id (docs' column ``row``, else the order of reading), doc_id, digest, lengths."""
     text = F.coalesce(F.col("text"), F.lit(""))
     normal = F.regexp_replace(text, SPACE_PATTERN, "")
     return docs.select(
-        F.monotonically_increasing_id().alias("row_id"),
+        (F.col(row) if row else F.monotonically_increasing_id()).alias("row_id"),
         F.col("doc_id"),
         F.unhex(F.sha2(normal.cast("binary"), 256)).alias("digest"),
         F.length(normal).alias("normal_chars"),
@@ -62,16 +62,17 @@ def merge_runs(rows: DataFrame, fan_in: int = FAN_IN) -> DataFrame:
             return level.drop("run")
 
 
-def exact_dedup(docs: DataFrame, fan_in: int = FAN_IN) -> DataFrame:
+def exact_dedup(docs: DataFrame, fan_in: int = FAN_IN, row: str | None = None) -> DataFrame:
     """One row per row of docs: row_id, doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when they are identical after deleting U+0020 and U+0009-U+000D; a
     null text counts as empty. The row with the most code points in the original text
-    stays, then the one with the smallest doc_id (null last), then the first read, so of
-    rows that repeat an id exactly one stays. An empty table gives an empty result; other
+    stays, then the one with the smallest doc_id (null last), then the smallest row_id, which
+    is docs' column ``row`` or the order of reading, so of rows that repeat an id exactly one
+    stays. An empty table gives an empty result; other
     columns are ignored.
     """
-    rows = materialize(digests(docs), "digests")
+    rows = materialize(digests(docs, row), "digests")
     best = merge_runs(rows, fan_in)
     return rows.join(best, ["digest", "normal_chars"]).select(
         "row_id",
@@ -101,8 +102,7 @@ SELECT doc_id, keep_id, CAST(group_size AS BIGINT) AS group_size, place = 1 AS k
 
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that stay, with the columns they came with."""
-    row = unused("row", docs.columns)
-    rows = docs.withColumn(row, F.monotonically_increasing_id())
-    kept = exact_dedup(docs).where("kept").select(F.col("row_id").alias(row))
-    return rows.join(kept, row, "left_semi").select(*docs.columns)
+    """The documents that stay, with the columns they came with; docs need not be stored."""
+    rows, row = numbered(docs, "dedup-rows")
+    kept = exact_dedup(rows, row=row).where("kept").select(F.col("row_id").alias(row))
+    return rows.join(kept, row, "left_semi").select(*quoted(docs.columns))

@@ -8,8 +8,9 @@ reruns agree and every fraction keeps its expectation. What is left of one meeti
 to the next. Meetings are held in blocks of documents of one source and of nearly the
 same length, so mass moves between like amounts of words, and the one fraction each
 block leaves goes up a tree: sixteen blocks meet in one, until a source has one left.
-Blocks come from a hash of the id and the number of documents, never from the order or
-the placement of rows.
+Blocks come from a hash of the id, the text and the number of documents, never from the
+order or the placement of rows. Rows that agree in id and text are told apart by their
+number among their like, so that however many repeat an id they spread over all blocks.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, table, unused, word_count
+from .common import materialize, numbered, quoted, table, unused, word_count
 
 WEIGHTS = (5, 2, 1)
 TOTAL_SHARE = 1.5
@@ -118,24 +119,43 @@ def copies(units: DataFrame, seed: int = 0) -> DataFrame:
     return units.select("row_id", "whole").join(rounded, "row_id", "left").select("row_id", (F.col("whole") + F.coalesce("extra", F.lit(0))).cast("int").alias("copies"))
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = TOTAL_SHARE, most: float = MAX_COPIES, seed: int = 0) -> DataFrame:
+#: Numbering of like rows is dealt to so many parts of each group.
+SALTS = 64
+
+
+def _nth(rows: DataFrame) -> DataFrame:
+    """rows (same, row_id, ...) with n, a row's number among those of equal ``same``.
+
+    Which of them gets which number is open. A group is numbered in SALTS parts, each from
+    where the parts before it end, so a group with a third of all rows is no single task.
+    """
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("row_id"), F.lit(SALTS)).cast("int"))
+    parts = salted.groupBy("same", "salt").agg(F.count("*").alias("c"))
+    before = Window.partitionBy("same").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
+    starts = parts.select("same", "salt", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("start"))
+    own = F.row_number().over(Window.partitionBy("same", "salt").orderBy("row_id"))
+    return salted.withColumn("n", own).join(starts, ["same", "salt"]).withColumn("n", F.col("n") + F.col("start")).drop("salt", "start")
+
+
+def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = TOTAL_SHARE, most: float = MAX_COPIES, seed: int = 0, row: str | None = None) -> DataFrame:
     """row_id, doc_id, source, size, source_size, target, copies, taken: one row per row of docs.
 
     size counts the words of the whole text, 0 for null. Sources are weighed in code
     point order, the null source last. taken = copies * size, at most ceil(target /
     source_size) times the size. A document of size 0, or a source of size 0, takes
     nothing; an empty table gives an empty result. Repeated rows are documents of their
-    own. row_id numbers the rows of docs as they were read.
+    own. row_id is docs' column ``row``, or numbers its rows as they were read.
     """
-    sizes = docs.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", "source", word_count(F.col("text")).alias("size"))
+    row_id = F.col(row) if row else F.monotonically_increasing_id()
+    sizes = docs.select(row_id.alias("row_id"), "doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("doc_id", "text").alias("same"))
     sizes = materialize(sizes, "mixing-sizes")
     targets = source_targets(sizes, weights, share, most)
     same = F.expr("s.source <=> t.source")
     rows = sizes.alias("s").join(targets.alias("t"), same).select("s.*", "source_size", "target")
     expected = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))).otherwise(0.0)
-    rows = materialize(rows.withColumn("expected", F.when(F.col("size") > 0, expected).otherwise(0.0)), "mixing-rows")
-    units = rows.select("source", "row_id", F.xxhash64("doc_id").alias("key"), "size", "expected")
-    return rows.drop("expected").join(copies(units, seed), "row_id").withColumn("taken", F.col("copies") * F.col("size"))
+    rows = materialize(_nth(rows.withColumn("expected", F.when(F.col("size") > 0, expected).otherwise(0.0))), "mixing-rows")
+    units = rows.select("source", "row_id", F.xxhash64("same", "n").alias("key"), "size", "expected")
+    return rows.drop("expected", "same", "n").join(copies(units, seed), "row_id").withColumn("taken", F.col("copies") * F.col("size"))
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,8 +164,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it, with the columns it came with."""
-    row, times = unused("row", docs.columns), unused("copies", docs.columns)
-    counts = mix(docs).where("copies > 0").select(F.col("row_id").alias(row), F.col("copies").alias(times))
-    rows = docs.withColumn(row, F.monotonically_increasing_id()).join(counts, row)
-    return rows.withColumn(times, F.explode(F.sequence(F.lit(1), times))).select(*docs.columns)
+    """Each document as often as the mix takes it, with the columns it came with; docs need not be stored."""
+    rows, row = numbered(docs, "mixing-docs")
+    times = unused("copies", rows.columns)
+    counts = mix(rows, row=row).where("copies > 0").select(F.col("row_id").alias(row), F.col("copies").alias(times))
+    return rows.join(counts, row).withColumn(times, F.explode(F.sequence(F.lit(1), times))).select(*quoted(docs.columns))

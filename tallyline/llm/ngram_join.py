@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table, unused
+from .common import materialize, numbered, quoted, table
 from .components import components
 from .hashing import WordHasher, mix
 
@@ -43,8 +43,8 @@ SKETCH_BITS, SKETCH_PARTS = 20, 64
 FILTER_BITS = 23
 #: Signatures that a task sorts at a time.
 FLUSH = 500_000
-#: Shingles of a chunk of a block.
-CHUNK_WEIGHT = 400_000
+#: Shingles and sets of a chunk of a block.
+CHUNK_WEIGHT, CHUNK_SETS = 400_000, 4096
 MU = 0.0085  # DivideSkip's constant for the number of long lists
 
 class Shingler:
@@ -417,7 +417,7 @@ def ngram_join(docs: DataFrame, width: int = 3, p: int = 9, q: int = 10, row: st
     # Eight bytes of the key are enough where sets only meet; what links is told by all of it.
     blocks = components(_sharing(docs, width, _sketch(base), p, q))
     members = blocks.select(F.col("node").alias("short"), F.col("root").alias("block")).join(sets.withColumn("doc_id", F.col("first.doc_id")).drop("first"), "short").drop("short")
-    weights = members.groupBy("block").agg(F.ceil(F.sum("n") / CHUNK_WEIGHT).cast("int").alias("chunks"))
+    weights = members.groupBy("block").agg(F.ceil(F.greatest(F.sum("n") / CHUNK_WEIGHT, F.count("*") / CHUNK_SETS)).cast("int").alias("chunks"))
     members = materialize(members.join(weights, "block"), "shingle-blocks")
     filled = _with_shingles(docs, members, width).withColumn("chunk", F.pmod(F.xxhash64("key"), F.col("chunks")).cast("int"))
     met_with = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("with")
@@ -478,8 +478,6 @@ def ngram_join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     with the smallest id stays (null last), of several the first read; rows are told apart
     by their place, so ids may be null or repeat. Rows without words all stay.
     """
-    row = unused("row", docs.columns)
-    # Written once: a table that is computed anew may number its rows differently.
-    rows = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "near-rows")
+    rows, row = numbered(docs, "near-rows")
     kept = ngram_join(rows, width=5, p=4, q=5, row=row).where("kept").select(F.col("row_id").alias(row))
-    return rows.join(kept, row, "left_semi").select(*docs.columns)
+    return rows.join(kept, row, "left_semi").select(*quoted(docs.columns))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import doc_crc, table, unused
+from .common import doc_crc, quoted, table, unused
 
 SAMPLE, BUCKETS, FACTORS, EPOCHS = 6000, 1 << 14, 8, 12
 THRESHOLD = 0.7
@@ -170,22 +170,21 @@ def fit_quality(docs: DataFrame, labels: DataFrame, metadata: tuple[str, ...] =
 
     labels: doc_id, label (0 or 1; others and null ids are left out; of several for an id
     the smallest counts). Without any labelled document every score is 0.5; labels of one
-    class only give a constant score on that class's side.
+    class only give a constant score on that class's side. Other columns of docs, one named
+    label too, are ignored.
     """
     spark = docs.sparkSession
     known = labels.where("doc_id is not null and label in (0, 1)").groupBy("doc_id").agg(F.min("label").alias("label"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()
     machine = Machine(buckets, factors, len(STATISTICS) + len(metadata))
     if not chosen:
+        machine.slope = 0.0
         return machine
     few = spark.createDataFrame([(r["doc_id"], int(r["label"])) for r in chosen], "doc_id long, label int")
-    rows = _feature_rows(docs.join(F.broadcast(few), "doc_id"), ["doc_id", "label"], metadata, buckets)
-    # An id may be on several rows: the texts' order decides nothing, the first per id by content stays.
-    got = {}
-    for r in rows.toLocalIterator():
-        key, value = r["doc_id"], (bytes(r["dense"]), bytes(r["at"]), bytes(r["value"]), r["label"])
-        got[key] = min(got.get(key, value), value)
-    data = [got[k] for k in sorted(got)]
+    rows = _feature_rows(docs.select("doc_id", "text", *metadata).join(F.broadcast(few), "doc_id"), ["doc_id", "label"], metadata, buckets)
+    # An id may be on any number of rows: the first by content stays, so no more than ``sample`` rows reach the driver.
+    one = rows.groupBy("doc_id").agg(F.min(F.struct("dense", "at", "value", "label")).alias("r")).orderBy("doc_id").select("r.*")
+    data = [(bytes(r["dense"]), bytes(r["at"]), bytes(r["value"]), r["label"]) for r in one.collect()]
     y = np.array([d[3] for d in data], dtype=np.float64)
     if len(set(y)) < 2:
         machine.slope, machine.shift = 0.0, 3.0 if len(y) and y[0] else -3.0 if len(y) else 0.0
@@ -204,20 +203,20 @@ def _calibrate(machine: Machine, rows: list, labels: np.ndarray) -> None:
     machine.shift = math.log(THRESHOLD / (1 - THRESHOLD)) - (low + high) / 2
 
 
-def score_quality(docs: DataFrame, machine: Machine, columns: list[str], metadata: tuple[str, ...] = ()) -> DataFrame:
-    """The columns of docs asked for, with score: double in 0 to 1.
+def score_quality(docs: DataFrame, machine: Machine, columns: list[str], metadata: tuple[str, ...] = (), score: str = "score") -> DataFrame:
+    """The columns of docs asked for, with a last one named by ``score``: double in 0 to 1.
 
     Null texts count as empty; they, and texts without words, get the score of their
     structure alone. Null metadata counts as 0. Rows are scored one by one, so repeated
     rows score alike, and an empty table gives an empty result. Columns of docs named
-    like the score are replaced.
+    like the score, in whatever case, are left out.
     """
     sent = docs.sparkSession.sparkContext.broadcast(machine)
-    columns = [c for c in columns if c != "score"]
-    source = docs.select(*columns, F.col("text"), *metadata)
+    columns = [c for c in columns if c.lower() != score.lower()]
+    source = docs.select(*quoted(columns), F.col("text"), *metadata)
     # Columns go by place: kept ones first, then the text and the metadata.
     names = [f"c{i}" for i in range(len(source.columns))]
-    kept = docs.select(*columns).schema
+    kept = docs.select(*quoted(columns)).schema
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
@@ -227,10 +226,10 @@ def score_quality(docs: DataFrame, machine: Machine, columns: list[str], metadat
                 out = [features.one(t) for t in b.column(len(columns)).to_pylist()]
                 more = _metadata(b, tuple(names[len(columns) + 1 :]))
                 dense = np.array([np.append(d, m) for (_, _, d), m in zip(out, more, strict=True)])
-                score = model.score(*model.join([a for a, _, _ in out], [v for _, v, _ in out], dense))
-                yield pa.RecordBatch.from_arrays([*b.columns[: len(columns)], pa.array(score)], names=[*columns, "score"])
+                scores = model.score(*model.join([a for a, _, _ in out], [v for _, v, _ in out], dense))
+                yield pa.RecordBatch.from_arrays([*b.columns[: len(columns)], pa.array(scores)], names=[*columns, score])
 
-    return source.toDF(*names).mapInArrow(rows, kept.add("score", "double"))
+    return source.toDF(*names).mapInArrow(rows, kept.add(score, "double"))
 
 
 METADATA = ("n_chars",)
@@ -253,7 +252,6 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the classifier doesn't reject, with the columns they came with."""
-    own = unused("score_of_docs", docs.columns)
-    renamed = docs.withColumnRenamed("score", own)
-    scored = score_quality(renamed, _trained(spark, sf_dir), renamed.columns, METADATA)
-    return scored.where(~rejected(F.col("score"))).drop("score").withColumnRenamed(own, "score")
+    score = unused("score", docs.columns)
+    scored = score_quality(docs, _trained(spark, sf_dir), docs.columns, METADATA, score)
+    return scored.where(~rejected(F.col(score))).select(*quoted(docs.columns))

@@ -3,8 +3,10 @@
 A rule is a regular expression with the literal tokens (runs of a-z and 0-9) that every
 URL it fits must hold as whole tokens. The corpus says how often each of those tokens
 occurs; a rule is filed under its rarest one. A URL looks up its own tokens, and only
-the rules filed there run. The index is a literal array of buckets, so a lookup costs
-the same however many rules there are, no URL is shuffled and no host can be skewed.
+the rules filed there run. Up to ``LITERAL_RULES`` rules the index is a literal array of
+buckets inside the plan: a lookup costs the same however many rules there are, no URL is
+shuffled and no host can be skewed. More rules are a table, and the lookup is a join of
+the URLs' tokens with the rules' rarest ones; both ways give the same rows.
 """
 
 from __future__ import annotations
@@ -16,11 +18,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, table, unused
+from .common import ascii_lower, materialize, numbered, quoted, table, unused
 
 BUCKETS = 1024
-#: Rules travel inside the plan; larger rule sets are refused rather than sent everywhere.
-MAX_RULES = 20_000
+#: So many rules travel inside the plan; larger sets are joined.
+LITERAL_RULES = 20_000
 
 
 @dataclass(frozen=True)
@@ -133,11 +135,10 @@ def filter_urls(urls: DataFrame, rules: tuple[Rule, ...], otherwise: str = "allo
 
     The rule with the greatest weight decides; rule is null where only a pattern or none
     fitted. Null URLs and such without ``://`` have an empty host and path, fit no listed
-    rule and get ``otherwise``. Rows keep their number and order; repeated rows get equal
-    verdicts.
+    rule and get ``otherwise``. Rows keep their number; repeated rows get equal verdicts.
     """
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} rules")
+    if len(rules) > LITERAL_RULES:
+        return _filter_by_join(urls, rules, otherwise)
     counts = token_counts(urls, rules) if counts is None else counts
     buckets, anywhere = _index(rules, counts)
     entry_type = "array<struct<token:string,pattern:string,weight:int,rule:string,verdict:string>>"
@@ -164,6 +165,28 @@ def filter_urls(urls: DataFrame, rules: tuple[Rule, ...], otherwise: str = "allo
     return out.withColumns({"rule": F.col(best)["rule"], "verdict": F.coalesce(F.col(best)["verdict"], F.lit(otherwise))}).drop(best)
 
 
+def _filter_by_join(urls: DataFrame, rules: tuple[Rule, ...], otherwise: str) -> DataFrame:
+    """filter_urls for any number of rules; urls are written once, with row numbers."""
+    host, path = split_url(F.col("url"))
+    rows, row = numbered(urls, "url-rows")
+    rows = rows.withColumns({"host": host, "path": path})
+    tokens = rows.select(F.col(row).alias("row"), F.concat_ws("\n", "host", "path").alias("subject"), F.explode(_url_tokens(F.col("host"), F.col("path"))).alias("token"))
+    listed = [(i, list(r.tokens), r.pattern, r.weight, r.name if r.weight else None, r.verdict) for i, r in enumerate(rules)]
+    table_ = materialize(urls.sparkSession.createDataFrame(listed, "id long, tokens array<string>, pattern string, weight int, rule string, verdict string"), "url-rules")
+    own = table_.select("id", F.explode("tokens").alias("token"))
+    counts = tokens.join(own.select("token").distinct(), "token", "left_semi").groupBy("token").count()
+    rarest = own.join(counts, "token", "left").groupBy("id").agg(F.min(F.struct(F.coalesce("count", F.lit(0)).alias("n"), "token"))["token"].alias("token"))
+    # Rules without a literal token have nothing to be found by: every URL runs them, and they travel in the plan.
+    anywhere = F.array(*[_entry("", r) for r in rules if not r.tokens])
+    everywhere = rows.select(F.col(row).alias("row"), F.concat_ws("\n", "host", "path").alias("subject"), F.explode(anywhere).alias("e")).select("row", "subject", "e.pattern", "e.weight", "e.rule", "e.verdict") if any(not r.tokens for r in rules) else None
+    found = tokens.join(table_.join(rarest, "id"), "token").select("row", "subject", "pattern", "weight", "rule", "verdict")
+    found = found if everywhere is None else found.unionByName(everywhere)
+    best = found.where(F.rlike(F.col("subject"), F.col("pattern"))).groupBy("row").agg(F.min(F.struct((-F.col("weight")).alias("less"), "rule", "verdict")).alias("best"))
+    out = rows.join(best.withColumnsRenamed({"row": row, "best": unused("best", rows.columns)}), row, "left")
+    chosen = F.col(unused("best", rows.columns))
+    return out.withColumns({"rule": chosen["rule"], "verdict": F.coalesce(chosen["verdict"], F.lit(otherwise))}).select(*quoted([*[c for c in urls.columns if c.lower() not in ("host", "path", "rule", "verdict")], "host", "path", "rule", "verdict"]))
+
+
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return filter_urls(pages, CONTRACT_RULES + DEFAULT_PATTERNS).select("page_id", "host", "path", "rule", "verdict")

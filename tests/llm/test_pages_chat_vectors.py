@@ -50,6 +50,18 @@ def test_url_rules(spark):
     assert [r.verdict for r in filter_urls(urls, anywhere).orderBy("page_id").collect()][3:5] == ["block", "block"]
 
 
+def test_more_rules_than_travel_in_the_plan(spark, monkeypatch):
+    urls = spark.createDataFrame([(i, u, "h", "b", i) for i, u in enumerate([*URLS, *URLS[:5]])], "page_id long, url string, host string, best string, row int")
+    rules = CONTRACT_RULES + DEFAULT_PATTERNS + (Rule("any", "block", r"\d\d", (), 5),)
+    columns = ["page_id", "row", "host", "path", "rule", "verdict"]
+    few = [tuple(r) for r in filter_urls(urls, rules).select(*columns).orderBy("page_id").collect()]
+    monkeypatch.setattr("tallyline.llm.url_filter.LITERAL_RULES", 3)
+    many = filter_urls(urls, rules)
+    assert set(many.columns) == set(urls.columns) | {"path", "rule", "verdict"}
+    assert [tuple(r) for r in many.select(*columns).orderBy("page_id").collect()] == few
+    assert [tuple(r) for r in filter_urls(urls, rules[:-1]).select(*columns).orderBy("page_id").collect()][:5] == few[:5]
+
+
 PAGE = '<!DOCTYPE html><html><head><title>t</title><style>p{{}}</style><script>var a="<p>no</p>";</script></head><body><nav><ul><li><a href=x>Home {i}</a></ul></nav><div class="ad">Buy {i}</div><article><h1>T{i}</h1><p><b>One &amp; two&nbsp;{i}<br>three<p>Four\n\n five</p><div>Read our other stories</div><section class="comments"><p>me first</p></section></article><footer>&copy; x</footer>'
 
 

@@ -2,22 +2,35 @@
 
 Pages of one host are merged into a style tree: an element node for every path of tags
 and classes, with the pages that have it, the child sequences (styles) it has there and
-the texts it holds there. The importance of an element is the entropy of its styles and
-texts over the host's pages, on a scale where 1 means that every page differs and 0
-that all agree; an inner element averages its own and its children's. Branches of low
-importance are what a site repeats: they are removed from each page.
-
-Entropy alone can't tell a menu that changes from page to page from an article, nor
-judge a host of few pages. So an element's kind comes first: elements that never hold an
-article's text (menus, headers, footers, sidebars, forms, adverts, notices, comments,
-scripts ...) go by tag, role or class, and where a page marks its article, the text
+the texts it holds there. Over the m pages that have an element,
+
+    presentation   the entropy of its styles: 1 where every page differs, 0 where all agree
+    content        1 less the mean, over the texts in it, of the entropy of the pages that a
+                   text is spread over: 0 where every page says the same, 1 where none does
+    importance     1 - (1 - the greater of the two) (1 - 1 / m): one page says nothing of
+                   what repeats, and the more pages do, the surer
+
+with entropies relative to log m. The composite importance of an element without inner
+elements is its own; one with l styles has
+
+    (1 - 0.9^l) own + 0.9^l (mean of its children's, by the pages that have them)
+
+An element is noise, and goes from each page, if its composite importance and those of
+all below it are low: that is what a site repeats.
+
+Entropy alone can't tell a menu that changes from page to page from an article. So there
+is a prior, by an element's kind: what never holds an article's text (menus, headers,
+footers, sidebars, forms, adverts, notices, comments, scripts ...), by tag, role or class,
+has importance 0 whatever its entropy, and where a page marks its article, the text
 directly in it stays, however often the site repeats it. A class or id counts by its head
 word (``cookie-notice`` is a notice, ``search-results`` are results, ``has-sidebar`` says
 nothing of its element), and an element that holds the article never goes by its name.
 
 The tree is never built in one place. A page's nodes become rows of (host, path, hash),
-counted by shuffled aggregation; a host with a third of all pages is as many counters as
-any other. Exact copies of a page count once.
+counted by shuffled aggregation, and the recursion over a branch is a sum over its paths:
+a path's weight in an ancestor's composite importance is the product of the factors on
+the way. A host with a third of all pages is as many counters as any other. Exact copies
+of a page count once.
 """
 
 from __future__ import annotations
@@ -35,8 +48,12 @@ from pyspark.sql import functions as F
 
 from .common import ascii_lower, materialize, table
 
-#: Elements below this importance are removed, on hosts of MIN_PAGES different pages or more.
-THRESHOLD, MIN_PAGES = 0.2, 5
+#: Elements below this importance are removed. What every page of a host repeats falls below it from five pages on.
+THRESHOLD = 0.25
+#: The attenuation of children by the styles of their parent.
+GAMMA = 0.9
+#: Hosts with one page of so many are spread over SALTS parts where pages meet their host's noise.
+HEAVY_HOSTS, SALTS = 512, 256
 #: The style tree has so many levels: elements below share the path of the one above them there. Pages have any depth.
 PATH_DEPTH = 300
 
@@ -91,10 +108,23 @@ class Node:
         self.inner = parent is not None and (parent.inner or parent.kind == "article")  # stands in an article
         self.holds = False  # an article stands in it
         self.depth = parent.depth + 1 if parent else 0
-        self.path = name if not parent else f"{parent.path}>{name}" if self.depth <= PATH_DEPTH else parent.path
+        self.path = 0 if not parent else _path(parent.path, name) if self.depth <= PATH_DEPTH else parent.path
         self.children: list[Node | str] = []
 
 
+_paths: dict[tuple[int, str], int] = {}
+
+
+def _path(parent: int, name: str) -> int:
+    """The 64-bit name of a path of tags and classes."""
+    path = _paths.get((parent, name))
+    if path is None:
+        if len(_paths) > 200_000:
+            _paths.clear()
+        path = _paths[parent, name] = _hash(f"{parent}>{name}")
+    return path
+
+
 def _kind(tag: str, attributes: str) -> tuple[str, str]:
     """How an element counts (never, article or plain), and its name in paths: the tag with its classes."""
     found = {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTR.finditer(attributes)} if attributes else {}
@@ -240,8 +270,8 @@ def _own_text(node: Node) -> str:
     return _SPACES.sub(" ", "".join(parts)).strip()
 
 
-def blocks(top: Node, removed: frozenset[str] | set[str]) -> list[str]:
-    """The page's text blocks in order. removed: the host's unimportant paths."""
+def blocks(top: Node, removed: frozenset[int] | set[int]) -> list[str]:
+    """The page's text blocks in order. removed: the host's noise."""
     roots = [n for n in _elements(top) if n.kind == "article" and not n.inner]
     out: list[str] = []
     run: list[str] = []
@@ -298,78 +328,105 @@ def _hash(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-def page_features(top: Node) -> list[tuple[str, str | None, int, int]]:
-    """(path, parent path, style hash, text hash) of the page's block elements: what the tree counts, once per path."""
-    gathered: dict[str, tuple[str | None, list[str], list[str]]] = {}
+def page_features(top: Node) -> list[tuple[int, tuple[int, ...], int, list[int]]]:
+    """(path, the paths from the top to it, style hash, hashes of the texts) of the page's block elements, once per path."""
+    lines: dict[int, tuple[int, ...]] = {id(top): ()}
+    gathered: dict[int, tuple[tuple[int, ...], list[str], set[int]]] = {}
     for n in _elements(top):
+        line = lines[id(n.parent)]
         if n.tag in BLOCK and n.kind != "never":
-            parent, styles, texts = gathered.setdefault(n.path, (n.parent.path if n.parent and n.parent.parent else None, [], []))
+            if not line or line[-1] != n.path:
+                line = (*line, n.path)
+            _, styles, texts = gathered.setdefault(n.path, (line, [], set()))
             styles.append(",".join(c.name for c in n.children if not isinstance(c, str)))
-            texts.append(_own_text(n))
-    return [(path, parent, _hash("\n".join(styles)), _hash("\n".join(texts)) if any(texts) else 0) for path, (parent, styles, texts) in gathered.items()]
+            text = _own_text(n)
+            if text:
+                texts.add(_hash(text))
+        lines[id(n)] = line
+    return [(path, line, _hash("\n".join(styles)), sorted(texts)) for path, (line, styles, texts) in gathered.items()]
 
 
-FEATURES = "host string, page long, path string, parent string, style long, content long"
+FEATURES = "host string, page long, path long, line array<long>, style long, content long"
+_FEATURES = pa.schema([("host", pa.string()), ("page", pa.int64()), ("path", pa.int64()), ("line", pa.list_(pa.int64())), ("style", pa.int64()), ("content", pa.int64())])
 
 
 def _features(pages: DataFrame) -> DataFrame:
+    """For each page and path a row with the line and the style, and one for each text there."""
+
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
             for host, source in zip(b.column("host").to_pylist(), b.column("html").to_pylist(), strict=True):
                 found = page_features(parse(source or ""))
                 page = _hash(repr(found))
-                rows += [(host, page, *f) for f in found]
+                for path, line, style, texts in found:
+                    rows.append((host, page, path, line, style, None))
+                    rows += [(host, page, path, None, None, t) for t in texts]
             columns = list(zip(*rows, strict=True)) if rows else [()] * 6
-            types = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=[c.split()[0] for c in FEATURES.split(", ")])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _FEATURES.types, strict=True)], schema=_FEATURES)
 
     return pages.select("host", "html").mapInArrow(make, FEATURES)
 
 
 def importance(features: DataFrame) -> DataFrame:
-    """features -> host, path, parent, pages, own: each element's importance by itself.
-
-    The greater of its styles' and its texts' entropy over the host's different pages,
-    relative to the log of their number; 1 where there is one page.
-    """
+    """features -> host, path, line, parent, pages, styles, own: each element's importance by itself."""
     seen = features.distinct()
-
-    def entropy(column: str) -> DataFrame:
-        counts = seen.groupBy("host", "path", column).agg(F.count("*").alias("c"))
-        n = F.sum("c")
-        h = F.log(n) - F.sum(F.col("c") * F.log("c")) / n
-        return counts.groupBy("host", "path").agg(n.alias("pages"), F.when(n > 1, h / F.log(n)).otherwise(1.0).alias(f"by_{column}"))
-
-    parents = seen.groupBy("host", "path").agg(F.min("parent").alias("parent"))
-    return parents.join(entropy("style"), ["host", "path"]).join(entropy("content").drop("pages"), ["host", "path"]).select("host", "path", "parent", "pages", F.greatest("by_style", "by_content").alias("own"))
-
-
-def unimportant(features: DataFrame, threshold: float = THRESHOLD, min_pages: int = MIN_PAGES) -> DataFrame:
-    """host, paths: the branches to remove. An element weighs no less than the most important of its children."""
-    own = importance(features)
-    below = F.col("path")
-    # A path's descendants are the paths that start with it; their maximum is the branch's importance.
-    steps = F.split(below, ">")
-    ancestors = F.transform(F.sequence(F.lit(1), F.size(steps)), lambda i: F.array_join(F.slice(steps, F.lit(1), i), ">"))
-    spread = own.select("host", F.explode(ancestors).alias("path"), "own")
-    branch = spread.groupBy("host", "path").agg(F.max("own").alias("branch"))
-    low = own.join(branch, ["host", "path"]).where((F.col("branch") < threshold) & (F.col("pages") >= min_pages))
-    return low.groupBy("host").agg(F.collect_set("path").alias("paths"))
-
-
-def extract(pages: DataFrame, threshold: float = THRESHOLD, min_pages: int = MIN_PAGES) -> DataFrame:
+    n, c = F.sum("c"), F.col("c")
+    styles = seen.where("style is not null").groupBy("host", "path", "style").agg(F.count("*").alias("c"), F.min("line").alias("line"))
+    h_style = F.log(n) - F.sum(c * F.log("c")) / n
+    by_style = styles.groupBy("host", "path").agg(n.alias("pages"), F.count("*").alias("styles"), F.min("line").alias("line"), h_style.alias("h_style"))
+    texts = seen.where("content is not null").groupBy("host", "path", "content").agg(F.count("*").alias("c"))
+    by_text = texts.groupBy("host", "path").agg((F.sum(c * F.log("c")) / n).alias("h_text"))
+    both = by_style.join(by_text, ["host", "path"], "left")
+    # A text on c of m pages is spread with entropy log c; the mean counts a text once for each page that has it.
+    greater = F.greatest(F.col("h_style") / F.log("pages"), 1 - F.col("h_text") / F.log("pages"))
+    own = F.when(F.col("pages") > 1, 1 - (1 - greater) * (1 - 1 / F.col("pages"))).otherwise(1.0)
+    return both.select("host", "path", "line", F.try_element_at("line", F.lit(-2)).alias("parent"), "pages", "styles", own.alias("own"))
+
+
+def composite(own: DataFrame, gamma: float = GAMMA) -> DataFrame:
+    """importance's rows with composite: an element's and its branch's importance."""
+    top = own.select("host", F.col("path").alias("parent"), F.col("styles").alias("parent_styles"))
+    brood = own.where("parent is not null").groupBy("host", "parent").agg(F.sum("pages").alias("brood"))
+    # A path's factor in its parent's composite importance, and the product on the way from the top, as logs.
+    factor = own.join(top.join(brood, ["host", "parent"]), ["host", "parent"], "left")
+    factor = factor.select("host", F.col("path").alias("at"), F.coalesce(F.col("parent_styles") * math.log(gamma) + F.log(F.col("pages") / F.col("brood")), F.lit(0.0)).alias("factor"))
+    way = own.select("host", "path", F.explode("line").alias("at")).join(factor, ["host", "at"]).groupBy("host", "path").agg(F.sum("factor").alias("way"))
+    part = F.when(F.col("brood").isNull(), F.col("own")).otherwise(F.col("own") * (1 - F.pow(F.lit(gamma), F.col("styles"))))
+    parts = own.join(brood.withColumnRenamed("parent", "path"), ["host", "path"], "left").select("host", "path", "line", part.alias("part")).join(way, ["host", "path"])
+    above = way.select("host", F.col("path").alias("at"), F.col("way").alias("way_at"))
+    sums = parts.select("host", F.explode("line").alias("at"), "part", "way").join(above, ["host", "at"])
+    sums = sums.groupBy("host", F.col("at").alias("path")).agg(F.sum(F.exp(F.col("way") - F.col("way_at")) * F.col("part")).alias("composite"))
+    return own.join(sums, ["host", "path"])
+
+
+def noise(features: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """host, path: elements whose composite importance, and that of all below them, is under the threshold."""
+    own = materialize(importance(features), "style-importance")
+    weighed = composite(own).select("host", F.explode("line").alias("path"), "composite")
+    return weighed.groupBy("host", "path").agg(F.max("composite").alias("most")).where(F.col("most") < threshold).select("host", "path")
+
+
+def extract(pages: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """pages (page_id, url, html) -> page_id, url, text, n_chars: one row per row of pages.
 
     text joins the article's blocks in page order with newlines; white space inside a
     block is one space, character references are decoded. Null or empty html, and pages
     without an article's text, give an empty text. Null urls, and such without ``://``,
-    count as one host. Repeated rows give equal rows and count once in the tree. An empty
-    table gives an empty result; other columns are ignored. Nothing is cut off.
+    count as one host. Repeated rows give equal rows and count once in the tree. Pages
+    nest to any depth; below PATH_DEPTH elements count with the one above them there. An
+    empty table gives an empty result; other columns are ignored. Nothing is cut off.
     """
     host = ascii_lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"(?s)^.*?://([^/?#]*)", 1))
     rows = pages.select("page_id", "url", host.alias("host"), F.coalesce("html", F.lit("")).alias("html"))
-    low = materialize(unimportant(materialize(_features(rows), "style-tree"), threshold, min_pages), "style-removed")
+    low = noise(materialize(_features(rows), "style-tree"), threshold)
+    low = materialize(low.groupBy("host").agg(F.collect_set("path").alias("paths")), "style-noise")
+    # Pages meet their host's noise in parts: HEAVY_HOSTS hosts at most, whatever the input, have SALTS of them.
+    counts = rows.groupBy("host").agg(F.count("*").alias("n"))
+    heavy = F.broadcast(materialize(counts.crossJoin(F.broadcast(counts.agg(F.sum("n").alias("total")))).where(F.col("n") * HEAVY_HOSTS >= F.col("total")).select("host", F.lit(SALTS).alias("salts")), "heavy-hosts"))
+    salts = F.coalesce("salts", F.lit(1))
+    spread = low.join(heavy, "host", "left").select("host", "paths", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+    salted = rows.join(heavy, "host", "left").withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), salts).cast("int"))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -377,7 +434,7 @@ def extract(pages: DataFrame, threshold: float = THRESHOLD, min_pages: int = MIN
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     kind = dict(pages.dtypes)["page_id"]
-    return rows.join(low, "host", "left").select("page_id", "url", "html", "paths").mapInArrow(make, f"page_id {kind}, url string, text string, n_chars long")
+    return salted.join(spread, ["host", "salt"], "left").select("page_id", "url", "html", "paths").mapInArrow(make, f"page_id {kind}, url string, text string, n_chars long")
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:

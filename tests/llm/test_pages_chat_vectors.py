@@ -15,7 +15,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tallyline.llm.chat_format import MAPPINGS, format_chat, format_records, format_turns, parse_turns, read_back, READ_BACK, turn_records, unescape
-from tallyline.llm.html_extract import blocks, extract, page_features, parse
+from tallyline.llm.common import materialize
+from tallyline.llm.html_extract import _features, blocks, composite, extract, importance, noise, page_features, parse
 from tallyline.llm.ngram_trie import EliasFano, Levels, Trie, STEP
 from tallyline.llm.url_filter import CONTRACT_RULES, DEFAULT_PATTERNS, Rule, filter_urls
 from tallyline.llm.vector_topk import top_k
@@ -76,6 +77,81 @@ def test_html_extraction(spark):
     assert extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+NEUTRAL = '<body><div class="ka"><div class="kb"><p>Home<p>Shop<p>About us</div><div class="kc"><p>Story {i} begins<p>and goes on {i}<div class="ke">Good {i}<em>!</em></div></div><div class="kd">{rotating}<div>All rights reserved<p>Imprint</div></div></div>'
+
+
+def _site(host: str, n: int, start: int) -> list[tuple]:
+    return [(start + i, f"http://{host}/{i}", NEUTRAL.format(i=i, rotating="Seen by many" if i % 2 else "Seen by few")) for i in range(n)]
+
+
+def test_the_style_tree_removes_what_no_name_gives_away(spark):
+    rows = [*_site("many.example", 12, 0), *_site("few.example", 3, 100), *_site("MANY.example", 1, 0)]
+    got = {(r.page_id, r.url): r.text for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    assert len(got) == len(rows)
+    for i in range(12):
+        assert got[i, f"http://many.example/{i}"] == f"Story {i} begins\nand goes on {i}\nGood {i}!"
+        # Names alone keep it all.
+        assert blocks(parse(rows[i][2]), frozenset())[:3] == ["Home", "Shop", "About us"]
+    # What three pages repeat is no evidence yet.
+    assert "Home" in got[100, "http://few.example/0"] and "Imprint" in got[102, "http://few.example/2"]
+
+
+def _tree(pages: list[str]) -> dict[int, float]:
+    """Composite importance by path, of one host's tree built and walked in one place."""
+    found = list({repr(f): f for f in (page_features(parse(p)) for p in pages)}.values())
+    styles, texts, children, tops = {}, {}, {}, set()
+    for page in found:
+        for path, line, style, content in page:
+            styles.setdefault(path, []).append(style)
+            texts.setdefault(path, []).extend(content)
+            children.setdefault(line[-2], set()).add(path) if len(line) > 1 else tops.add(path)
+
+    def own(path):
+        m = len(styles[path])
+        if m == 1:
+            return 1.0
+        counts = lambda xs: [xs.count(x) for x in set(xs)]
+        best = -sum(c / m * math.log(c / m) for c in counts(styles[path])) / math.log(m)
+        if texts[path]:
+            best = max(best, 1 - sum(c * math.log(c) for c in counts(texts[path])) / len(texts[path]) / math.log(m))
+        return 1 - (1 - best) * (1 - 1 / m)
+
+    out = {}
+
+    def walk(path):
+        if path not in children:
+            out[path] = own(path)
+        else:
+            for c in children[path]:
+                walk(c)
+            fade, all_ = 0.9 ** len(set(styles[path])), sum(len(styles[c]) for c in children[path])
+            out[path] = (1 - fade) * own(path) + fade * sum(len(styles[c]) / all_ * out[c] for c in children[path])
+
+    for t in tops:
+        walk(t)
+    return out
+
+
+def test_composite_importance_against_a_tree_in_one_place(spark):
+    rng = np.random.default_rng(5)
+    words = ["Home", "Shop", "News", "Once", "upon", "a time"]
+
+    def branch(depth):
+        if depth == 0 or rng.random() < 0.3:
+            return " ".join(rng.choice(words, 2))
+        return "".join(f'<{t} class="{"ab"[rng.integers(2)]}">{branch(depth - 1)}</{t}>' for t in rng.choice(["div", "p", "section", "span", "ul"], rng.integers(1, 4)))
+
+    sites = {h: ['<ul class="q"><li>Home<li>Shop</ul>' + branch(4) if rng.random() < 0.7 else "<div><p>Home</p></div>" for _ in range(n)] for h, n in (("a", 25), ("b", 6), ("c", 1))}
+    rows = [(h, p) for h, pages in sites.items() for p in pages]
+    features = materialize(_features(spark.createDataFrame([*rows, *rows[:5]], "host string, html string")), "features")
+    got = {(r.host, r.path): r for r in composite(importance(features)).collect()}
+    low = {(r.host, r.path) for r in noise(features, 0.4).collect()}
+    expected = {(h, path): x for h, pages in sites.items() for path, x in _tree(pages).items()}
+    assert set(got) == set(expected) and len(got) > 50
+    assert all(got[k].composite == pytest.approx(x) for k, x in expected.items())
+    assert low == {k for k in got if all(expected[d] < 0.4 for d in got if d[0] == k[0] and k[1] in got[d].line)} and low
+
+
 @pytest.mark.parametrize(
     ("html", "expected"),
     [

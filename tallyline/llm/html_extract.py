@@ -420,12 +420,13 @@ def extract(pages: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     host = ascii_lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"(?s)^.*?://([^/?#]*)", 1))
     rows = pages.select("page_id", "url", host.alias("host"), F.coalesce("html", F.lit("")).alias("html"))
     low = noise(materialize(_features(rows), "style-tree"), threshold)
-    low = materialize(low.groupBy("host").agg(F.collect_set("path").alias("paths")), "style-noise")
+    low = low.groupBy("host").agg(F.collect_set("path").alias("paths"))
     # Pages meet their host's noise in parts: HEAVY_HOSTS hosts at most, whatever the input, have SALTS of them.
     counts = rows.groupBy("host").agg(F.count("*").alias("n"))
     heavy = F.broadcast(materialize(counts.crossJoin(F.broadcast(counts.agg(F.sum("n").alias("total")))).where(F.col("n") * HEAVY_HOSTS >= F.col("total")).select("host", F.lit(SALTS).alias("salts")), "heavy-hosts"))
     salts = F.coalesce("salts", F.lit(1))
-    spread = low.join(heavy, "host", "left").select("host", "paths", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+    # Written, so that Spark knows its size and sends it to the pages where that is small.
+    spread = materialize(low.join(heavy, "host", "left").select("host", "paths", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt")), "style-noise")
     salted = rows.join(heavy, "host", "left").withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), salts).cast("int"))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

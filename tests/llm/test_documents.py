@@ -397,40 +397,48 @@ def test_release_deletes_what_is_over(spark):
     assert [os.path.exists(p) for p in paths] == [False, True] and second.count() == 4
 
 
-def _model(rows: list[tuple], held) -> list[tuple]:
+def _model(rows: list[tuple], held, share: int) -> list[tuple]:
     table = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     tokens = [[*re.findall(r"[^\x20\x09-\x0D]+", (r[1] or "").translate(table)), "\n"] for r in rows]
     train = [t for r, t in zip(rows, tokens) if not held(r)]
     count = Counter(w for t in train for w in t)
     n, v = sum(count.values()), len(count)
-    pairs, totals, kinds = Counter(), Counter(), Counter()
+    every = Counter(w for t in tokens for w in ["\t", *t[:-1]])
+    heavy = {w for w, c in every.items() if c * share >= sum(every.values())} | {"\t"}
+    grams, totals, kinds = Counter(), Counter(), Counter()
+    events = lambda t: zip(["", "\t", *t], ["\t", *t], t)
+    levels = lambda a, b: [(a, b)] if b in heavy else [(a, b), (b,)]
     for t in train:
-        for a, b in zip(["\t", *t], t):
-            kinds[a] += not pairs[a, b]
-            pairs[a, b] += 1
-            totals[a] += 1
+        for a, b, w in events(t):
+            for c in levels(a, b):
+                kinds[c] += not grams[c, w]
+                grams[c, w] += 1
+                totals[c] += 1
     out = []
     for r, t in zip(rows, tokens):
         size = math.log10(n + v + 1)
         base = sum(math.log10(count[w] + 1) - size for w in t)
         score = 0.0
-        for a, b in zip(["\t", *t], t):
-            if pairs[a, b]:
-                score += math.log10((pairs[a, b] - DISCOUNT) / totals[a])
+        for a, b, w in events(t):
+            for c in levels(a, b):
+                if grams[c, w]:
+                    score += math.log10((grams[c, w] - DISCOUNT) / totals[c])
+                    break
+                score += math.log10(min(1.0, DISCOUNT * kinds[c] / totals[c])) if totals[c] else 0
             else:
-                score += (math.log10(min(1.0, DISCOUNT * kinds[a] / totals[a])) if totals[a] else 0) + math.log10(count[b] + 1) - size
+                score += math.log10(count[w] + 1) - size
         out.append((r[0] is None, r[0] or 0, len(t), sum(count[w] > 0 for w in t), n, base, score))
     return sorted(out, key=lambda x: (x[0], x[1], x[2], x[5]))
 
 
-@pytest.mark.parametrize("small", [False, True])
-def test_lm_scores(docs, rows, nothing, monkeypatch, small):
-    if small:
-        monkeypatch.setattr("tallyline.llm.lm_scoring.FLUSH", 300)
-        monkeypatch.setattr("tallyline.llm.lm_scoring.SHARD_EVENTS", 700)
+@pytest.mark.parametrize(("share", "flush", "shard"), [(512, 400_000, 1_000_000), (512, 300, 700), (20, 300, 700), (4, 1000, 100)])
+def test_lm_scores(docs, rows, nothing, monkeypatch, share, flush, shard):
+    monkeypatch.setattr("tallyline.llm.lm_scoring.FLUSH", flush)
+    monkeypatch.setattr("tallyline.llm.lm_scoring.HEAVY_SHARE", share)
+    monkeypatch.setattr("tallyline.llm.lm_scoring.MOST_PARTITIONS", 5)
     held = lambda r: zlib.crc32(str(r[0]).encode() if r[0] is not None else b"") % 7 == 2
-    got = sorted(((r.doc_id is None, r.doc_id or 0, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in lm_scores(docs, doc_crc(F.col("doc_id")) % 7 != 2).collect()), key=lambda x: (x[0], x[1], x[2], x[5]))
-    expected = _model(rows, held)
+    got = sorted(((r.doc_id is None, r.doc_id or 0, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in lm_scores(docs, doc_crc(F.col("doc_id")) % 7 != 2, shard_events=shard).collect()), key=lambda x: (x[0], x[1], x[2], x[5]))
+    expected = _model(rows, held, share)
     assert [g[:5] for g in got] == [e[:5] for e in expected]
     for g, e in zip(got, expected):
         assert g[5] == pytest.approx(e[5], rel=1e-9)

@@ -282,13 +282,25 @@ def test_elias_fano_and_trie():
     count = rng.integers(1, 9, len(pairs))
     total = np.array([count[pairs[:, 0] == c].sum() for c in pairs[:, 0]])
     kinds = np.array([(pairs[:, 0] == c).sum() for c in pairs[:, 0]])
-    trie = Trie(pairs[:, 0], pairs[:, 1], count, total, kinds, 0.5)
-    value, seen, left = trie.lookup(np.append(pairs[:, 0], [7, 999]).astype(np.uint64), np.append(pairs[:, 1], [500, 1]).astype(np.uint64))
-    assert seen[:-2].all() and not seen[-2:].any() and left[-1] == 0
+    triples = np.unique(np.stack([rng.integers(0, len(pairs), 900), rng.integers(0, 6, 900) * 1_000_003 % (1 << 32)], 1), axis=0)
+    many = rng.integers(1, 5, len(triples))
+    trie = Trie(pairs[:, 0], pairs[:, 1], count, total, kinds, 0.5, (triples[:, 0], triples[:, 1].astype(np.uint64), many))
+    value, place, left = trie.lookup(np.append(pairs[:, 0], [7, 999]).astype(np.uint64), np.append(pairs[:, 1], [500, 1]).astype(np.uint64))
+    assert (place[:-2] == np.arange(len(pairs))).all() and (place[-2:] == -1).all() and left[-1] == 0
     assert np.allclose(value[:-2], np.log10((count - 0.5) / total), atol=STEP)
     for c in np.unique(pairs[:, 0]):
         mine = np.flatnonzero(pairs[:, 0] == c)
         assert (10 ** value[mine]).sum() + 10 ** left[mine[0]] <= 1 + 1e-9
+    own = [(pairs[p, 0], b) for p, b in triples]
+    sums, sorts = {k: sum(m for o, m in zip(own, many) if o == k) for k in set(own)}, {k: own.count(k) for k in set(own)}
+    asked = [*((p, b) for p, b in triples), *((p, b * 1_000_003 % (1 << 32)) for p in range(0, len(pairs), 7) for b in range(8)), (-1, triples[0, 1])]
+    contexts = np.array([pairs[p, 0] for p, _ in asked[:-1]] + [pairs[triples[0, 0], 0]])
+    value, seen, left = trie.lookup_longer(np.array([b for _, b in asked]), contexts.astype(np.uint64), np.array([p for p, _ in asked]))
+    known = {tuple(t): m for t, m in zip(triples.tolist(), many)}
+    for (p, b), c, x, s, y in zip(asked, contexts, value, seen, left):
+        assert s == ((p, b) in known)
+        assert not s or x == pytest.approx(math.log10((known[p, b] - 0.5) / sums[c, b]), abs=STEP)
+        assert y == (pytest.approx(math.log10(min(1, 0.5 * sorts[c, b] / sums[c, b])), abs=STEP) if (c, b) in sums else 0)
 
 
 @pytest.mark.parametrize(

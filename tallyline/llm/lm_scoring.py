@@ -42,7 +42,7 @@ from .ngram_trie import Trie
 START, END, NONE = np.uint64(0x5A5A5A5A5A5A0000), np.uint64(0xA5A5A5A5A5A50000), np.uint64(0x3C3C3C3C3C3C0000)
 DISCOUNT = 0.9
 #: Events that are packed together, and of a shard, which is what a task holds in memory.
-FLUSH, SHARD_EVENTS = 400_000, 1_000_000
+FLUSH, SHARD_EVENTS = 800_000, 1_000_000
 #: Shards beyond so many share partitions; a partition's shards are worked on one after the other.
 MOST_PARTITIONS = 20_000
 HEAVY_SHARE = 512

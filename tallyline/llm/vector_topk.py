@@ -9,8 +9,11 @@ nearer to q than the gap between d(q, pivot) and the block's range of distances.
 
 A query first searches the blocks with the smallest gaps, which gives it a k-th best
 score, and then expands to the blocks whose gap is within the distance that this score
-stands for; all others are ruled out. Both rounds are joins of blocks of queries with
-blocks of the index. Only the pivots and the blocks' ranges are sent to every task.
+stands for; all others are ruled out. In both rounds a block of the index and the queries
+that want it go to one task, sorted so that the block comes first and the queries stream
+past it; the index is dealt to as many copies of each block as keep its queries bounded.
+Vectors travel in the narrowest integers that hold them all. Only the pivots and the
+blocks' ranges are sent to every task.
 
 The pivots are fitted on a bounded sample; they decide how much is ruled out, never the
 result, which is exact: scores are integers, and bounds carry a margin for rounding.
@@ -26,12 +29,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, table
+from .hashing import mix
 
 SAMPLE, PIVOTS = 2048, 64
 INDEX_BLOCK, QUERY_BLOCK = 2048, 256
 #: Blocks grow beyond INDEX_BLOCK rows rather than become more than this.
-MAX_BLOCKS = 500_000
+MAX_BLOCKS = 65_536
 FIRST_BLOCKS = 2
+#: Blocks of queries that stream past one copy of an index block, and queries whose gaps are computed at a time.
+QUERIES_OF_COPY, GAPS_AT_ONCE = 256, 32
 NO_ID = np.iinfo(np.int64).max
 
 
@@ -79,8 +85,8 @@ class Geometry:
         return np.sqrt(np.maximum(0, square)) + 1e-3 + 1e-6 * np.sqrt(self.longest[x.shape[1]] + (x**2).sum(1))
 
 
-def _matrix(column: pa.Array, dim: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.int64).reshape(-1, dim)
+def _matrix(raw: bytes, kind: str, n: int, dim: int) -> np.ndarray:
+    return np.frombuffer(raw, dtype=kind).reshape(n, dim)
 
 
 def _rows(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
@@ -90,12 +96,18 @@ def _rows(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
 
 def _products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Exact integer products: floats where no sum can leave 2**53."""
+    q, x = q.astype(np.int64), x.astype(np.int64)
     if q.size and x.size and float(np.abs(q).max()) * float(np.abs(x).max()) * q.shape[1] < 2**53:
         return (q.astype(np.float64) @ x.astype(np.float64).T).astype(np.int64)
     return q @ x.T
 
 
-def _key(vectors: DataFrame, geometry: Geometry) -> DataFrame:
+def _types(schema: str) -> list[pa.DataType]:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    return [kinds[c.split()[1]] for c in schema.split(", ")]
+
+
+def _key(vectors: DataFrame, geometry: Geometry, kind: str) -> DataFrame:
     """Adds each row's nearest pivot and the distance to it."""
 
     def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,7 +122,7 @@ def _key(vectors: DataFrame, geometry: Geometry) -> DataFrame:
                 d = geometry.distances(flat[starts[at][:, None] + np.arange(dim)[None]].reshape(len(at), dim), False)
                 pivot[at] = d.argmin(1)
                 dist[at] = d.min(1)
-            raw = [flat[s : s + n].astype(np.int64).tobytes() for s, n in zip(starts, sizes, strict=True)]
+            raw = [flat[s : s + n].astype(kind).tobytes() for s, n in zip(starts, sizes, strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(sizes.astype(np.int32)), pa.array(pivot), pa.array(dist), b.column("vec_id"), b.column("row_id"), pa.array(raw, pa.binary())],
                 names=["dim", "pivot", "dist", "vec_id", "row_id", "v"],
@@ -161,13 +173,16 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, sample: int = SAMPLE
     rows = vectors.select("vec_id", quantize(F.col("embedding")).alias("v"), F.coalesce(is_query, F.lit(False)).alias("query"))
     rows = materialize(rows.where("v is not null").withColumn("row_id", F.monotonically_increasing_id()), "vectors")
     square = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x)
-    stats = rows.groupBy(F.size("v").alias("dim")).agg(F.max(square).alias("longest"), F.count("*").alias("n")).collect()
+    most = F.max(F.greatest(F.array_max("v"), -F.array_min("v")))
+    stats = rows.groupBy(F.size("v").alias("dim")).agg(F.max(square).alias("longest"), most.alias("most"), F.count("*").alias("n"), F.count_if("query").alias("queries")).collect()
     geometry = Geometry(_pivots(rows, sample, pivots), {r["dim"]: r["longest"] for r in stats})
-    n = sum(r["n"] for r in stats)
+    n, largest = sum(r["n"] for r in stats), max((r["most"] or 0 for r in stats), default=0)
+    kind = next((k for k in ("<i2", "<i4") if largest <= np.iinfo(k).max), "<i8")
     size = max(INDEX_BLOCK, -(-n // MAX_BLOCKS))
-    index = materialize(_blocks(_key(rows, geometry), size, max(1, -(-n // size))), "vector-index")
-    asked = _key(rows.where("query"), geometry)
+    index = materialize(_blocks(_key(rows, geometry, kind), size, max(1, -(-n // size))), "vector-index")
+    asked = _key(rows.where("query"), geometry, kind)
     asked = materialize(_blocks(asked, QUERY_BLOCK, max(1, -(-n // (50 * QUERY_BLOCK)))), "vector-queries")
+    copies = max(1, -(-sum(r["queries"] for r in stats) // (QUERY_BLOCK * QUERIES_OF_COPY)))
     ranges = index.select("block", "dim", "pivot", "dmin", "dmax").toPandas()
     sent = spark.sparkContext.broadcast({c: ranges[c].to_numpy() for c in ranges})
 
@@ -175,17 +190,26 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, sample: int = SAMPLE
         """Blocks of the queries' dimension, and for each query the least distance to any row of each."""
         t = sent.value
         own = np.flatnonzero(t["dim"] == q.shape[1])
-        d = geometry.distances(q, True)[:, t["pivot"][own]]
-        return own, np.maximum(0, np.maximum(d - t["dmax"][own], t["dmin"][own] - d))
+        pivot, dmin, dmax = t["pivot"][own], t["dmin"][own], t["dmax"][own]
+        d = geometry.distances(q, True)
+        out = np.empty((len(q), len(own)), dtype=np.float32)
+        for i in range(0, len(q), GAPS_AT_ONCE):
+            at = d[i : i + GAPS_AT_ONCE, pivot]
+            gap = np.maximum(0, np.maximum(at - dmax, dmin - at))
+            # Rounded down, so that the narrower numbers rule out nothing more.
+            out[i : i + GAPS_AT_ONCE] = np.nextafter(gap.astype(np.float32), np.float32(-1))
+        return own, out
 
     def first(gap: np.ndarray) -> np.ndarray:
         return np.argsort(gap, axis=1, kind="stable")[:, :FIRST_BLOCKS]
 
-    pair = "block long, queries long, dim int, places binary, least binary"
+    meeting = "block long, copy int, later int, queries long, dim int, n int, places binary, least binary, vec_ids binary, row_ids binary, vs binary"
 
     def pairs(batches: Iterator[pa.RecordBatch], later: bool) -> Iterator[pa.RecordBatch]:
+        """For each index block that some of a block's queries want, those queries."""
         for r in _rows(batches):
-            q = np.frombuffer(r["vs"], dtype=np.int64).reshape(-1, r["dim"]) if r["dim"] else np.zeros((r["n"], 0), dtype=np.int64)
+            q = _matrix(r["vs"], kind, r["n"], r["dim"])
+            ids, own_rows = np.frombuffer(r["vec_ids"], dtype=np.int64), np.frombuffer(r["row_ids"], dtype=np.int64)
             own, gap = gaps(q)
             least = np.full(len(q), np.iinfo(np.int64).min)
             near = first(gap)
@@ -196,31 +220,28 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, sample: int = SAMPLE
                 wanted = gap <= reach[:, None]
                 np.put_along_axis(wanted, near, False, 1)
             else:
-                wanted = np.zeros_like(gap, dtype=bool)
+                wanted = np.zeros(gap.shape, dtype=bool)
                 np.put_along_axis(wanted, near, True, 1)
-            out: dict[str, list] = {"block": [], "places": [], "least": []}
+            copy = int(mix(np.array([r["block"]], dtype=np.int64).view(np.uint64))[0] % np.uint64(copies))
             for j in np.flatnonzero(wanted.any(0)):
                 at = np.flatnonzero(wanted[:, j]).astype(np.int32)
-                out["block"].append(int(sent.value["block"][own[j]]))
-                out["places"].append(at.tobytes())
-                out["least"].append(least[at].tobytes())
-            m = len(out["block"])
-            yield pa.RecordBatch.from_arrays([pa.array(out["block"], pa.int64()), pa.array([r["block"]] * m, pa.int64()), pa.array([r["dim"]] * m, pa.int32()), pa.array(out["places"], pa.binary()), pa.array(out["least"], pa.binary())], names=["block", "queries", "dim", "places", "least"])
+                row = (int(sent.value["block"][own[j]]), copy, 1, r["block"], r["dim"], len(at), at.tobytes(), least[at].tobytes(), ids[at].tobytes(), own_rows[at].tobytes(), q[at].tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, _types(meeting), strict=True)], names=[c.split()[0] for c in meeting.split(", ")])
 
     hit = "queries long, place int, query_id long, vec_id long, score long"
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        x = ids = own = None
         for r in _rows(batches):
-            dim, at = r["dim"], np.frombuffer(r["places"], dtype=np.int32)
-            x = np.frombuffer(r["vs"], dtype=np.int64).reshape(-1, dim) if dim else np.zeros((r["n"], 0), dtype=np.int64)
-            q = (np.frombuffer(r["q_vs"], dtype=np.int64).reshape(-1, dim) if dim else np.zeros((r["q_n"], 0), dtype=np.int64))[at]
-            ids, own = np.frombuffer(r["vec_ids"], dtype=np.int64), np.frombuffer(r["row_ids"], dtype=np.int64)
-            q_ids, q_own = np.frombuffer(r["q_vec_ids"], dtype=np.int64)[at], np.frombuffer(r["q_row_ids"], dtype=np.int64)[at]
-            least = np.frombuffer(r["least"], dtype=np.int64)
-            scores = _products(q, x)
+            if not r["later"]:
+                x, ids, own = _matrix(r["vs"], kind, r["n"], r["dim"]), np.frombuffer(r["vec_ids"], dtype=np.int64), np.frombuffer(r["row_ids"], dtype=np.int64)
+                continue
+            at, least = np.frombuffer(r["places"], dtype=np.int32), np.frombuffer(r["least"], dtype=np.int64)
+            q_ids, q_own = np.frombuffer(r["vec_ids"], dtype=np.int64), np.frombuffer(r["row_ids"], dtype=np.int64)
+            scores = _products(_matrix(r["vs"], kind, r["n"], r["dim"]), x)
             allowed = (own[None] != q_own[:, None]) & (scores >= least[:, None])
             out = []
-            for i in range(len(q)):
+            for i in range(len(at)):
                 c = np.flatnonzero(allowed[i])
                 if len(c) > k:
                     edge = np.partition(scores[i, c], len(c) - k)[len(c) - k]
@@ -228,19 +249,19 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, sample: int = SAMPLE
                 c = c[np.lexsort((ids[c], -scores[i, c]))][:k]
                 out += [(r["queries"], int(at[i]), int(q_ids[i]), int(ids[j]), int(scores[i, j])) for j in c]
             columns = list(zip(*out, strict=True)) if out else [()] * 5
-            types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["queries", "place", "query_id", "vec_id", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _types(hit), strict=True)], names=["queries", "place", "query_id", "vec_id", "score"])
+
+    dealt = index.select("block", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("copy"), F.lit(0).alias("later"), F.lit(None).cast("long").alias("queries"), "dim", "n", F.lit(None).cast("binary").alias("places"), F.lit(None).cast("binary").alias("least"), "vec_ids", "row_ids", "vs")
 
     def searched(wanted: DataFrame) -> DataFrame:
-        q = asked.select(F.col("block").alias("queries"), F.col("n").alias("q_n"), F.col("vec_ids").alias("q_vec_ids"), F.col("row_ids").alias("q_row_ids"), F.col("vs").alias("q_vs"))
-        both = wanted.join(index.select("block", "n", "vec_ids", "row_ids", "vs"), "block").join(q, "queries")
-        return both.mapInArrow(search, hit)
+        place = ["block", "copy"]
+        return dealt.unionByName(wanted).repartition(*place).sortWithinPartitions(*place, "later").mapInArrow(search, hit)
 
     best = Window.partitionBy("queries", "place").orderBy(F.desc("score"), "vec_id")
-    one = materialize(searched(asked.mapInArrow(lambda b: pairs(b, False), pair)), "vector-first")
+    one = materialize(searched(asked.mapInArrow(lambda b: pairs(b, False), meeting)), "vector-first")
     kth = one.withColumn("rank", F.row_number().over(best)).where(F.col("rank") == k)
     kth = kth.groupBy(F.col("queries").alias("block")).agg(F.collect_list(F.struct("place", F.col("score").alias("least"))).alias("found"))
-    two = searched(asked.join(kth, "block", "left").mapInArrow(lambda b: pairs(b, True), pair))
+    two = searched(asked.join(kth, "block", "left").mapInArrow(lambda b: pairs(b, True), meeting))
     ranked = one.unionByName(two).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), F.when(F.col("vec_id") != NO_ID, F.col("vec_id")).alias("vec_id"), "score")
 

@@ -258,6 +258,7 @@ def _best(rows: list[tuple], k: int) -> list[tuple]:
 def test_vector_search(spark, monkeypatch, size):
     monkeypatch.setattr("tallyline.llm.vector_topk.INDEX_BLOCK", size)
     monkeypatch.setattr("tallyline.llm.vector_topk.QUERY_BLOCK", 4)
+    monkeypatch.setattr("tallyline.llm.vector_topk.QUERIES_OF_COPY", 3)
     rng = np.random.default_rng(4)
     centres = rng.normal(size=(4, 6))
     rows = [(i, [float(x) for x in centres[i % 4] * (1 + i % 3) + rng.normal(scale=0.05, size=6)]) for i in range(150)]
@@ -266,6 +267,8 @@ def test_vector_search(spark, monkeypatch, size):
     got = [(r.query_id, r["rank"], r.vec_id, r.score) for r in top_k(table, F.col("vec_id") % 5 == 0).collect()]
     assert sorted(got, key=str) == _best(rows, 5)
     assert top_k(table.limit(0), F.lit(True)).count() == 0
+    wide = [(i, [float(x) * 1e4 for x in v], "x", 1) for i, v in rows[:60]]
+    assert sorted([(r.query_id, r["rank"], r.vec_id, r.score) for r in top_k(spark.createDataFrame(wide, table.schema), F.col("vec_id") % 5 == 0).collect()], key=str) == _best(wide, 5)
 
 
 def test_elias_fano_and_trie():

@@ -422,8 +422,9 @@ def extract(pages: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     low = noise(materialize(_features(rows), "style-tree"), threshold)
     low = low.groupBy("host").agg(F.collect_set("path").alias("paths"))
     # Pages meet their host's noise in parts: HEAVY_HOSTS hosts at most, whatever the input, have SALTS of them.
-    counts = rows.groupBy("host").agg(F.count("*").alias("n"))
-    heavy = F.broadcast(materialize(counts.crossJoin(F.broadcast(counts.agg(F.sum("n").alias("total")))).where(F.col("n") * HEAVY_HOSTS >= F.col("total")).select("host", F.lit(SALTS).alias("salts")), "heavy-hosts"))
+    counts = materialize(rows.groupBy("host").agg(F.count("*").alias("n")), "host-pages")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    heavy = F.broadcast(counts.where(F.col("n") * HEAVY_HOSTS >= total).select("host", F.lit(SALTS).alias("salts")))
     salts = F.coalesce("salts", F.lit(1))
     # Written, so that Spark knows its size and sends it to the pages where that is small.
     spread = materialize(low.join(heavy, "host", "left").select("host", "paths", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt")), "style-noise")

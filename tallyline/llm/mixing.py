@@ -29,26 +29,43 @@ BLOCK, FAN_IN = 64, 16
 STRATA_PER_DOUBLING = 4
 
 
+def _running(rows: DataFrame, order: list[Column], columns: list[str], name: str) -> DataFrame:
+    """rows with before_c, the sum of c over the rows before, and all_c, for each of the columns.
+
+    Rows are ranged by the order and summed in each range; only one row of sums for each
+    range meets in one place.
+    """
+    ranged = materialize(rows.repartitionByRange(*order).withColumn("range", F.spark_partition_id()), name)
+    sums = ranged.groupBy("range").agg(*[F.sum(c).alias(c) for c in columns])
+    lower, every = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
+    sums = sums.select("range", *[F.coalesce(F.sum(c).over(lower), F.lit(0)).alias(f"lower_{c}") for c in columns], *[F.sum(c).over(every).alias(f"all_{c}") for c in columns])
+    own = Window.partitionBy("range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    both = ranged.join(F.broadcast(sums), "range")
+    before = {f"before_{c}": F.col(f"lower_{c}") + F.coalesce(F.sum(c).over(own), F.lit(0)) for c in columns}
+    return both.withColumns(before).drop("range", *[f"lower_{c}" for c in columns])
+
+
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = TOTAL_SHARE, most: float = MAX_COPIES) -> DataFrame:
     """source -> source_size, target: the shares of a total, capped at most times the source.
 
     The excess of capped sources goes to the others by weight until none is above its
     cap: target = min(cap, level * weight), and the level follows from the sources in
-    the order of cap over weight. A row for each source is all this handles.
+    the order of cap over weight. Sources may be many: their order and the sums along it
+    are found range by range.
     """
     if share > most:
         raise ValueError("the share must not exceed the cap")
-    per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    place = F.row_number().over(Window.orderBy(F.col("source").isNull(), "source")) - 1
-    per = per.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (place % len(weights) + 1).cast("int")))
-    per = per.withColumn("cap", F.col("source_size") * F.lit(float(most)))
-    order = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").isNull(), "source")
-    before, everything = order.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
-    left = F.sum("source_size").over(everything) * F.lit(float(share)) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))
-    among = F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))
+    per = sizes.groupBy("source").agg(F.sum("size").alias("source_size")).withColumn("one", F.lit(1))
+    by_name = F.asc_nulls_last("source")
+    per = _running(per, [by_name], ["one", "source_size"], "sources-by-name")
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("before_one") % len(weights) + 1).cast("int"))
+    per = per.withColumn("weight", weight).withColumn("cap", F.col("source_size") * F.lit(float(most)))
+    per = per.select("source", "source_size", "all_source_size", "weight", "cap", (F.col("cap") / F.col("weight")).alias("at"))
+    per = _running(per, [F.asc("at"), by_name], ["weight", "cap"], "sources-by-cap")
+    left = F.col("all_source_size") * F.lit(float(share)) - F.col("before_cap")
     # With the first k sources capped the level rises up to the right k and falls behind it.
-    per = per.withColumn("level", F.max(left / among).over(everything))
-    target = F.least(F.col("cap"), F.col("level") * F.col("weight"))
+    level = per.agg(F.max(left / (F.col("all_weight") - F.col("before_weight")))).first()[0]
+    target = F.least(F.col("cap"), F.lit(level).cast("double") * F.col("weight"))
     return per.select("source", F.col("source_size").cast("long"), target.alias("target"))
 
 

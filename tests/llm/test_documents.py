@@ -212,6 +212,24 @@ def test_source_targets_share_alike(spark):
     assert got["a"] == 20 and got["b"] == 20 and got["c"] == 0 and got[None] == pytest.approx(140)
 
 
+def test_source_targets_of_many_sources(spark):
+    rng = random.Random(9)
+    rows = [(f"s{i}" if i else None, rng.choice([0, 1, 7, 50, 900])) for i in range(300) for _ in range(2)]
+    got = {r.source: r.target for r in source_targets(spark.createDataFrame(rows, "source string, size long").repartition(6)).collect()}
+    per = Counter()
+    for s, n in rows:
+        per[s] += n
+    order = sorted(per, key=lambda s: (s is None, s))
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}
+    target, open_, left = {}, set(order), 1.5 * sum(per.values())
+    while over := [s for s in open_ if left * weight[s] / sum(weight[x] for x in open_) > 2 * per[s]]:
+        target |= {s: 2.0 * per[s] for s in over}
+        open_ -= set(over)
+        left = 1.5 * sum(per.values()) - sum(target.values())
+    target |= {s: left * weight[s] / sum(weight[x] for x in open_) for s in open_}
+    assert got == pytest.approx(target)
+
+
 def test_mixing_stage(docs, spark, tmp_path):
     docs.write.parquet(str(tmp_path / "d"))
     stored = spark.read.parquet(str(tmp_path / "d"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
 from ..functions.text import flatten, key_in
 from ..thresholds import (
     AUTO_MATCH_DATE_DAYS,
@@ -158,24 +159,43 @@ def agreeing(a: str = "a", b: str = "b") -> Column:
 
 
 def duplicates(invoices: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """invoice, of_invoice, reason: invoices that repeat an earlier one.
+    """invoice, of_invoice, reason: invoices that repeat an earlier one which repeats none itself.
 
     Same vendor, amount and near date with the same or no number decides; two agreeing
-    fields or more are put to the judge, and only a clear no clears them. Of several the
-    earliest sibling, by day and id, is named; invoices are compared with earlier ones.
+    fields or more are put to the judge (verdicts: incoming_id, existing_id, same, reason),
+    and only a clear no clears them. Invoices come in order of day and id and are compared
+    with earlier ones; those already flagged are passed over, so that a third copy points
+    at the original. Of several the earliest is named.
     """
     pairs = _pairs_of_vendor(invoices).where("b.created_on < a.created_on or (b.created_on = a.created_on and b.id < a.id)").withColumn("agreed", agreeing())
     has = lambda name: F.array_contains("agreed", name)
     numberless = F.col("a.invoice_number").isNull() & F.col("b.invoice_number").isNull()
     decisive = has("amount") & has("date") & (has("invoice number") | numberless)
-    judged = pairs.join(verdicts.select(F.col("incoming_id").alias("judged"), "same", F.col("reason").alias("said")), F.col("a.id") == F.col("judged"), "left")
+    said = verdicts.select(F.col("incoming_id").alias("judged"), F.col("existing_id").alias("against"), "same", F.col("reason").alias("said"))
+    judged = pairs.join(said, (F.col("a.id") == F.col("judged")) & (F.col("b.id") == F.col("against")), "left")
     flagged = judged.where(decisive | ((F.size("agreed") >= DUPLICATE_MIN_AGREEING_FIELDS) & F.coalesce(F.col("same") != "NO", F.lit(True))))
     words = F.concat(F.lit("Same "), _readable(F.col("agreed")))
     reason = F.when(decisive, words).when(F.col("same").isNull(), F.concat(words, F.lit(", and we could not check the rest"))).otherwise(F.col("said"))
-    first = flagged.groupBy(F.col("a.id").alias("invoice")).agg(F.min(F.struct(F.col("b.created_on").alias("on"), F.col("b.id").alias("id"), reason.alias("reason"))).alias("first"))
+    links = cut(flagged.select(F.col("a.id").alias("invoice"), F.col("b.id").alias("of_invoice"), F.col("b.created_on").alias("on"), reason.alias("reason")))
+    first = links.join(_originals(links), "of_invoice", "left_semi").groupBy("invoice").agg(F.min(F.struct("on", F.col("of_invoice").alias("id"), "reason")).alias("first"))
     return first.select("invoice", F.col("first.id").alias("of_invoice"), F.col("first.reason").alias("reason"))
 
 
+def _originals(links: DataFrame) -> DataFrame:
+    """of_invoice: those of links (invoice, of_invoice) that link to no original themselves.
+
+    Each round settles the invoices that have no open link: they are originals, and what
+    links to them is flagged. A chain of copies takes a round for every second link.
+    """
+    open_, found = links.select("invoice", "of_invoice"), links.select("of_invoice").limit(0)
+    while not open_.isEmpty():
+        settled = cut(open_.select("of_invoice").distinct().join(open_.select(F.col("invoice").alias("of_invoice")), "of_invoice", "left_anti"))
+        copies = open_.join(settled, "of_invoice", "left_semi").select("invoice").distinct()
+        open_ = cut(open_.join(copies, "invoice", "left_anti").join(copies.withColumnRenamed("invoice", "of_invoice"), "of_invoice", "left_anti"))
+        found = found.unionByName(settled)
+    return found
+
+
 def compare_fields(existing: DataFrame, incoming: DataFrame, pairs: DataFrame) -> DataFrame:
     """A row per field of two invoices, with whether they agree; null where either has none."""
     a, b = existing.alias("e"), incoming.alias("i")

@@ -54,7 +54,11 @@ TABLES = {
         SELECT id + 1000000000 AS id, workspace_id, document_id + 1000000000 AS document_id, vendor_id, vendor_name, vendor_key,
           CASE WHEN id % 100 <> 0 THEN invoice_number END AS invoice_number, invoice_date + CAST(id % 4 AS INT) AS invoice_date,
           CASE WHEN id % 150 = 0 THEN total_minor + 100 ELSE total_minor END AS total_minor, currency, CAST(NULL AS BIGINT) AS transaction_id, created_on + 3 AS created_on
-        FROM first_invoices WHERE id % 50 = 0""",
+        FROM first_invoices WHERE id % 50 = 0
+        UNION ALL
+        SELECT id + 2000000000 AS id, workspace_id, document_id + 2000000000 AS document_id, vendor_id, vendor_name, vendor_key, CAST(NULL AS STRING) AS invoice_number,
+          invoice_date + CAST(id % 4 + 2 AS INT) AS invoice_date, total_minor, currency, CAST(NULL AS BIGINT) AS transaction_id, created_on + 5 AS created_on
+        FROM first_invoices WHERE id % 100 = 0""",
     "requirements": """
         SELECT id, workspace_id, id AS transaction_id,
           CASE id % 8 WHEN 0 THEN 'IDENTIFIED' WHEN 1 THEN 'SEARCHING' WHEN 2 THEN 'EVALUATING' WHEN 3 THEN 'NEEDS_REVIEW' WHEN 4 THEN 'NOT_FOUND' WHEN 5 THEN 'RESOLVED' WHEN 6 THEN 'BLOCKED' ELSE 'FAILED' END AS state,
@@ -112,7 +116,7 @@ TABLES = {
           r.created_on + CAST(j.j * 2 - 7 AS INT) AS received_on, r.created_on AS transaction_date, lower(replace(r.vendor_guess, '#', '')) AS vendor_key,
           concat('AP', r.workspace_id, '@books.example') AS mailbox, CASE WHEN j.j % 3 = 0 THEN 'KEYWORD' ELSE 'VENDOR' END AS pass
         FROM requirements r CROSS JOIN (SELECT 0 AS j UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4 UNION ALL SELECT 5 UNION ALL SELECT 6 UNION ALL SELECT 7) j
-        WHERE r.vendor_guess IS NOT NULL AND r.id % 3 = 0""",
+        WHERE r.vendor_guess IS NOT NULL""",
     "assessments": """
         SELECT r.id AS requirement_id, r.transaction_id, r.id + j.j AS document_id, CASE (r.id + j.j) % 5 WHEN 0 THEN 'UNREADABLE' WHEN 1 THEN 'NOT_AN_INVOICE' ELSE 'EXTRACTED' END AS state,
           CASE WHEN (r.id + j.j) % 4 = 0 THEN 'UNCERTAIN' ELSE 'IS_INVOICE' END AS classification, CASE WHEN (r.id + j.j) % 6 <> 0 THEN r.id + j.j END AS invoice_id,
@@ -125,7 +129,9 @@ TABLES = {
         SELECT id AS invoice_id, CASE WHEN id % 11 <> 0 THEN 'SAME' WHEN id % 4 = 0 THEN 'UNSURE' ELSE 'DIFFERENT' END AS verdict, CASE WHEN id % 11 <> 0 THEN CASE WHEN id % 16 = 2 THEN 1 ELSE 0 END END AS candidate
         FROM invoices WHERE id % 14 <> 0""",
     "duplicate_verdicts": """
-        SELECT id AS incoming_id, CASE id % 3 WHEN 0 THEN 'YES' WHEN 1 THEN 'NO' ELSE 'UNSURE' END AS same, 'The judge says so' AS reason FROM invoices WHERE id % 4 <> 0""",
+        SELECT a.id AS incoming_id, b.id AS existing_id, CASE (a.id + b.id) % 3 WHEN 0 THEN 'YES' WHEN 1 THEN 'NO' ELSE 'UNSURE' END AS same, 'The judge says so' AS reason
+        FROM invoices a JOIN invoices b ON b.workspace_id = a.workspace_id AND b.vendor_id = a.vendor_id AND b.id <> a.id
+          AND (b.invoice_date BETWEEN a.invoice_date - 2 AND a.invoice_date + 2 OR b.total_minor = a.total_minor) WHERE (a.id + b.id) % 4 <> 1""",
 }
 
 
@@ -163,7 +169,8 @@ def oracle(sql: str) -> str:
     body = sql.strip()
     if not head:
         return body
-    recursive = body.upper().startswith("WITH RECURSIVE")
     if body.upper().startswith("WITH"):
         body = ", " + re.sub(r"^WITH( RECURSIVE)?\s", "", body, flags=re.I)
-    return f"WITH {'RECURSIVE ' if recursive else ''}{head}\n{body}"
+    # A CTE with a list of columns may name itself.
+    recursive = "RECURSIVE " if re.search(r"\b\w+\([\w, ]+\) AS \(", body) else ""
+    return f"WITH {recursive}{head}\n{body}"

@@ -105,10 +105,16 @@ dup_pairs AS (
   FROM invoices a JOIN invoices b ON a.vendor_id = b.vendor_id AND a.workspace_id = b.workspace_id AND (b.created_on < a.created_on OR (b.created_on = a.created_on AND b.id < a.id))),
 dup_agreed AS (SELECT *, list_filter(['vendor', CASE WHEN s_total THEN 'amount' END, CASE WHEN s_date THEN 'date' END, CASE WHEN s_number THEN 'invoice number' END], lambda x: x IS NOT NULL) AS agreed,
   s_total AND s_date AND (s_number OR numberless) AS decisive FROM dup_pairs),
-dup_flagged AS (SELECT p.*, v.same, v.reason AS said, 'Same ' || array_to_string(agreed[:-2], ', ') || CASE WHEN len(agreed) > 1 THEN ' and ' ELSE '' END || agreed[-1] AS words
-  FROM dup_agreed p LEFT JOIN duplicate_verdicts v ON v.incoming_id = p.invoice WHERE decisive OR (len(agreed) >= 2 AND coalesce(v.same <> 'NO', true))),
+dup_flagged AS MATERIALIZED (SELECT p.*, v.same, v.reason AS said, 'Same ' || array_to_string(agreed[:-2], ', ') || CASE WHEN len(agreed) > 1 THEN ' and ' ELSE '' END || agreed[-1] AS words
+  FROM dup_agreed p LEFT JOIN duplicate_verdicts v ON v.incoming_id = p.invoice AND v.existing_id = p.of_id WHERE decisive OR (len(agreed) >= 2 AND coalesce(v.same <> 'NO', true))),
+dup_links AS (SELECT o.vendor_id, o.workspace_id, o.id, row_number() OVER (PARTITION BY o.vendor_id, o.workspace_id ORDER BY o.created_on, o.id) AS k, coalesce(f.ofs, []) AS ofs
+  FROM invoices o LEFT JOIN (SELECT invoice, list(of_id) AS ofs FROM dup_flagged GROUP BY 1) f ON f.invoice = o.id WHERE o.vendor_id IS NOT NULL),
+dup_walk(vendor_id, workspace_id, k, originals) AS (SELECT DISTINCT vendor_id, workspace_id, CAST(0 AS BIGINT), CAST([] AS BIGINT[]) FROM dup_links
+  UNION ALL SELECT l.vendor_id, l.workspace_id, l.k, CASE WHEN list_has_any(l.ofs, w.originals) THEN w.originals ELSE list_append(w.originals, l.id) END
+  FROM dup_walk w JOIN dup_links l ON l.vendor_id = w.vendor_id AND l.workspace_id = w.workspace_id AND l.k = w.k + 1),
+dup_originals AS (SELECT unnest(arg_max(originals, k)) AS id FROM dup_walk GROUP BY vendor_id, workspace_id),
 duplicates AS (SELECT invoice, of_id AS of_invoice, CASE WHEN decisive THEN words WHEN same IS NULL THEN words || ', and we could not check the rest' ELSE said END AS reason
-  FROM dup_flagged QUALIFY row_number() OVER (PARTITION BY invoice ORDER BY of_on, of_id) = 1)
+  FROM dup_flagged WHERE of_id IN (SELECT id FROM dup_originals) QUALIFY row_number() OVER (PARTITION BY invoice ORDER BY of_on, of_id) = 1)
 """
 
 
@@ -297,11 +303,11 @@ def format_amounts(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "normalize_descriptions",
-    r"""SELECT doc_id, md5(trim(regexp_replace(lower(text), '[^\p{L}\p{N}\p{M}]+', ' ', 'g'))) AS normalized, trim(regexp_replace(lower(substr(text, 1, 40)), '[^a-z0-9]+', ' ', 'g')) AS knowledge_key FROM documents""",
+    r"""SELECT doc_id, md5(trim(regexp_replace(lower(text), '[^\p{L}\p{N}\p{M}]+', ' ', 'g'))) AS normalized, md5(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'))) AS knowledge_key FROM documents""",
 )
 def normalize_descriptions(spark: SparkSession, d: str) -> DataFrame:
     docs = load(spark, d, "documents")
-    return docs.select("doc_id", F.md5(normalize_description(F.col("text"))).alias("normalized"), F.coalesce(knowledge_key(F.substring("text", 1, 40)), F.lit("")).alias("knowledge_key"))
+    return docs.select("doc_id", F.md5(normalize_description(F.col("text"))).alias("normalized"), F.md5(F.coalesce(knowledge_key(F.col("text")), F.when(F.col("text").isNotNull(), ""))).alias("knowledge_key"))
 
 
 SUFFIX = r"(?:[\s.,]+(?:limited[\s.]+liability[\s.]+partnership|public[\s.]+limited[\s.]+company|private[\s.]+limited|pvt[\s.]+limited|incorporated|private[\s.]+ltd|corporation|pte[\s.]+ltd|pvt[\s.]+ltd|holdings|company|limited|s[\s.]+a[\s.]+r[\s.]+l|gmbh|corp|b[\s.]+v|n[\s.]+v|s[\s.]+a|inc|llc|llp|ltd|plc|co)\.?)+$"

@@ -68,14 +68,14 @@ def _identified(spark: SparkSession, d: str) -> DataFrame:
     """Lines as a few accounts' overlapping statements: coarse days and amounts, so that identities repeat."""
     return load(spark, d, "lines").select(
         "statement_id", "row_index", (F.col("statement_id") % 40).alias("account_id"), F.trunc("value_date", "year").alias("value_date"),
-        (F.col("amount_minor") % 3).alias("amount_minor"), "direction", normalize_description(F.substring("description", 1, 7)).alias("description_normalized"),
+        (F.col("amount_minor") % 3).alias("amount_minor"), "direction", normalize_description(F.col("description")).alias("description_normalized"),
         F.when(F.col("external_reference").isNotNull(), F.concat(F.lit("T"), (F.col("l_partkey") % 50).cast("string"))).alias("external_reference"),
     )
 
 
 IDENTIFIED = """
 WITH identified AS (SELECT statement_id, row_index, statement_id % 40 AS account_id, date_trunc('year', value_date) AS value_date, amount_minor % 3 AS amount_minor, direction,
-  trim(regexp_replace(lower(substr(description, 1, 7)), '[^a-z0-9]+', ' ', 'g')) AS description_normalized, CASE WHEN external_reference IS NOT NULL THEN 'T' || l_partkey % 50 END AS external_reference FROM lines)
+  trim(regexp_replace(lower(description), '[^a-z0-9]+', ' ', 'g')) AS description_normalized, CASE WHEN external_reference IS NOT NULL THEN 'T' || l_partkey % 50 END AS external_reference FROM lines)
 """
 PROMOTED = """, seats AS (SELECT account_id, value_date, amount_minor, direction, description_normalized, NULL AS external_reference, 0 AS tier, nth AS a, 0 AS b, count(*) AS lines FROM (
     SELECT *, row_number() OVER (PARTITION BY account_id, value_date, amount_minor, direction, description_normalized, statement_id ORDER BY row_index) AS nth FROM identified WHERE external_reference IS NULL) GROUP BY ALL),
@@ -99,7 +99,7 @@ KEYS = "account_id, value_date, amount_minor, direction, description_normalized"
     "promote_relink",
     IDENTIFIED.replace("identified AS", "every_line AS") + ", identified AS (SELECT * FROM every_line WHERE statement_id % 3 = 0)" + PROMOTED + f""",
 ledger AS (SELECT *, row_number() OVER (ORDER BY {KEYS}, occurrence_index) AS id FROM promoted),
-incoming AS (SELECT *, CASE WHEN external_reference IS NULL THEN row_number() OVER (PARTITION BY {KEYS}, statement_id, external_reference IS NULL ORDER BY row_index) END AS nth FROM every_line WHERE statement_id % 3 = 1),
+incoming AS (SELECT *, CASE WHEN external_reference IS NULL THEN row_number() OVER (PARTITION BY {KEYS}, statement_id, external_reference IS NULL ORDER BY row_index) END AS nth FROM every_line WHERE statement_id % 3 <> 0),
 held AS (SELECT account_id, external_reference, arg_min(id, occurrence_index) AS by_reference FROM ledger WHERE external_reference IS NOT NULL GROUP BY 1, 2),
 free AS (SELECT *, row_number() OVER (PARTITION BY {KEYS} ORDER BY occurrence_index) AS nth FROM ledger WHERE external_reference IS NULL),
 j AS (SELECT i.*, coalesce(h.by_reference, f.id) AS linked_to, row_number() OVER (PARTITION BY i.statement_id, i.account_id, i.external_reference ORDER BY i.row_index) = 1 AS first_of
@@ -114,7 +114,7 @@ FROM c LEFT JOIN g USING ({KEYS})""",
 def promote_relink(spark: SparkSession, d: str) -> DataFrame:
     rows = _identified(spark, d)
     held = ledger.promote(rows.where("statement_id % 3 = 0")).withColumn("id", F.xxhash64(*ledger.IDENTITY, "occurrence_index"))
-    out = ledger.relink(rows.where("statement_id % 3 = 1"), held)
+    out = ledger.relink(rows.where("statement_id % 3 <> 0"), held)
     return out.select("statement_id", "row_index", "outcome", F.col("linked_to").isNotNull().alias("has_link"), "occurrence_index")
 
 
@@ -147,11 +147,6 @@ def _mapping(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query("csv_grid")
-def csv_grid(spark: SparkSession, d: str) -> DataFrame:
-    return bank_files.csv_grid(_files(spark, d))
-
-
 @query("render_sample")
 def render_sample(spark: SparkSession, d: str) -> DataFrame:
     return walk.render_sample(bank_files.csv_grid(_files(spark, d)))
@@ -177,6 +172,19 @@ skips AS (SELECT statement_id, grid_row AS row_index, reason FROM fated WHERE re
 """
 
 
+@query(
+    "csv_grid",
+    PRINTED + """, money AS (SELECT *, (CAST(m AS BIGINT) // 100) || '.' || lpad(CAST(CAST(m % 100 AS BIGINT) AS VARCHAR), 2, '0') AS amount FROM printed),
+g AS (SELECT statement_id, grid_row AS row_index, [CASE WHEN l_suppkey % 7 = 0 THEN '' ELSE strftime(value_date, '%d/%m/%Y') END, description || ', "x"', CASE WHEN direction = 'DEBIT' THEN amount ELSE '' END,
+    CASE WHEN direction = 'CREDIT' THEN amount ELSE '' END, coalesce(external_reference, '0000')] AS cells FROM money
+  UNION ALL SELECT statement_id, grid_row + 1, ['', 'more of ' || l_suppkey, '', '', ''] FROM printed WHERE l_suppkey % 11 = 0
+  UNION ALL SELECT statement_id, unnest([0, 1, 2]), unnest([['Statement', '', '', '', ''], ['', '', '', '', ''], ['Date', 'Text', 'Debit', 'Credit', 'Ref']]) FROM (SELECT DISTINCT statement_id FROM printed))
+SELECT statement_id, CAST(row_index AS INTEGER) AS row_index, array_to_string(cells, '|') AS cells FROM g""",
+)
+def csv_grid(spark: SparkSession, d: str) -> DataFrame:
+    return bank_files.csv_grid(_files(spark, d)).withColumn("cells", F.array_join("cells", "|"))
+
+
 @query(
     "walk_lines",
     PRINTED + """SELECT f.statement_id, CAST(f.grid_row AS INTEGER) AS row_index, CAST(dated AS VARCHAR) AS value_date, CAST(m AS BIGINT) AS amount_minor, direction, CAST(NULL AS BIGINT) AS balance_minor, external_reference, t.whole AS description

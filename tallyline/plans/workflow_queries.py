@@ -109,8 +109,10 @@ def document_routing(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "invoice_fields",
-    """SELECT id, CASE WHEN id % 5 <> 0 AND id % 7 <> 0 THEN CASE WHEN id % 3 <> 0 THEN amount_minor END END AS total_minor, CASE WHEN id % 4 <> 0 THEN CAST(value_date AS VARCHAR) END AS invoice_date,
-  concat_ws('; ', CASE WHEN id % 5 = 0 THEN 'total: NOT_ON_PAGE' WHEN id % 7 = 0 OR id % 3 = 0 THEN 'total: UNPARSEABLE' END, CASE WHEN id % 4 = 0 THEN 'invoiceDate: UNPARSEABLE' END) AS unparsed,
+    """SELECT id, CASE WHEN id % 5 <> 0 AND id % 7 <> 0 AND id % 3 <> 0 THEN amount_minor END AS total_minor, CASE WHEN id % 5 <> 0 AND id % 7 <> 0 AND id % 3 <> 0 AND id % 2 = 0 THEN amount_minor END AS tax_minor,
+  CASE WHEN id % 5 <> 0 AND id % 7 <> 0 AND id % 3 <> 0 AND id % 11 = 0 THEN amount_minor END AS subtotal_minor, CASE WHEN id % 4 <> 0 THEN CAST(value_date AS VARCHAR) END AS invoice_date,
+  concat_ws('; ', CASE WHEN id % 5 = 0 THEN 'total: NOT_ON_PAGE' WHEN id % 7 = 0 OR id % 3 = 0 THEN 'total: UNPARSEABLE' END, CASE WHEN id % 2 <> 0 THEN NULL WHEN id % 5 = 0 THEN 'tax: NOT_ON_PAGE' WHEN id % 7 = 0 OR id % 3 = 0 THEN 'tax: UNPARSEABLE' END,
+  CASE WHEN id % 11 <> 0 THEN NULL WHEN id % 5 = 0 THEN 'subtotal: NOT_ON_PAGE' WHEN id % 7 = 0 OR id % 3 = 0 THEN 'subtotal: UNPARSEABLE' END, CASE WHEN id % 4 = 0 THEN 'invoiceDate: UNPARSEABLE' END) AS unparsed,
   id % 6 <> 0 AND id % 5 <> 0 AND id % 7 <> 0 AND id % 3 <> 0 AND id % 4 <> 0 AS minimum,
   CASE WHEN id % 13 = 0 THEN 'NOT_AN_INVOICE' WHEN NOT (id % 6 <> 0 AND id % 5 <> 0 AND id % 7 <> 0 AND id % 3 <> 0 AND id % 4 <> 0) THEN 'UNREADABLE' ELSE 'EXTRACTED' END AS state FROM payments""",
 )
@@ -122,10 +124,10 @@ def invoice_fields(spark: SparkSession, d: str) -> DataFrame:
     day = F.when(i % 4 == 0, F.date_format("value_date", "'31 Feb 'yyyy")).otherwise(F.date_format("value_date", "dd MMM yyyy"))
     page = F.concat(F.lit("Invoice "), F.when(i % 5 == 0, "999").otherwise(total), F.lit(" dated "), day)
     readings = load(spark, d, "payments").select(
-        "id", total.alias("total"), F.lit(None).cast("string").alias("tax"), F.lit(None).cast("string").alias("subtotal"), day.alias("date_text"), F.lit("DMY").alias("date_order"), F.when(i % 7 == 0, "XXX").otherwise("usd ").alias("currency"), F.lit(".").alias("decimal_separator"),
+        "id", total.alias("total"), F.when(i % 2 == 0, total).alias("tax"), F.when(i % 11 == 0, total).alias("subtotal"), day.alias("date_text"), F.lit("DMY").alias("date_order"), F.when(i % 7 == 0, "XXX").otherwise("usd ").alias("currency"), F.lit(".").alias("decimal_separator"),
         page.alias("source_text"), F.when(i % 6 != 0, F.col("supplier_name")).alias("legal_name"), F.lit(None).cast("string").alias("trade_name"), F.when(i % 13 == 0, "IS_NOT_INVOICE").otherwise("IS_INVOICE").alias("classification"),
     )
-    return D.invoice_fields(readings).select("id", "total_minor", "invoice_date", "unparsed", "minimum", D.understood(F.col("classification"), F.col("minimum")).alias("state"))
+    return D.invoice_fields(readings).select("id", "total_minor", "tax_minor", "subtotal_minor", "invoice_date", "unparsed", "minimum", D.understood(F.col("classification"), F.col("minimum")).alias("state"))
 
 
 @query(

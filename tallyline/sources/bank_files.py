@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import csv
-import io
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -12,6 +11,8 @@ from pyspark.sql import functions as F
 
 DELIMITERS = (",", ";", "\t", "|")
 SNIFF_LINES = 20
+#: White space that is trimmed off cells: the Unicode spaces, tabs and line ends, and the byte order mark.
+TRIMMED = "\t\n\x0b\x0c\r \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 GRID = "statement_id long, row_index int, cells array<string>"
 
 
@@ -39,10 +40,49 @@ def sniff(text: str) -> str:
     return max(DELIMITERS, key=counts.get)
 
 
+def split_cells(text: str, delimiter: str) -> list[list[str]]:
+    """Rows of trimmed cells. A quote opens anywhere in a cell and closes at the next single quote; within, two stand for one.
+
+    A row ends with CR, LF or both; what follows the last one is a row if it has text or a delimiter.
+    """
+    stop = re.compile(f'["\\r\\n{re.escape(delimiter)}]')
+    rows: list[list[str]] = []
+    row: list[str] = []
+    cell: list[str] = []
+    at, end = 0, len(text)
+    while at < end:
+        m = stop.search(text, at)
+        if m is None:
+            cell.append(text[at:])
+            break
+        cell.append(text[at : m.start()])
+        at = m.end()
+        if m[0] == '"':
+            while True:
+                close = text.find('"', at)
+                cell.append(text[at : close if close >= 0 else end])
+                at = close + 1 if close >= 0 else end
+                if close < 0 or text[at : at + 1] != '"':
+                    break
+                cell.append('"')
+                at += 1
+            continue
+        row.append("".join(cell).strip(TRIMMED))
+        cell = []
+        if m[0] != delimiter:
+            if m[0] == "\r" and text[at : at + 1] == "\n":
+                at += 1
+            rows.append(row)
+            row = []
+    if row or any(cell):
+        rows.append([*row, "".join(cell).strip(TRIMMED)])
+    return rows
+
+
 def rows_of(raw: bytes) -> list[list[str]]:
     """Trimmed cells by row; blank rows stay, and all rows are as wide as the widest."""
     text = decode(raw)
-    rows = [[c.strip() for c in r] or [""] for r in csv.reader(io.StringIO(text, newline=""), delimiter=sniff(text))]
+    rows = split_cells(text, sniff(text))
     width = max(map(len, rows), default=0)
     return [r + [""] * (width - len(r)) for r in rows]
 

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import random
+import re
 from collections import defaultdict
 from datetime import date, timedelta
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tallyline.operators import chain, ledger, matching, report, requirements, retrieval, walk
@@ -171,6 +174,73 @@ def test_csv_grids(spark):
     assert got == {i: rows for i, (_, rows) in FILES.items() if rows}
 
 
+def _one_by_one(text, delimiter):
+    """A reader that takes one character after the other."""
+    rows, row, cell, quoted, i = [], [], "", False, 0
+    while i < len(text):
+        c = text[i]
+        i += 1
+        if quoted and c == '"' and text[i : i + 1] == '"':
+            cell, i = cell + c, i + 1
+        elif c == '"':
+            quoted = not quoted
+        elif quoted or c not in ("\r", "\n", delimiter):
+            cell += c
+        else:
+            row, cell = [*row, cell.strip(bank_files.TRIMMED)], ""
+            if c != delimiter:
+                i += c == "\r" and text[i : i + 1] == "\n"
+                rows, row = [*rows, row], []
+    return [*rows, [*row, cell.strip(bank_files.TRIMMED)]] if row or cell else rows
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.text(alphabet=st.sampled_from(list('a",;\r\n \u00a0x')), max_size=30), st.sampled_from(bank_files.DELIMITERS))
+def test_cells_against_a_reader_of_characters(text, delimiter):
+    assert bank_files.split_cells(text, delimiter) == _one_by_one(text, delimiter)
+
+
+def test_cells_of_odd_files():
+    assert bank_files.rows_of(b'1, "x, y",5\n') == [["1", "x, y", "5"]]
+    assert bank_files.rows_of(b"a," + b"x" * 200_000)[0][1] == "x" * 200_000
+    assert bank_files.rows_of(b'a,b\n""') == [["a", "b"]] and bank_files.rows_of(b'a,b\r"') == [["a", "b"]] and bank_files.rows_of(b"a,b\n,") == [["a", "b"], ["", ""]]
+
+
+def test_third_copies_point_at_the_original(spark):
+    rng = random.Random(4)
+    day = date(2024, 1, 1)
+    rows = [(i, "w", 1, None, day + timedelta(days=d), 500, "EUR", day + timedelta(days=d)) for i, d in ((1, 0), (2, 2), (3, 4))]
+    rows += [(i, "w", rng.randint(2, 4), rng.choice([None, "A-1", "a 1", "B2"]), day + timedelta(days=rng.randint(0, 12)), rng.choice([None, 7, 8]), rng.choice(["EUR", "EUR", None]), day + timedelta(days=rng.randint(0, 9))) for i in range(10, 110)]
+    judged = [(a[0], b[0], rng.choice(["YES", "NO", "NO", "UNSURE"]), f"{a[0]} and {b[0]}") for a in rows for b in rows if a[0] != b[0] and rng.random() < 0.9 and a[0] > 9]
+    judged += [(3, 1, "NO", "no"), (2, 1, "NO", "no")]
+    invoices = spark.createDataFrame([(*r[:3], *r[3:]) for r in rows], "id long, workspace_id string, vendor_id long, invoice_number string, invoice_date date, total_minor long, currency string, created_on date")
+    verdicts = spark.createDataFrame(judged, "incoming_id long, existing_id long, same string, reason string")
+    got = {r.invoice: (r.of_invoice, r.reason) for r in matching.duplicates(invoices, verdicts).collect()}
+    said = {(a, b): (same, reason) for a, b, same, reason in judged}
+    flat = lambda x: re.sub("[^a-z0-9]", "", x.lower())
+    originals, expected = [], {}
+    for r in sorted(rows, key=lambda r: (r[7], r[0])):
+        for o in originals:
+            if o[2] != r[2]:
+                continue
+            total = r[5] is not None and r[6] is not None and (r[5], r[6]) == (o[5], o[6])
+            near = abs((r[4] - o[4]).days) <= 2
+            number = r[3] is not None and o[3] is not None and flat(r[3]) == flat(o[3])
+            agreed = ["vendor", *(n for n, x in (("amount", total), ("date", near), ("invoice number", number)) if x)]
+            words = "Same " + ", ".join(agreed[:-1]) + " and " + agreed[-1]
+            same, reason = said.get((r[0], o[0]), (None, words + ", and we could not check the rest"))
+            if total and near and (number or (r[3] is None and o[3] is None)):
+                expected[r[0]] = (o[0], words)
+            elif len(agreed) > 1 and same != "NO":
+                expected[r[0]] = (o[0], reason)
+            else:
+                continue
+            break
+        else:
+            originals.append(r)
+    assert got == expected and got[2][0] == 1 and 3 not in got and len(got) > 20
+
+
 def test_pdf_grid_columns(spark):
     items = [(1, 0, i * 3 + k, t, x, 700.0 - 12 * i + k, 30.0) for i in range(4) for k, (t, x) in enumerate([(f"d{i}", 10.0), (f"text {i}", 100.0), (f"{i}.00", 201.0 + i % 2)])]
     cells = {(r.row_index, r.column): r.text for r in bank_files.pdf_grid(spark.createDataFrame(items, "doc_id long, page int, seq int, text string, x double, y double, width double")).collect()}

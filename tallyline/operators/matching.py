@@ -124,6 +124,55 @@ def links(decided: DataFrame, invoices: DataFrame) -> DataFrame:
     return joined.select("invoice", "transaction", free.alias("linked"), F.when(~free, "That payment already has an invoice.").alias("reason"))
 
 
+NOT_FOUND = "We couldn't find a payment on your statements that matches this."
+
+
+def outcomes(invoices: DataFrame, primary: DataFrame, documents: DataFrame, candidates: DataFrame, duplicates: DataFrame, decided: DataFrame) -> DataFrame:
+    """What becomes of each invoice, step by step: linked already, bound by its document, a match, a duplicate, or a question.
+
+    A payment that holds an invoice takes no other; of several that want a free one, those
+    the user chose come first, then the smaller id. anchor is the first candidate's
+    payment, judged whether the invoice got as far as a judgement.
+    """
+    tallied = candidates.groupBy("invoice").agg(F.count("*").alias("n"), F.min(F.struct("rank", "transaction", F.array_join(E.sentences(), " · ").alias("words"))).alias("first"))
+    bound = primary.join(documents.select(F.col("id").alias("document_id"), F.col("transaction_id").alias("bound")), "document_id").select(F.col("invoice_id").alias("invoice"), "bound")
+    rows = invoices.select(F.col("id").alias("invoice"), F.col("transaction_id").alias("held")).join(decided, "invoice").join(tallied, "invoice", "left").join(bound, "invoice", "left")
+    rows = rows.join(duplicates.select("invoice", F.col("reason").alias("repeats")), "invoice", "left")
+    rows = rows.withColumn("wants", F.when(F.col("held").isNull(), F.coalesce("bound", "transaction")))
+    # Few invoices want a payment at all; only those are ranked.
+    wanting = rows.where("wants is not null").select("invoice", "wants", F.col("bound").isNull().alias("automatic"))
+    first = Window.partitionBy("wants").orderBy("automatic", "invoice")
+    taken = invoices.where("transaction_id is not null").select(F.col("transaction_id").alias("wants")).distinct()
+    gets = wanting.withColumn("place", F.row_number().over(first)).where("place = 1").join(taken, "wants", "left_anti").select("invoice", F.lit(True).alias("gets"))
+    rows = rows.join(gets, "invoice", "left").withColumn("gets", F.coalesce("gets", F.lit(False)))
+    held, wants, gets_it, repeats = F.col("held").isNotNull(), F.col("wants").isNotNull(), F.col("gets"), F.col("repeats").isNotNull()
+    none = F.col("kind") == "NO_MATCH"
+    return rows.select(
+        "invoice",
+        F.when(held | gets_it, "LINKED").when(wants, "NEEDS_REVIEW").when(repeats, "DUPLICATE").when(none, "NOT_FOUND").otherwise("NEEDS_REVIEW").alias("outcome"),
+        F.when(held, F.col("held")).when(gets_it, F.col("wants")).alias("transaction"),
+        F.when(held | F.col("bound").isNotNull(), 0).otherwise(F.coalesce("n", F.lit(0))).alias("candidates"),
+        F.when(held, "Already linked to a payment.").when(gets_it & F.col("bound").isNotNull(), "You chose this payment.").when(gets_it, F.col("first.words"))
+        .when(wants, "That payment already has an invoice.").when(repeats, F.col("repeats")).when(none, NOT_FOUND).otherwise(F.col("blocked_by")).alias("reason"),
+        F.col("first.transaction").alias("anchor"), (~held & F.col("bound").isNull()).alias("judged"),
+    )
+
+
+def anchor_moves(steps: DataFrame, requirements: DataFrame) -> DataFrame:
+    """requirement_id, before, after: a judged invoice that stays open puts its first candidate's requirement under review; no other moves, and a settled one stays."""
+    asked = steps.where("judged and outcome in ('NEEDS_REVIEW', 'DUPLICATE')").select(F.col("anchor").alias("transaction_id"))
+    moved = requirements.where("method is null and state <> 'NEEDS_REVIEW'").join(asked, "transaction_id", "left_semi")
+    return moved.select(F.col("id").alias("requirement_id"), F.col("state").alias("before"), F.lit("NEEDS_REVIEW").alias("after"))
+
+
+def proposals(decided: DataFrame, candidates: DataFrame, duplicates: DataFrame, adjudications: DataFrame) -> DataFrame:
+    """What matching would do, without linking: the decision, how many candidates, whether it may be a duplicate, and the judge's verdict where there was something to judge."""
+    rows = decided.join(candidates.groupBy("invoice").agg(F.count("*").alias("candidates")), "invoice", "left")
+    rows = rows.join(duplicates.select("invoice", F.lit(True).alias("suspected_duplicate")), "invoice", "left").join(adjudications.select(F.col("invoice_id").alias("invoice"), "verdict"), "invoice", "left")
+    verdict = F.when(F.col("candidates").isNotNull(), F.col("verdict"))
+    return rows.select("invoice", "kind", "blocked_by", F.coalesce("candidates", F.lit(0)).alias("candidates"), F.coalesce("suspected_duplicate", F.lit(False)).alias("suspected_duplicate"), verdict.alias("verdict"))
+
+
 def _readable(fields: Column) -> Column:
     """ "a, b and c"."""
     n = F.size(fields)

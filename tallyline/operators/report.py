@@ -55,6 +55,13 @@ def queue(requirements: DataFrame, transactions: DataFrame, accounts: DataFrame,
     return rows.withColumn("place", F.row_number().over(order))
 
 
+def counts(transactions: DataFrame, questions: DataFrame) -> DataFrame:
+    """Payments processed and questions still open, by workspace."""
+    done = transactions.groupBy("workspace_id").agg(F.count("*").alias("transactions_processed"))
+    asked = questions.where("not answered").groupBy("workspace_id").agg(F.count("*").alias("open_questions"))
+    return done.join(asked, "workspace_id", "full").fillna(0, ["transactions_processed", "open_questions"])
+
+
 def blocked_by_mailbox(requirements: DataFrame, searches: DataFrame) -> DataFrame:
     blocked = requirements.where("state = 'BLOCKED' and method is null").select(F.col("id").alias("requirement_id"))
     return searches.where("outcome = 'NEEDS_REAUTH'").join(blocked, "requirement_id", "left_semi").groupBy("connection_id").agg(F.count("*").alias("blocked"))
@@ -112,3 +119,29 @@ def export_rows(transactions: DataFrame, requirements: DataFrame, accounts: Data
         F.col("why").alias("reason"),
         F.col("document_id").alias("document"),
     )
+
+
+def export_order() -> list[Column]:
+    """By date, then account and description as people order words: lower case first, marks before letters."""
+    return [F.col("date"), F.collate("account", "UNICODE"), F.collate("description", "UNICODE")]
+
+
+def placed(rows: DataFrame) -> DataFrame:
+    """Export rows with their place within the workspace, equal ones by payment."""
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy("workspace_id").orderBy(*export_order(), "transaction_id")))
+
+
+def generated(requests: DataFrame, transactions: DataFrame, name: str = "tallyline-reconciliation") -> DataFrame:
+    """Exports (id, workspace_id, state, requested_on) after a run: such as are GENERATING become READY with the payments they hold and where the file lies.
+
+    Finished and failed ones stay as they are, so a second attempt changes nothing.
+    """
+    held = transactions.groupBy("workspace_id").agg(F.count("*").alias("n"))
+    now = F.col("state") == "GENERATING"
+    filename = F.concat(F.lit(f"{name}-"), F.date_format("requested_on", "yyyy-MM-dd"), F.lit(".xlsx"))
+    key = F.concat(F.lit("workspaces/"), F.col("workspace_id").cast("string"), F.lit("/exports/"), F.col("id").cast("string"), F.lit("/"), filename)
+    rows = requests.join(held, "workspace_id", "left")
+    return rows.select(
+        "id", "workspace_id", F.when(now, "READY").otherwise(F.col("state")).alias("state"), filename.alias("filename"), F.when(now, key).alias("storage_key"),
+        F.when(now, F.coalesce("n", F.lit(0))).alias("transaction_count"), now.alias("generated"),
+    )

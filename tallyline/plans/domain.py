@@ -132,6 +132,32 @@ TABLES = {
         SELECT a.id AS incoming_id, b.id AS existing_id, CASE (a.id + b.id) % 3 WHEN 0 THEN 'YES' WHEN 1 THEN 'NO' ELSE 'UNSURE' END AS same, 'The judge says so' AS reason
         FROM invoices a JOIN invoices b ON b.workspace_id = a.workspace_id AND b.vendor_id = a.vendor_id AND b.id <> a.id
           AND (b.invoice_date BETWEEN a.invoice_date - 2 AND a.invoice_date + 2 OR b.total_minor = a.total_minor) WHERE (a.id + b.id) % 4 <> 1""",
+    "parse_requests": """
+        SELECT id, workspace_id, account_id, CASE WHEN id % 41 = 0 THEN 'XXX' ELSE currency END AS currency, CASE id % 9 WHEN 0 THEN 'FAILED' WHEN 1 THEN 'VALIDATING' ELSE 'PARSING' END AS state,
+          period_start, period_end, id % 43 <> 0 AS stored FROM statements""",
+    "structures": """
+        SELECT s.id AS statement_id, CAST(t.attempt AS INT) AS attempt, s.id % 16 = 0 AS pinned, CAST(1 AS INT) AS header_row, CAST(CASE WHEN s.id % 31 = 0 THEN 1000 ELSE 2 END AS INT) AS first_data_row, CAST(0 AS INT) AS date_column, 'DMY' AS date_order,
+          CAST(5 AS INT) AS reference_column, CAST(CASE WHEN t.attempt = 0 OR s.id % 8 <> 4 THEN 4 END AS INT) AS balance_column, 'DEBIT_CREDIT' AS amount_shape,
+          CAST(CASE WHEN s.id % 4 = 0 AND (t.attempt = 0 OR s.id % 8 = 4) THEN 3 ELSE 2 END AS INT) AS debit_column,
+          CAST(CASE WHEN s.id % (29 - 6 * t.attempt) = 0 THEN NULL WHEN s.id % 4 = 0 AND (t.attempt = 0 OR s.id % 8 = 4) THEN 2 ELSE 3 END AS INT) AS credit_column,
+          CAST(NULL AS INT) AS amount_column, CAST(NULL AS INT) AS indicator_column, '.' AS decimal_separator,
+          CAST(CASE WHEN s.id % 3 <> 0 THEN 1 END AS INT) AS opening_column, CAST(CASE WHEN s.id % 5 <> 0 THEN 3 END AS INT) AS closing_column
+        FROM parse_requests s CROSS JOIN (SELECT 0 AS attempt UNION ALL SELECT 1) t WHERE t.attempt = 0 OR s.id % 4 = 0""",
+    "mapping_answers": """
+        SELECT statement_id, attempt, header_row, CAST(CASE WHEN statement_id % 17 = 3 THEN -1 ELSE first_data_row END AS INT) AS first_data_row, date_column, CASE WHEN statement_id % 19 = 1 THEN 'YDM' ELSE date_order END AS date_order, reference_column,
+          balance_column, CASE statement_id % 10 WHEN 1 THEN 'SIGNED_AMOUNT' WHEN 2 THEN 'AMOUNT_WITH_INDICATOR' WHEN 3 THEN 'BOTH' ELSE amount_shape END AS amount_shape, CASE WHEN statement_id % 20 <> 1 THEN debit_column END AS debit_column,
+          CASE WHEN statement_id % 20 <> 1 THEN credit_column END AS credit_column, CAST(CASE WHEN statement_id % 20 = 1 THEN 2 END AS INT) AS amount_column, indicator_column, decimal_separator
+        FROM structures""",
+    "match_answers": """
+        SELECT id AS invoice_id, CASE id % 5 WHEN 0 THEN 'SAME' WHEN 1 THEN 'UNSURE' WHEN 2 THEN 'DIFFERENT' WHEN 3 THEN 'SAME' ELSE 'PERHAPS' END AS verdict,
+          CAST(CASE WHEN id % 3 = 0 THEN 0 WHEN id % 7 = 1 THEN -1 END AS INT) AS candidate, CASE WHEN id % 11 <> 0 THEN 'Same total' WHEN id % 2 = 0 THEN '' END AS reason FROM invoices""",
+    "payment_answers": """
+        SELECT id AS transaction_id, id % 2 = 0 AS needs_document, CASE WHEN id % 3 <> 0 THEN 'A receipt is needed' END AS reason, id % 5 <> 0 AS confident, CASE WHEN id % 7 = 0 THEN '' WHEN id % 10 = 5 OR id % 13 = 0 THEN 'What was this?' END AS question,
+          CASE WHEN id % 35 = 5 THEN 1 ELSE 2 END AS choices FROM transactions""",
+    "export_requests": """
+        SELECT a.id, a.workspace_id, CASE a.id % 4 WHEN 0 THEN 'READY' WHEN 1 THEN 'FAILED' ELSE 'GENERATING' END AS state, DATE '2024-01-01' + CAST(a.id % 300 AS INT) AS requested_on FROM accounts a""",
+    "mail_documents": """
+        SELECT id AS email_id, requirement_id + id % 3 AS document_id FROM mails WHERE id % 4 <> 1""",
 }
 
 

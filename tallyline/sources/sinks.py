@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.report import export_order
+
 #: The export's columns, in order.
 COLUMNS = ("date", "account", "description", "direction", "amount", "currency", "vendor", "document_needed", "status", "how_resolved", "reason", "document")
 
@@ -17,7 +19,7 @@ def write_export(rows: DataFrame, path: str, origin: str, form: str = "csv") ->
     """
     served = F.lit(origin).rlike("^https?://[^/]+$")
     link = F.when(F.col("document").isNotNull() & served, F.concat(F.lit(f"{origin}/documents/"), F.col("document").cast("string")))
-    ordered = rows.select(*COLUMNS).withColumn("document", link).orderBy("date", "account", "description")
+    ordered = rows.withColumn("document", link).orderBy(*export_order()).select(*COLUMNS)
     writer = ordered.write.mode("overwrite")
     writer.option("header", True).csv(path) if form == "csv" else writer.parquet(path)
 

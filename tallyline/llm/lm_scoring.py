@@ -28,6 +28,7 @@ of probabilities can bear.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -46,8 +47,10 @@ FLUSH, SHARD_EVENTS = 800_000, 1_000_000
 #: Shards beyond so many share partitions; a partition's shards are worked on one after the other.
 MOST_PARTITIONS = 20_000
 HEAVY_SHARE = 512
+#: Shards whose unseen events and word counts meet in one shard of words.
+WORD_SHARDS = 8
 #: Documents of a block in which sums travel.
-BLOCK_BITS = 10
+BLOCK_BITS = 13
 NAMES = np.uint64(16)  # successors are told apart by the upper 48 bits of their hashes, contexts of two words too
 
 PACKED = "kind int, key long, a binary, b binary, c binary, d binary, e binary, f binary, g binary, h binary, i binary"
@@ -163,6 +166,15 @@ def _unsmall(raw: bytes) -> np.ndarray:
     return np.frombuffer(raw, dtype=(np.uint8, np.uint16, np.uint32, np.uint64)[raw[0]], offset=1).astype(np.int64)
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """Sorted int64 with bytes of like weight side by side, which the codecs of files and exchanges shrink."""
+    return np.ascontiguousarray(x.astype(np.int64).view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def _unplanes(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, dtype=np.uint8).reshape(8, -1).T).view(np.int64).ravel()
+
+
 def _pack_names(w: np.ndarray) -> bytes:
     return np.ascontiguousarray((w >> NAMES).view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
 
@@ -253,12 +265,12 @@ def _by_block(docs: np.ndarray, kind: int, *columns: np.ndarray) -> list[tuple]:
     return [(kind, int(block[i]), (docs[i:j] & ((1 << BLOCK_BITS) - 1)).astype(np.uint16).tobytes(), *[_small(c[i:j]) if c.dtype == np.int64 else c[i:j].tobytes() for c in columns]) for i, j in _runs(block)]
 
 
-def _by_word(words: np.ndarray, kind: int, shards: int, *columns: np.ndarray) -> list[tuple]:
-    """Rows (kind, shard of the word, words, columns)."""
+def _by_word(words: np.ndarray, kind: int, shards: int, values: np.ndarray) -> list[tuple]:
+    """Rows (kind, shard of the word, words of 48 bits, values), sorted by value."""
     shard = (mix(words) % np.uint64(shards)).astype(np.int64)
-    order = np.argsort(shard, kind="stable")
+    order = np.lexsort((values, shard))
     shard = shard[order]
-    return [(kind, int(shard[i]), words[order[i:j]].tobytes(), *[c[order[i:j]].tobytes() for c in columns]) for i, j in _runs(shard)]
+    return [(kind, int(shard[i]), _pack_names(words[order[i:j]] << NAMES), _planes(values[order[i:j]])) for i, j in _runs(shard)]
 
 
 def _score_shards(words: np.ndarray, word_counts: np.ndarray, pairs: np.ndarray, pair_counts: np.ndarray, shards: int, discount: float) -> Callable:
@@ -359,13 +371,13 @@ def _unigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each word shard: log10 (c + 1) of the events left to it, summed by document."""
     for _, rows in _grouped(batches):
         table_ = [r for r in rows if r["kind"] == 2]
-        words = np.concatenate([np.frombuffer(r["a"], dtype=np.uint64) for r in table_] or [np.zeros(0, dtype=np.uint64)])
-        counts = np.concatenate([np.frombuffer(r["b"], dtype=np.int64) for r in table_] or [np.zeros(0, dtype=np.int64)])
+        words = np.concatenate([_unpack_names(r["a"]) for r in table_] or [np.zeros(0, dtype=np.uint64)])
+        counts = np.concatenate([_unplanes(r["b"]) for r in table_] or [np.zeros(0, dtype=np.int64)])
         order = np.argsort(words)
         words, counts = words[order], counts[order]
         asked = [r for r in rows if r["kind"] == 1]
         if asked:
-            w, doc = (np.concatenate([np.frombuffer(r[c], dtype=t) for r in asked]) for c, t in (("a", np.uint64), ("b", np.int64)))
+            w, doc = (np.concatenate([unpack(r[c]) for r in asked]) for c, unpack in (("a", _unpack_names), ("b", _unplanes)))
             at = _place(words, w)
             value = np.where(at >= 0, np.log10(counts[at] + 1.0), 0.0) if len(words) else np.zeros(len(w))
             ids, own = np.unique(doc, return_inverse=True)
@@ -376,7 +388,7 @@ def _unigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _sum_blocks(left: np.ndarray, log_size: float) -> Callable:
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = 1 << BLOCK_BITS
-        for block, rows in _grouped(batches):
+        for block, rows in itertools.groupby((r for b in batches for r in b.to_pylist()), key=lambda r: r["key"]):
             sums, ids, null = np.zeros((5, n)), np.zeros(n, dtype=np.int64), np.zeros(n, dtype=bool)
             for r in rows:
                 at = np.frombuffer(r["a"], dtype=np.uint16)
@@ -387,7 +399,7 @@ def _sum_blocks(left: np.ndarray, log_size: float) -> Callable:
                 else:
                     values = [np.frombuffer(r["b"], dtype=np.float64), np.frombuffer(r["c"], dtype=np.float32), *[_unsmall(r[c]) for c in "def"]]
                     for i, x in enumerate(values):
-                        sums[i] += np.bincount(at, x, minlength=n)
+                        sums[i, at] += x  # a row names each document once
             base, score, tokens, known, unseen = sums
             at = np.flatnonzero(tokens)
             yield pa.RecordBatch.from_arrays(
@@ -413,11 +425,12 @@ def lm_scores(docs: DataFrame, train: Column, discount: float = DISCOUNT, shard_
     rows = _prepared(docs, train)
     (words, pairs), (word_counts, pair_counts), events, trained = _heavy(rows)
     shards = max(1, -(-events // shard_events))
+    word_shards = -(-shards // WORD_SHARDS)
     partitions = min(shards, MOST_PARTITIONS)
     packed = rows.mapInArrow(_to_shards(words, pairs, shards), PACKED)
     # Documents' ids are spread over all partitions by their block.
     home = F.pmod("key", F.lit(partitions)).cast("int")
-    scored = packed.repartitionById(partitions, home).sortWithinPartitions("key").mapInArrow(_score_shards(words, word_counts, pairs, pair_counts, shards, discount), PACKED)
+    scored = packed.repartitionById(partitions, home).sortWithinPartitions("key").mapInArrow(_score_shards(words, word_counts, pairs, pair_counts, word_shards, discount), PACKED)
     scored = materialize(scored, "lm-shards")
 
     def statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -436,7 +449,7 @@ def lm_scores(docs: DataFrame, train: Column, discount: float = DISCOUNT, shard_
     # The start counts for the end, which every text has once.
     n_words = sums.get(-1, 0) + int((word_counts > 0).sum())
     left = np.where(pair_counts > 0, np.log10(np.maximum(np.minimum(1.0, discount * kinds / np.maximum(pair_counts, 1)), 1e-300)), 0.0)
-    unigrams = scored.where("kind in (1, 2)").repartitionById(partitions, home).sortWithinPartitions("key").mapInArrow(_unigrams, PACKED)
+    unigrams = scored.where("kind in (1, 2)").repartitionById(min(word_shards, partitions), F.pmod("key", F.lit(min(word_shards, partitions))).cast("int")).sortWithinPartitions("key").mapInArrow(_unigrams, PACKED)
     parts = scored.where("kind in (0, 4, 6)").unionByName(unigrams)
     by_doc = parts.repartition("key").sortWithinPartitions("key").mapInArrow(_sum_blocks(left, float(np.log10(trained + n_words + 1))), "row_id long, doc_id long, n_tokens long, n_known long, base_score double, score double")
     return by_doc.withColumn("train_tokens", F.lit(trained).cast("long"))

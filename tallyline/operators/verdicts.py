@@ -64,6 +64,43 @@ def same_invoice_problems() -> Column:
     return _problems(F.when(~_holds(F.col("same").isin("YES", "UNSURE", "NO")), "same is unknown"), F.when(~_holds(F.col("reason") != ""), "reason is required"))
 
 
+def identification_problems() -> Column:
+    """What a document says of itself: a known kind, a currency of three letters, days as YYYY-MM-DD, each of the last two if any."""
+    day = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"
+    return _problems(
+        F.when(~_holds(F.col("document_kind").isin("BANK_STATEMENT", "CREDIT_CARD_STATEMENT", "SOMETHING_ELSE")), "document_kind is unknown"),
+        F.when(F.length("currency") != 3, "currency must have three letters"),
+        *[F.when(~F.col(c).rlike(day), f"{c} must be a day") for c in ("period_start", "period_end")],
+    )
+
+
+def _printing_problems() -> list[Column]:
+    chosen = {"date_order": ("DMY", "MDY", "YMD"), "decimal_separator": (".", ",")}
+    return [F.when(~_holds(F.col(c).isin(*values)), f"{c} is unknown") for c, values in chosen.items()]
+
+
+def scanned_problems() -> Column:
+    """A row read from a scan, with how its statement prints dates and amounts: a date and a description are texts."""
+    return _problems(*_printing_problems(), *[F.when(F.col(c).isNull(), f"{c} is required") for c in ("date", "description")])
+
+
+def reading_problems() -> Column:
+    """A reading of an invoice: a reason; printed texts and aliases that aren't empty; no amounts and number where it is none; a currency with a total.
+
+    The sentences of the last two are fixed wording.
+    """
+    figures = ("total", "tax", "subtotal", "invoice_number")
+    return _problems(
+        F.when(~_holds(F.col("classification").isin("IS_INVOICE", "UNCERTAIN", "IS_NOT_INVOICE")), "classification is unknown"),
+        F.when(~_holds(F.col("reason") != ""), "reason is required"),
+        *_printing_problems(),
+        *[F.when(F.col(c) == "", f"{c} must not be empty") for c in ("invoice_date", "total", "tax", "subtotal")],
+        F.when(_holds(F.exists("aliases", lambda a: F.coalesce(a == "", F.lit(True)))), "aliases must not be empty"),
+        *[F.when((F.col("classification") == "IS_NOT_INVOICE") & F.col(c).isNotNull(), f"{c} must be null when the document is not an invoice") for c in figures],
+        F.when(F.col("total").isNotNull() & F.col("currency").isNull(), "currency is required when a total was found"),
+    )
+
+
 def usable(rows: DataFrame, problems: Column) -> DataFrame:
     return rows.where(F.size(problems) == 0)
 

@@ -17,6 +17,30 @@ def scan(table: DataFrame, workspace: int | str, where: Column | None = None, li
     return rows if limit is None else rows.limit(limit)
 
 
+def look_up(wanted: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
+    """wanted with the row of table that has the keys: the smallest of several, nulls where there is none."""
+    others = [c for c in table.columns if c not in keys]
+    one = table.groupBy(*keys).agg(F.min(F.struct(*others)).alias("row"))
+    return wanted.join(one, keys, "left").select(*wanted.columns, F.col("row").isNotNull().alias("found"), *[F.col("row")[c].alias(c) for c in others])
+
+
+def open_workspaces(workspaces: DataFrame, requests: DataFrame) -> DataFrame:
+    """requests (user_id, workspace_id) with allowed: whether the workspace is there and the user's own."""
+    own = workspaces.select(F.col("id").alias("workspace_id"), F.col("owner_id").alias("user_id"), F.lit(True).alias("own"))
+    return requests.join(own, ["workspace_id", "user_id"], "left").select(*requests.columns, F.coalesce("own", F.lit(False)).alias("allowed"))
+
+
+def list_workspaces(workspaces: DataFrame, users: DataFrame) -> DataFrame:
+    """user_id, workspace_id, name: what each user may open."""
+    return users.select("user_id").join(workspaces, F.col("owner_id") == F.col("user_id")).select("user_id", F.col("id").alias("workspace_id"), "name")
+
+
+def create_workspaces(requests: DataFrame) -> DataFrame:
+    """requests (id, owner_id, name) with the trimmed name and a refusal where nothing of it is left."""
+    named = requests.withColumn("name", js_trim(F.coalesce("name", F.lit(""))))
+    return named.select("id", "owner_id", F.when(F.col("name") != "", F.col("name")).alias("name"), F.when(F.col("name") == "", "A workspace needs a name").alias("refusal"))
+
+
 def upsert(table: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
     """table with the rows of changes in place of those of the same keys. Keys of changes are unique."""
     return table.join(changes.select(*keys), keys, "left_anti").unionByName(changes)
@@ -34,6 +58,12 @@ def delete(table: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
     return table.join(gone.select(*keys), keys, "left_anti")
 
 
+def text_extent(items: DataFrame, key: str) -> DataFrame:
+    """items (key, page, text) -> pages, characters of trimmed texts, has_digit: what the routes go by."""
+    size = F.sum(F.coalesce(F.length(js_trim(F.col("text"))), F.lit(0)))
+    return items.groupBy(key).agg(F.countDistinct("page").alias("pages"), size.alias("characters"), F.coalesce(F.bool_or(F.col("text").rlike("[0-9]")), F.lit(False)).alias("has_digit"))
+
+
 def statement_route(media_type: Column, pages: Column, characters: Column, rows: Column) -> Column:
     """TEXT for what isn't a PDF and for a PDF with three rows and 200 characters a page, else SCANNED."""
     usable = (pages > 0) & (rows >= 3) & (characters >= 200 * pages)
@@ -92,6 +122,13 @@ def record_answers(questions: DataFrame, answers: DataFrame) -> DataFrame:
     return rows.select("id", recorded.alias("recorded"), F.when(recorded, F.col("a.answer")).alias("answer"), F.when(recorded, F.col("transaction_id")).alias("judge_again"), F.when(recorded, knowledge_key(F.col("vendor_guess"))).alias("learned_key"))
 
 
+def fetched_from(documents: DataFrame) -> DataFrame:
+    """document_id, connection_id, message_id of the documents that a mailbox brought, by the paths of their source_metadata (JSON); what names no message is left out."""
+    path = lambda name: F.get_json_object("source_metadata", f"$.{name}")
+    found = documents.where("source = 'GMAIL'").select(F.col("id").alias("document_id"), path("gmailConnectionId").alias("connection_id"), path("gmailMessageId").alias("message_id"))
+    return found.where("connection_id is not null and message_id is not null")
+
+
 def reuse_messages(mails: DataFrame, fetched: DataFrame) -> DataFrame:
     """mail id -> the documents it already brought, and by which way.
 

@@ -154,6 +154,20 @@ TABLES = {
     "payment_answers": """
         SELECT id AS transaction_id, id % 2 = 0 AS needs_document, CASE WHEN id % 3 <> 0 THEN 'A receipt is needed' END AS reason, id % 5 <> 0 AS confident, CASE WHEN id % 7 = 0 THEN '' WHEN id % 10 = 5 OR id % 13 = 0 THEN 'What was this?' END AS question,
           CASE WHEN id % 35 = 5 THEN 1 ELSE 2 END AS choices FROM transactions""",
+    "workspaces": """
+        SELECT n_nationkey AS id, n_regionkey AS owner_id, n_name AS name FROM nation""",
+    "identification_answers": """
+        SELECT id AS statement_id, CASE id % 4 WHEN 0 THEN 'BANK_STATEMENT' WHEN 1 THEN 'CREDIT_CARD_STATEMENT' WHEN 2 THEN 'SOMETHING_ELSE' ELSE 'LEASE' END AS document_kind,
+          CASE WHEN id % 5 = 0 THEN 'USDX' WHEN id % 5 <> 1 THEN currency END AS currency, CASE WHEN id % 7 = 0 THEN '2024-1-5' WHEN id % 7 <> 1 THEN '2024-01-05' END AS period_start,
+          CASE WHEN id % 6 = 0 THEN '31/01/2024' ELSE '2024-01-31' END AS period_end FROM statements""",
+    "scanned_answers": """
+        SELECT statement_id, row_index, CASE WHEN statement_id % 5 = 0 THEN 'DYM' ELSE 'DMY' END AS date_order, CASE WHEN statement_id % 7 = 0 THEN ';' ELSE '.' END AS decimal_separator,
+          CASE WHEN row_index % 3 <> 0 THEN '01/02/2024' END AS date, CASE WHEN l_partkey % 4 <> 0 THEN description END AS description FROM lines""",
+    "invoice_answers": """
+        SELECT id AS document_id, CASE id % 4 WHEN 0 THEN 'IS_INVOICE' WHEN 1 THEN 'UNCERTAIN' WHEN 2 THEN 'IS_NOT_INVOICE' ELSE 'MAYBE' END AS classification,
+          CASE WHEN id % 9 <> 0 THEN 'It says so' WHEN id % 2 = 0 THEN '' END AS reason, 'DMY' AS date_order, '.' AS decimal_separator, CASE WHEN id % 3 <> 0 THEN 'N1' END AS invoice_number,
+          CASE WHEN id % 8 = 0 THEN '' WHEN id % 8 <> 1 THEN '1 May' END AS invoice_date, CASE WHEN id % 5 = 0 THEN '10.00' WHEN id % 5 = 1 THEN '' END AS total,
+          CASE WHEN id % 7 = 0 THEN '1.00' END AS tax, CASE WHEN id % 11 = 0 THEN '9.00' END AS subtotal, CASE WHEN id % 6 <> 0 THEN 'USD' END AS currency, id % 10 = 0 AS blank_alias FROM supporting_documents""",
     "export_requests": """
         SELECT a.id, a.workspace_id, CASE a.id % 4 WHEN 0 THEN 'READY' WHEN 1 THEN 'FAILED' ELSE 'GENERATING' END AS state, DATE '2024-01-01' + CAST(a.id % 300 AS INT) AS requested_on FROM accounts a""",
     "mail_documents": """

@@ -5,9 +5,11 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 DELIMITERS = (",", ";", "\t", "|")
 SNIFF_LINES = 20
@@ -122,23 +124,31 @@ LINE_TOLERANCE, EDGE_TOLERANCE = 3.0, 2
 SUPPORT_RATIO, MINIMUM_SUPPORT = 0.08, 2
 
 
+@F.pandas_udf(ArrayType(IntegerType()))
+def _lines(heights: pd.Series) -> pd.Series:
+    """The line of each height of a page, from the top down."""
+
+    def number(page: np.ndarray) -> list[int]:
+        out, top, line = [], None, -1
+        for y in page.tolist():
+            if top is None or y is None or not abs(top - y) <= LINE_TOLERANCE:
+                top, line = y, line + 1
+            out.append(line)
+        return out
+
+    return heights.map(number)
+
+
 def pdf_lines(items: DataFrame) -> DataFrame:
     """items (doc_id, page, seq, text, x, y, width) with their line: from the top, a line takes what is within 3 of its first item.
 
     Whether an item starts a line depends on where the line before it started, so each
-    page is folded in order; a page is all that is ever held.
+    page is gone through in order, once; the heights of a page are all that leaves the JVM.
     """
     shown = items.where(F.trim("text") != "")
     page = F.array_sort(F.collect_list(F.struct((-F.col("y")).alias("down"), "seq", "text", "x", "y", "width")))
     pages = shown.groupBy("doc_id", "page").agg(page.alias("items"))
-    start = F.struct(F.lit(None).cast("double").alias("top"), F.lit(-1).alias("line"), F.array().cast("array<int>").alias("lines"))
-
-    def step(s: Column, i: Column) -> Column:
-        same = F.coalesce(F.abs(s["top"] - i["y"]) <= LINE_TOLERANCE, F.lit(False))
-        line = F.when(same, s["line"]).otherwise(s["line"] + 1)
-        return F.struct(F.when(same, s["top"]).otherwise(i["y"]).alias("top"), line.alias("line"), F.concat(s["lines"], F.array(line)).alias("lines"))
-
-    numbered = pages.withColumn("lines", F.aggregate("items", start, step)["lines"])
+    numbered = pages.withColumn("lines", _lines(F.transform("items", lambda i: i["y"])))
     zipped = numbered.select("doc_id", "page", F.explode(F.arrays_zip("items", "lines")).alias("z"))
     return zipped.select("doc_id", "page", F.col("z.lines").alias("line"), "z.items.seq", "z.items.text", "z.items.x", "z.items.width")
 

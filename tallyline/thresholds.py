@@ -9,6 +9,7 @@ DUPLICATE_MIN_AGREEING_FIELDS = 2
 DUPLICATE_DATE_DAYS = 2
 SEARCH_WINDOW_DAYS = 7
 MAX_MESSAGES_FETCHED = 5
+RESULTS_PER_PASS = 25
 BATCH_SIZE = 20
 MAX_CONTINUATION_DISTANCE = 2
 

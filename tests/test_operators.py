@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tallyline.operators import chain, ledger, matching, report, requirements, retrieval, walk
+from tallyline.operators import chain, ledger, matching, report, requirements, retrieval, verdicts, walk, workflow
 from tallyline.sources import bank_files
 
 
@@ -290,3 +290,55 @@ def test_search_names_come_from_aliases_in_descriptions(spark):
     vendors = spark.createDataFrame([(7, 1, "Acme", "Acme Ltd"), (8, 1, "Zeta", None), (9, 1, "No", "No"), (7, 2, "Far", "Far")], "id long, workspace_id long, name string, legal_name string")
     got = {r.id: r.names for r in retrieval.search_names(requirements, transactions, aliases, vendors).collect()}
     assert got == {1: ["Acme", "Acme Ltd", "Acme Stores"], 2: [" ACME ", "Acme Ltd", "Acme Stores", "Zeta", "Z"], 3: ["Other"], 4: [], 5: ["x"]}
+
+
+def test_search_results_cap_and_first_pass(spark):
+    rows = [(1, "KEYWORD", f"m{i:02}", i) for i in range(26)] + [(1, "VENDOR", "m25", 25), (1, "VENDOR", "m25", 3), (1, "VENDOR", "x", 1), (2, "KEYWORD", "m01", 1), (2, "KEYWORD", "m02", 1)]
+    found = spark.createDataFrame(rows, "search int, pass string, message_id string, received_on int")
+    got = {(r.search, r.message_id): (r["pass"], r.truncated) for r in retrieval.search_results(found, ["search"]).collect()}
+    first = {(1, f"m{i:02}"): ("KEYWORD", True) for i in range(1, 25)} | {(1, "m25"): ("VENDOR", True), (1, "x"): ("VENDOR", True)}
+    assert got == first | {(2, "m01"): ("KEYWORD", False), (2, "m02"): ("KEYWORD", False)}
+    assert {r.message_id for r in retrieval.search_results(found.where("search = 2"), ["search"], 1).collect()} == {"m01"}
+
+
+def test_lookups_and_workspaces(spark):
+    table = spark.createDataFrame([(1, 1, "b"), (1, 1, "a"), (2, 1, None), (3, None, "n")], "id int, workspace_id int, name string")
+    wanted = spark.createDataFrame([(10, 1, 1), (11, 2, 1), (12, 3, None), (13, 9, 1)], "request int, id int, workspace_id int")
+    got = {r.request: (r.found, r.name) for r in workflow.look_up(wanted, table, ["id", "workspace_id"]).collect()}
+    assert got == {10: (True, "a"), 11: (True, None), 12: (False, None), 13: (False, None)}
+    spaces = spark.createDataFrame([(1, 7, "Books")], "id int, owner_id int, name string")
+    asked = spark.createDataFrame([(7, 1), (8, 1), (7, 2), (None, 1)], "user_id int, workspace_id int")
+    assert [(r.user_id, r.workspace_id) for r in workflow.open_workspaces(spaces, asked).where("allowed").collect()] == [(7, 1)]
+    made = workflow.create_workspaces(spark.createDataFrame([(1, 7, " A\u00a0"), (2, 7, "\u3000\t"), (3, 7, None)], "id int, owner_id int, name string")).orderBy("id").collect()
+    assert [(r.name, r.refusal is None) for r in made] == [("A", True), (None, False), (None, False)]
+
+
+def test_documents_by_the_paths_of_their_metadata(spark):
+    rows = [(1, "GMAIL", '{"gmailConnectionId":"5","gmailMessageId":"m"}'), (2, "MANUAL_UPLOAD", '{"gmailConnectionId":"5","gmailMessageId":"m"}'), (3, "GMAIL", '{"gmailMessageId":"m"}'), (4, "GMAIL", "not json"), (5, "GMAIL", None)]
+    got = workflow.fetched_from(spark.createDataFrame(rows, "id int, source string, source_metadata string")).collect()
+    assert [tuple(r) for r in got] == [(1, "5", "m")]
+
+
+def test_answers_without_values(spark):
+    """Nulls where a value is required are problems, and nothing else is."""
+    columns = "document_kind currency period_start period_end date_order decimal_separator date description classification reason invoice_date total tax subtotal invoice_number"
+    nothing = spark.createDataFrame([(None,) * 16], ", ".join(f"{c} string" for c in columns.split()) + ", aliases array<string>")
+    said = lambda problems: nothing.select(problems).first()[0]
+    assert said(verdicts.identification_problems()) == ["document_kind is unknown"]
+    assert said(verdicts.scanned_problems()) == ["date_order is unknown", "decimal_separator is unknown", "date is required", "description is required"]
+    assert said(verdicts.reading_problems()) == ["classification is unknown", "reason is required", "date_order is unknown", "decimal_separator is unknown"]
+
+
+def test_pdf_lines_against_a_loop(spark):
+    random.seed(4)
+    items = [(d, p, s, "t", 0.0, float(random.randint(0, 60)), 1.0) for d in range(3) for p in range(2) for s in range(80)]
+    wanted = {}
+    for d in range(3):
+        for p in range(2):
+            top, line = None, -1
+            for y, s in sorted((-i[5], i[2]) for i in items if i[:2] == (d, p)):
+                if top is None or abs(top + y) > 3:
+                    top, line = -y, line + 1
+                wanted[d, p, s] = line
+    got = bank_files.pdf_lines(spark.createDataFrame(items, "doc_id long, page int, seq int, text string, x double, y double, width double")).collect()
+    assert {(r.doc_id, r.page, r.seq): r.line for r in got} == wanted

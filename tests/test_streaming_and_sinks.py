@@ -25,6 +25,16 @@ def test_files_that_arrive_twice_add_nothing(spark, tmp_path):
     assert ledger.promote(stored_lines(spark, table)).count() > 0
 
 
+def test_batches_of_many_ranges(spark, tmp_path, monkeypatch):
+    table = str(tmp_path / "table")
+    rows = _lines(spark, 1, 3).unionByName(_lines(spark, 150_000, 2)).unionByName(_lines(spark, -5, 1))
+    take_in(table)(rows, 0)
+    take_in(table)(rows.unionByName(_lines(spark, 150_000, 4)), 1)
+    monkeypatch.setattr("tallyline.streaming.ingest.MOST_RANGES", 1)
+    take_in(table)(rows.unionByName(_lines(spark, 150_001, 4)), 2)
+    assert sorted((r.batch, r["count"]) for r in stored_lines(spark, table).groupBy("batch").count().collect()) == [(0, 6), (1, 2), (2, 4)]
+
+
 def test_export_files(spark, tmp_path):
     rows = spark.createDataFrame([("2024-01-02", "b", "d", "Debit", 1.5, "USD", None, "Yes", None, None, None, 7), ("2024-01-01", "a", "d", "Debit", 2.0, "USD", None, "Yes", None, None, None, None)], ", ".join(f"{c} {'double' if c == 'amount' else 'long' if c == 'document' else 'string'}" for c in COLUMNS))
     write_export(rows, str(tmp_path / "x"), "https://books.example")

@@ -181,7 +181,17 @@ def search_queries(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "requirements").select("id", start.alias("start"), end.alias("end"), after.alias("after_epoch"), before.alias("before_epoch"), T.vendor_query(after, before, names).alias("vendor_query"), T.keyword_query(after, before).alias("keyword_query"))
 
 
-@query("vendor_searches")
+@query(
+    "vendor_searches",
+    """WITH v AS (SELECT DISTINCT workspace_id, supplier, supplier_name FROM payments),
+said AS (SELECT r.id, r.workspace_id, regexp_replace(t.description_normalized, '[^a-z0-9]', '', 'g') AS said FROM requirements r JOIN transactions t ON t.id = r.transaction_id AND t.workspace_id = r.workspace_id),
+meant AS (SELECT DISTINCT s.id, v.supplier, v.supplier_name, a.alias_normalized FROM said s JOIN v ON v.workspace_id = s.workspace_id JOIN aliases a ON a.vendor_id = v.supplier WHERE contains(s.said, a.alias_normalized)),
+named AS (SELECT id, -1 AS vendor, 0 AS kind, vendor_guess AS name FROM requirements WHERE vendor_guess IS NOT NULL UNION ALL SELECT id, supplier, 0, supplier_name FROM meant UNION ALL SELECT id, supplier, 2, alias_normalized FROM meant),
+firsts AS (SELECT * FROM named QUALIFY row_number() OVER (PARTITION BY id, lower(name) ORDER BY vendor, kind) = 1),
+terms AS (SELECT id, string_agg('"' || name || '"' || CASE WHEN regexp_full_match(name, '[A-Za-z0-9.-]+') THEN ' OR from:' || name ELSE '' END, ' OR ' ORDER BY vendor, kind) AS terms FROM firsts GROUP BY 1),
+w AS (SELECT id, date_diff('day', DATE '1970-01-01', created_on - 7) * 86400 AS a, (date_diff('day', DATE '1970-01-01', created_on + 7) + 1) * 86400 AS b FROM requirements)
+SELECT w.id, 'after:' || a || ' before:' || b || ' has:attachment filename:pdf (' || terms || ')' AS vendor_query FROM w LEFT JOIN terms USING (id)""",
+)
 def vendor_searches(spark: SparkSession, d: str) -> DataFrame:
     """The searches for all names of a payment's vendors; aliases are known in the workspaces that pay their vendor."""
     payments, requirements = load(spark, d, "payments"), load(spark, d, "requirements")

@@ -12,10 +12,10 @@ CHUNK_BYTES = 1 << 20
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, *range(9, 14)]] = True
-_LETTER = np.random.default_rng(20).integers(0, 1 << 63, 256, dtype=np.uint64)
-_LETTER[65:91] = _LETTER[97:123]
-_STEP = 0x9E3779B97F4A7C15 | 1
-_BACK = pow(_STEP, -1, 1 << 64)
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] = _LOWER[97:123]
+#: What is left of eight bytes, by how many of them belong to a word.
+_LEFT = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -24,18 +24,26 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, dtype=np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
+def _hashed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Of words data[start:end], none of them empty: eight bytes at a time are mixed with their place, then summed.
+
+    The place goes through ``mix`` as well, so no choice of like letters at like distances
+    cancels out, as it does in polynomials modulo a power of two.
+    """
+    size = ends - starts
+    blocks = (size + 7) >> 3
+    first = np.cumsum(blocks) - blocks
+    place = np.arange(int(blocks.sum())) - np.repeat(first, blocks)
+    padded = np.append(_LOWER[data], np.zeros(8, dtype=np.uint8))
+    eights = np.ndarray((len(data) + 1,), dtype="<u8", buffer=padded, strides=(1,))
+    own = eights[np.repeat(starts, blocks) + 8 * place] & _LEFT[np.minimum(8, np.repeat(size, blocks) - 8 * place)]
+    mixed = mix(own + mix(place.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)))
+    return mix(np.add.reduceat(mixed, first) + size.astype(np.uint64)) if len(first) else mixed
 
 
 class WordHasher:
     """Words are runs of other than U+0020 and U+0009-U+000D, A-Z in lower case."""
 
-    def __init__(self):
-        self.up, self.down = _powers(_STEP, CHUNK_BYTES), _powers(_BACK, CHUNK_BYTES)
-
     def chunks(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(word hashes of some texts, where each text's words begin and end), in order; null texts have none."""
         texts = texts.cast(pa.large_binary())
@@ -49,8 +57,6 @@ class WordHasher:
 
     def _chunk(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n = len(data)
-        if n > len(self.up):
-            self.up, self.down = _powers(_STEP, n), _powers(_BACK, n)
         space = _SPACE[data]
         fresh = np.ones(n + 1, dtype=bool)  # a text begins, or the byte before is white space
         fresh[1:] = np.append(space[:-1], True) if n else []
@@ -60,7 +66,4 @@ class WordHasher:
         ended[offsets[1:]] = True
         ends = np.flatnonzero(ended)
         ends = ends[np.searchsorted(ends, starts, "right")] if len(starts) else starts
-        # A word's polynomial is a difference of running sums, moved back to its first byte.
-        sums = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum(_LETTER[data] * self.up[:n], out=sums[1:])
-        return mix((sums[ends] - sums[starts]) * self.down[starts]), np.searchsorted(starts, offsets)
+        return _hashed(data, starts, ends), np.searchsorted(starts, offsets)

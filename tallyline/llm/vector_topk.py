@@ -42,9 +42,14 @@ NO_ID = np.iinfo(np.int64).max
 
 
 def quantize(embedding: Column) -> Column:
-    """floor(256 * x) of each component; null unless all components are finite numbers."""
-    fine = F.forall(embedding, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf")))
-    return F.when(embedding.isNotNull() & fine, F.transform(embedding, lambda x: F.floor(x.cast("double") * 256).cast("long")))
+    """floor(256 * x) of each component, as whole doubles of any size; null unless all components are finite numbers.
+
+    A component above 7e305, whose 256-fold isn't a finite double, counts as non-finite.
+    """
+    fine = F.forall(embedding, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double") * 256) < float("inf")))
+    # From 2**53 on every double is whole.
+    floor = lambda y: F.when(F.abs(y) < 2.0**53, F.floor(y).cast("double")).otherwise(y)
+    return F.when(embedding.isNotNull() & fine, F.transform(embedding, lambda x: floor(x.cast("double") * 256)))
 
 
 def _pivots(vectors: DataFrame, sample: int, pivots: int) -> dict[int, np.ndarray]:
@@ -94,12 +99,20 @@ def _rows(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
         yield from b.to_pylist()
 
 
-def _products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Exact integer products: floats where no sum can leave 2**53."""
-    q, x = q.astype(np.int64), x.astype(np.int64)
-    if q.size and x.size and float(np.abs(q).max()) * float(np.abs(x).max()) * q.shape[1] < 2**53:
+def exact_products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Exact products of whole numbers, as longs; those beyond a long become the nearest long.
+
+    Floats where no sum can leave 2**53, longs where none can leave 2**63, and otherwise
+    Python's integers.
+    """
+    most = float(np.abs(q.astype(np.float64)).max(initial=0)) * float(np.abs(x.astype(np.float64)).max(initial=0)) * max(1, q.shape[1])
+    if most < 2.0**53:
         return (q.astype(np.float64) @ x.astype(np.float64).T).astype(np.int64)
-    return q @ x.T
+    if most < 2.0**62:
+        return q.astype(np.int64) @ x.astype(np.int64).T
+    whole = lambda m: np.array([[int(c) for c in r] for r in m.tolist()], dtype=object).reshape(m.shape)
+    limit = np.iinfo(np.int64)
+    return np.minimum(np.maximum(whole(q) @ whole(x).T, limit.min), limit.max).astype(np.int64)
 
 
 def _types(schema: str) -> list[pa.DataType]:
@@ -167,17 +180,18 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, sample: int = SAMPLE
     null or non-finite components are neither queries nor candidates; vectors of
     different dimensions don't meet. Repeated rows count as rows of their own: a query's
     own row is left out, its copies are not. A query with fewer than k candidates gets
-    them all; an empty table gives an empty result. Other columns are ignored.
+    them all; scores beyond a long count as the nearest long; an empty table gives an
+    empty result. Other columns are ignored.
     """
     spark = vectors.sparkSession
     rows = vectors.select("vec_id", quantize(F.col("embedding")).alias("v"), F.coalesce(is_query, F.lit(False)).alias("query"))
     rows = materialize(rows.where("v is not null").withColumn("row_id", F.monotonically_increasing_id()), "vectors")
-    square = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x)
+    square = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
     most = F.max(F.greatest(F.array_max("v"), -F.array_min("v")))
     stats = rows.groupBy(F.size("v").alias("dim")).agg(F.max(square).alias("longest"), most.alias("most"), F.count("*").alias("n"), F.count_if("query").alias("queries")).collect()
     geometry = Geometry(_pivots(rows, sample, pivots), {r["dim"]: r["longest"] for r in stats})
     n, largest = sum(r["n"] for r in stats), max((r["most"] or 0 for r in stats), default=0)
-    kind = next((k for k in ("<i2", "<i4") if largest <= np.iinfo(k).max), "<i8")
+    kind = next((k for k in ("<i2", "<i4", "<i8") if largest < np.iinfo(k).max), "<f8")
     size = max(INDEX_BLOCK, -(-n // MAX_BLOCKS))
     index = materialize(_blocks(_key(rows, geometry, kind), size, max(1, -(-n // size))), "vector-index")
     asked = _key(rows.where("query"), geometry, kind)
@@ -217,7 +231,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, sample: int = SAMPLE
                 for x in r["found"] or []:
                     least[x["place"]] = x["least"]
                 reach = np.where(least == np.iinfo(np.int64).min, np.inf, geometry.radius(q, least.astype(np.float64)))
-                wanted = gap <= reach[:, None]
+                wanted = ~(gap > reach[:, None])  # distances that overflow rule nothing out
                 np.put_along_axis(wanted, near, False, 1)
             else:
                 wanted = np.zeros(gap.shape, dtype=bool)
@@ -238,7 +252,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, sample: int = SAMPLE
                 continue
             at, least = np.frombuffer(r["places"], dtype=np.int32), np.frombuffer(r["least"], dtype=np.int64)
             q_ids, q_own = np.frombuffer(r["vec_ids"], dtype=np.int64), np.frombuffer(r["row_ids"], dtype=np.int64)
-            scores = _products(_matrix(r["vs"], kind, r["n"], r["dim"]), x)
+            scores = exact_products(_matrix(r["vs"], kind, r["n"], r["dim"]), x)
             allowed = (own[None] != q_own[:, None]) & (scores >= least[:, None])
             out = []
             for i in range(len(at)):
@@ -246,7 +260,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, sample: int = SAMPLE
                 if len(c) > k:
                     edge = np.partition(scores[i, c], len(c) - k)[len(c) - k]
                     c = c[scores[i, c] >= edge]
-                c = c[np.lexsort((ids[c], -scores[i, c]))][:k]
+                c = c[np.lexsort((ids[c], ~scores[i, c]))][:k]
                 out += [(r["queries"], int(at[i]), int(q_ids[i]), int(ids[j]), int(scores[i, j])) for j in c]
             columns = list(zip(*out, strict=True)) if out else [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _types(hit), strict=True)], names=["queries", "place", "query_id", "vec_id", "score"])

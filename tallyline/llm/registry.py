@@ -5,6 +5,7 @@ from __future__ import annotations
 from .chat_format import OP8_SQL, op8
 from .exact_dedup import OP3_SQL, op3
 from .fill_middle import OP12_SQL, op12
+from .hard_negatives import OP11_SQL, op11
 from .html_extract import op4
 from .lm_scoring import op6
 from .mixing import op10
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_chat_format": op8,
     "op9_vector_topk": op9,
     "op10_mixing": op10,
+    "op11_hard_negatives": op11,
     "op12_fill_middle": op12,
 }
-ORACLES = {"op2_ngram_join": OP2_SQL, "op3_exact_dedup": OP3_SQL, "op7_url_filter": OP7_SQL, "op8_chat_format": OP8_SQL, "op9_vector_topk": OP9_SQL, "op12_fill_middle": OP12_SQL}
+ORACLES = {"op2_ngram_join": OP2_SQL, "op3_exact_dedup": OP3_SQL, "op7_url_filter": OP7_SQL, "op8_chat_format": OP8_SQL, "op9_vector_topk": OP9_SQL, "op11_hard_negatives": OP11_SQL, "op12_fill_middle": OP12_SQL}

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from hypothesis import given, settings
@@ -12,9 +14,11 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tallyline.llm.fill_middle import CODE_POINT, cut, fill_in_middle, restored
+from tallyline.llm.hard_negatives import Slices, hard_negatives, scores
 from tallyline.llm.hashing import WordHasher
 from tallyline.llm.lm_scoring import lm_scores
 from tallyline.llm.ngram_join import ngram_join
+from tallyline.llm.vector_topk import top_k
 
 
 def _thue_morse(bits: int) -> tuple[str, str]:
@@ -79,3 +83,85 @@ def test_cuts_lie_behind_units(text, pattern, rng):
     ends[n] = len(text)
     low, high = sorted(rng.randint(0, n) for _ in range(2))
     assert cut(text, n, low, high, re.compile(pattern)) == (ends[low], ends[high])
+
+
+LONG = 2**63
+
+
+def _vectors(rows):
+    """Place, id, label and whole components of the rows that take part."""
+    fine = lambda v: v is not None and all(x is not None and math.isfinite(x) for x in v)
+    return [(i, r[0], r[2], [math.floor(256 * x) for x in r[1]]) for i, r in enumerate(rows) if r[2] is not None and fine(r[1])]
+
+
+def _ranked(v, others):
+    """(score, id, place) of others, best first."""
+    product = lambda w: min(LONG - 1, max(-LONG, sum(x * y for x, y in zip(v, w))))
+    return sorted(((product(w), b, j) for j, b, _, w in others if len(w) == len(v)), key=lambda x: (-x[0], x[1] is None, x[1] or 0, x[2]))
+
+
+def _mined(rows, positives, negatives):
+    fine, out = _vectors(rows), []
+    for i, a, label, v in fine:
+        if a is None or a % 5:
+            continue
+        for p, b, _ in _ranked(v, [x for x in fine if x[0] != i and x[2] == label])[:positives]:
+            found = [x for x in _ranked(v, [x for x in fine if x[2] != label]) if 30 * p <= 100 * x[0] <= 90 * p]
+            out += [(a, b, n + 1, c, p, s) for n, (s, c, _) in enumerate(found[:negatives])]
+    return sorted(out, key=str)
+
+
+def _vector_rows(rng, n, dim, spread):
+    centres = rng.normal(size=(4, dim))
+    rows = [(i, [float(x) for x in centres[i % 4] * (1 + i % 3) + rng.normal(scale=spread, size=dim)], int(rng.choice([0, 0, 0, 1, 2]))) for i in range(n)]
+    rows += [(10, rows[10][1], 0), (10, rows[10][1], 1), (None, rows[10][1], 1), (None, rows[10][1], 0), (500, None, 1), (505, [1.0, None, *[0.0] * (dim - 2)], 1), (510, [float("nan")] * dim, 0), (515, [float("-inf")] * dim, 0)]
+    return [*rows, (520, rows[0][1], None), (525, [1.0, 2.0], 3), (530, [2.0, 1.0], 4), (531, [2.0, 2.0], 3), (535, [], 1), (540, [], 2), (545, [0.0] * dim, 1), (550, [-x for x in rows[0][1]], 0)]
+
+
+@pytest.mark.parametrize(("block", "spread"), [(7, 0.05), (2048, 0.9)])
+def test_hard_negatives(spark, monkeypatch, block, spread):
+    monkeypatch.setattr("tallyline.llm.hard_negatives.INDEX_BLOCK", block)
+    monkeypatch.setattr("tallyline.llm.hard_negatives.ANCHOR_BLOCK", 4)
+    monkeypatch.setattr("tallyline.llm.hard_negatives.ANCHORS_OF_COPY", 3)
+    rows = _vector_rows(np.random.default_rng(block), 150, 6, spread)
+    table = spark.createDataFrame([(*r, "x", 1) for r in rows], "vec_id long, embedding array<double>, label int, v string, place int").coalesce(1)
+    for positives, negatives in ((5, 10), (2, 1)):
+        got = [tuple(r) for r in hard_negatives(table, F.col("vec_id") % 5 == 0, F.col("label"), positives, negatives).collect()]
+        assert sorted(got, key=str) == _mined(rows, positives, negatives) and got
+    assert hard_negatives(table.limit(0), F.lit(True), F.col("label")).count() == 0
+
+
+def _huge(rng):
+    rows = [(i, [float(x) for x in rng.normal(size=3) * 10.0 ** (i % 5 * 6)], i % 3) for i in range(40)]
+    return [*rows, (40, [-1e20, 1.0, 0.0], 0), (41, [1e300, 0.0, 1.0], 1), (45, [0.0, 1.0, 2.0], 0), (46, [0.0, 1.5, 2.0], 0), (47, [0.0, 0.5, 1.0], 1), (48, [float(np.finfo(float).max)] * 3, 1)]
+
+
+def test_components_of_any_finite_size(spark):
+    rows = _huge(np.random.default_rng(2))
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").coalesce(1)
+    kept = [r for r in rows if all(math.isfinite(256 * x) for x in r[1])]
+    assert len(kept) == len(rows) - 1
+    got = sorted((tuple(r) for r in hard_negatives(table, F.col("vec_id") % 5 == 0, F.col("label")).collect()), key=str)
+    assert got == _mined(kept, 5, 10) and got
+    fine = _vectors([(*r[:2], 0) for r in kept])
+    found = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in top_k(table, F.col("vec_id") % 5 == 0).collect())
+    assert found == sorted((a, n + 1, b, s) for i, a, _, v in fine if a % 5 == 0 for n, (s, b, _) in enumerate(_ranked(v, [x for x in fine if x[0] != i])[:5]))
+
+
+def test_planes_drop_no_row_of_a_band():
+    rng = np.random.default_rng(9)
+    for size in (3, 40, 3000):
+        x, q = np.floor(rng.normal(size=(90, 8)) * size), np.floor(rng.normal(size=(5, 8)) * size)
+        exact = (q @ x.T).astype(np.int64)
+        low = np.sort(rng.choice(exact.ravel(), (5, 3)).astype(float), 1)
+        high = low + rng.integers(-1, 20 * size * size, (5, 3))
+        low[0, 0], high[0, 0] = -np.inf, np.inf
+        allowed = rng.random(exact.shape) < 0.8
+        for k in (1, 4):
+            got, alive = scores(q, Slices.of(x), allowed, low, high, k)
+            assert (got[alive] == exact[alive]).all() and not (alive & ~allowed).any()
+            for i, j in np.ndindex(low.shape):
+                inside = np.flatnonzero(allowed[i] & (exact[i] >= low[i, j]) & (exact[i] <= high[i, j]))
+                best = np.sort(exact[i, inside])[::-1][:k]
+                assert (len(best) == 0 or alive[i, inside[exact[i, inside] >= best[-1]]].all())
+            assert size == 3 or alive.sum() < allowed.sum() / 2

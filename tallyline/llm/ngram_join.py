@@ -74,7 +74,7 @@ class Shingler:
                     yield np.zeros(0, dtype=np.uint64)
 
 
-def _key(shingles: np.ndarray) -> bytes:
+def set_key(shingles: np.ndarray) -> bytes:
     return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
 
 
@@ -94,14 +94,14 @@ def _sets(docs: DataFrame, width: int, row: str | None) -> DataFrame:
             n, keys = [], []
             for s in shingler.sets(b.column("text")):
                 n.append(len(s))
-                keys.append(_key(s))
+                keys.append(set_key(s))
                 waiting.append(_bucket(s))
                 held += len(s)
                 if held > 1 << SKETCH_BITS:
                     sketch += np.bincount(np.concatenate(waiting), minlength=len(sketch))
                     waiting, held = [], 0
             none = pa.nulls(len(n))
-            yield pa.RecordBatch.from_arrays([b.column("row_id"), b.column("doc_id"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(np.array([_short(k) for k in keys], dtype=np.uint64).view(np.int64)), none.cast(pa.int32()), none.cast(pa.binary())], names=["row_id", "doc_id", "n", "key", "short", "part", "counts"])
+            yield pa.RecordBatch.from_arrays([b.column("row_id"), b.column("doc_id"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(np.array([short_key(k) for k in keys], dtype=np.uint64).view(np.int64)), none.cast(pa.int32()), none.cast(pa.binary())], names=["row_id", "doc_id", "n", "key", "short", "part", "counts"])
         if waiting:
             sketch += np.bincount(np.concatenate(waiting), minlength=len(sketch))
         parts = [(i, zlib.compress(p.tobytes(), 1)) for i, p in enumerate(np.split(sketch, SKETCH_PARTS)) if p.any()]
@@ -170,7 +170,7 @@ class Signer:
         return np.concatenate(out)
 
 
-def _short(key: bytes) -> int:
+def short_key(key: bytes) -> int:
     return int.from_bytes(key[:8], "little")
 
 
@@ -217,7 +217,7 @@ def _sharing(docs: DataFrame, width: int, sketch: np.ndarray, p: int, q: int) ->
             for s in shingler.sets(batch.column("text")):
                 if len(s):
                     found.append(signer.sign(s))
-                    keys.append(_short(_key(s)))
+                    keys.append(short_key(set_key(s)))
                     held += len(found[-1])
                 if held > FLUSH:
                     yield flushed(found, keys)
@@ -377,7 +377,7 @@ def _id_filter(members: DataFrame) -> np.ndarray:
     return np.unpackbits(out.view(np.uint8), bitorder="little")
 
 
-def _with_shingles(docs: DataFrame, members: DataFrame, width: int) -> DataFrame:
+def with_shingles(docs: DataFrame, members: DataFrame, width: int) -> DataFrame:
     """members (doc_id, key, ...) with their shingles.
 
     A filter of their ids keeps all other texts from being hashed or exchanged; what
@@ -391,7 +391,7 @@ def _with_shingles(docs: DataFrame, members: DataFrame, width: int) -> DataFrame
             wanted = b.filter(pa.array(bits[_id_bits(_ids(b.column("doc_id")))] == 1))
             for part in (wanted.slice(i, 256) for i in range(0, wanted.num_rows, 256)):
                 sets = list(shingler.sets(part.column("text")))
-                yield pa.RecordBatch.from_arrays([pa.array([_key(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["key", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["key", "shingles"])
 
     made = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(make, "key binary, shingles binary")
     return members.drop("doc_id").join(made, "key")
@@ -419,7 +419,7 @@ def ngram_join(docs: DataFrame, width: int = 3, p: int = 9, q: int = 10, row: st
     members = blocks.select(F.col("node").alias("short"), F.col("root").alias("block")).join(sets.withColumn("doc_id", F.col("first.doc_id")).drop("first"), "short").drop("short")
     weights = members.groupBy("block").agg(F.ceil(F.greatest(F.sum("n") / CHUNK_WEIGHT, F.count("*") / CHUNK_SETS)).cast("int").alias("chunks"))
     members = materialize(members.join(weights, "block"), "shingle-blocks")
-    filled = _with_shingles(docs, members, width).withColumn("chunk", F.pmod(F.xxhash64("key"), F.col("chunks")).cast("int"))
+    filled = with_shingles(docs, members, width).withColumn("chunk", F.pmod(F.xxhash64("key"), F.col("chunks")).cast("int"))
     met_with = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("with")
     tasks = filled.select("*", met_with).select("block", F.least("chunk", "with").alias("low"), F.greatest("chunk", "with").alias("high"), "n", "key", "copies", "chunk", "shingles")
     place = ["block", "low", "high"]

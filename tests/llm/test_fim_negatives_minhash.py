@@ -9,6 +9,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
+import test_documents as documents
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -17,6 +18,7 @@ from tallyline.llm.fill_middle import CODE_POINT, cut, fill_in_middle, restored
 from tallyline.llm.hard_negatives import Slices, hard_negatives, scores
 from tallyline.llm.hashing import WordHasher
 from tallyline.llm.lm_scoring import lm_scores
+from tallyline.llm.minhash_dedup import OddSketcher, Sets, follow, minhash_dedup, odd_bits
 from tallyline.llm.ngram_join import ngram_join
 from tallyline.llm.vector_topk import top_k
 
@@ -165,3 +167,83 @@ def test_planes_drop_no_row_of_a_band():
                 best = np.sort(exact[i, inside])[::-1][:k]
                 assert (len(best) == 0 or alive[i, inside[exact[i, inside] >= best[-1]]].all())
             assert size == 3 or alive.sum() < allowed.sum() / 2
+
+
+def _components(rows, width, p, q):
+    return sorted(((r[0], n, c) for r, (_, n, c, _) in zip(rows, documents._joined(rows, width, p, q), strict=True)), key=str)
+
+
+def _without_hot_keys(monkeypatch, **sizes):
+    for name, value in sizes.items():
+        monkeypatch.setattr(f"tallyline.llm.minhash_dedup.{name}", value)
+
+
+def _near_rows():
+    """Copies that shade off into one another, so that components are chains of links."""
+    rng = np.random.default_rng(6)
+    words, rows = [f"w{i}" for i in range(400)], []
+    for group in range(4):
+        now = list(rng.choice(words, 40 + 60 * group))
+        for i in range(40):
+            rows.append((1000 * group + 7 * i % 1000, " ".join(now)))
+            for at in rng.choice(len(now), int(rng.integers(1, 4)) * (1 + group), replace=False):
+                now[at] = str(rng.choice(words))
+    return rows
+
+
+@pytest.mark.parametrize(
+    ("width", "p", "q", "sizes"),
+    [(4, 4, 5, {}), (5, 4, 5, {"FLUSH": 100, "LOCAL_BUCKET": 2, "BUCKET": 3}), (4, 4, 5, {"CHUNK_WEIGHT": 900}), (4, 9, 10, {"CHUNK_SETS": 5, "LOCAL_BUCKET": 1, "GROUP": 50})],
+)
+def test_minhash_dedup(spark, monkeypatch, width, p, q, sizes):
+    _without_hot_keys(monkeypatch, **sizes)
+    odd = documents._rows()
+    docs = spark.createDataFrame(odd, documents.SCHEMA).repartition(5)
+    got = minhash_dedup(docs, width, p, q).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == _components(odd, width, p, q)
+    kept = [(r.component_id, r.doc_id) for r in got if r.kept and r.n_shingles]
+    assert len(set(kept)) == len(kept) and all(a == b for a, b in kept) and all(r.kept for r in got if not r.n_shingles)
+    near = _near_rows()
+    chains = minhash_dedup(spark.createDataFrame(near, "doc_id long, text string").repartition(6), width, p, q).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in chains), key=str) == _components(near, width, p, q)
+    assert minhash_dedup(docs.limit(0), width, p, q).count() == 0
+
+
+def test_odd_sketches_estimate_and_lose_no_pair():
+    rng, sketcher = np.random.default_rng(1), OddSketcher(4, 5)
+    for size in (10, 50, 1000):
+        sets = []
+        for _ in range(250):
+            whole = rng.integers(0, 2**64 - 1, size, dtype=np.uint64, endpoint=True)
+            sets += [np.unique(whole[size // 10 :]), np.unique(whole[: -size // 10])]
+        bands, sketches = sketcher.of(sets)
+        words = sketches.view(np.uint64)
+        true = np.array([len(np.intersect1d(a, b)) / len(np.union1d(a, b)) for a, b in zip(sets[::2], sets[1::2])])
+        assert (true == 0.8).all()
+        odd = odd_bits(words[::2], words[1::2])
+        assert (bands[::2] == bands[1::2]).any(1).all() and (odd <= sketcher.most).all()
+        assert abs((sketcher.similarity(odd) - true).mean()) < 0.02 and (sketcher.similarity(odd) - true).std() < 0.06
+        strangers = odd_bits(words[:-2:2], words[2::2])
+        assert (strangers > sketcher.most).all()
+
+
+def test_follow_against_all_pairs():
+    rng, sketcher = np.random.default_rng(4), OddSketcher(4, 5)
+    base = rng.integers(0, 2**63, (6, 40), dtype=np.uint64)
+    sets = list({s.tobytes(): s for s in (np.unique(np.where(rng.random(40) < rng.choice([0.02, 0.1]), rng.integers(0, 2**63, 40, dtype=np.uint64), base[i % 6])) for i in range(120))}.values())
+    rows = [{"key": s.tobytes(), "shingles": s.tobytes(), "sketch": x.tobytes()} for s, x in zip(sets, sketcher.of(sets)[1], strict=True)]
+    near = [[j for j in range(len(sets)) if 5 * (o := len(np.intersect1d(sets[i], sets[j]))) >= 4 * (len(sets[i]) + len(sets[j]) - o)] for i in range(len(sets))]
+
+    def reached(edges, label):
+        label = list(label)
+        for a, b in edges:
+            label = [label[a] if x == label[b] else x for x in label]
+        return {frozenset(i for i in range(len(label)) if label[i] == x) for x in label}
+
+    n = len(sets)
+    every = [(i, j) for i in range(n) for j in near[i]]
+    edges = list(follow(Sets(rows, sketcher), np.arange(n), np.arange(n)))
+    assert reached(edges, range(n)) == reached(every, range(n)) and len(edges) < n and set(edges) <= set(every)
+    sources, label = np.arange(0, n, 3), np.arange(n) // 4
+    some = [(i, j) for i, j in every if i % 3 == 0 or j % 3 == 0]
+    assert reached(follow(Sets(rows, sketcher), sources, label), label) == reached(some, label)

@@ -17,53 +17,73 @@ from ..thresholds import (
     DUPLICATE_MIN_AGREEING_FIELDS,
 )
 from . import evidence as E
+from . import verdicts as verdicts_
 
-#: Days of a bin; a window of candidates touches two bins at most.
-BIN_DAYS = CANDIDATE_DAYS_BEFORE + CANDIDATE_DAYS_AFTER + 1
 
 
-def _bin(date: Column) -> Column:
-    return F.floor(F.unix_date(date) / BIN_DAYS)
+def _rings(day: Column, ring: Column) -> Column:
+    """The days that are so far from a day: one behind and one before it within the window."""
+    after, before = F.when(ring <= CANDIDATE_DAYS_AFTER, F.date_add(day, ring)), F.when((ring > 0) & (ring <= CANDIDATE_DAYS_BEFORE), F.date_sub(day, ring))
+    return F.array_compact(F.array(after, before))
+
+
+def reach(days: DataFrame, debits: DataFrame) -> DataFrame:
+    """days (workspace_id, invoice_date) with reach: how far from the date its nearest CANDIDATE_FETCH_CAP debits go.
+
+    debits (workspace_id, value_date) are counted by day, and the counts of the days around
+    a date added up from the nearest on.
+    """
+    counts = debits.groupBy("workspace_id", "value_date").agg(F.count("*").alias("n"))
+    most = max(CANDIDATE_DAYS_BEFORE, CANDIDATE_DAYS_AFTER)
+    around = days.withColumn("ring", F.explode(F.sequence(F.lit(0), F.lit(most))))
+    around = around.withColumn("value_date", F.explode(_rings(F.col("invoice_date"), F.col("ring"))))
+    found = around.join(counts, ["workspace_id", "value_date"]).groupBy("workspace_id", "invoice_date", "ring").agg(F.sum("n").alias("n"))
+    # At most one row for each ring: the days of a date are a bounded group.
+    nearer = F.sum("n").over(Window.partitionBy("workspace_id", "invoice_date").orderBy("ring").rowsBetween(Window.unboundedPreceding, -1))
+    needed = found.withColumn("nearer", F.coalesce(nearer, F.lit(0))).where(F.col("nearer") < CANDIDATE_FETCH_CAP)
+    return needed.groupBy("workspace_id", "invoice_date").agg(F.max("ring").alias("reach"))
 
 
 def in_window(invoices: DataFrame, transactions: DataFrame) -> DataFrame:
     """Invoices with the debits of their workspace from 3 days before to 10 after, nearest 200 each.
 
-    Both sides carry a bin of days, so the join is on workspace and bin and a workspace
-    with very many payments is spread over its days. The cap takes the nearest days and
-    then the smallest ids; truncated says that it was reached.
+    The cap takes the nearest days and then the smallest ids; truncated says that it was
+    reached. Of a day, only its 200 smallest ids can be among anyone's nearest, and a
+    histogram of the days says how far an invoice's nearest go, so an invoice meets fewer
+    than 200 debits and those of the last two days it needs, however many there are.
     """
-    dated = invoices.where("invoice_date is not null").withColumn(
-        "bin", F.explode(F.array_distinct(F.array(_bin(F.date_sub("invoice_date", CANDIDATE_DAYS_BEFORE)), _bin(F.date_add("invoice_date", CANDIDATE_DAYS_AFTER)))))
-    )
-    debits = transactions.where("direction = 'DEBIT'").withColumn("bin", _bin(F.col("value_date")))
+    daily = Window.partitionBy("workspace_id", "value_date").orderBy("id")
+    debits = transactions.where("direction = 'DEBIT'").withColumn("of_day", F.row_number().over(daily)).where(F.col("of_day") <= CANDIDATE_FETCH_CAP)
     debits = debits.select(
-        "workspace_id", "bin", F.col("id").alias("transaction"), "value_date", "amount_minor", F.col("currency").alias("transaction_currency"), "description", "description_normalized", "external_reference"
+        "workspace_id", F.col("id").alias("transaction"), "value_date", "amount_minor", F.col("currency").alias("transaction_currency"), "description", "description_normalized", "external_reference"
     )
-    offset = F.datediff("value_date", "invoice_date")
-    both = dated.withColumnsRenamed({"id": "invoice", "currency": "invoice_currency", "transaction_id": "linked"}).join(debits, ["workspace_id", "bin"])
-    both = both.withColumn("offset_days", offset).where(F.col("offset_days").between(-CANDIDATE_DAYS_BEFORE, CANDIDATE_DAYS_AFTER)).drop("bin")
+    dated = invoices.where("invoice_date is not null")
+    far = reach(dated.select("workspace_id", "invoice_date").distinct(), debits.select("workspace_id", "value_date"))
+    wanted = dated.withColumnsRenamed({"id": "invoice", "currency": "invoice_currency", "transaction_id": "linked"}).join(far, ["workspace_id", "invoice_date"])
+    first, last = F.least("reach", F.lit(CANDIDATE_DAYS_BEFORE)), F.least("reach", F.lit(CANDIDATE_DAYS_AFTER))
+    wanted = wanted.withColumn("offset_days", F.explode(F.sequence(-first, last))).withColumn("value_date", F.date_add("invoice_date", F.col("offset_days"))).drop("reach")
     nearest = Window.partitionBy("invoice").orderBy(F.abs("offset_days"), "transaction")
-    both = both.withColumn("place", F.row_number().over(nearest)).where(F.col("place") <= CANDIDATE_FETCH_CAP)
+    both = wanted.join(debits, ["workspace_id", "value_date"]).withColumn("place", F.row_number().over(nearest)).where(F.col("place") <= CANDIDATE_FETCH_CAP)
     return both.withColumn("truncated", F.max("place").over(Window.partitionBy("invoice")) >= CANDIDATE_FETCH_CAP).drop("place")
 
 
 def vendor_agreement(pairs: DataFrame, aliases: DataFrame) -> DataFrame:
-    """pairs with vendor: a confirmed alias in the description, another alias, the invoice's own key, or none."""
-    known = aliases.groupBy("vendor_id").agg(F.collect_list(F.struct("alias_normalized", "confirmed")).alias("known"))
-    hits = F.filter(F.coalesce("known", F.array().cast("array<struct<alias_normalized:string,confirmed:boolean>>")), lambda a: key_in(a["alias_normalized"], F.col("description_normalized")))
-    return (
-        pairs.join(known, "vendor_id", "left")
-        .withColumn("hits", hits)
-        .withColumn(
-            "vendor",
-            F.when(F.exists("hits", lambda a: a["confirmed"]), "RESOLVED")
-            .when(F.size("hits") > 0, "ALIAS")
-            .when(key_in(F.coalesce("vendor_key", F.lit("")), F.col("description_normalized")), "NORMALIZED_CONTAINS")
-            .otherwise("NONE"),
-        )
-        .drop("known", "hits")
+    """pairs with vendor: a confirmed alias in the description, another alias, the invoice's own key, or none.
+
+    aliases (workspace_id, vendor_id, alias_normalized, confirmed) count in their own
+    workspace. They are joined where the description holds them, so a pair meets few.
+    """
+    known = aliases.select(F.col("workspace_id").alias("in_workspace"), F.col("vendor_id").alias("of_vendor"), "alias_normalized", "confirmed")
+    held = (F.col("in_workspace") == F.col("workspace_id")) & (F.col("of_vendor") == F.col("vendor_id")) & key_in(F.col("alias_normalized"), F.col("description_normalized"))
+    best = Window.partitionBy("invoice", "transaction").orderBy(F.col("confirmed").desc_nulls_last())
+    met = pairs.join(known, held, "left").withColumn("hit", F.row_number().over(best)).where("hit = 1")
+    vendor = (
+        F.when(F.col("confirmed"), "RESOLVED")
+        .when(F.col("alias_normalized").isNotNull(), "ALIAS")
+        .when(key_in(F.coalesce("vendor_key", F.lit("")), F.col("description_normalized")), "NORMALIZED_CONTAINS")
+        .otherwise("NONE")
     )
+    return met.withColumn("vendor", vendor).drop("in_workspace", "of_vendor", "alias_normalized", "confirmed", "hit")
 
 
 def candidates(invoices: DataFrame, transactions: DataFrame, aliases: DataFrame, rejections: DataFrame) -> DataFrame:
@@ -180,23 +200,24 @@ def _readable(fields: Column) -> Column:
     return F.when(n == 0, "nothing").when(n == 1, F.get(fields, F.lit(0))).otherwise(several)
 
 
-def _pairs_of_vendor(invoices: DataFrame) -> DataFrame:
-    """Invoices of one vendor that agree in a second field; only such can be duplicates, so no other pairs are made.
+#: What two invoices are compared by.
+COMPARED = ("id", "at", "invoice_number", "number", "invoice_date", "total_minor", "currency")
 
-    Each of the three other fields is a join key of its own (a day is three keys), so a
-    vendor with very many invoices never meets itself as a whole.
-    """
-    side = invoices.where("vendor_id is not null").withColumns({"number": F.when(flatten(F.col("invoice_number")) != "", flatten(F.col("invoice_number")))})
+
+def _comparable(invoices: DataFrame) -> DataFrame:
+    """Invoices of a known vendor with their place in time and their number without case and marks."""
+    side = invoices.where("vendor_id is not null").withColumn("at", F.struct("created_on", "id"))
+    return side.withColumn("number", F.when(flatten(F.col("invoice_number")) != "", flatten(F.col("invoice_number")))).select("workspace_id", "vendor_id", *COMPARED)
+
+
+def _by_fields(rows: DataFrame, days: int) -> DataFrame:
+    """rows once for each field that another invoice of the vendor may agree in: amount, number, and the days within so many."""
     amount = F.when(F.col("total_minor").isNotNull() & F.col("currency").isNotNull(), F.concat(F.lit("a"), F.col("total_minor"), F.col("currency")))
-    number = F.when(F.col("number").isNotNull(), F.concat(F.lit("n"), F.col("number")))
-    day = F.unix_date("invoice_date")
-    fields = ["id", "invoice_number", "number", "invoice_date", "total_minor", "currency", "created_on"]
-    left = side.withColumn("key", F.explode(F.array_compact(F.array(amount, number, F.concat(F.lit("d"), day)))))
-    near = [F.concat(F.lit("d"), day + i) for i in range(-DUPLICATE_DATE_DAYS, DUPLICATE_DATE_DAYS + 1)]
-    right = side.withColumn("key", F.explode(F.array_compact(F.array(amount, number, *near))))
-    a = left.select("workspace_id", "vendor_id", "key", F.struct(*fields).alias("a"))
-    b = right.select("workspace_id", "vendor_id", "key", F.struct(*fields).alias("b"))
-    return a.join(b, ["workspace_id", "vendor_id", "key"]).where("a.id <> b.id").select("a", "b").distinct()
+    near = [F.concat(F.lit("d"), F.unix_date("invoice_date") + i) for i in range(-days, days + 1)]
+    return rows.withColumn("field", F.explode(F.array_compact(F.array(amount, F.concat(F.lit("n"), F.col("number")), *near))))
+
+
+FIELD = ["workspace_id", "vendor_id", "field"]
 
 
 def agreeing(a: str = "a", b: str = "b") -> Column:
@@ -207,41 +228,83 @@ def agreeing(a: str = "a", b: str = "b") -> Column:
     return F.array_compact(F.array(F.lit("vendor"), F.when(total, "amount"), F.when(date, "date"), F.when(number, "invoice number")))
 
 
+def _decisive(a: str = "a", b: str = "b") -> Column:
+    agreed = agreeing(a, b)
+    has = lambda name: F.array_contains(agreed, name)
+    numberless = F.col(f"{a}.invoice_number").isNull() & F.col(f"{b}.invoice_number").isNull()
+    return has("amount") & has("date") & (has("invoice number") | numberless)
+
+
+def _as_pairs(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """pairs (invoice, of_invoice) with both invoices as a and b; those of one vendor and workspace."""
+    side = lambda name, id: rows.select(F.col("id").alias(id), F.col("workspace_id").alias(f"{name}_w"), F.col("vendor_id").alias(f"{name}_v"), F.struct(*COMPARED).alias(name))
+    both = pairs.join(side("a", "invoice"), "invoice").join(side("b", "of_invoice"), "of_invoice")
+    return both.where("a_w = b_w and a_v = b_v").drop("a_w", "b_w", "a_v", "b_v")
+
+
 def duplicates(invoices: DataFrame, verdicts: DataFrame) -> DataFrame:
     """invoice, of_invoice, reason: invoices that repeat an earlier one which repeats none itself.
 
     Same vendor, amount and near date with the same or no number decides; two agreeing
     fields or more are put to the judge (verdicts: incoming_id, existing_id, same, reason),
-    and only a clear no clears them. Invoices come in order of day and id and are compared
-    with earlier ones; those already flagged are passed over, so that a third copy points
-    at the original. Of several the earliest is named.
+    and only a clear no clears them; a malformed answer counts as none. Invoices come in
+    order of day and id and are compared with earlier ones; those already flagged are
+    passed over, so that a third copy points at the original. Of several the earliest is named.
+
+    No pairs are made but those that a judge has cleared. Invoices without a no that agree in
+    every field are settled by the first of them. Of the others, an invoice that has been
+    cleared of k others can only be free if, by each field, those among the first k + 1 open
+    ones that come before it are cleared ones, so it meets k + 1 invoices for each field.
     """
-    pairs = _pairs_of_vendor(invoices).where("b.created_on < a.created_on or (b.created_on = a.created_on and b.id < a.id)").withColumn("agreed", agreeing())
-    has = lambda name: F.array_contains("agreed", name)
-    numberless = F.col("a.invoice_number").isNull() & F.col("b.invoice_number").isNull()
-    decisive = has("amount") & has("date") & (has("invoice number") | numberless)
-    said = verdicts.select(F.col("incoming_id").alias("judged"), F.col("existing_id").alias("against"), "same", F.col("reason").alias("said"))
-    judged = pairs.join(said, (F.col("a.id") == F.col("judged")) & (F.col("b.id") == F.col("against")), "left")
-    flagged = judged.where(decisive | ((F.size("agreed") >= DUPLICATE_MIN_AGREEING_FIELDS) & F.coalesce(F.col("same") != "NO", F.lit(True))))
-    words = F.concat(F.lit("Same "), _readable(F.col("agreed")))
-    reason = F.when(decisive, words).when(F.col("same").isNull(), F.concat(words, F.lit(", and we could not check the rest"))).otherwise(F.col("said"))
-    links = cut(flagged.select(F.col("a.id").alias("invoice"), F.col("b.id").alias("of_invoice"), F.col("b.created_on").alias("on"), reason.alias("reason")))
-    first = links.join(_originals(links), "of_invoice", "left_semi").groupBy("invoice").agg(F.min(F.struct("on", F.col("of_invoice").alias("id"), "reason")).alias("first"))
-    return first.select("invoice", F.col("first.id").alias("of_invoice"), F.col("first.reason").alias("reason"))
-
-
-def _originals(links: DataFrame) -> DataFrame:
-    """of_invoice: those of links (invoice, of_invoice) that link to no original themselves.
-
-    Each round settles the invoices that have no open link: they are originals, and what
-    links to them is flagged. A chain of copies takes a round for every second link.
+    rows = _comparable(invoices)
+    said = verdicts_.usable(verdicts, verdicts_.same_invoice_problems()).select(F.col("incoming_id").alias("invoice"), F.col("existing_id").alias("of_invoice"), "same", F.col("reason").alias("said"))
+    no = _as_pairs(said.where("same = 'NO'").select("invoice", "of_invoice").distinct(), rows)
+    cleared = cut(no.where(~_decisive()).select("invoice", "of_invoice"))
+    rows = cut(rows.join(cleared.groupBy(F.col("invoice").alias("id")).agg(F.count("*").alias("cleared")), "id", "left").fillna(0, ["cleared"]))
+    # Like invoices: what is decisive between any two of them, and the same to all others.
+    like = ["workspace_id", "vendor_id", "invoice_date", "total_minor", "currency", F.coalesce("number", F.lit("")).alias("like_number")]
+    plain = rows.where("cleared = 0 and invoice_date is not null and total_minor is not null and currency is not null and (number is not null or invoice_number is null)")
+    names = [*like[:-1], "like_number"]
+    leads = plain.groupBy(*like).agg(F.min("at").alias("lead"), F.count("*").alias("n")).where("n > 1")
+    copies = cut(plain.withColumn("like_number", like[-1]).join(leads, names).where("at <> lead").select("id", F.col("lead.id").alias("lead")))
+    open_ = cut(rows.join(copies.select("id"), "id", "left_anti"))
+    found = _originals(open_, cleared)
+    first = _linked(rows.join(copies.select("id"), "id", "left_anti"), rows.join(found, "id", "left_semi"), cleared).groupBy("invoice").agg(F.min("at").alias("first"))
+    flagged = cut(first.join(found.select(F.col("id").alias("invoice")), "invoice", "left_anti").select("invoice", F.col("first.id").alias("of_invoice")))
+    led = copies.join(flagged.withColumnRenamed("invoice", "lead"), "lead", "left").select(F.col("id").alias("invoice"), F.coalesce("of_invoice", "lead").alias("of_invoice"))
+    named = _as_pairs(flagged.unionByName(led), rows).join(said, ["invoice", "of_invoice"], "left")
+    words = F.concat(F.lit("Same "), _readable(agreeing()))
+    reason = F.when(_decisive(), words).when(F.col("same").isNull(), F.concat(words, F.lit(", and we could not check the rest"))).otherwise(F.col("said"))
+    return named.select("invoice", "of_invoice", reason.alias("reason"))
+
+
+def _linked(rows: DataFrame, others: DataFrame, cleared: DataFrame) -> DataFrame:
+    """invoice, of_invoice, at: rows and those of others that agree with them by a field, come before them and haven't been cleared."""
+    probes = _by_fields(rows, DUPLICATE_DATE_DAYS).select(*FIELD, F.col("id").alias("invoice"), F.col("at").alias("own"))
+    met = probes.join(_by_fields(others, 0).select(*FIELD, F.col("id").alias("of_invoice"), "at"), FIELD).where("at < own")
+    return met.select("invoice", "of_invoice", "at").join(cleared, ["invoice", "of_invoice"], "left_anti")
+
+
+def _originals(rows: DataFrame, cleared: DataFrame) -> DataFrame:
+    """id: the invoices that link to no original before them.
+
+    Each round settles all that no open one before them links to, and flags what links to
+    those. Copies of copies in a row take a round for every second link.
     """
-    open_, found = links.select("invoice", "of_invoice"), links.select("of_invoice").limit(0)
+    found, open_ = rows.select("id").limit(0), rows
+    most = (rows.agg(F.max("cleared")).first()[0] or 0) + 1
+    in_time = Window.partitionBy(*FIELD).orderBy("at")
     while not open_.isEmpty():
-        settled = cut(open_.select("of_invoice").distinct().join(open_.select(F.col("invoice").alias("of_invoice")), "of_invoice", "left_anti"))
-        copies = open_.join(settled, "of_invoice", "left_semi").select("invoice").distinct()
-        open_ = cut(open_.join(copies, "invoice", "left_anti").join(copies.withColumnRenamed("invoice", "of_invoice"), "of_invoice", "left_anti"))
-        found = found.unionByName(settled)
+        members = _by_fields(open_, 0).withColumn("place", F.row_number().over(in_time)).where(F.col("place") <= most)
+        members = members.select(*FIELD, F.col("id").alias("of_invoice"), "at", "place")
+        probes = _by_fields(open_, DUPLICATE_DATE_DAYS).select(*FIELD, F.col("id").alias("invoice"), F.col("at").alias("own"), "cleared")
+        met = probes.join(members, FIELD).where("at < own and place <= cleared + 1").select("invoice", "of_invoice")
+        blocked = met.join(cleared, ["invoice", "of_invoice"], "left_anti").select(F.col("invoice").alias("id")).distinct()
+        free = cut(open_.join(blocked, "id", "left_anti"))
+        found = found.unionByName(free.select("id"))
+        rest = open_.join(free.select("id"), "id", "left_anti")
+        flagged = _linked(rest, free, cleared).select(F.col("invoice").alias("id")).distinct()
+        open_ = cut(rest.join(flagged, "id", "left_anti"))
     return found
 
 

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from itertools import chain
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.money import major_units
+from ..functions.ranking import id_range
+from ..functions.ranking import placed as placed_by
 
 BUCKETS = ("matched", "notFound", "needsReview", "waiting", "blocked", "notRequired")
 QUEUE_STATES = ("NEEDS_REVIEW", "NOT_FOUND", "IDENTIFIED")
@@ -51,8 +53,7 @@ def queue(requirements: DataFrame, transactions: DataFrame, accounts: DataFrame,
     paid = transactions.select(F.col("id").alias("transaction_id"), "value_date", "account_id", "amount_minor", "description")
     rows = wanted.join(paid, "transaction_id").join(accounts.select(F.col("id").alias("account_id"), F.col("currency").alias("account_currency")), "account_id", "left")
     rank = F.array_position(F.array(*map(F.lit, QUEUE_STATES)), F.col("state"))
-    order = Window.partitionBy("workspace_id").orderBy(rank, "value_date", "requirement_id")
-    return rows.withColumn("place", F.row_number().over(order))
+    return placed_by(rows, ["workspace_id"], [rank, F.col("value_date"), id_range(F.col("requirement_id"))], [rank, "value_date", "requirement_id"])
 
 
 def counts(transactions: DataFrame, questions: DataFrame) -> DataFrame:
@@ -128,7 +129,7 @@ def export_order() -> list[Column]:
 
 def placed(rows: DataFrame) -> DataFrame:
     """Export rows with their place within the workspace, equal ones by payment."""
-    return rows.withColumn("place", F.row_number().over(Window.partitionBy("workspace_id").orderBy(*export_order(), "transaction_id")))
+    return placed_by(rows, ["workspace_id"], [F.col("date")], [*export_order(), "transaction_id"])
 
 
 def generated(requests: DataFrame, transactions: DataFrame, name: str = "tallyline-reconciliation") -> DataFrame:

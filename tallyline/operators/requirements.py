@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ranking import id_range, placed
+from ..functions.text import vendor_key
 from ..thresholds import BATCH_SIZE
 
 IN_FLIGHT = ("UPLOADING", "IDENTIFYING", "PARSING", "VALIDATING")
@@ -17,8 +19,8 @@ def pending(transactions: DataFrame, requirements: DataFrame) -> DataFrame:
 
 def batches(rows: DataFrame, size: int = BATCH_SIZE) -> DataFrame:
     """rows with batch: chunks of a workspace's payments in order of day and id."""
-    place = F.row_number().over(Window.partitionBy("workspace_id").orderBy("value_date", "id")) - 1
-    return rows.withColumn("batch", F.floor(place / size).cast("int"))
+    numbered = placed(rows, ["workspace_id"], [F.col("value_date"), id_range(F.col("id"))], ["value_date", "id"])
+    return numbered.withColumn("batch", F.floor((F.col("place") - 1) / size).cast("int")).drop("place")
 
 
 def created(judgements: DataFrame) -> DataFrame:
@@ -52,11 +54,25 @@ def latest_knowledge(facts: DataFrame) -> DataFrame:
     return facts.groupBy("workspace_id", "kind", "key").agg(F.max(F.struct("at", "id", "value")).alias("f")).select("workspace_id", "kind", "key", "f.value", F.col("f.id").alias("from_id"))
 
 
-def confirm_aliases(aliases: DataFrame, confirmations: DataFrame) -> DataFrame:
-    """Aliases after confirmations (vendor_id, alias_normalized): inferred ones are promoted, new ones added, and none is taken from its vendor."""
-    asked = confirmations.where("alias_normalized <> ''").groupBy("alias_normalized").agg(F.min("vendor_id").alias("asker"))
-    both = aliases.join(asked, "alias_normalized", "full")
+def confirm_aliases(aliases: DataFrame, confirmations: DataFrame, vendors: DataFrame) -> DataFrame:
+    """aliases (workspace_id, alias_normalized, vendor_id, confirmed) after confirmations, with outcome.
+
+    confirmations (workspace_id, vendor_id, alias, said_on): a user says that what the bank
+    printed means this vendor. An alias belongs to one vendor of its workspace: the owner's
+    word promotes an inferred one (confirmed), nobody's takes it away (refused), and of
+    several that ask for a new one the first gets it (added; ties to the smaller vendor).
+    What normalises to nothing teaches nothing, nor does a vendor that the workspace
+    doesn't have (vendors: workspace_id, id).
+    """
+    name = ["workspace_id", "alias_normalized"]
+    said = confirmations.select("workspace_id", "vendor_id", "said_on", vendor_key(F.col("alias")).alias("alias_normalized")).where("alias_normalized <> ''")
+    said = said.join(vendors.select("workspace_id", F.col("id").alias("vendor_id")), ["workspace_id", "vendor_id"], "left_semi")
+    asked = said.groupBy(*name).agg(F.min(F.struct("said_on", "vendor_id")).alias("first"))
+    owned = said.select(*name, "vendor_id", F.lit(True).alias("by_owner")).distinct()
+    known = aliases.select(*name, "vendor_id", "confirmed").join(owned, [*name, "vendor_id"], "left")
+    both = known.join(asked, name, "full")
+    new, mine = F.col("vendor_id").isNull(), F.coalesce("by_owner", F.lit(False))
     return both.select(
-        "alias_normalized", F.coalesce("vendor_id", "asker").alias("vendor_id"), (F.coalesce(F.col("confirmed"), F.lit(True)) | F.coalesce(F.col("asker") == F.col("vendor_id"), F.lit(False))).alias("confirmed"),
-        F.when(F.col("asker").isNull(), "kept").when(F.col("vendor_id").isNull(), "added").when(F.col("asker") == F.col("vendor_id"), "confirmed").otherwise("refused").alias("outcome"),
+        *name, F.coalesce("vendor_id", "first.vendor_id").alias("vendor_id"), (F.coalesce("confirmed", F.lit(True)) | mine).alias("confirmed"),
+        F.when(F.col("first").isNull() | (mine & F.col("confirmed")), "kept").when(new, "added").when(mine, "confirmed").otherwise("refused").alias("outcome"),
     )

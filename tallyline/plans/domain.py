@@ -37,8 +37,17 @@ TABLES = {
           CASE WHEN id % 3 = 0 THEN concat('REF/INV-', id) END AS external_reference, 0 AS occurrence_index, id % 7 <> 0 AS judged
         FROM payments""",
     "aliases": """
-        SELECT s_suppkey AS vendor_id, lower(replace(s_name, '#', '')) AS alias_normalized, s_suppkey % 2 = 0 AS confirmed
-        FROM supplier WHERE s_suppkey % 5 <> 0""",
+        SELECT DISTINCT workspace_id, CASE WHEN workspace_id % 6 = 5 THEN supplier + 1 ELSE supplier END AS vendor_id, lower(replace(supplier_name, '#', '')) AS alias_normalized, (supplier + workspace_id) % 2 = 0 AS confirmed
+        FROM payments WHERE supplier % 5 <> 0 AND (supplier + workspace_id) % 4 <> 3""",
+    "vendors": """
+        SELECT DISTINCT workspace_id, supplier AS id, supplier_name AS name FROM payments""",
+    "alias_confirmed": """
+        SELECT id AS said_on, workspace_id, CASE WHEN id % 3 = 0 THEN supplier + 1 ELSE supplier END AS vendor_id, concat(supplier_name, ' Inc.') AS alias,
+          lower(replace(supplier_name, '#', '')) AS alias_key FROM payments WHERE id % 4 = 1""",
+    "named_documents": """
+        SELECT id, workspace_id, value_date AS created_on, concat('Widget ', id % 97, ' Pvt Ltd') AS legal_name, CASE WHEN id % 3 <> 0 THEN concat(supplier_name, ' Inc.') END AS trade_name,
+          concat('Trader ', id % 89) AS other_name, concat('widget', id % 97) AS legal_key, CASE WHEN id % 3 <> 0 THEN lower(replace(supplier_name, '#', '')) END AS trade_key, concat('trader', id % 89) AS other_key
+        FROM payments""",
     "first_invoices": """
         SELECT id, workspace_id, id AS document_id, CASE WHEN id % 13 <> 0 THEN supplier END AS vendor_id,
           CASE WHEN id % 13 <> 0 THEN supplier_name END AS vendor_name, CASE WHEN id % 13 <> 0 THEN lower(replace(supplier_name, '#', '')) END AS vendor_key,

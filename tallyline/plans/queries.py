@@ -49,14 +49,14 @@ def _candidates(spark: SparkSession, d: str) -> DataFrame:
 FLAT = "regexp_replace(lower({0}), '[^a-z0-9]', '', 'g')"
 CANDIDATES = """
 WITH window_pairs AS (
-  SELECT i.id AS invoice, i.document_id, i.vendor_id, i.vendor_key, i.invoice_number, i.total_minor, i.currency AS invoice_currency, t.id AS transaction,
+  SELECT i.id AS invoice, i.workspace_id, i.document_id, i.vendor_id, i.vendor_key, i.invoice_number, i.total_minor, i.currency AS invoice_currency, t.id AS transaction,
     t.amount_minor, t.currency AS transaction_currency, t.description, t.description_normalized, t.external_reference, t.value_date - i.invoice_date AS offset_days,
     row_number() OVER (PARTITION BY i.id ORDER BY abs(t.value_date - i.invoice_date), t.id) AS place
   FROM invoices i JOIN transactions t ON t.workspace_id = i.workspace_id AND t.direction = 'DEBIT' AND t.value_date BETWEEN i.invoice_date - 3 AND i.invoice_date + 10),
 capped AS (SELECT *, max(place) OVER (PARTITION BY invoice) >= 200 AS truncated FROM window_pairs WHERE place <= 200),
 open_pairs AS (SELECT * FROM capped p WHERE NOT EXISTS (SELECT 1 FROM invoices h WHERE h.transaction_id = p.transaction AND h.id <> p.invoice)
   AND NOT EXISTS (SELECT 1 FROM rejections r WHERE r.transaction_id = p.transaction AND r.document_id = p.document_id)),
-known AS (SELECT p.invoice, p.transaction, bool_or(a.confirmed) AS confirmed FROM open_pairs p JOIN aliases a ON a.vendor_id = p.vendor_id
+known AS (SELECT p.invoice, p.transaction, bool_or(a.confirmed) AS confirmed FROM open_pairs p JOIN aliases a ON a.workspace_id = p.workspace_id AND a.vendor_id = p.vendor_id
   AND contains(regexp_replace(p.description_normalized, '[^a-z0-9]', '', 'g'), a.alias_normalized) GROUP BY 1, 2),
 evidence AS (
   SELECT p.*, p.amount_minor - p.total_minor AS delta_minor,

@@ -72,13 +72,16 @@ def knowledge_latest(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "alias_confirmations",
-    """WITH asked AS (SELECT lower(replace(s_name, '#', '')) AS alias_normalized, min(CASE WHEN s_suppkey % 3 = 0 THEN s_suppkey + 1 ELSE s_suppkey END) AS asker FROM supplier WHERE s_suppkey % 4 <> 1 GROUP BY 1)
-SELECT coalesce(a.alias_normalized, q.alias_normalized) AS alias_normalized, coalesce(a.vendor_id, q.asker) AS vendor_id, coalesce(a.confirmed, true) OR coalesce(q.asker = a.vendor_id, false) AS confirmed,
-  CASE WHEN q.asker IS NULL THEN 'kept' WHEN a.vendor_id IS NULL THEN 'added' WHEN q.asker = a.vendor_id THEN 'confirmed' ELSE 'refused' END AS outcome FROM aliases a FULL JOIN asked q ON q.alias_normalized = a.alias_normalized""",
+    """WITH asked AS (SELECT c.workspace_id, c.alias_key, c.vendor_id, c.said_on FROM alias_confirmed c JOIN vendors v ON v.workspace_id = c.workspace_id AND v.id = c.vendor_id),
+firsts AS (SELECT workspace_id, alias_key, arg_min(vendor_id, said_on) AS asker FROM asked GROUP BY 1, 2),
+b AS (SELECT coalesce(a.workspace_id, f.workspace_id) AS workspace_id, coalesce(a.alias_normalized, f.alias_key) AS alias_normalized, a.vendor_id, a.confirmed, f.asker,
+    EXISTS (SELECT 1 FROM asked q WHERE q.workspace_id = a.workspace_id AND q.alias_key = a.alias_normalized AND q.vendor_id = a.vendor_id) AS mine
+  FROM aliases a FULL JOIN firsts f ON f.workspace_id = a.workspace_id AND f.alias_key = a.alias_normalized)
+SELECT workspace_id, alias_normalized, coalesce(vendor_id, asker) AS vendor_id, coalesce(confirmed, true) OR mine AS confirmed,
+  CASE WHEN asker IS NULL OR (mine AND confirmed) THEN 'kept' WHEN vendor_id IS NULL THEN 'added' WHEN mine THEN 'confirmed' ELSE 'refused' END AS outcome FROM b""",
 )
 def alias_confirmations(spark: SparkSession, d: str) -> DataFrame:
-    asked = load(spark, d, "supplier").where("s_suppkey % 4 <> 1").select(F.expr("case when s_suppkey % 3 = 0 then s_suppkey + 1 else s_suppkey end").alias("vendor_id"), F.lower(F.replace("s_name", F.lit("#"), F.lit(""))).alias("alias_normalized"))
-    return Q.confirm_aliases(load(spark, d, "aliases"), asked)
+    return Q.confirm_aliases(*_tables(spark, d, "aliases alias_confirmed vendors"))
 
 
 @query(
@@ -130,15 +133,37 @@ def invoice_fields(spark: SparkSession, d: str) -> DataFrame:
     return D.invoice_fields(readings).select("id", "total_minor", "tax_minor", "subtotal_minor", "invoice_date", "unparsed", "minimum", D.understood(F.col("classification"), F.col("minimum")).alias("state"))
 
 
-@query(
-    "vendor_resolution",
-    """WITH k AS (SELECT id, lower(replace(supplier_name, '#', '')) AS a, 'widget' || id % 9 AS b FROM payments),
-h AS (SELECT k.id, min(x.vendor_id) AS vendor_id FROM k JOIN aliases x ON x.alias_normalized IN (k.a, k.b) GROUP BY 1)
-SELECT k.id AS document_id, h.vendor_id, CASE WHEN h.vendor_id IS NULL THEN k.b END AS new_key FROM k LEFT JOIN h ON h.id = k.id""",
-)
+RESOLVED = """
+WITH k AS (SELECT id, workspace_id, created_on, legal_name, trade_name, list_filter([legal_key, trade_key, other_key], lambda x: x IS NOT NULL) AS keys FROM named_documents),
+known AS (SELECT k.id, min(a.vendor_id) AS vendor_id FROM k JOIN aliases a ON a.workspace_id = k.workspace_id AND list_contains(k.keys, a.alias_normalized) GROUP BY 1),
+o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY workspace_id ORDER BY created_on, id) AS n FROM k WHERE id NOT IN (SELECT id FROM known)),
+one_by_one(workspace_id, n, claimed, makes) AS (SELECT DISTINCT workspace_id, CAST(0 AS BIGINT), CAST([] AS VARCHAR[]), false FROM o
+  UNION ALL SELECT o.workspace_id, o.n, CASE WHEN list_has_any(w.claimed, o.keys) THEN w.claimed ELSE list_concat(w.claimed, o.keys) END, NOT list_has_any(w.claimed, o.keys)
+  FROM one_by_one w JOIN o ON o.workspace_id = w.workspace_id AND o.n = w.n + 1),
+makers AS MATERIALIZED (SELECT o.* FROM o JOIN one_by_one w ON w.workspace_id = o.workspace_id AND w.n = o.n WHERE w.makes),
+claims AS MATERIALIZED (SELECT workspace_id, n, id, keys[1] AS new_key, unnest(keys) AS key FROM makers),
+owned AS (SELECT o.id, arg_min(c.id, c.n) AS created_by, arg_min(c.new_key, c.n) AS new_key FROM (SELECT id, workspace_id, unnest(keys) AS key FROM o) o JOIN claims c ON c.workspace_id = o.workspace_id AND c.key = o.key GROUP BY 1)
+"""
+
+
+def _named(spark: SparkSession, d: str) -> DataFrame:
+    """Documents whose names overlap: the other name again in capitals, and blank ones."""
+    rows = load(spark, d, "named_documents")
+    others = F.array(F.lit(None), F.upper("legal_name"), F.lit(" "), F.col("other_name"), F.lit("UPI/"))
+    keys = D.vendor_keys(F.col("legal_name"), F.col("trade_name"), others)
+    return rows.select(F.col("id").alias("document_id"), "workspace_id", "created_on", "legal_name", "trade_name", keys.alias("keys"))
+
+
+@query("vendor_resolution", RESOLVED + "SELECT k.workspace_id, k.id AS document_id, vendor_id, created_by, new_key FROM k LEFT JOIN known USING (id) LEFT JOIN owned USING (id)")
 def vendor_resolution(spark: SparkSession, d: str) -> DataFrame:
-    names = load(spark, d, "payments").select(F.col("id").alias("document_id"), F.array(vendor_key(F.concat(F.lit("Widget "), (F.col("id") % 9).cast("string"), F.lit(" Pvt Ltd"))), vendor_key(F.concat(F.col("supplier_name"), F.lit(" Inc.")))).alias("keys"))
-    return D.resolve_vendors(names, load(spark, d, "aliases"))
+    return D.resolve_vendors(_named(spark, d), load(spark, d, "aliases"))
+
+
+@query("vendors_created", RESOLVED + "SELECT id AS document_id, workspace_id, coalesce(trade_name, legal_name) AS name, legal_name, array_to_string(keys, ' ') AS aliases, false AS confirmed FROM makers")
+def vendors_created(spark: SparkSession, d: str) -> DataFrame:
+    names = _named(spark, d)
+    made = D.new_vendors(names, D.resolve_vendors(names, load(spark, d, "aliases")))
+    return made.select("document_id", "workspace_id", "name", "legal_name", F.array_join("aliases.alias_normalized", " ").alias("aliases"), F.exists("aliases", lambda a: a["confirmed"]).alias("confirmed"))
 
 
 @query(
@@ -185,7 +210,7 @@ def search_queries(spark: SparkSession, d: str) -> DataFrame:
     "vendor_searches",
     """WITH v AS (SELECT DISTINCT workspace_id, supplier, supplier_name FROM payments),
 said AS (SELECT r.id, r.workspace_id, regexp_replace(t.description_normalized, '[^a-z0-9]', '', 'g') AS said FROM requirements r JOIN transactions t ON t.id = r.transaction_id AND t.workspace_id = r.workspace_id),
-meant AS (SELECT DISTINCT s.id, v.supplier, v.supplier_name, a.alias_normalized FROM said s JOIN v ON v.workspace_id = s.workspace_id JOIN aliases a ON a.vendor_id = v.supplier WHERE contains(s.said, a.alias_normalized)),
+meant AS (SELECT DISTINCT s.id, v.supplier, v.supplier_name, a.alias_normalized FROM said s JOIN v ON v.workspace_id = s.workspace_id JOIN aliases a ON a.workspace_id = v.workspace_id AND a.vendor_id = v.supplier WHERE contains(s.said, a.alias_normalized)),
 named AS (SELECT id, -1 AS vendor, 0 AS kind, vendor_guess AS name FROM requirements WHERE vendor_guess IS NOT NULL UNION ALL SELECT id, supplier, 0, supplier_name FROM meant UNION ALL SELECT id, supplier, 2, alias_normalized FROM meant),
 firsts AS (SELECT * FROM named QUALIFY row_number() OVER (PARTITION BY id, lower(name) ORDER BY vendor, kind) = 1),
 terms AS (SELECT id, string_agg('"' || name || '"' || CASE WHEN regexp_full_match(name, '[A-Za-z0-9.-]+') THEN ' OR from:' || name ELSE '' END, ' OR ' ORDER BY vendor, kind) AS terms FROM firsts GROUP BY 1),
@@ -193,10 +218,10 @@ w AS (SELECT id, date_diff('day', DATE '1970-01-01', created_on - 7) * 86400 AS
 SELECT w.id, 'after:' || a || ' before:' || b || ' has:attachment filename:pdf (' || terms || ')' AS vendor_query FROM w LEFT JOIN terms USING (id)""",
 )
 def vendor_searches(spark: SparkSession, d: str) -> DataFrame:
-    """The searches for all names of a payment's vendors; aliases are known in the workspaces that pay their vendor."""
+    """The searches for all names of a payment's vendors."""
     payments, requirements = load(spark, d, "payments"), load(spark, d, "requirements")
     vendors = payments.select("workspace_id", F.col("supplier").alias("id"), F.col("supplier_name").alias("name"), F.lit(None).cast("string").alias("legal_name")).distinct()
-    aliases = load(spark, d, "aliases").withColumn("alias", F.col("alias_normalized")).join(vendors.select("workspace_id", F.col("id").alias("vendor_id")), "vendor_id")
+    aliases = load(spark, d, "aliases").withColumn("alias", F.col("alias_normalized")).join(vendors.select("workspace_id", F.col("id").alias("vendor_id")), ["workspace_id", "vendor_id"])
     names = T.search_names(requirements, load(spark, d, "transactions"), aliases, vendors)
     _, _, after, before = T.window(F.col("created_on"))
     return requirements.select("id", "created_on").join(names, "id").select("id", T.vendor_query(after, before, F.col("names")).alias("vendor_query"))
@@ -261,13 +286,19 @@ x AS (SELECT requirement_id, bool_and(exhaustive) AS exhaustive FROM selection G
 j AS (SELECT r.id AS requirement_id, c.n, c.document_id, coalesce(b.incomplete, false) AS incomplete, CASE WHEN c.n <> 1 THEN 'one document supports this payment' WHEN c.auto_match_transaction_id IS DISTINCT FROM c.transaction_id THEN 'matching chose this payment for it' WHEN c.classification <> 'IS_INVOICE' THEN 'it reads as an invoice'
   WHEN coalesce(b.incomplete, false) THEN 'every mailbox was searched' WHEN NOT coalesce(x.exhaustive, true) OR coalesce(b.cut, false) THEN 'nothing found was left unread' END AS failed
   FROM requirements r LEFT JOIN boxes b ON b.requirement_id = r.id LEFT JOIN chosen c ON c.requirement_id = r.id LEFT JOIN x ON x.requirement_id = r.id),
-settled AS (SELECT requirement_id, CASE WHEN n IS NULL THEN CASE WHEN incomplete THEN 'BLOCKED' ELSE 'NOT_FOUND' END WHEN failed IS NULL THEN 'AUTO' ELSE 'NEEDS_REVIEW' END AS kind, CASE WHEN n IS NOT NULL THEN failed END AS blocked_by, CASE WHEN n IS NOT NULL AND failed IS NULL THEN document_id END AS document_id FROM j)
+verdict AS (SELECT requirement_id, CASE WHEN n IS NULL THEN CASE WHEN incomplete THEN 'BLOCKED' ELSE 'NOT_FOUND' END WHEN failed IS NULL THEN 'AUTO' ELSE 'NEEDS_REVIEW' END AS kind, CASE WHEN n IS NOT NULL THEN failed END AS blocked_by, CASE WHEN n IS NOT NULL AND failed IS NULL THEN document_id END AS document_id FROM j),
+settled AS (SELECT v.requirement_id, CASE WHEN r.state = 'EVALUATING' AND r.method IS NULL THEN kind ELSE 'SKIPPED' END AS kind, CASE WHEN r.state = 'EVALUATING' AND r.method IS NULL THEN blocked_by END AS blocked_by,
+  CASE WHEN r.state = 'EVALUATING' AND r.method IS NULL THEN document_id END AS document_id FROM verdict v JOIN requirements r ON r.id = v.requirement_id)
 """
 
 
-def _settled(spark: SparkSession, d: str) -> DataFrame:
+def _settled(spark: SparkSession, d: str, all_open: bool = False) -> DataFrame:
+    """What retrieval settles; all_open judges every requirement as if it were being evaluated."""
     exhaustive = _selection(spark, d).groupBy("requirement_id").agg(F.bool_and("exhaustive").alias("exhaustive"))
-    return T.settle(*_tables(spark, d, "requirements assessments rejections searches"), exhaustive)
+    requirements, *found = _tables(spark, d, "requirements assessments rejections searches")
+    if all_open:
+        requirements = requirements.withColumns({"state": F.lit("EVALUATING"), "method": F.lit(None).cast("string")})
+    return T.settle(requirements, *found, exhaustive)
 
 
 @query("retrieval_settle", SETTLED + "SELECT * FROM settled")
@@ -355,7 +386,7 @@ def duplicates_keep_one(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "policy_eval",
-    SETTLED + """, cases AS (SELECT s.requirement_id % 4 AS case_set, s.kind AS actual, CASE s.requirement_id % 10 WHEN 0 THEN 'NEEDS_REVIEW' WHEN 1 THEN 'NOT_FOUND' WHEN 2 THEN 'BLOCKED' ELSE 'AUTO' END AS expected, coalesce(s.document_id % 5 <> 4, false) AS ok FROM settled s)
+    SETTLED + """, cases AS (SELECT s.requirement_id % 4 AS case_set, s.kind AS actual, CASE s.requirement_id % 10 WHEN 0 THEN 'NEEDS_REVIEW' WHEN 1 THEN 'NOT_FOUND' WHEN 2 THEN 'BLOCKED' ELSE 'AUTO' END AS expected, coalesce(s.document_id % 5 <> 4, false) AS ok FROM verdict s)
 SELECT case_set, count(*) AS cases, CASE WHEN count(*) FILTER (actual = 'AUTO') > 0 THEN count(*) FILTER (actual = 'AUTO' AND expected = 'AUTO' AND ok) / count(*) FILTER (actual = 'AUTO') END AS precision,
   CASE WHEN count(*) FILTER (expected = 'AUTO') > 0 THEN count(*) FILTER (actual = 'AUTO' AND expected = 'AUTO' AND ok) / count(*) FILTER (expected = 'AUTO') END AS recall,
   count(*) FILTER (actual = 'AUTO' AND NOT (expected = 'AUTO' AND ok)) AS false_positives, count(*) FILTER (expected = 'AUTO' AND NOT (actual = 'AUTO' AND ok)) AS false_negatives,
@@ -364,4 +395,4 @@ SELECT case_set, count(*) AS cases, CASE WHEN count(*) FILTER (actual = 'AUTO')
 def policy_eval(spark: SparkSession, d: str) -> DataFrame:
     i = F.col("requirement_id")
     expected = F.when(i % 10 == 0, "NEEDS_REVIEW").when(i % 10 == 1, "NOT_FOUND").when(i % 10 == 2, "BLOCKED").otherwise("AUTO")
-    return T.link_metrics(_settled(spark, d).select((i % 4).alias("case_set"), F.col("kind").alias("actual"), expected.alias("expected"), F.coalesce(F.col("document_id") % 5 != 4, F.lit(False)).alias("correct_link")))
+    return T.link_metrics(_settled(spark, d, all_open=True).select((i % 4).alias("case_set"), F.col("kind").alias("actual"), expected.alias("expected"), F.coalesce(F.col("document_id") % 5 != 4, F.lit(False)).alias("correct_link")))

@@ -12,7 +12,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tallyline.operators import chain, ledger, matching, report, requirements, retrieval, verdicts, walk, workflow
+from tallyline.functions import ranking
+from tallyline.operators import chain, documents, ledger, matching, report, requirements, retrieval, verdicts, walk, workflow
 from tallyline.sources import bank_files
 
 
@@ -108,7 +109,7 @@ INVOICE = "id long, workspace_id int, document_id long, vendor_id long, vendor_n
 
 def test_tenants_are_kept_apart(spark):
     worlds = [_world(1), _world(2)]
-    aliases = spark.createDataFrame([(1, "acme", True)], "vendor_id long, alias_normalized string, confirmed boolean")
+    aliases = spark.createDataFrame([(1, 1, "acme", True), (3, 1, "acme", True)], "workspace_id int, vendor_id long, alias_normalized string, confirmed boolean")
     none = spark.createDataFrame([], "transaction_id long, document_id long")
 
     def run(which):
@@ -342,3 +343,95 @@ def test_pdf_lines_against_a_loop(spark):
                 wanted[d, p, s] = line
     got = bank_files.pdf_lines(spark.createDataFrame(items, "doc_id long, page int, seq int, text string, x double, y double, width double")).collect()
     assert {(r.doc_id, r.page, r.seq): r.line for r in got} == wanted
+
+
+def test_vendor_claims_against_a_loop(spark):
+    rng = random.Random(8)
+    rows = [(i, rng.randint(1, 3), date(2024, 1, rng.randint(1, 9)), rng.sample([f"k{j}" for j in range(25)], rng.randint(0, 4))) for i in range(300)]
+    rows += [(900 + i, 4, date(2024, 1, 1), [f"c{i}", f"c{i + 1}"]) for i in range(9)]  # a chain: every second one makes a vendor
+    aliases = [(1, 70, "k1"), (1, 60, "k2"), (2, 60, "k1"), (3, 50, "k9"), (9, 40, "k3")]
+    names = spark.createDataFrame(rows, "document_id long, workspace_id long, created_on date, keys array<string>")
+    known = spark.createDataFrame([(*a, True) for a in aliases], "workspace_id long, vendor_id long, alias_normalized string, confirmed boolean")
+    got = {r.document_id: (r.vendor_id, r.created_by, r.new_key) for r in documents.resolve_vendors(names, known).collect()}
+    claimed, expected = {}, {}
+    for i, w, on, keys in sorted(rows, key=lambda r: (r[2], r[0])):
+        vendors = [v for aw, v, k in aliases if aw == w and k in keys]
+        owners = [claimed[w, k] for k in keys if (w, k) in claimed]
+        if vendors or not keys:
+            expected[i] = (min(vendors, default=None), None, None)
+        elif owners:
+            expected[i] = (None, *min(owners)[1:])
+        else:
+            expected[i] = (None, i, keys[0])
+            claimed |= {(w, k): ((on, i), i, keys[0]) for k in keys}
+    assert got == expected and [got[900 + i][1] for i in range(9)] == [900, 900, 902, 902, 904, 904, 906, 906, 908]
+    made = documents.new_vendors(names.withColumns({"legal_name": F.lit("Legal"), "trade_name": F.lit(None).cast("string")}), documents.resolve_vendors(names, known)).collect()
+    assert {r.document_id for r in made} == {i for i, x in expected.items() if x[1] == i} and all(r.name == "Legal" and r.aliases and not any(a.confirmed for a in r.aliases) for r in made)
+
+
+def test_vendor_keys_of_names(spark):
+    row = spark.range(1).select(documents.vendor_keys(F.lit("ABC Foods Private Limited"), F.lit("ABC Foods"), F.array(F.lit(None), F.lit(""), F.lit("UPI/"), F.lit("Abc Kitchens"))).alias("keys"), documents.vendor_keys(F.lit(None).cast("string"), F.lit(" "), F.lit(None).cast("array<string>")).alias("none")).first()
+    assert row.keys == ["abcfoods", "abckitchens"] and row.none == []
+
+
+def test_aliases_belong_to_one_vendor_of_their_workspace(spark):
+    aliases = spark.createDataFrame([(1, 5, "acme", False), (2, 6, "acme", False), (1, 7, "zeta", True)], "workspace_id long, vendor_id long, alias_normalized string, confirmed boolean")
+    vendors = spark.createDataFrame([(1, 5), (1, 6), (1, 7), (2, 6), (2, 5)], "workspace_id long, id long")
+    said = [(1, 5, "ACME Pvt Ltd", 3), (1, 6, "acme", 1), (2, 5, "Acme", 1), (1, 7, "Zeta", 1), (1, 6, "Yoyo Ltd", 2), (1, 5, "Yoyo", 1), (1, 9, "Nobody", 1), (1, 5, " /// ", 1), (2, 6, "Yoyo", 9)]
+    got = requirements.confirm_aliases(aliases, spark.createDataFrame(said, "workspace_id long, vendor_id long, alias string, said_on long"), vendors).collect()
+    assert sorted(map(tuple, got)) == [(1, "acme", 5, True, "confirmed"), (1, "yoyo", 5, True, "added"), (1, "zeta", 7, True, "kept"), (2, "acme", 6, False, "refused"), (2, "yoyo", 6, True, "added")]
+
+
+def test_one_busy_workspace_meets_few_debits(spark):
+    day = date(2024, 3, 1)
+    debits = spark.range(100_000).select(F.col("id"), F.lit(1).alias("workspace_id"), F.lit(1).alias("account_id"), F.date_add(F.lit(day), (F.col("id") % 7).cast("int")).alias("value_date"), F.lit(5).cast("long").alias("amount_minor"), F.lit("DEBIT").alias("direction"), F.lit("EUR").alias("currency"), F.lit("x").alias("description"), F.lit("x").alias("description_normalized"), F.lit(None).cast("string").alias("external_reference"))
+    invoices = spark.createDataFrame([(i, 1, i, 1, "A", "a", None, day + timedelta(days=i - 5), 5, "EUR", None, day) for i in range(18)], INVOICE)
+    got = matching.in_window(invoices, debits).select("invoice", "transaction", "offset_days", "truncated").collect()
+    expected = set()
+    for i in range(18):
+        on = i - 5
+        near = sorted((abs(x % 7 - on), x) for x in range(3000) if -3 <= x % 7 - on <= 10)[:200]
+        expected |= {(i, x, x % 7 - on, True) for _, x in near}
+    assert {tuple(r) for r in got} == expected and len(got) == len(expected)
+    few = matching.in_window(invoices, debits.where("id < 150")).groupBy("invoice").agg(F.count("*").alias("n"), F.bool_or("truncated").alias("t")).collect()
+    assert max(r.n for r in few) == 150 and not any(r.t for r in few)
+
+
+def test_a_vendor_with_very_many_equal_invoices(spark, monkeypatch):
+    day = date(2024, 3, 1)
+    columns = "id", "workspace_id", "vendor_id", "invoice_number", "invoice_date", "total_minor", "currency", "created_on"
+    equal = spark.range(100_000).select(F.col("id"), F.lit("w"), F.lit(1), F.lit(None).cast("string"), F.lit(day), F.lit(5), F.lit("EUR"), F.date_add(F.lit(day), (F.col("id") % 9).cast("int"))).toDF(*columns)
+    # As many that agree in the amount only: nobody has cleared them, so all repeat the first.
+    numbered = spark.range(20_000).select(F.col("id") + 500_000, F.lit("w"), F.lit(2), F.col("id").cast("string"), F.date_add(F.lit(day), (F.col("id") * 3 % 3000).cast("int")), F.lit(5), F.lit("EUR"), F.lit(day)).toDF(*columns)
+    said = spark.createDataFrame([(500_001, 500_000, "NO", "no"), (500_002, 500_000, "PERHAPS", "no"), (7, 0, "NO", "decided anyway")], "incoming_id long, existing_id long, same string, reason string")
+    rows = matching.duplicates(equal.unionByName(numbered), said)
+    got = {r.of_invoice: (r.n, r.words) for r in rows.groupBy("of_invoice").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("reason")), "|").alias("words")).collect()}
+    assert got == {0: (99_999, "Same vendor, amount and date"), 500_000: (19_998, "Same vendor and amount, and we could not check the rest|Same vendor, amount and date, and we could not check the rest")}
+
+
+@pytest.mark.parametrize("size", [1, 7, 1 << 20])
+def test_places_within_a_key(spark, monkeypatch, size):
+    monkeypatch.setattr("tallyline.functions.ranking.ID_RANGE", size)
+    rng = random.Random(size)
+    rows = [(rng.choice([1, 1, 1, 2, None]), rng.choice([None, date(2024, 1, 1), date(2024, 1, 2)]), i) for i in range(200)]
+    frame = spark.createDataFrame(rows, "w long, on date, id long").repartition(3)
+    got = {r.id: r.place for r in ranking.placed(frame, ["w"], [F.col("on"), ranking.id_range(F.col("id"))], ["on", "id"]).collect()}
+    expected = {}
+    for w in {r[0] for r in rows}:
+        own = sorted((r for r in rows if r[0] == w), key=lambda r: (r[1] is not None, r[1] or date.min, r[2]))
+        expected |= {r[2]: n + 1 for n, r in enumerate(own)}
+    assert got == expected
+
+
+def test_only_open_requirements_under_evaluation_settle(spark):
+    rows = [(1, "EVALUATING", None), (2, "SEARCHING", None), (3, "EVALUATING", "USER_CONFIRMED"), (4, None, None), (5, "EVALUATING", None)]
+    found = [(i, 10 * i, 100 * i, "EXTRACTED", "IS_INVOICE", 7, True, 10 * i) for i in (1, 2, 3, 4)]
+    assessments = spark.createDataFrame(found, "requirement_id long, transaction_id long, document_id long, state string, classification string, invoice_id long, proposes boolean, auto_match_transaction_id long")
+    none = spark.createDataFrame([], "transaction_id long, document_id long, requirement_id long, outcome string, truncated boolean, exhaustive boolean")
+    got = retrieval.settle(spark.createDataFrame(rows, "id long, state string, method string"), assessments, none, none.select("requirement_id", "outcome", "truncated"), none.select("requirement_id", "exhaustive"))
+    assert sorted(map(tuple, got.collect())) == [(1, "AUTO", None, 100), (2, "SKIPPED", None, None), (3, "SKIPPED", None, None), (4, "SKIPPED", None, None), (5, "NOT_FOUND", None, None)]
+
+
+def test_documents_of_no_known_source_stay(spark):
+    rows = spark.createDataFrame([(1, 1, "h", None, 1), (2, 1, "h", "GMAIL", 1), (3, 1, "h", "GMAIL", 2)], "id long, workspace_id long, content_hash string, source string, created_on long")
+    assert {r.id: r.stored_as for r in documents.deduplicate(rows).collect()} == {1: 1, 2: 2, 3: 2}

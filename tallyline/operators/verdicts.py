@@ -74,6 +74,11 @@ def identification_problems() -> Column:
     )
 
 
+def printing_problems() -> Column:
+    """How a document prints dates and amounts: one of the known ways."""
+    return _problems(*_printing_problems())
+
+
 def _printing_problems() -> list[Column]:
     chosen = {"date_order": ("DMY", "MDY", "YMD"), "decimal_separator": (".", ",")}
     return [F.when(~_holds(F.col(c).isin(*values)), f"{c} is unknown") for c, values in chosen.items()]

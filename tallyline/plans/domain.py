@@ -144,6 +144,8 @@ TABLES = {
     "parse_requests": """
         SELECT id, workspace_id, account_id, CASE WHEN id % 41 = 0 THEN 'XXX' ELSE currency END AS currency, CASE id % 9 WHEN 0 THEN 'FAILED' WHEN 1 THEN 'VALIDATING' ELSE 'PARSING' END AS state,
           period_start, period_end, id % 43 <> 0 AS stored FROM statements""",
+    "flow_requests": """
+        SELECT p.*, CASE WHEN p.id % 6 = 1 THEN 'SCANNED' ELSE 'TEXT' END AS path, CASE WHEN p.id % 47 <> 0 THEN s.content_hash END AS content_hash, s.created_on FROM parse_requests p JOIN statements s ON s.id = p.id""",
     "structures": """
         SELECT s.id AS statement_id, CAST(t.attempt AS INT) AS attempt, s.id % 16 = 0 AS pinned, CAST(1 AS INT) AS header_row, CAST(CASE WHEN s.id % 31 = 0 THEN 1000 ELSE 2 END AS INT) AS first_data_row, CAST(0 AS INT) AS date_column, 'DMY' AS date_order,
           CAST(5 AS INT) AS reference_column, CAST(CASE WHEN t.attempt = 0 OR s.id % 8 <> 4 THEN 4 END AS INT) AS balance_column, 'DEBIT_CREDIT' AS amount_shape,

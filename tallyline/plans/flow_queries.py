@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.lineage import cut
 from ..functions.money import exponent
 from ..functions.text import normalize_description
-from ..operators import chain, ledger, parsing, verdicts
+from ..operators import chain, ledger, parsing, statement_flow, verdicts
 from ..operators import matching as M
 from ..operators import report as R
 from ..operators import review as V
@@ -115,6 +115,90 @@ def parse_ledger(spark: SparkSession, d: str) -> DataFrame:
     return ledger.promote(parsing.kept(lines, settled).withColumn("description_normalized", normalize_description(F.col("description"))))
 
 
+FLOW = """
+WITH asked AS (SELECT * FROM flow_requests WHERE state IN ('PARSING', 'VALIDATING')),
+mapped AS (SELECT s.*, f.workspace_id, f.content_hash, f.created_on FROM structures s JOIN flow_requests f ON f.id = s.statement_id WHERE s.attempt = 0 AND s.statement_id % 4 <> 0 AND s.statement_id % 5 = 2 AND s.credit_column IS NOT NULL),
+donors AS (SELECT a.id, arg_min(m.statement_id, struct_pack(c := m.created_on, i := m.statement_id)) AS donor FROM asked a JOIN mapped m ON m.workspace_id = a.workspace_id AND m.content_hash = a.content_hash AND m.statement_id <> a.id WHERE a.path = 'TEXT' GROUP BY 1),
+fit AS (SELECT * FROM asked WHERE account_id IS NOT NULL AND currency <> 'XXX' AND stored),
+good AS (
+  SELECT s.statement_id, s.attempt, s.first_data_row, s.debit_column, s.balance_column, s.opening_column, s.closing_column, false AS scanned FROM structures s JOIN fit f ON f.id = s.statement_id WHERE f.path = 'TEXT' AND s.credit_column IS NOT NULL AND s.statement_id NOT IN (SELECT id FROM donors)
+  UNION ALL SELECT f.id, 0, m.first_data_row, m.debit_column, m.balance_column, m.opening_column, m.closing_column, false FROM fit f JOIN donors d ON d.id = f.id JOIN mapped m ON m.statement_id = d.donor
+  UNION ALL SELECT id, 0, 0, 2, 4, CASE WHEN id % 4 <> 1 THEN 1 END, CASE WHEN id % 5 <> 1 THEN 3 END, true FROM fit WHERE path = 'SCANNED' AND id % 30 <> 1 AND id % 42 <> 13),
+moved AS """ + READINGS.split("moved AS", 1)[1].replace("l.row_index + 1 AS row_index", "l.row_index + CASE WHEN g.scanned THEN 0 ELSE 1 END AS row_index").replace(
+    "WHERE l.row_index + 1 >= g.first_data_row", "WHERE CASE WHEN g.scanned THEN l.row_index % 11 <> 5 ELSE l.row_index + 1 >= g.first_data_row END"
+)
+FLOW_STATEMENTS = """SELECT e.id AS statement_id, e.workspace_id, e.account_id, CASE WHEN failure IS NULL THEN 'COMPLETED' ELSE 'FAILED' END AS state, failure, j.attempt, j.outcome, CAST(j.opening AS BIGINT) AS opening, j.opening_source,
+  CAST(j.closing AS BIGINT) AS closing, j.closing_source, CAST(j.credits AS BIGINT) AS credits, CAST(j.debits AS BIGINT) AS debits, CAST(j.difference AS BIGINT) AS difference, j.lines, j.breaks, j.coverage,
+  CAST(CASE WHEN failure IS NULL THEN CASE WHEN e.period_start IS NOT NULL AND e.period_end IS NOT NULL THEN e.period_start ELSE first_date END END AS VARCHAR) AS period_start, CAST(CASE WHEN failure IS NULL THEN CASE WHEN e.period_start IS NOT NULL AND e.period_end IS NOT NULL THEN e.period_end ELSE last_date END END AS VARCHAR) AS period_end,
+  CASE WHEN failure IS NULL THEN CASE WHEN e.period_start IS NOT NULL AND e.period_end IS NOT NULL THEN 'DECLARED' ELSE 'DERIVED' END END AS period_source
+FROM ends e LEFT JOIN judged j ON e.failure IS NULL AND j.statement_id = e.statement_id AND j.attempt = e.attempt"""
+
+
+def _flow(spark: SparkSession, d: str) -> statement_flow.Flow:
+    """Text and scanned statements, some of which were mapped before, a reader's slips among the scans."""
+    requests, rows, structures = load(spark, d, "flow_requests"), load(spark, d, "printed_lines"), _structures(spark, d).drop("pinned")
+    mappings = structures.where("attempt = 0 and statement_id % 4 <> 0 and statement_id % 5 = 2")
+    files = _balance_files(spark, d).join(requests.where("path = 'TEXT'").select(F.col("id").alias("statement_id")), "statement_id", "left_semi")
+    i = F.col("statement_id")
+    scanned = requests.where("path = 'SCANNED'").select(F.col("id").alias("statement_id"), "currency")
+    lines = scanned.join(rows, "statement_id")
+    moved = lines.groupBy("statement_id", "currency").agg(F.sum(chain.signed(F.col("direction"), F.col("amount_minor"))).alias("moved"))
+    ends = scanned.join(moved.drop("currency"), "statement_id", "left").fillna(0, ["moved"])
+    closing = F.col("moved") + 1000000 + F.when(i % 13 == 0, 500).otherwise(0)
+    scans = ends.select(
+        "statement_id", F.when(i % 30 == 1, "DYM").otherwise("DMY").alias("date_order"), F.lit(".").alias("decimal_separator"),
+        F.when(i % 4 != 1, _printed(F.lit(1000000), F.col("currency"))).alias("opening"), F.when(i % 5 != 1, _printed(closing, F.col("currency"))).alias("closing"),
+    )
+    amount = _printed(F.col("amount_minor"), F.col("currency"))
+    ill = (i % 42 == 13) & (F.col("row_index") == 1)
+    scanned_rows = lines.select(
+        "statement_id", "row_index", F.when(ill, None).when(F.col("row_index") % 11 == 5, "31 Feb").otherwise(F.date_format("value_date", "dd/MM/yyyy")).alias("date"), F.concat(F.lit(" "), F.col("description"), F.lit(" ")).alias("description"),
+        *[F.when(F.col("direction") == side, amount).alias(side.lower()) for side in ("DEBIT", "CREDIT")], F.nullif(_printed(F.col("balance_minor"), F.col("currency")), F.lit("")).alias("balance"), F.coalesce("external_reference", F.lit("0000")).alias("reference"),
+    )
+    return statement_flow.run(requests, bank_files.csv_grid(files), structures, mappings, scans, scanned_rows)
+
+
+@query("flow_statements", FLOW + FLOW_STATEMENTS)
+def flow_statements(spark: SparkSession, d: str) -> DataFrame:
+    """Statements through the whole flow, whichever way they are read."""
+    return _flow(spark, d).settled
+
+
+@query("flow_lines", FLOW + f", {KEPT} SELECT statement_id, CAST(row_index AS INTEGER) AS row_index, CAST(value_date AS VARCHAR) AS value_date, amount_minor, direction, CAST(balance_minor AS BIGINT) AS balance_minor, external_reference, description, account_id FROM kept")
+def flow_lines(spark: SparkSession, d: str) -> DataFrame:
+    return _flow(spark, d).lines.drop("attempt", "workspace_id")
+
+
+FLOW_REPORT = """, sizes AS (SELECT statement_id, count(*) AS n, min(value_date) AS first_date, max(value_date) AS last_date FROM printed_lines GROUP BY 1),
+reported AS (SELECT s.statement_id, r.workspace_id, r.path, s.attempt, coalesce(j.lines, 0) AS lines, coalesce(j.breaks, 0) AS breaks, coalesce(c.checked, 0) AS checked, CAST(j.opening AS BIGINT) AS opening, coalesce(j.opening_source, 'ABSENT') AS opening_source, CAST(j.closing AS BIGINT) AS closing, coalesce(j.closing_source, 'ABSENT') AS closing_source,
+  CAST(j.difference AS BIGINT) AS difference, coalesce(j.outcome, 'DISCREPANCY') AS outcome, coalesce(j.coverage, 'NONE') AS coverage, CAST(j.first_date AS VARCHAR) AS first_date, CAST(j.last_date AS VARCHAR) AS last_date,
+  CASE WHEN r.path = 'TEXT' THEN 2 + coalesce(z.n, 0) END AS grid_rows, CASE WHEN r.path = 'TEXT' THEN 1 END AS header_row, CASE WHEN r.path = 'TEXT' THEN g.first_data_row END AS first_data_row,
+  CASE WHEN r.path = 'SCANNED' THEN (coalesce(z.n, 0) + 6) // 11 ELSE 0 END AS skips, CASE WHEN r.path = 'TEXT' THEN CASE WHEN g.first_data_row > 2 THEN coalesce(z.n, 0) ELSE 0 END END AS excluded_rows, CAST(z.first_date AS VARCHAR) AS shut_first, CAST(z.last_date AS VARCHAR) AS shut_last, z.n
+  FROM standing s JOIN asked r ON r.id = s.statement_id JOIN good g ON g.statement_id = s.statement_id AND g.attempt = s.attempt LEFT JOIN judged j ON j.statement_id = s.statement_id AND j.attempt = s.attempt LEFT JOIN checks c ON c.statement_id = s.statement_id AND c.attempt = s.attempt LEFT JOIN sizes z ON z.statement_id = s.statement_id)
+"""
+REPORTED = "statement_id, workspace_id, path, attempt, lines, breaks, checked, opening, opening_source, closing, closing_source, difference, outcome, coverage, first_date, last_date, grid_rows, header_row, first_data_row, skips, excluded_rows"
+
+
+@query("flow_report", FLOW + FLOW_REPORT + f"SELECT {REPORTED} FROM reported")
+def flow_report(spark: SparkSession, d: str) -> DataFrame:
+    """What was done with each reading that stands."""
+    return _flow(spark, d).report.select(*REPORTED.split(", "))
+
+
+_SAID = " || ".join(f"' {n}=' || " + " || '/' || ".join(f"coalesce(CAST({c} AS VARCHAR), 'none')" for c in columns) for n, columns in (("path", ["path"]), ("rows", ["grid_rows"]), ("header", ["header_row"]), ("from", ["first_data_row"]), ("lines", ["lines"]), ("skipped", ["skips"]), ("first", ["first_date"]), ("last", ["last_date"]), ("opening", ["opening", "opening_source"]), ("closing", ["closing", "closing_source"]), ("difference", ["difference"]), ("outcome", ["outcome"]), ("shut_out", ["excluded_rows"]), ("chain", ["coverage"]), ("links", ["checked"]), ("breaks", ["breaks"])))
+
+
+@query(
+    "flow_log",
+    FLOW + FLOW_REPORT + f"""SELECT statement_id, 0 AS line, 'statement=' || statement_id || {_SAID} AS text FROM reported
+UNION ALL SELECT statement_id, 1, 'statement=' || statement_id || ' skipped_by: no date=' || skips || ' at ' || array_to_string(list_transform(range(5, CAST(n + 1 AS BIGINT), 11), lambda x: CAST(x AS VARCHAR)), ',') FROM reported WHERE skips > 0
+UNION ALL SELECT statement_id, 3, 'statement=' || statement_id || ' shut_out: ' || excluded_rows || ' rows 2-' || (n + 1) || ' dated ' || shut_first || ' to ' || shut_last FROM reported WHERE excluded_rows > 0""",
+)
+def flow_log(spark: SparkSession, d: str) -> DataFrame:
+    """The lines of each reading's report; where balances break, balance_chain_report has the same text by itself."""
+    return statement_flow.log_lines(_flow(spark, d).report).where("line <> 2")
+
+
 @query(
     "balance_chain_report",
     ENDS + """, probed AS (SELECT u.statement_id, u.end_row, u.previous, u.total, u.printed, u.n, count(*) FILTER (u.previous + u.total - 2 * l.signed = u.printed) AS flips, max(CASE WHEN u.previous + u.total - 2 * l.signed = u.printed THEN l.row_index END) AS flipped,

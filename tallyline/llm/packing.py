@@ -1,13 +1,16 @@
 """Mixture-controlled packing of tokenised documents by deficit round-robin.
 
-Documents are dealt to partitions by a hash, so that each partition is a fair sample of
-the corpus. Texts are tokenised where they are read, and the tokens of each source are
-counted over all documents: the shares are every task's targets. A task holds one queue
-per source. Every window gives each source of the corpus a quantum, its target share of
-the window, on top of the deficit it has left from the windows before, whether or not the
-task has documents of it; the source with the greatest deficit is served next, from the
-head of its queue, until the window is full. Documents are cut only where a window ends,
-and what is cut off stays at the head of its queue.
+Rows are dealt to partitions by a hash of their number, so that each partition is a fair
+sample of the corpus, however many rows are alike. Texts are tokenised where they are
+read, and the tokens of each source are counted over all documents: the shares are every
+task's targets. A task holds one queue per source. Every window gives each source of the
+corpus a quantum, its target share of the window, on top of the deficit it has left from
+the windows before, whether or not the task has documents of it. A source is served what
+it is owed, from the head of its queue, the one with the greatest deficit first; documents
+are cut there, and what is cut off stays at the head of its queue. So every full window
+holds the target proportions but for QUANTUM tokens a source: what is owed less than that
+waits for the next window, lest documents fall into crumbs. Room that sources without
+tokens leave goes to the others by their weights.
 
 The last window of a partition is rarely full. Its pieces go up a tree, and with them a
 row for each source with what it is owed: the remainders of up to 64 partitions meet as
@@ -33,6 +36,8 @@ from pyspark.sql import functions as F
 from .common import materialize, table
 
 WINDOW = 1024
+#: Tokens that a source is served at once at least: what bounds the pieces of a window.
+QUANTUM = 32
 SEPARATOR = 0
 #: Tokens that a task holds in its queues before it serves windows.
 HELD_TOKENS = 4_000_000
@@ -114,25 +119,41 @@ class RoundRobin:
             yield from self._fill(self.window)
 
     def _fill(self, size: int) -> Iterator[tuple[int, int, Piece]]:
-        space, sequence = size, self.next_id
+        sequence, at = self.next_id, 0
         self.next_id += 1
         self.credit += size
-        while space:
-            s = max((s for s, n in self.tokens.items() if n), key=lambda s: (self.weights.get(s, 0.0) > 0, self.deficit(s)))
-            piece = self._take(s, space)
-            yield sequence, size - space, piece
-            space -= len(piece.ids)
-            self.owed[s] = self.owed.get(s, 0.0) - len(piece.ids)
-
-    def _take(self, source: str | None, most: int) -> Piece:
+        weighed = [s for s, n in self.tokens.items() if n and self.weights.get(s, 0.0) > 0]
+        for s in sorted(weighed, key=self.deficit, reverse=True):
+            owed = int(self.deficit(s))
+            if owed < QUANTUM:
+                break
+            for piece in self._take(s, min(size - at, owed)):
+                yield sequence, at, piece
+                at += len(piece.ids)
+        while at < size:
+            # Sources of weight 0 only where no other has tokens.
+            left = [s for s in weighed if self.tokens[s]] or [s for s, n in self.tokens.items() if n]
+            weight = lambda s: self.weights.get(s, 0.0) or 1.0
+            room, total = size - at, sum(map(weight, left))
+            for s in sorted(left, key=lambda s: self.deficit(s) / weight(s), reverse=True):
+                for piece in self._take(s, min(size - at, max(QUANTUM, int(room * weight(s) / total)))):
+                    yield sequence, at, piece
+                    at += len(piece.ids)
+
+    def _take(self, source: str | None, most: int) -> Iterator[Piece]:
+        """Pieces of at most so many tokens in all from the head of a queue, the last one cut."""
         queue = self.queues[source]
-        piece = queue.popleft()
-        if len(piece.ids) > most:
-            queue.appendleft(Piece(piece.row_id, piece.doc_id, source, piece.start + most, piece.doc_tokens, piece.ids[most:]))
-            piece = Piece(piece.row_id, piece.doc_id, source, piece.start, piece.doc_tokens, piece.ids[:most])
-        self.tokens[source] -= len(piece.ids)
-        self.held -= len(piece.ids)
-        return piece
+        while most and queue:
+            piece = queue.popleft()
+            if len(piece.ids) > most:
+                queue.appendleft(Piece(piece.row_id, piece.doc_id, source, piece.start + most, piece.doc_tokens, piece.ids[most:]))
+                piece = Piece(piece.row_id, piece.doc_id, source, piece.start, piece.doc_tokens, piece.ids[:most])
+            n = len(piece.ids)
+            most -= n
+            self.tokens[source] -= n
+            self.held -= n
+            self.owed[source] = self.owed.get(source, 0.0) - n
+            yield piece
 
     def rest(self) -> Iterator[Piece]:
         for queue in self.queues.values():
@@ -174,12 +195,11 @@ def pack(docs: DataFrame, window: int = WINDOW, weights: dict[str | None, float]
     A document is its ids and one separator id, so an empty or null text is a piece of
     one id. weights are target token proportions by source; without them each source's
     share of the tokens is its target, which keeps every window like the corpus. A source
-    of weight 0 is served when no other has tokens. Documents longer than a window are
-    cut at windows; every id lies in exactly one piece, and a sequence's offsets have no
-    gaps. Null ids and sources are values like any other; repeated rows are documents of
+    of weight 0 is served when no other has tokens. Documents are cut where their source
+    has had its share of a window; every id lies in exactly one piece, and a sequence's
+    offsets have no gaps. Null ids and sources are values like any other; repeated rows are documents of
     their own (row_id tells them apart). An empty table gives an empty result.
     """
-    spread = F.xxhash64("doc_id", "text")
     rows = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce("text", F.lit("")).alias("text"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,13 +207,14 @@ def pack(docs: DataFrame, window: int = WINDOW, weights: dict[str | None, float]
         for b in batches:
             for part in (b.slice(i, 1024) for i in range(0, b.num_rows, 1024)):
                 ids = [np.append(ids_of(t), np.uint32(SEPARATOR)).astype("<u4") for t in part.column("text").to_pylist()]
-                kept = [part.column(c) for c in ("row_id", "doc_id", "source", "spread")]
-                yield pa.RecordBatch.from_arrays([*kept, pa.array([len(i) for i in ids], pa.int64()), pa.array([_narrow(i) for i in ids], pa.binary())], names=["row_id", "doc_id", "source", "spread", "n", "ids"])
+                kept = [part.column(c) for c in ("row_id", "doc_id", "source")]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array([len(i) for i in ids], pa.int64()), pa.array([_narrow(i) for i in ids], pa.binary())], names=["row_id", "doc_id", "source", "n", "ids"])
 
-    tokens = materialize(rows.withColumn("spread", spread).mapInArrow(encode, "row_id long, doc_id long, source string, spread long, n long, ids binary"), "tokens")
+    tokens = materialize(rows.mapInArrow(encode, "row_id long, doc_id long, source string, n long, ids binary"), "tokens")
     if weights is None:
         weights = {r["source"]: r["n"] for r in tokens.groupBy("source").agg(F.sum("n").alias("n")).collect()}
-    dealt = tokens.select("row_id", "doc_id", "source", "n", "ids", "spread").repartition("spread").sortWithinPartitions(F.xxhash64("doc_id"), "row_id")
+    # Rows stay as they were written, so their numbers deal them alike whenever a task runs again.
+    dealt = tokens.repartition(F.xxhash64("row_id")).sortWithinPartitions(F.xxhash64("doc_id"), "row_id")
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         robin = RoundRobin(window, weights, TaskContext.get().partitionId() << 33)
@@ -217,7 +238,7 @@ def pack(docs: DataFrame, window: int = WINDOW, weights: dict[str | None, float]
         groups = groups // FAN_IN
         last = groups == 0
         rest = rest.withColumn("part", F.floor(F.col("part") / FAN_IN).cast("int"))
-        level = materialize(rest.groupBy("part").applyInPandas(_meeting(window, weights, depth, last), PIECE + ", part int"), f"packed-{depth}")
+        level = materialize(rest.groupBy("part").applyInArrow(_meeting(window, weights, depth, last), PIECE + ", part int"), f"packed-{depth}")
         parts.append(level.where("sequence_id is not null").drop("part"))
         rest = level.where("sequence_id is null")
         if last:
@@ -231,21 +252,18 @@ def pack(docs: DataFrame, window: int = WINDOW, weights: dict[str | None, float]
 def _meeting(window: int, weights: dict, depth: int, last: bool):
     """Packs the remainders of at most FAN_IN partitions, each shorter than a window."""
 
-    def meet(pdf):
-        import pandas as pd
-
-        part = int(pdf["part"].iloc[0])
+    def meet(table: pa.Table) -> pa.Table:
+        part = table.column("part")[0].as_py()
         robin = RoundRobin(window, weights, (depth << 58) + (part << 33))
-        owed = pdf["ids"].isna()
-        for r in pdf[~owed].sort_values(["row_id", "start"]).itertuples():
-            none = lambda x: None if pd.isna(x) else x
-            doc_id = none(r.doc_id)
-            robin.add(Piece(int(r.row_id), None if doc_id is None else int(doc_id), none(r.source), int(r.start), int(r.doc_tokens), np.frombuffer(r.ids, dtype="<u4")))
-        for source, deficit in pdf[owed].groupby("source", dropna=False)["deficit"].sum().items():
-            robin.owed[None if pd.isna(source) else source] = float(deficit)
-        rows = [_placed(*x) for x in robin.serve(0)]
-        rows += [_placed(*x) for x in robin.powers()] if last else _left(robin)
-        return pa.Table.from_batches([_batch(rows)]).to_pandas(integer_object_nulls=True).assign(part=part)
+        rows = table.to_pylist()
+        for r in sorted((r for r in rows if r["ids"] is not None), key=lambda r: (r["row_id"], r["start"])):
+            robin.add(Piece(r["row_id"], r["doc_id"], r["source"], r["start"], r["doc_tokens"], np.frombuffer(r["ids"], dtype="<u4")))
+        for r in rows:
+            if r["ids"] is None:
+                robin.owed[r["source"]] = robin.owed.get(r["source"], 0.0) + r["deficit"]
+        out = [_placed(*x) for x in robin.serve(0)]
+        out += [_placed(*x) for x in robin.powers()] if last else _left(robin)
+        return pa.Table.from_batches([_batch(out)]).append_column("part", pa.array([part] * len(out), pa.int32()))
 
     return meet
 

@@ -18,7 +18,7 @@ from tallyline.llm.exact_dedup import exact_dedup, exact_dedup_stage, merge_runs
 from tallyline.llm.lm_scoring import DISCOUNT, lm_scores
 from tallyline.llm.mixing import mix, mixing_stage, source_targets
 from tallyline.llm.ngram_join import divide_skip, ngram_join, ngram_join_stage
-from tallyline.llm.packing import WINDOW, RoundRobin, Piece, Tokenizer, VOCABULARY, pack
+from tallyline.llm.packing import QUANTUM, WINDOW, RoundRobin, Piece, Tokenizer, VOCABULARY, pack
 from tallyline.llm.quality import METADATA, THRESHOLD, Machine, fit_quality, quality_stage, score_quality
 
 SCHEMA = "doc_id long, text string, source string, n_chars long, row_id long, key string, score string, size string, part int, copies string"
@@ -300,6 +300,42 @@ def test_windows_follow_the_corpus_and_not_the_queues():
     assert set(owed) == {"a", "b", "c", None} and owed["c"] == 100 * len(per) / 2 and sum(owed.values()) == pytest.approx(0)
 
 
+def test_every_window_holds_the_target_proportions():
+    weights = {"a": 5.0, "b": 3.0, "c": 1.5, "d": 0.5}
+    robin = RoundRobin(WINDOW, weights, 0)
+    rng = random.Random(2)
+    for i in range(400):
+        n = rng.choice([1, 40, 900, 30_000])
+        for s, w in weights.items():
+            robin.add(Piece(i, i, s, 0, int(n * w) + 1, np.zeros(int(n * w) + 1, dtype=np.uint32)))
+    per, pieces = defaultdict(Counter), Counter()
+    for sequence, _, piece in robin.serve(2_000_000):
+        per[sequence][piece.source] += len(piece.ids)
+        pieces[sequence, piece.source] += 1
+    assert len(per) > 1000
+    for sequence, held in per.items():
+        assert sum(held.values()) == WINDOW
+        assert all(abs(held[s] - WINDOW * w / 10) <= 2 * QUANTUM + 4 for s, w in weights.items())
+    for s, w in weights.items():
+        total = np.cumsum([per[i][s] for i in range(len(per))])
+        assert (abs(total - WINDOW * w / 10 * np.arange(1, len(per) + 1)) <= 2 * QUANTUM + 4).all()
+
+
+def test_packing_keeps_ids_and_spreads_equal_rows(spark):
+    text = "one and the same text for all of these rows"
+    rows = [(2**60 + i, f"{i} {text}", "s") for i in (1, 3)] + [(None, None, None), (None, "", "s")] + [(7, text, "s")] * 3000
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(2)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        pieces = pack(docs).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert {r.doc_id for r in pieces} == {2**60 + 1, 2**60 + 3, None, 7} and sum(r.length for r in pieces if r.doc_id is None) == 2
+    # A task numbers its sequences from its own base: equal rows went to all four, and to the tree.
+    tasks = Counter(r.sequence_id >> 33 for r in pieces if r.doc_id == 7)
+    assert len(tasks) == 5 and sum(r.length for r in pieces if r.doc_id == 7) == 3000 * next(r.doc_tokens for r in pieces if r.doc_id == 7)
+
+
 def test_packing_counts_each_deficit_once(spark, monkeypatch):
     rng = random.Random(4)
     docs = spark.createDataFrame([(i, _text(rng, rng.choice([3, 40, 700])), "abc"[i % 3]) for i in range(300)], "doc_id long, text string, source string")

@@ -27,7 +27,7 @@ LITERAL_RULES = 20_000
 
 @dataclass(frozen=True)
 class Rule:
-    """name and verdict of a rule, its pattern over ``host`` + newline + ``path``, and its literal tokens.
+    """name and verdict of a rule, its pattern over ``host`` + newline + ``path`` (see ``_subject``), and its literal tokens.
 
     Of several that fit, the one with the greatest weight decides, then the first by name.
     """
@@ -91,8 +91,13 @@ def split_url(url: Column) -> tuple[Column, Column]:
     return ascii_lower(F.regexp_extract(url, whole, 1)), F.regexp_extract(url, whole, 2)
 
 
+def _subject(host: Column, path: Column) -> Column:
+    """What patterns run over: host, newline, path. A line feed within a host becomes U+0001, so that the first newline ends the host."""
+    return F.concat_ws("\n", F.translate(host, "\n", "\u0001"), path)
+
+
 def _url_tokens(host: Column, path: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(F.concat_ws("\n", host, path), F.lit("([a-z0-9]+)"), 1))
+    return F.array_distinct(F.regexp_extract_all(_subject(host, path), F.lit("([a-z0-9]+)"), 1))
 
 
 def token_counts(urls: DataFrame, rules: tuple[Rule, ...]) -> dict[str, int]:
@@ -149,7 +154,7 @@ def filter_urls(urls: DataFrame, rules: tuple[Rule, ...], otherwise: str = "allo
     place = {b: i + 2 for i, b in enumerate(used)}
     directory = F.array(*[F.lit(place.get(b, 1)) for b in range(BUCKETS)])
     lists = F.array(F.array().cast(entry_type), *[F.array(*[_entry(t, r) for t, r in buckets[b]]).cast(entry_type) for b in used])
-    subject = F.concat_ws("\n", F.col("host"), F.col("path"))
+    subject = _subject(F.col("host"), F.col("path"))
 
     def fetched(token: Column) -> Column:
         bucket = F.crc32(F.encode(token, "UTF-8")) % F.lit(BUCKETS) + F.lit(1)
@@ -170,7 +175,7 @@ def _filter_by_join(urls: DataFrame, rules: tuple[Rule, ...], otherwise: str) ->
     host, path = split_url(F.col("url"))
     rows, row = numbered(urls, "url-rows")
     rows = rows.withColumns({"host": host, "path": path})
-    tokens = rows.select(F.col(row).alias("row"), F.concat_ws("\n", "host", "path").alias("subject"), F.explode(_url_tokens(F.col("host"), F.col("path"))).alias("token"))
+    tokens = rows.select(F.col(row).alias("row"), _subject(F.col("host"), F.col("path")).alias("subject"), F.explode(_url_tokens(F.col("host"), F.col("path"))).alias("token"))
     listed = [(i, list(r.tokens), r.pattern, r.weight, r.name if r.weight else None, r.verdict) for i, r in enumerate(rules)]
     table_ = materialize(urls.sparkSession.createDataFrame(listed, "id long, tokens array<string>, pattern string, weight int, rule string, verdict string"), "url-rules")
     own = table_.select("id", F.explode("tokens").alias("token"))
@@ -178,7 +183,7 @@ def _filter_by_join(urls: DataFrame, rules: tuple[Rule, ...], otherwise: str) ->
     rarest = own.join(counts, "token", "left").groupBy("id").agg(F.min(F.struct(F.coalesce("count", F.lit(0)).alias("n"), "token"))["token"].alias("token"))
     # Rules without a literal token have nothing to be found by: every URL runs them, and they travel in the plan.
     anywhere = F.array(*[_entry("", r) for r in rules if not r.tokens])
-    everywhere = rows.select(F.col(row).alias("row"), F.concat_ws("\n", "host", "path").alias("subject"), F.explode(anywhere).alias("e")).select("row", "subject", "e.pattern", "e.weight", "e.rule", "e.verdict") if any(not r.tokens for r in rules) else None
+    everywhere = rows.select(F.col(row).alias("row"), _subject(F.col("host"), F.col("path")).alias("subject"), F.explode(anywhere).alias("e")).select("row", "subject", "e.pattern", "e.weight", "e.rule", "e.verdict") if any(not r.tokens for r in rules) else None
     found = tokens.join(table_.join(rarest, "id"), "token").select("row", "subject", "pattern", "weight", "rule", "verdict")
     found = found if everywhere is None else found.unionByName(everywhere)
     best = found.where(F.rlike(F.col("subject"), F.col("pattern"))).groupBy("row").agg(F.min(F.struct((-F.col("weight")).alias("less"), "rule", "verdict")).alias("best"))

@@ -51,6 +51,15 @@ def test_url_rules(spark):
     assert [r.verdict for r in filter_urls(urls, anywhere).orderBy("page_id").collect()][3:5] == ["block", "block"]
 
 
+def test_line_feeds_in_hosts_and_paths(spark, monkeypatch):
+    urls = ["http://a\nb.com/en/x", "http://a.b\n.com/en/x", "http://b.net\n/de/x", "http://b.com/x\n/en/", "http://x\ncom/en/1", "http://\ncom/en/1", "http://e\n.example.com/en/7\n1"]
+    expected = ["com/en/", "com/en/", None, None, None, None, "example.com/en/7"]
+    rows = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    assert [r.rule for r in filter_urls(rows, CONTRACT_RULES).orderBy("page_id").collect()] == expected
+    monkeypatch.setattr("tallyline.llm.url_filter.LITERAL_RULES", 3)
+    assert [r.rule for r in filter_urls(rows, CONTRACT_RULES).orderBy("page_id").collect()] == expected
+
+
 def test_more_rules_than_travel_in_the_plan(spark, monkeypatch):
     urls = spark.createDataFrame([(i, u, "h", "b", i) for i, u in enumerate([*URLS, *URLS[:5]])], "page_id long, url string, host string, best string, row int")
     rules = CONTRACT_RULES + DEFAULT_PATTERNS + (Rule("any", "block", r"\d\d", (), 5),)

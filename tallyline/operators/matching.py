@@ -110,7 +110,11 @@ def candidates(invoices: DataFrame, transactions: DataFrame, aliases: DataFrame,
 
 
 def decisions(invoices: DataFrame, found: DataFrame, duplicates: DataFrame, adjudications: DataFrame) -> DataFrame:
-    """invoice, kind, blocked_by, transaction: every condition of an automatic match, the first failing one named."""
+    """invoice, kind, blocked_by, transaction: every condition of an automatic match, the first failing one named.
+
+    A malformed adjudication (invoice_id, verdict, candidate, reason) agrees with nothing.
+    """
+    adjudications = verdicts_.usable(adjudications, verdicts_.adjudication_problems())
     anchors = found.withColumn("n", F.count("*").over(Window.partitionBy("invoice"))).where("rank = 0")
     verdicts = adjudications.select(F.col("invoice_id").alias("invoice"), "verdict", "candidate")
     facts = invoices.select(F.col("id").alias("invoice")).join(anchors.select("invoice", "transaction", "n", "truncated", "currency", "delta_minor", "offset_days", "vendor"), "invoice", "left")
@@ -186,7 +190,8 @@ def anchor_moves(steps: DataFrame, requirements: DataFrame) -> DataFrame:
 
 
 def proposals(decided: DataFrame, candidates: DataFrame, duplicates: DataFrame, adjudications: DataFrame) -> DataFrame:
-    """What matching would do, without linking: the decision, how many candidates, whether it may be a duplicate, and the judge's verdict where there was something to judge."""
+    """What matching would do, without linking: the decision, how many candidates, whether it may be a duplicate, and the judge's verdict where there was something to judge and the answer could be used."""
+    adjudications = verdicts_.usable(adjudications, verdicts_.adjudication_problems())
     rows = decided.join(candidates.groupBy("invoice").agg(F.count("*").alias("candidates")), "invoice", "left")
     rows = rows.join(duplicates.select("invoice", F.lit(True).alias("suspected_duplicate")), "invoice", "left").join(adjudications.select(F.col("invoice_id").alias("invoice"), "verdict"), "invoice", "left")
     verdict = F.when(F.col("candidates").isNotNull(), F.col("verdict"))

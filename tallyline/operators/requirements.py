@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.ranking import id_range, placed
 from ..functions.text import vendor_key
 from ..thresholds import BATCH_SIZE
+from . import verdicts
 
 IN_FLIGHT = ("UPLOADING", "IDENTIFYING", "PARSING", "VALIDATING")
 
@@ -23,12 +24,13 @@ def batches(rows: DataFrame, size: int = BATCH_SIZE) -> DataFrame:
     return numbered.withColumn("batch", F.floor((F.col("place") - 1) / size).cast("int")).drop("place")
 
 
-def created(judgements: DataFrame) -> DataFrame:
-    """transaction_id, outcome: the first judgement of each payment decides.
+def created(judgements: DataFrame, watch: Observation | None = None) -> DataFrame:
+    """transaction_id, outcome: the first judgement of each payment decides; malformed ones are none.
 
-    An unsure one with a clarification asks; otherwise a document is required if the
-    judgement says so and the payment isn't a credit.
+    An unsure one asks its question; otherwise a document is required if the judgement says
+    so and the payment isn't a credit. watch counts answers and refusals.
     """
+    judgements = verdicts.usable(judgements, verdicts.judgement_problems(), watch).withColumn("has_clarification", F.col("question").isNotNull())
     fields = ("needs_document", "confident", "has_clarification", "direction", "workspace_id")
     first = judgements.groupBy("transaction_id").agg(F.min_by(F.struct(*fields), "position").alias("j")).select("transaction_id", "j.*")
     outcome = F.when(~F.col("confident") & F.col("has_clarification"), "question").when(F.col("needs_document") & (F.col("direction") != "CREDIT"), "requirement").otherwise("judged")

@@ -6,7 +6,7 @@ A malformed answer counts as none: it is left out, never repaired.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 SHAPES = ("DEBIT_CREDIT", "SIGNED_AMOUNT", "AMOUNT_WITH_INDICATOR")
@@ -89,8 +89,8 @@ def scanned_problems() -> Column:
     return _problems(*_printing_problems(), *[F.when(F.col(c).isNull(), f"{c} is required") for c in ("date", "description")])
 
 
-def reading_problems() -> Column:
-    """A reading of an invoice: a reason; printed texts and aliases that aren't empty; no amounts and number where it is none; a currency with a total.
+def reading_problems(invoice_date: Column | None = None) -> Column:
+    """A reading of an invoice (its printed date in invoice_date, or in the column given): a reason; printed texts and aliases that aren't empty; no amounts and number where it is none; a currency with a total.
 
     The sentences of the last two are fixed wording.
     """
@@ -99,14 +99,17 @@ def reading_problems() -> Column:
         F.when(~_holds(F.col("classification").isin("IS_INVOICE", "UNCERTAIN", "IS_NOT_INVOICE")), "classification is unknown"),
         F.when(~_holds(F.col("reason") != ""), "reason is required"),
         *_printing_problems(),
-        *[F.when(F.col(c) == "", f"{c} must not be empty") for c in ("invoice_date", "total", "tax", "subtotal")],
+        *[F.when(t == "", f"{c} must not be empty") for c, t in (("invoice_date", F.col("invoice_date") if invoice_date is None else invoice_date), *((c, F.col(c)) for c in figures[:3]))],
         F.when(_holds(F.exists("aliases", lambda a: F.coalesce(a == "", F.lit(True)))), "aliases must not be empty"),
         *[F.when((F.col("classification") == "IS_NOT_INVOICE") & F.col(c).isNotNull(), f"{c} must be null when the document is not an invoice") for c in figures],
         F.when(F.col("total").isNotNull() & F.col("currency").isNull(), "currency is required when a total was found"),
     )
 
 
-def usable(rows: DataFrame, problems: Column) -> DataFrame:
+def usable(rows: DataFrame, problems: Column, watch: Observation | None = None) -> DataFrame:
+    """The rows that may be used. watch gets how many answers there were and how many of them were refused, as the rows go by."""
+    if watch is not None:
+        rows = rows.observe(watch, F.count(F.lit(1)).alias("answers"), F.count_if(F.size(problems) > 0).alias("refused"))
     return rows.where(F.size(problems) == 0)
 
 

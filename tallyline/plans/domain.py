@@ -132,10 +132,11 @@ TABLES = {
           (r.id + j.j) % 3 <> 0 AS proposes, CASE WHEN (r.id + j.j) % 7 <> 0 THEN r.transaction_id END AS auto_match_transaction_id
         FROM requirements r CROSS JOIN (SELECT 0 AS j UNION ALL SELECT 1 UNION ALL SELECT 2) j WHERE r.id % (j.j + 1) = 0""",
     "judgements": """
-        SELECT t.id AS transaction_id, t.workspace_id, j.j AS position, t.direction, (t.id + j.j) % 3 <> 0 AS needs_document, (t.id + j.j) % 4 <> 0 AS confident, (t.id + j.j) % 8 = 0 AS has_clarification
+        SELECT t.id AS transaction_id, t.workspace_id, j.j AS position, t.direction, (t.id + j.j) % 3 <> 0 AND ((t.id + j.j) % 4 <> 0 OR (t.id + j.j) % 5 = 1) AS needs_document, CASE WHEN (t.id + j.j) % 17 <> 0 THEN 'A bill is usual' END AS reason, (t.id + j.j) % 4 <> 0 AS confident,
+          CASE WHEN (t.id + j.j) % 8 = 0 THEN CASE WHEN (t.id + j.j) % 7 = 0 THEN '' ELSE 'What was this?' END END AS question, CASE WHEN (t.id + j.j) % 8 = 0 THEN CASE WHEN (t.id + j.j) % 11 = 0 THEN 1 ELSE 2 END END AS choices
         FROM transactions t CROSS JOIN (SELECT 0 AS j UNION ALL SELECT 1) j WHERE NOT t.judged AND (j.j = 0 OR t.id % 2 = 0)""",
     "adjudications": """
-        SELECT id AS invoice_id, CASE WHEN id % 11 <> 0 THEN 'SAME' WHEN id % 4 = 0 THEN 'UNSURE' ELSE 'DIFFERENT' END AS verdict, CASE WHEN id % 11 <> 0 THEN CASE WHEN id % 16 = 2 THEN 1 ELSE 0 END END AS candidate
+        SELECT id AS invoice_id, CASE WHEN id % 11 <> 0 THEN 'SAME' WHEN id % 4 = 0 THEN 'UNSURE' ELSE 'DIFFERENT' END AS verdict, CASE WHEN id % 11 <> 0 THEN CASE WHEN id % 16 = 2 THEN 1 ELSE 0 END WHEN id % 9 = 0 THEN 0 END AS candidate, CASE WHEN id % 19 <> 0 THEN 'Same total' WHEN id % 2 = 0 THEN '' END AS reason
         FROM invoices WHERE id % 14 <> 0""",
     "duplicate_verdicts": """
         SELECT a.id AS incoming_id, b.id AS existing_id, CASE (a.id + b.id) % 3 WHEN 0 THEN 'YES' WHEN 1 THEN 'NO' ELSE 'UNSURE' END AS same, 'The judge says so' AS reason

@@ -320,7 +320,7 @@ def match_anchor_moves(spark: SparkSession, d: str) -> DataFrame:
     return M.anchor_moves(_steps(spark, d), load(spark, d, "requirements"))
 
 
-@query("match_proposals", DECISIONS + "SELECT d.invoice, d.kind, d.blocked_by, coalesce(n.n, 0) AS candidates, u.invoice IS NOT NULL AS suspected_duplicate, v.verdict FROM decided d LEFT JOIN (SELECT invoice, count(*) AS n FROM candidates GROUP BY 1) n USING (invoice) LEFT JOIN duplicates u USING (invoice) LEFT JOIN adjudications v ON v.invoice_id = d.invoice AND n.n IS NOT NULL")
+@query("match_proposals", DECISIONS + "SELECT d.invoice, d.kind, d.blocked_by, coalesce(n.n, 0) AS candidates, u.invoice IS NOT NULL AS suspected_duplicate, v.verdict FROM decided d LEFT JOIN (SELECT invoice, count(*) AS n FROM candidates GROUP BY 1) n USING (invoice) LEFT JOIN duplicates u USING (invoice) LEFT JOIN said v ON v.invoice_id = d.invoice AND n.n IS NOT NULL")
 def match_proposals(spark: SparkSession, d: str) -> DataFrame:
     invoices, adjudications = _tables(spark, d, "invoices adjudications")
     candidates, duplicates = cut(_candidates(spark, d)), _duplicates(spark, d)

@@ -144,10 +144,11 @@ def duplicate_comparison(spark: SparkSession, d: str) -> DataFrame:
 
 
 DECISIONS = (
-    CANDIDATES + ", " + DUPLICATES + """, facts AS (
+    CANDIDATES + ", " + DUPLICATES + """, said AS (SELECT * FROM adjudications WHERE coalesce(reason, '') <> '' AND NOT (verdict = 'DIFFERENT' AND candidate IS NOT NULL)),
+facts AS (
   SELECT i.id AS invoice, c.transaction, c.n, c.truncated, c.currency, c.delta_minor, c.offset_days, c.vendor, d.invoice IS NOT NULL AS dup, v.verdict, v.candidate
   FROM invoices i LEFT JOIN (SELECT *, count(*) OVER (PARTITION BY invoice) AS n FROM candidates QUALIFY rank = 0) c ON c.invoice = i.id
-  LEFT JOIN duplicates d ON d.invoice = i.id LEFT JOIN adjudications v ON v.invoice_id = i.id),
+  LEFT JOIN duplicates d ON d.invoice = i.id LEFT JOIN said v ON v.invoice_id = i.id),
 named AS (SELECT *, CASE WHEN n IS NULL THEN NULL WHEN n <> 1 THEN 'one surviving candidate' WHEN truncated THEN 'the shortlist is exhaustive' WHEN dup THEN 'not a suspected duplicate'
   WHEN currency <> 'SAME' THEN 'the same currency' WHEN delta_minor IS NULL OR delta_minor <> 0 THEN 'the amount matches' WHEN abs(offset_days) > 3 THEN 'the dates are close'
   WHEN vendor NOT IN ('RESOLVED', 'ALIAS') THEN 'the vendor is known' WHEN verdict IS NULL OR verdict <> 'SAME' OR candidate IS NULL OR candidate <> 0 THEN 'the model agrees' END AS blocked_by FROM facts),

@@ -25,7 +25,7 @@ def requirements_pending(spark: SparkSession, d: str) -> DataFrame:
 BATCHES = """
 WITH pending AS (SELECT t.* FROM transactions t WHERE NOT judged AND NOT EXISTS (SELECT 1 FROM requirements r WHERE r.transaction_id = t.id)),
 batches AS (SELECT workspace_id, id, CAST((row_number() OVER (PARTITION BY workspace_id ORDER BY value_date, id) - 1) // 20 AS INTEGER) AS batch FROM pending),
-firsts AS (SELECT * FROM judgements QUALIFY row_number() OVER (PARTITION BY transaction_id ORDER BY position) = 1),
+firsts AS (SELECT *, question IS NOT NULL AS has_clarification FROM judgements WHERE NOT (needs_document AND reason IS NULL) AND confident = (question IS NULL) AND NOT (NOT confident AND needs_document) AND (question IS NULL OR (question <> '' AND choices >= 2)) QUALIFY row_number() OVER (PARTITION BY transaction_id ORDER BY position) = 1),
 outcomes AS (SELECT workspace_id, transaction_id, CASE WHEN NOT confident AND has_clarification THEN 'question' WHEN needs_document AND direction <> 'CREDIT' THEN 'requirement' ELSE 'judged' END AS outcome FROM firsts)
 """
 
@@ -34,6 +34,12 @@ def _batches(spark: SparkSession, d: str) -> DataFrame:
     return Q.batches(Q.pending(*_tables(spark, d, "transactions requirements")))
 
 
+def _judgements(spark: SparkSession, d: str) -> DataFrame:
+    """What the judge says of payments, some of it malformed."""
+    options = F.when(F.col("choices").isNotNull(), F.slice(F.array(F.lit("Travel"), F.lit("Rent")), F.lit(1), F.col("choices")))
+    return load(spark, d, "judgements").withColumn("options", options).drop("choices")
+
+
 @query("requirement_batches", BATCHES + "SELECT * FROM batches")
 def requirement_batches(spark: SparkSession, d: str) -> DataFrame:
     return _batches(spark, d).select("workspace_id", "id", "batch")
@@ -41,7 +47,7 @@ def requirement_batches(spark: SparkSession, d: str) -> DataFrame:
 
 @query("requirements_created", BATCHES + "SELECT * FROM outcomes")
 def requirements_created(spark: SparkSession, d: str) -> DataFrame:
-    return Q.created(load(spark, d, "judgements"))
+    return Q.created(_judgements(spark, d))
 
 
 @query(
@@ -50,7 +56,7 @@ def requirements_created(spark: SparkSession, d: str) -> DataFrame:
 SELECT workspace_id, count(*) AS batches, count(*) FILTER (answers = 0) AS failed, CAST(sum(r) AS BIGINT) AS requirements, CAST(sum(q) AS BIGINT) AS questions, CASE WHEN count(*) FILTER (answers = 0) = count(*) THEN 'FAILED' ELSE 'COMPLETED' END AS state FROM per GROUP BY 1""",
 )
 def run_outcome(spark: SparkSession, d: str) -> DataFrame:
-    return Q.run_outcome(_batches(spark, d), Q.created(load(spark, d, "judgements")))
+    return Q.run_outcome(_batches(spark, d), Q.created(_judgements(spark, d)))
 
 
 @query(
@@ -110,16 +116,15 @@ def document_routing(spark: SparkSession, d: str) -> DataFrame:
     return docs.select("doc_id", "media_type", path.alias("path"))
 
 
-@query(
-    "invoice_fields",
-    """SELECT id, CASE WHEN id % 5 <> 0 AND id % 7 <> 0 AND id % 3 <> 0 THEN amount_minor END AS total_minor, CASE WHEN id % 5 <> 0 AND id % 7 <> 0 AND id % 3 <> 0 AND id % 2 = 0 THEN amount_minor END AS tax_minor,
+READ = """SELECT id, CASE WHEN id % 5 <> 0 AND id % 7 <> 0 AND id % 3 <> 0 THEN amount_minor END AS total_minor, CASE WHEN id % 5 <> 0 AND id % 7 <> 0 AND id % 3 <> 0 AND id % 2 = 0 THEN amount_minor END AS tax_minor,
   CASE WHEN id % 5 <> 0 AND id % 7 <> 0 AND id % 3 <> 0 AND id % 11 = 0 THEN amount_minor END AS subtotal_minor, CASE WHEN id % 4 <> 0 THEN CAST(value_date AS VARCHAR) END AS invoice_date,
   concat_ws('; ', CASE WHEN id % 5 = 0 THEN 'total: NOT_ON_PAGE' WHEN id % 7 = 0 OR id % 3 = 0 THEN 'total: UNPARSEABLE' END, CASE WHEN id % 2 <> 0 THEN NULL WHEN id % 5 = 0 THEN 'tax: NOT_ON_PAGE' WHEN id % 7 = 0 OR id % 3 = 0 THEN 'tax: UNPARSEABLE' END,
   CASE WHEN id % 11 <> 0 THEN NULL WHEN id % 5 = 0 THEN 'subtotal: NOT_ON_PAGE' WHEN id % 7 = 0 OR id % 3 = 0 THEN 'subtotal: UNPARSEABLE' END, CASE WHEN id % 4 = 0 THEN 'invoiceDate: UNPARSEABLE' END) AS unparsed,
   id % 6 <> 0 AND id % 5 <> 0 AND id % 7 <> 0 AND id % 3 <> 0 AND id % 4 <> 0 AS minimum,
-  CASE WHEN id % 13 = 0 THEN 'NOT_AN_INVOICE' WHEN NOT (id % 6 <> 0 AND id % 5 <> 0 AND id % 7 <> 0 AND id % 3 <> 0 AND id % 4 <> 0) THEN 'UNREADABLE' ELSE 'EXTRACTED' END AS state FROM payments""",
-)
-def invoice_fields(spark: SparkSession, d: str) -> DataFrame:
+  CASE WHEN id % 13 = 0 THEN 'NOT_AN_INVOICE' WHEN NOT (id % 6 <> 0 AND id % 5 <> 0 AND id % 7 <> 0 AND id % 3 <> 0 AND id % 4 <> 0) THEN 'UNREADABLE' ELSE 'EXTRACTED' END AS state FROM payments"""
+
+
+def _readings(spark: SparkSession, d: str) -> DataFrame:
     """Readings whose total is printed with groups, off the page, unreadable or in an unknown currency."""
     i, minor = F.col("id"), F.col("amount_minor")
     plain = F.format_string("%s.%02d", F.format_number(F.floor(minor / 100), 0), minor % 100)
@@ -130,7 +135,36 @@ def invoice_fields(spark: SparkSession, d: str) -> DataFrame:
         "id", total.alias("total"), F.when(i % 2 == 0, total).alias("tax"), F.when(i % 11 == 0, total).alias("subtotal"), day.alias("date_text"), F.lit("DMY").alias("date_order"), F.when(i % 7 == 0, "XXX").otherwise("usd ").alias("currency"), F.lit(".").alias("decimal_separator"),
         page.alias("source_text"), F.when(i % 6 != 0, F.col("supplier_name")).alias("legal_name"), F.lit(None).cast("string").alias("trade_name"), F.when(i % 13 == 0, "IS_NOT_INVOICE").otherwise("IS_INVOICE").alias("classification"),
     )
-    return D.invoice_fields(readings).select("id", "total_minor", "tax_minor", "subtotal_minor", "invoice_date", "unparsed", "minimum", D.understood(F.col("classification"), F.col("minimum")).alias("state"))
+    return readings
+
+
+FIELDS = ("id", "total_minor", "tax_minor", "subtotal_minor", "invoice_date", "unparsed", "minimum")
+
+
+@query("invoice_fields", READ)
+def invoice_fields(spark: SparkSession, d: str) -> DataFrame:
+    """Readings whose total is printed with groups, off the page, unreadable or in an unknown currency."""
+    return D.invoice_fields(_readings(spark, d)).select(*FIELDS, D.understood(F.col("classification"), F.col("minimum")).alias("state"))
+
+
+@query(
+    "documents_understood",
+    f"""WITH r AS ({READ}), p AS (SELECT r.*, concat_ws('; ', CASE WHEN id % 29 = 0 THEN 'classification is unknown' END, CASE WHEN id % 31 = 0 THEN 'reason is required' END, CASE WHEN id % 37 = 0 THEN 'date_order is unknown' END,
+  CASE WHEN id % 41 = 0 THEN 'invoice_date must not be empty' END, CASE WHEN id % 43 = 0 THEN 'aliases must not be empty' END, CASE WHEN id % 13 = 0 AND id % 29 <> 0 AND id % 26 <> 0 THEN 'total must be null when the document is not an invoice' END,
+  CASE WHEN id % 13 = 0 AND id % 29 <> 0 AND id % 26 <> 0 AND id % 2 = 0 THEN 'tax must be null when the document is not an invoice' END, CASE WHEN id % 13 = 0 AND id % 29 <> 0 AND id % 26 <> 0 AND id % 11 = 0 THEN 'subtotal must be null when the document is not an invoice' END) AS refused, id % 26 = 0 AS blank FROM r)
+SELECT id, CASE WHEN refused = '' AND NOT blank THEN total_minor END AS total_minor, CASE WHEN refused = '' AND NOT blank THEN tax_minor END AS tax_minor, CASE WHEN refused = '' AND NOT blank THEN subtotal_minor END AS subtotal_minor,
+  CASE WHEN refused = '' THEN invoice_date END AS invoice_date, CASE WHEN refused <> '' THEN '' WHEN blank THEN CASE WHEN id % 4 = 0 THEN 'invoiceDate: UNPARSEABLE' ELSE '' END ELSE unparsed END AS unparsed, refused = '' AND NOT blank AND minimum AS minimum,
+  CASE WHEN refused <> '' THEN 'UNREADABLE' WHEN id % 13 = 0 THEN 'NOT_AN_INVOICE' WHEN NOT minimum THEN 'UNREADABLE' ELSE 'EXTRACTED' END AS state, nullif(refused, '') AS refused FROM p""",
+)
+def documents_understood(spark: SparkSession, d: str) -> DataFrame:
+    """The same readings, some of them malformed: those are refused whole."""
+    i = F.col("id")
+    figures = {c: F.when(i % 26 != 0, F.col(c)) for c in ("total", "tax", "subtotal")}
+    readings = _readings(spark, d).withColumns({
+        **figures, "classification": F.when(i % 29 == 0, "MAYBE").otherwise(F.col("classification")), "reason": F.when(i % 31 != 0, "It says so"), "date_order": F.when(i % 37 == 0, "DYM").otherwise("DMY"),
+        "date_text": F.when(i % 41 == 0, "").otherwise(F.col("date_text")), "aliases": F.array(F.lit("ABC"), F.when(i % 43 == 0, "").otherwise("ABC Foods")), "invoice_number": F.lit(None).cast("string"),
+    })
+    return D.understand(readings).select(*FIELDS, "state", "refused")
 
 
 RESOLVED = """
@@ -168,7 +202,8 @@ def vendors_created(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "account_binding",
-    """WITH s AS (SELECT l.id AS statement_id, l.workspace_id, upper(a.bank_name) AS bank, CASE WHEN l.id % 4 = 0 THEN 'NEW-' || a.id % 50 ELSE lower(a.account_identifier) END AS number, CASE WHEN l.id % 3 = 0 THEN 'EUR' ELSE 'USD' END AS currency FROM statements l JOIN accounts a ON a.id = l.batch_id),
+    """WITH s AS (SELECT l.id AS statement_id, l.workspace_id, upper(a.bank_name) AS bank, CASE WHEN l.id % 4 = 0 THEN 'NEW-' || a.id % 50 ELSE lower(a.account_identifier) END AS number, CASE WHEN l.id % 5 = 0 THEN 'EURO' WHEN l.id % 3 = 0 THEN 'EUR' ELSE 'USD' END AS currency FROM statements l JOIN accounts a ON a.id = l.batch_id JOIN identification_answers i ON i.statement_id = l.id
+  WHERE l.id % 5 <> 0 AND i.document_kind IN ('BANK_STATEMENT', 'CREDIT_CARD_STATEMENT') AND i.period_start IS DISTINCT FROM '2024-1-5' AND i.period_end <> '31/01/2024'),
 k AS (SELECT workspace_id, lower(bank_name) AS b, upper(account_identifier) AS n, min(struct_pack(id := id, c := currency)) AS a FROM accounts GROUP BY 1, 2, 3),
 j AS (SELECT s.*, k.a.id AS account_id, k.a.c AS own FROM s LEFT JOIN k ON k.workspace_id = s.workspace_id AND k.b = lower(s.bank) AND k.n = upper(s.number))
 SELECT statement_id, account_id, account_id IS NULL AS created, coalesce(own, first_value(currency) OVER w) AS currency, CASE WHEN account_id IS NULL THEN first_value(statement_id) OVER w END AS created_by FROM j WINDOW w AS (PARTITION BY workspace_id, lower(bank), upper(number) ORDER BY statement_id)""",
@@ -179,7 +214,8 @@ def account_binding(spark: SparkSession, d: str) -> DataFrame:
     holder = accounts.select(F.col("id").alias("holder"), "bank_name", "account_identifier")
     rows = statements.select(F.col("id").alias("statement_id"), "workspace_id", "batch_id").join(holder, F.col("holder") == F.col("batch_id"))
     number = F.when(i % 4 == 0, F.concat(F.lit("NEW-"), (F.col("holder") % 50).cast("string"))).otherwise(F.lower("account_identifier"))
-    identified = rows.select("statement_id", "workspace_id", F.concat(F.lit(" "), F.upper("bank_name")).alias("bank_name"), number.alias("account_identifier"), F.when(i % 3 == 0, "EUR").otherwise("USD").alias("currency"))
+    identified = rows.select("statement_id", "workspace_id", F.concat(F.lit(" "), F.upper("bank_name")).alias("bank_name"), number.alias("account_identifier"), F.when(i % 5 == 0, "EURO").when(i % 3 == 0, "EUR").otherwise("USD").alias("currency"))
+    identified = identified.join(load(spark, d, "identification_answers").select("statement_id", "document_kind", "period_start", "period_end"), "statement_id")
     return D.bind_accounts(identified, accounts)
 
 

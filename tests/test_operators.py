@@ -131,7 +131,7 @@ def test_every_condition_of_a_match_is_needed(spark):
     invoices += [(50,), (51,), (52,)]
     rows += [(i, 100 + i, 0, False, "SAME", 0, 0, "RESOLVED") for i in (50, 51)]
     found = spark.createDataFrame(rows, "invoice long, transaction long, rank int, truncated boolean, currency string, delta_minor long, offset_days int, vendor string")
-    verdicts = spark.createDataFrame([(i, "SAME", 0) for i in [*range(len(cases)), 50]], "invoice_id long, verdict string, candidate int")
+    verdicts = spark.createDataFrame([*[(i, "SAME", 0, "Same total") for i in [*range(len(cases)), 50]], (51, "SAME", 0, "")], "invoice_id long, verdict string, candidate int, reason string")
     duplicates = spark.createDataFrame([(50,)], "invoice long")
     got = {r.invoice: (r.kind, r.blocked_by) for r in matching.decisions(spark.createDataFrame(invoices, "id long"), found, duplicates, verdicts).collect()}
     assert [got[i] for i in range(len(cases))] == [("AUTO_MATCH" if c is None else "NEEDS_REVIEW", c) for c in cases]
@@ -435,3 +435,20 @@ def test_only_open_requirements_under_evaluation_settle(spark):
 def test_documents_of_no_known_source_stay(spark):
     rows = spark.createDataFrame([(1, 1, "h", None, 1), (2, 1, "h", "GMAIL", 1), (3, 1, "h", "GMAIL", 2)], "id long, workspace_id long, content_hash string, source string, created_on long")
     assert {r.id: r.stored_as for r in documents.deduplicate(rows).collect()} == {1: 1, 2: 2, 3: 2}
+
+
+def test_malformed_answers_are_counted_and_left_out(spark):
+    from pyspark.sql import Observation
+
+    rows = [(1, 0, True, "why", True, None, None), (1, 1, False, None, True, None, None), (2, 0, True, None, True, None, None), (2, 1, False, None, False, "What?", ["a", "b"]), (3, 0, False, None, False, None, None), (4, 0, False, None, False, "What?", ["a"])]
+    judgements = spark.createDataFrame([(*r, "DEBIT", 1) for r in rows], "transaction_id long, position int, needs_document boolean, reason string, confident boolean, question string, options array<string>, direction string, workspace_id long")
+    watch = Observation()
+    got = requirements.created(judgements, watch).collect()
+    assert {r.transaction_id: r.outcome for r in got} == {1: "requirement", 2: "question"} and watch.get == {"answers": 6, "refused": 3}
+    reading = {"id": 1, "total": "USD 5.00", "tax": None, "subtotal": None, "date_text": "1 May 2024", "date_order": "DMY", "currency": "USD", "decimal_separator": ".", "source_text": None, "legal_name": "A", "trade_name": None, "classification": "IS_INVOICE", "reason": "x", "invoice_number": None, "aliases": ["A"]}
+    schema = "id long, total string, tax string, subtotal string, date_text string, date_order string, currency string, decimal_separator string, source_text string, legal_name string, trade_name string, classification string, reason string, invoice_number string, aliases array<string>"
+    rows = [reading, reading | {"id": 2, "reason": ""}, reading | {"id": 3, "currency": None}, reading | {"id": 4, "legal_name": None}]
+    watch = Observation()
+    got = {r.id: (r.state, r.total_minor, r.refused) for r in documents.understand(spark.createDataFrame(rows, schema), watch).collect()}
+    assert got == {1: ("EXTRACTED", 500, None), 2: ("UNREADABLE", None, "reason is required"), 3: ("UNREADABLE", None, "currency is required when a total was found"), 4: ("UNREADABLE", 500, None)}
+    assert watch.get == {"answers": 4, "refused": 2}

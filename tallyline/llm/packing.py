@@ -166,8 +166,8 @@ class RoundRobin:
 
 
 def _placed(sequence: int, offset: int, p: Piece) -> tuple:
-    raw = p.ids.astype("<u4").tobytes()
-    return (p.row_id, p.doc_id, p.source, p.start, len(p.ids), zlib.crc32(raw), p.doc_tokens, sequence, offset, None, None)
+    """Of ids that lie in little-endian words of four bytes."""
+    return (p.row_id, p.doc_id, p.source, p.start, len(p.ids), zlib.crc32(p.ids), p.doc_tokens, sequence, offset)
 
 
 def _unplaced(p: Piece) -> tuple:
@@ -185,8 +185,9 @@ def _narrow(ids: np.ndarray) -> bytes:
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    columns = zip(*rows, strict=True) if rows else [()] * len(SCHEMA)
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, SCHEMA.types, strict=True)], schema=SCHEMA)
+    """Rows of one kind: placed pieces end before ids and deficit, which are null."""
+    columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), SCHEMA.types, strict=False)] if rows else []
+    return pa.RecordBatch.from_arrays(columns + [pa.nulls(len(rows), t) for t in SCHEMA.types[len(columns) :]], schema=SCHEMA)
 
 
 def pack(docs: DataFrame, window: int = WINDOW, weights: dict[str | None, float] | None = None, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -261,9 +262,9 @@ def _meeting(window: int, weights: dict, depth: int, last: bool):
         for r in rows:
             if r["ids"] is None:
                 robin.owed[r["source"]] = robin.owed.get(r["source"], 0.0) + r["deficit"]
-        out = [_placed(*x) for x in robin.serve(0)]
-        out += [_placed(*x) for x in robin.powers()] if last else _left(robin)
-        return pa.Table.from_batches([_batch(out)]).append_column("part", pa.array([part] * len(out), pa.int32()))
+        batches = [_batch([_placed(*x) for x in robin.serve(0)]), _batch([_placed(*x) for x in robin.powers()] if last else _left(robin))]
+        out = pa.Table.from_batches(batches)
+        return out.append_column("part", pa.array([part] * out.num_rows, pa.int32()))
 
     return meet
 

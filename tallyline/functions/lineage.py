@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in ``spark.checkpoint.dir``, which driver and executors share."""
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    # Only where the cluster names none: a local master has its own disk, any other the warehouse.
+    own = "file:///tmp/checkpoints/tallyline" if context.master.startswith("local") and "cluster" not in context.master else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_tallyline"
+    return (named or own).rstrip("/")
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df, written to the folder that the cluster names in ``spark.checkpoint.dir``; a lost executor costs a re-read."""
+    """df, written to the shared folder; a lost executor costs a re-read."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-        # Only where the cluster names none: a local master has its own disk, any other the warehouse.
-        own = "file:///tmp/checkpoints/tallyline" if context.master.startswith("local") and "cluster" not in context.master else df.sparkSession.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_tallyline"
-        context.setCheckpointDir(named or own)
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,8 +45,8 @@ def create_workspaces(requests: DataFrame) -> DataFrame:
 
 
 def upsert(table: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
-    """table with the rows of changes in place of those of the same keys. Keys of changes are unique."""
-    return table.join(changes.select(*keys), keys, "left_anti").unionByName(changes)
+    """table with the rows of changes in place of those of the same keys; null keys are equal. Keys of changes are unique."""
+    return delete(table, changes, keys).unionByName(changes)
 
 
 def update(table: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
@@ -55,7 +58,9 @@ def update(table: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def delete(table: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
-    return table.join(gone.select(*keys), keys, "left_anti")
+    """table without the rows that have the keys of gone; null keys are equal."""
+    same = reduce(and_, (F.col(k).eqNullSafe(F.col(f"_gone_{k}")) for k in keys))
+    return table.join(gone.select(*[F.col(k).alias(f"_gone_{k}") for k in keys]), same, "left_anti")
 
 
 def text_extent(items: DataFrame, key: str) -> DataFrame:

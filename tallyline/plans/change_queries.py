@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.lineage import shared_folder
 from ..operators import workflow as W
-from ..sources import bank_files
+from ..sources import bank_files, mail, stored
 from .domain import load
 from .queries import DUPLICATES, _duplicates, _tables, query
 
@@ -148,3 +151,45 @@ def link_origins(spark: SparkSession, d: str) -> DataFrame:
     i = F.col("page_id")
     candidate = F.when(i % 4 == 0, "not an address").when(i % 4 == 1, F.concat(F.lit("ftp://"), F.substring("url", 9, 10))).otherwise(F.col("url"))
     return load(spark, d, "pages").select("page_id", W.link_origin(candidate).alias("origin"))
+
+
+@query(
+    "mail_attachments",
+    """WITH parts(id, path, part) AS (SELECT id, CAST([] AS INT[]), CAST(payload AS JSON) FROM mail_payloads WHERE id % 17 <> 0
+  UNION ALL SELECT id, list_append(path, CAST(i AS INT)), json_extract(part, '$.parts[' || i || ']') FROM (SELECT id, path, part, unnest(range(CASE WHEN json_type(part, '$.parts') = 'ARRAY' THEN CAST(json_array_length(part, '$.parts') AS INT) ELSE 0 END)) AS i FROM parts) p),
+found AS (SELECT id, path, coalesce(part ->> '$.partId', '') AS part_id, part ->> '$.filename' AS filename, coalesce(part ->> '$.mimeType', 'application/octet-stream') AS mime_type, CASE WHEN json_type(part, '$.body.size') IN ('UBIGINT', 'BIGINT') THEN CAST(part ->> '$.body.size' AS BIGINT) ELSE 0 END AS size, part ->> '$.body.attachmentId' AS attachment_id
+  FROM parts WHERE json_type(part, '$.filename') = 'VARCHAR' AND part ->> '$.filename' <> '' AND part ->> '$.body.attachmentId' <> '')
+SELECT id AS message_id, CAST(row_number() OVER (PARTITION BY id ORDER BY path) AS INTEGER) AS place, part_id, filename, mime_type, size, attachment_id FROM found""",
+)
+def mail_attachments(spark: SparkSession, d: str) -> DataFrame:
+    """Messages whose invoices lie one to four levels deep, some of them broken."""
+    return mail.attachments(load(spark, d, "mail_payloads").withColumnRenamed("id", "message_id"))
+
+
+@query(
+    "requirements_updated",
+    """SELECT id, CASE WHEN id % 3 = 0 THEN 'RESOLVED' ELSE state END AS state, CASE WHEN id % 3 = 0 THEN CASE WHEN id % 2 = 0 THEN 'USER_LINKED' END ELSE method END AS method, transaction_id FROM requirements""",
+)
+def requirements_updated(spark: SparkSession, d: str) -> DataFrame:
+    """Some requirements change state and method, to null as well; no row comes or goes."""
+    held = load(spark, d, "requirements").select("id", "state", "method", "transaction_id")
+    changes = held.where("id % 3 = 0").select("id", F.lit("RESOLVED").alias("state"), F.when(F.col("id") % 2 == 0, "USER_LINKED").alias("method"))
+    other = changes.select((-F.col("id")).alias("id"), "state", "method")  # nobody's
+    return W.update(held, changes.unionByName(other.where("id < 0")), ["id"])
+
+
+@query(
+    "candidates_replaced",
+    """WITH held AS (SELECT requirement_id, document_id, classification FROM assessments)
+SELECT requirement_id, document_id, classification FROM held WHERE requirement_id % 7 <> 0 AND NOT (requirement_id % 11 = 0 AND document_id % 3 = 0)
+UNION ALL SELECT requirement_id, document_id + 5, 'NEW' FROM held WHERE requirement_id % 7 = 0 AND requirement_id % 2 = 0""",
+)
+def candidates_replaced(spark: SparkSession, d: str) -> DataFrame:
+    """A stored table of documents by requirement: some requirements get new sets, some empty ones, and some single rows go."""
+    held = load(spark, d, "assessments").select("requirement_id", "document_id", "classification")
+    table = stored.PartTable(f"{shared_folder(spark)}/candidates-{uuid.uuid4().hex}", "requirement_id long, document_id long, classification string", ("requirement_id",), 16)
+    table.create(held)
+    again = held.where("requirement_id % 7 = 0")
+    table.replace(again.where("requirement_id % 2 = 0").select("requirement_id", (F.col("document_id") + 5).alias("document_id"), F.lit("NEW").alias("classification")), again)
+    table.delete(held.where("requirement_id % 11 = 0 and requirement_id % 7 <> 0 and document_id % 3 = 0"), ("requirement_id", "document_id"))
+    return table.read(spark)

@@ -182,6 +182,11 @@ TABLES = {
           CASE WHEN id % 7 = 0 THEN '1.00' END AS tax, CASE WHEN id % 11 = 0 THEN '9.00' END AS subtotal, CASE WHEN id % 6 <> 0 THEN 'USD' END AS currency, id % 10 = 0 AS blank_alias FROM supporting_documents""",
     "export_requests": """
         SELECT a.id, a.workspace_id, CASE a.id % 4 WHEN 0 THEN 'READY' WHEN 1 THEN 'FAILED' ELSE 'GENERATING' END AS state, DATE '2024-01-01' + CAST(a.id % 300 AS INT) AS requested_on FROM accounts a""",
+    "mail_payloads": """
+        SELECT id, CASE WHEN id % 17 = 0 THEN concat('<<', id) ELSE replace(replace(concat('<<"partId":"0","mimeType":"multipart/mixed","filename":"","body":<<"size":0>>,"parts":[<<"partId":"0.1","mimeType":"text/plain","filename":"","body":<<"size":12,"data":"aGVsbG8">>>>,',
+          CASE id % 4 WHEN 0 THEN '' WHEN 1 THEN '<<"mimeType":"multipart/related","parts":[' WHEN 2 THEN '<<"parts":[<<"parts":[null,<<"filename":"fwd.eml","body":<<"attachmentId":"E">>,"parts":[' ELSE '<<"filename":7,"body":<<"attachmentId":"N">>,"parts":<<"a":1>>>>,' END,
+          '<<"partId":"0.2","filename":"invoice-', id, '.pdf","mimeType":"application/pdf","body":<<"attachmentId":"A', id, '","size":', CASE WHEN id % 5 = 0 THEN '"7"' ELSE CAST(id % 1000 AS STRING) END, '>>>>,<<"filename":"inline.png","body":<<"data":"x">>>>',
+          CASE id % 4 WHEN 1 THEN ']>>' WHEN 2 THEN ']>>]>>]>>,<<"filename":"last.pdf","body":<<"attachmentId":"L","size":3>>>>' ELSE '' END, ']>>'), '<<', chr(123)), '>>', chr(125)) END AS payload FROM mails""",
     "mail_documents": """
         SELECT id AS email_id, requirement_id + id % 3 AS document_id FROM mails WHERE id % 4 <> 1""",
 }

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from html.parser import HTMLParser
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
@@ -120,6 +122,63 @@ def media_type(content: Column) -> Column:
     )
 
 
+POSITIONED = "doc_id string, page int, seq int, text string, x double, y double, width double"
+
+
+class _Words(HTMLParser):
+    """Words of a file of boxes, as (page, seq, text, x, y, width); heights from the foot of their page."""
+
+    def __init__(self):
+        super().__init__()
+        self.words: list[tuple] = []
+        self.page, self.height, self.box, self.text = -1, 0.0, None, ""
+
+    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        of = dict(attrs)
+        if tag == "page":
+            self.page, self.height = self.page + 1, _size(of.get("height"))
+        elif tag == "word":
+            self.box, self.text = [_size(of.get(c)) for c in ("xmin", "ymax", "xmax")], ""
+
+    def handle_data(self, data: str) -> None:
+        self.text += data
+
+    def handle_endtag(self, tag: str) -> None:
+        if tag == "word" and self.box is not None and self.page >= 0:
+            left, foot, right = self.box
+            self.words.append((self.page, len(self.words), self.text, left, self.height - foot, right - left))
+        self.box = None if tag == "word" else self.box
+
+
+def _size(text: str | None) -> float:
+    try:
+        return float(text or "")
+    except ValueError:
+        return 0.0
+
+
+def positioned_text(spark: SparkSession, path: str, pattern: str = "*.bbox.html") -> DataFrame:
+    """The positioned text of documents below a folder: doc_id (the file's path), page, seq, text, x, y, width.
+
+    Files are what PDF tools write as boxes of words (pages with their height, words with
+    xMin, yMin, xMax and yMax from the top), in UTF-8. Spark lists and reads them wherever
+    they are, a file within a task; conditions on the file's path, size or time
+    (doc_id comes of the path) keep files from being read. Boxes without a page or number are left out or 0.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path)
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = (pa.string(), pa.int32(), pa.int32(), pa.string(), pa.float64(), pa.float64(), pa.float64())
+        for b in batches:
+            for name, content in zip(b.column("path").to_pylist(), b.column("content").to_pylist(), strict=True):
+                found = _Words()
+                found.feed(content.decode("utf-8", "replace"))
+                columns = list(zip(*found.words, strict=True)) or [()] * 6
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([[name] * len(found.words), *columns], types, strict=True)], names=[c.split()[0] for c in POSITIONED.split(", ")])
+
+    return files.select("path", "content").mapInArrow(words, POSITIONED)
+
+
 LINE_TOLERANCE, EDGE_TOLERANCE = 3.0, 2
 SUPPORT_RATIO, MINIMUM_SUPPORT = 0.08, 2
 

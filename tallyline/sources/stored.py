@@ -39,6 +39,21 @@ class PartTable:
     def _stored(self, spark: SparkSession) -> DataFrame:
         return spark.read.schema(f"{self.schema}, {PART} int").parquet(self.path)
 
+    def ensure(self, spark: SparkSession) -> None:
+        """An empty table where there is none yet."""
+        folder = spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+            self.create(spark.createDataFrame([], self.schema))
+
+    def of(self, parents: DataFrame) -> DataFrame:
+        """The stored rows of parents (columns ``by``); only their parts are read."""
+        touched = sorted(r[0] for r in parents.select(self._part()).distinct().collect())
+        return self.among(self._stored(parents.sparkSession).where(F.col(PART).isin(touched)).drop(PART), parents)
+
+    def among(self, rows: DataFrame, parents: DataFrame) -> DataFrame:
+        """Those of rows that belong to parents; null is a value."""
+        return rows.join(parents.select(*[F.col(k).alias(f"_{k}") for k in self.by]), _equal(self.by), "left_semi")
+
     def replace(self, rows: DataFrame, parents: DataFrame) -> None:
         """``rows`` are the new sets of their parents and of ``parents`` (columns ``by``), in place of the old ones; a new set may be empty.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import glob
 import json
 import os
+import random
 from datetime import date
 
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from tallyline.sources import bank_files, mail
 from tallyline.sources.sinks import COLUMNS, write_export, write_summary
 from tallyline.sources.stored import PartTable
 from tallyline.streaming.ingest import LINES, ingest, stored_lines, take_in
+from tallyline.streaming.promotion import Promotion
 
 
 def _lines(spark, statement, n):
@@ -113,3 +115,23 @@ def test_positioned_text_from_files(spark, tmp_path):
     assert [cells[i, 1] for i in range(6)] == ["Text", "A & B1", "A & B2", "A & B3", "A & B4", "C5"] and cells[5, 2] == "5.00"
     extent = {r.doc_id.rsplit("/", 1)[1]: (r.pages, r.characters, r.has_digit) for r in workflow.text_extent(items, "doc_id").collect()}
     assert extent == {"a.bbox.html": (2, 100, True), "b.bbox.html": (1, 6, True)}
+
+
+def test_promotion_over_a_stream(spark, tmp_path):
+    rng = random.Random(3)
+    rows = [(s, i, rng.randrange(2), date(2024, 1, rng.randrange(1, 3)), rng.randrange(2), "DEBIT", rng.choice(["d", None]), rng.choice([None, None, f"R{rng.randrange(4)}"])) for s in rng.sample(range(40), 9) for i in range(rng.randrange(1, 7))]
+    rng.shuffle(rows)
+    incoming, state = str(tmp_path / "in"), str(tmp_path / "state")
+    promotion = Promotion(f"file://{tmp_path}/tables", 4)
+    order = lambda r: tuple(map(str, r))
+    now = lambda: sorted((tuple(r) for r in promotion.ledger.read(spark).collect()), key=order)
+    wanted = lambda some: sorted((tuple(r) for r in ledger.promote(spark.createDataFrame(some, LINES)).collect()), key=order)
+    third = len(rows) // 3
+    for n, part in enumerate((rows[:third], rows[third : 2 * third], rows[2 * third :] + rows[:5])):
+        spark.createDataFrame(part, LINES).coalesce(1).write.mode("append").parquet(incoming)
+        promotion.run(spark, incoming, state, files=1).awaitTermination()  # a new run goes on where the last one ended
+        assert now() == wanted(rows[: min(len(rows), (n + 1) * third) if n < 2 else len(rows)])
+    # What failed half-way comes again, and so does what is long done.
+    for part in (rows[:third], rows):
+        promotion.add()(spark.createDataFrame(part, LINES), 0)
+    assert now() == wanted(rows)

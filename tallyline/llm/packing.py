@@ -118,42 +118,52 @@ class RoundRobin:
         while self.held >= max(self.window, down_to):
             yield from self._fill(self.window)
 
-    def _fill(self, size: int) -> Iterator[tuple[int, int, Piece]]:
-        sequence, at = self.next_id, 0
+    def _fill(self, size: int) -> list[tuple[int, int, Piece]]:
+        sequence, at, out = self.next_id, 0, []
         self.next_id += 1
         self.credit += size
-        weighed = [s for s, n in self.tokens.items() if n and self.weights.get(s, 0.0) > 0]
-        for s in sorted(weighed, key=self.deficit, reverse=True):
-            owed = int(self.deficit(s))
+
+        def serve(source: str | None, most: int) -> int:
+            """Up to so many tokens of a source; where the window is filled to, then."""
+            end = at
+            for piece in self._take(source, most):
+                out.append((sequence, end, piece))
+                end += len(piece.ids)
+            return end
+
+        weighed = [(self.deficit(s), s) for s, n in self.tokens.items() if n and self.weights.get(s, 0.0) > 0]
+        for owed, s in sorted(weighed, key=lambda x: x[0], reverse=True):
             if owed < QUANTUM:
                 break
-            for piece in self._take(s, min(size - at, owed)):
-                yield sequence, at, piece
-                at += len(piece.ids)
+            at = serve(s, min(size - at, int(owed)))
         while at < size:
             # Sources of weight 0 only where no other has tokens.
-            left = [s for s in weighed if self.tokens[s]] or [s for s, n in self.tokens.items() if n]
+            left = [s for _, s in weighed if self.tokens[s]] or [s for s, n in self.tokens.items() if n]
             weight = lambda s: self.weights.get(s, 0.0) or 1.0
             room, total = size - at, sum(map(weight, left))
             for s in sorted(left, key=lambda s: self.deficit(s) / weight(s), reverse=True):
-                for piece in self._take(s, min(size - at, max(QUANTUM, int(room * weight(s) / total)))):
-                    yield sequence, at, piece
-                    at += len(piece.ids)
+                at = serve(s, min(size - at, max(QUANTUM, int(room * weight(s) / total))))
+                if at == size:
+                    break
+        return out
 
-    def _take(self, source: str | None, most: int) -> Iterator[Piece]:
+    def _take(self, source: str | None, most: int) -> list[Piece]:
         """Pieces of at most so many tokens in all from the head of a queue, the last one cut."""
-        queue = self.queues[source]
-        while most and queue:
-            piece = queue.popleft()
-            if len(piece.ids) > most:
-                queue.appendleft(Piece(piece.row_id, piece.doc_id, source, piece.start + most, piece.doc_tokens, piece.ids[most:]))
-                piece = Piece(piece.row_id, piece.doc_id, source, piece.start, piece.doc_tokens, piece.ids[:most])
+        queue, left, out = self.queues[source], most, []
+        while left and queue:
+            piece = queue[0]
             n = len(piece.ids)
-            most -= n
-            self.tokens[source] -= n
-            self.held -= n
-            self.owed[source] = self.owed.get(source, 0.0) - n
-            yield piece
+            if n > left:
+                out.append(Piece(piece.row_id, piece.doc_id, source, piece.start, piece.doc_tokens, piece.ids[:left]))
+                piece.start, piece.ids, left = piece.start + left, piece.ids[left:], 0
+            else:
+                out.append(queue.popleft())
+                left -= n
+        served = most - left
+        self.tokens[source] -= served
+        self.held -= served
+        self.owed[source] = self.owed.get(source, 0.0) - served
+        return out
 
     def rest(self) -> Iterator[Piece]:
         for queue in self.queues.values():

@@ -21,6 +21,10 @@ from . import verdicts as verdicts_
 
 
 
+#: The smallest and the greatest invoice that a payment holds.
+HOLDERS = ("first_holder", "last_holder")
+
+
 def _rings(day: Column, ring: Column) -> Column:
     """The days that are so far from a day: one behind and one before it within the window."""
     after, before = F.when(ring <= CANDIDATE_DAYS_AFTER, F.date_add(day, ring)), F.when((ring > 0) & (ring <= CANDIDATE_DAYS_BEFORE), F.date_sub(day, ring))
@@ -55,8 +59,9 @@ def in_window(invoices: DataFrame, transactions: DataFrame) -> DataFrame:
     daily = Window.partitionBy("workspace_id", "value_date").orderBy("id")
     debits = transactions.where("direction = 'DEBIT'").withColumn("of_day", F.row_number().over(daily)).where(F.col("of_day") <= CANDIDATE_FETCH_CAP)
     debits = debits.select(
-        "workspace_id", F.col("id").alias("transaction"), "value_date", "amount_minor", F.col("currency").alias("transaction_currency"), "description", "description_normalized", "external_reference"
-    )
+        "workspace_id", F.col("id").alias("transaction"), "value_date", "amount_minor", F.col("currency").alias("transaction_currency"), "description", "description_normalized", "external_reference",
+        *[c for c in HOLDERS if c in transactions.columns],
+    )
     dated = invoices.where("invoice_date is not null")
     far = reach(dated.select("workspace_id", "invoice_date").distinct(), debits.select("workspace_id", "value_date"))
     wanted = dated.withColumnsRenamed({"id": "invoice", "currency": "invoice_currency", "transaction_id": "linked"}).join(far, ["workspace_id", "invoice_date"])
@@ -76,7 +81,8 @@ def vendor_agreement(pairs: DataFrame, aliases: DataFrame) -> DataFrame:
     known = aliases.select(F.col("workspace_id").alias("in_workspace"), F.col("vendor_id").alias("of_vendor"), "alias_normalized", "confirmed")
     held = (F.col("in_workspace") == F.col("workspace_id")) & (F.col("of_vendor") == F.col("vendor_id")) & key_in(F.col("alias_normalized"), F.col("description_normalized"))
     best = Window.partitionBy("invoice", "transaction").orderBy(F.col("confirmed").desc_nulls_last())
-    met = pairs.join(known, held, "left").withColumn("hit", F.row_number().over(best)).where("hit = 1")
+    # Dealt by invoice once, for this window and for those that follow.
+    met = pairs.join(known, held, "left").repartition("invoice").withColumn("hit", F.row_number().over(best)).where("hit = 1")
     vendor = (
         F.when(F.col("confirmed"), "RESOLVED")
         .when(F.col("alias_normalized").isNotNull(), "ALIAS")
@@ -92,11 +98,11 @@ def candidates(invoices: DataFrame, transactions: DataFrame, aliases: DataFrame,
     Payments that hold another invoice, and such whose owner rejected the document, are
     left out; so are those of which neither amount nor vendor says anything.
     """
-    pairs = in_window(invoices, transactions)
-    holders = invoices.where("transaction_id is not null").select(F.col("transaction_id").alias("transaction"), F.col("id").alias("holder"))
-    pairs = pairs.join(holders, (pairs["transaction"] == holders["transaction"]) & (holders["holder"] != pairs["invoice"]), "left_anti")
-    refused = rejections.select(F.col("transaction_id").alias("transaction"), "document_id")
-    pairs = pairs.join(refused, ["transaction", "document_id"], "left_anti")
+    # Who holds a payment is told to the payments, of which there are fewer than pairs.
+    held = invoices.where("transaction_id is not null").groupBy(F.col("transaction_id").alias("id")).agg(F.min("id").alias(HOLDERS[0]), F.max("id").alias(HOLDERS[1]))
+    pairs = in_window(invoices, transactions.join(held, "id", "left"))
+    others = [F.coalesce(F.col(h) != F.col("invoice"), F.lit(False)) for h in HOLDERS]
+    pairs = pairs.where(~others[0] & ~others[1]).drop(*HOLDERS)
     pairs = vendor_agreement(pairs, aliases).withColumns({
         "amount": E.amount_agreement(F.col("total_minor"), F.col("invoice_currency"), F.col("amount_minor"), F.col("transaction_currency")),
         "date": E.date_agreement(F.col("offset_days")),
@@ -105,6 +111,9 @@ def candidates(invoices: DataFrame, transactions: DataFrame, aliases: DataFrame,
         "delta_minor": F.col("amount_minor") - F.col("total_minor"),
     })
     shown = pairs.where("amount <> 'DIFFERENT' or vendor <> 'NONE'").withColumn("strength", E.strength())
+    # Few pairs are left when the refused ones go.
+    refused = rejections.select(F.col("transaction_id").alias("transaction"), "document_id")
+    shown = shown.join(refused, ["transaction", "document_id"], "left_anti")
     order = Window.partitionBy("invoice").orderBy(F.desc("strength"), "transaction")
     return shown.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < CANDIDATES_SHOWN)
 

@@ -14,7 +14,7 @@ from ..operators import report as R
 from ..operators import review as V
 from ..sources import bank_files
 from .domain import load
-from .queries import CANDIDATES, DECISIONS, SENTENCES, _candidates, _documents, _duplicates, _tables, query
+from .queries import CANDIDATES, DECISIONS, SENTENCES, _candidates, _documents, _matching, _tables, query
 from .statement_queries import ENDS, PROMOTED
 
 
@@ -301,9 +301,8 @@ steps AS (SELECT invoice, anchor, CASE WHEN held IS NOT NULL OR gets THEN 'LINKE
 
 
 def _steps(spark: SparkSession, d: str) -> DataFrame:
-    invoices, joins, documents, adjudications = _tables(spark, d, "invoices invoice_documents supporting_documents adjudications")
-    candidates, duplicates = cut(_candidates(spark, d)), _duplicates(spark, d)
-    decided = M.decisions(invoices, candidates, duplicates, adjudications)
+    joins, documents = _tables(spark, d, "invoice_documents supporting_documents")
+    invoices, candidates, duplicates, decided = _matching(spark, d)
     return M.outcomes(invoices, V.primary_documents(joins), documents, candidates, duplicates, decided)
 
 
@@ -322,9 +321,8 @@ def match_anchor_moves(spark: SparkSession, d: str) -> DataFrame:
 
 @query("match_proposals", DECISIONS + "SELECT d.invoice, d.kind, d.blocked_by, coalesce(n.n, 0) AS candidates, u.invoice IS NOT NULL AS suspected_duplicate, v.verdict FROM decided d LEFT JOIN (SELECT invoice, count(*) AS n FROM candidates GROUP BY 1) n USING (invoice) LEFT JOIN duplicates u USING (invoice) LEFT JOIN said v ON v.invoice_id = d.invoice AND n.n IS NOT NULL")
 def match_proposals(spark: SparkSession, d: str) -> DataFrame:
-    invoices, adjudications = _tables(spark, d, "invoices adjudications")
-    candidates, duplicates = cut(_candidates(spark, d)), _duplicates(spark, d)
-    return M.proposals(M.decisions(invoices, candidates, duplicates, adjudications), candidates, duplicates, adjudications)
+    _, candidates, duplicates, decided = _matching(spark, d)
+    return M.proposals(decided, candidates, duplicates, load(spark, d, "adjudications"))
 
 
 MAIL = """mail_of AS (SELECT m.requirement_id, j.document_id, m.id AS email_id, m.sender, m.subject, coalesce(c.email, 'a disconnected mailbox') AS mailbox FROM mails m JOIN mail_documents j ON j.email_id = m.id
@@ -352,4 +350,4 @@ WHERE NOT EXISTS (SELECT 1 FROM rejections j WHERE j.transaction_id = x.transact
 def review_page(spark: SparkSession, d: str) -> DataFrame:
     requirements, invoices, joins, documents, rejections, mails, attached, connections = _tables(spark, d, "requirements invoices invoice_documents supporting_documents rejections mails mail_documents connections")
     mail = V.retrieved_mail(mails, attached, connections.where("state <> 'DISCONNECTED'"))
-    return V.page(requirements, _candidates(spark, d), invoices, joins, documents, rejections, mail)
+    return V.page(requirements, cut(_candidates(spark, d)), cut(invoices), joins, documents, rejections, mail)

@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
 from ..functions.money import format_amount
 from ..functions.text import knowledge_key, normalize_description, reference, safe_filename, vendor_key
 from ..operators import matching as M
@@ -158,8 +159,16 @@ decided AS (SELECT invoice, CASE WHEN n IS NULL THEN 'NO_MATCH' WHEN blocked_by
 )
 
 
+def _matching(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Invoices, their candidates, suspected duplicates, and decisions. What several steps read is written once, so that no step makes it anew."""
+    transactions, aliases, rejections, verdicts, adjudications = _tables(spark, d, "transactions aliases rejections duplicate_verdicts adjudications")
+    invoices = cut(load(spark, d, "invoices"))
+    candidates, duplicates = cut(M.candidates(invoices, transactions, aliases, rejections)), cut(M.duplicates(invoices, verdicts))
+    return invoices, candidates, duplicates, M.decisions(invoices, candidates, duplicates, adjudications)
+
+
 def _decisions(spark: SparkSession, d: str) -> DataFrame:
-    return M.decisions(load(spark, d, "invoices"), _candidates(spark, d), _duplicates(spark, d), load(spark, d, "adjudications"))
+    return _matching(spark, d)[3]
 
 
 @query("match_decisions", DECISIONS + "SELECT * FROM decided")
@@ -174,7 +183,8 @@ f AS (SELECT *, place = 1 AND (holder IS NULL OR holder = invoice) AS linked FRO
 SELECT invoice, transaction, linked, CASE WHEN NOT linked THEN 'That payment already has an invoice.' END AS reason FROM f""",
 )
 def match_links(spark: SparkSession, d: str) -> DataFrame:
-    return M.links(_decisions(spark, d), load(spark, d, "invoices"))
+    invoices, _, _, decided = _matching(spark, d)
+    return M.links(decided, invoices)
 
 
 @query(

@@ -452,3 +452,18 @@ def test_malformed_answers_are_counted_and_left_out(spark):
     got = {r.id: (r.state, r.total_minor, r.refused) for r in documents.understand(spark.createDataFrame(rows, schema), watch).collect()}
     assert got == {1: ("EXTRACTED", 500, None), 2: ("UNREADABLE", None, "reason is required"), 3: ("UNREADABLE", None, "currency is required when a total was found"), 4: ("UNREADABLE", 500, None)}
     assert watch.get == {"answers": 4, "refused": 2}
+
+
+def test_no_pairs_of_invoices_and_payments_are_shuffled(spark):
+    invoices = spark.createDataFrame([(i, 1, i, 7, "Acme", "acme", f"INV-{i}", date(2024, 5, 1), 100 + i, "USD", None, date(2024, 5, 1)) for i in range(1, 41)], INVOICE)
+    payments = spark.createDataFrame([(1000 + i, 1, 1, date(2024, 5, 1), 100 + i, "DEBIT", "USD" if i % 2 else "EUR", "Acme", "acme", None) for i in range(300)], PAYMENT)
+    aliases = spark.createDataFrame([(1, 7, "acme", True)], "workspace_id long, vendor_id long, alias_normalized string, confirmed boolean")
+    refused = spark.createDataFrame([(1001, 1)], "transaction_id long, document_id long")
+    found = matching.candidates(invoices, payments, aliases, refused)
+    assert "hashpartitioning(invoice" not in found._jdf.queryExecution().toString()
+    got = {}
+    for r in found.collect():
+        got.setdefault(r.invoice, []).append((r["rank"], r.transaction, r.amount, r.truncated))
+    # Only the 200 smallest ids of the day are anyone's nearest; a refusal counts before the five are chosen.
+    assert len(got) == 40 and all(len(c) == 5 and all(x[1] < 1200 and x[3] for x in c) for c in got.values())
+    assert 1001 not in [x[1] for x in got[1]] and min(got[3])[1:3] == (1003, "EXACT")

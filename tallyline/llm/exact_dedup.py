@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE_PATTERN, materialize, numbered, quoted, table
+from .common import SPACE_PATTERN, materialize, numbered, quoted, table, without
 
 FAN_IN = 8
 
@@ -104,5 +104,5 @@ SELECT doc_id, keep_id, CAST(group_size AS BIGINT) AS group_size, place = 1 AS k
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that stay, with the columns they came with; docs need not be stored."""
     rows, row = numbered(docs, "dedup-rows")
-    kept = exact_dedup(rows, row=row).where("kept").select(F.col("row_id").alias(row))
-    return rows.join(kept, row, "left_semi").select(*quoted(docs.columns))
+    dropped = exact_dedup(rows, row=row).where("not kept").select(F.col("row_id").alias(row))
+    return without(rows, dropped, row).select(*quoted(docs.columns))

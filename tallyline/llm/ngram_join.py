@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, numbered, quoted, table
+from .common import materialize, numbered, quoted, table, without
 from .components import components
 from .hashing import WordHasher, mix
 
@@ -479,5 +479,5 @@ def ngram_join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     by their place, so ids may be null or repeat. Rows without words all stay.
     """
     rows, row = numbered(docs, "near-rows")
-    kept = ngram_join(rows, width=5, p=4, q=5, row=row).where("kept").select(F.col("row_id").alias(row))
-    return rows.join(kept, row, "left_semi").select(*quoted(docs.columns))
+    dropped = ngram_join(rows, width=5, p=4, q=5, row=row).where("not kept").select(F.col("row_id").alias(row))
+    return without(rows, dropped, row).select(*quoted(docs.columns))

@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -13,7 +14,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tallyline.llm.common import doc_crc, mark, materialize, release
+from tallyline.llm.common import FILE_CLEANUP, doc_crc, mark, materialize, release
 from tallyline.llm.exact_dedup import exact_dedup, exact_dedup_stage, merge_runs, digests
 from tallyline.llm.lm_scoring import DISCOUNT, lm_scores
 from tallyline.llm.mixing import mix, mixing_stage, source_targets
@@ -87,6 +88,25 @@ def test_exact_dedup_stage_keeps_columns(docs, spark, tmp_path):
     assert out.count() == exact_dedup(stored).where("kept").count()
 
 
+@pytest.mark.parametrize("stage", [exact_dedup_stage, ngram_join_stage])
+def test_stages_leave_texts_where_they_are(stage, docs, spark, tmp_path):
+    docs.write.parquet(str(tmp_path / "d"))
+    out = stage(spark, spark.read.parquet(str(tmp_path / "d")), "")
+    assert "hashpartitioning" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_what_was_shuffled_for_a_table_goes_with_its_writing(docs, spark):
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffled = lambda: {n for n in disk.getAllFiles().mkString("\n").split("\n") if n.endswith(".data")}
+    before, setting = shuffled(), spark.conf.get(FILE_CLEANUP)
+    materialize(docs.repartition(3, "text"), "shuffled")
+    for _ in range(50):  # executors delete a moment later
+        if shuffled() <= before:
+            break
+        time.sleep(0.1)
+    assert shuffled() <= before and spark.conf.get(FILE_CLEANUP) == setting
+
+
 def _sets(text: str | None, width: int) -> frozenset:
     table = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(table))

@@ -467,3 +467,19 @@ def test_no_pairs_of_invoices_and_payments_are_shuffled(spark):
     # Only the 200 smallest ids of the day are anyone's nearest; a refusal counts before the five are chosen.
     assert len(got) == 40 and all(len(c) == 5 and all(x[1] < 1200 and x[3] for x in c) for c in got.values())
     assert 1001 not in [x[1] for x in got[1]] and min(got[3])[1:3] == (1003, "EXACT")
+
+
+def test_invoices_that_share_nothing_are_left_out_of_the_duplicate_search(spark):
+    day = date(2024, 1, 10)
+    rows = [(i, 1, v, n, day + timedelta(d) if d is not None else None, t, c) for i, v, n, d, t, c in (
+        (1, 7, "A1", 0, 500, "INR"), (2, 7, "B2", 2, 900, "INR"),  # two days apart
+        (3, 7, "C3", 100, 700, "INR"), (4, 7, "D4", 200, 700, "INR"), (5, 7, "E5", 300, 700, "USD"),  # one amount in two currencies
+        (6, 7, "F 6", 400, 1, "INR"), (7, 7, "f-6", None, None, None), (8, 7, None, None, None, None), (9, 7, None, None, None, None),
+        (10, 8, "A1", 0, 500, "INR"), (11, 7, "G7", 500, 2, "INR"),  # another vendor's, and alone
+    )]
+    invoices = spark.createDataFrame(rows, "id long, workspace_id long, vendor_id long, invoice_number string, invoice_date date, total_minor long, currency string").withColumn("created_on", F.col("invoice_date"))
+    assert {r.id for r in matching._suspects(matching._comparable(invoices), 2).collect()} == {1, 2, 3, 4, 6, 7}
+    # Whatever day a pair begins at, days so near meet.
+    for d in range(6):
+        two = invoices.where("id < 3").withColumn("invoice_date", F.date_add("invoice_date", d))
+        assert matching._suspects(matching._comparable(two), 2).count() == 2

@@ -483,3 +483,21 @@ def test_invoices_that_share_nothing_are_left_out_of_the_duplicate_search(spark)
     for d in range(6):
         two = invoices.where("id < 3").withColumn("invoice_date", F.date_add("invoice_date", d))
         assert matching._suspects(matching._comparable(two), 2).count() == 2
+
+
+def test_keys_of_names_are_made_once(spark):
+    """However many rounds vendors take, a document's keys are made once."""
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<string>")
+    def keys_of(i):
+        made.add(1)
+        return [f"k{i}", f"k{i + 1}", "", f"k{i}"]
+
+    names = spark.range(20).select(F.lit(1).alias("workspace_id"), F.col("id").alias("document_id"), F.lit(0).alias("created_on"), keys_of("id").alias("keys"))
+    known = spark.createDataFrame([(1, "k5", 9), (1, "k5", 8), (2, "k0", 7)], "workspace_id int, alias_normalized string, vendor_id long")
+    got = {r.document_id: (r.vendor_id, r.created_by, r.new_key) for r in documents.resolve_vendors(names, known).collect()}
+    # 4 and 5 are known, 0 and 2 make vendors that 1 and 3 share, 6 and each second one after it as well.
+    owners = {i: i - i % 2 for i in range(20)}
+    assert got == {i: (8, None, None) if i in (4, 5) else (None, owners[i], f"k{owners[i]}") for i in range(20)}
+    assert made.value == 20

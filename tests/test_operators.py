@@ -501,3 +501,42 @@ def test_keys_of_names_are_made_once(spark):
     owners = {i: i - i % 2 for i in range(20)}
     assert got == {i: (8, None, None) if i in (4, 5) else (None, owners[i], f"k{owners[i]}") for i in range(20)}
     assert made.value == 20
+
+
+def test_pdf_grid_exchanges_items_once(spark):
+    """Cells are those of a plain loop, documents run over batches, and one exchange is all."""
+    import math
+
+    rng, nan = random.Random(3), float("nan")
+    items = [(f"d{d}", rng.choice([0, 1]), s, rng.choice(["a", " b ", "  "]) + str(s % 3), rng.choice([20.0, 21.0, 90.5, 240.0]), rng.choice([700.0, 698.0, 690.0, nan]), rng.choice([50.0, 30.0])) for d in range(12) for s in range(rng.choice([1, 5, 60]))]
+    wanted = set()
+    for d in {i[0] for i in items}:
+        mine, lines, top, at = sorted((i for i in items if i[0] == d), key=lambda i: (i[1], math.isnan(i[5]), -i[5] if i[5] == i[5] else 0, i[2])), {}, nan, None
+        for i in mine:
+            if i[1] != at or not abs(top - i[5]) <= 3:
+                top, at, lines[i[2]] = i[5], i[1], len(set(lines.values()))
+            else:
+                lines[i[2]] = max(lines.values())
+        bounds = set()
+        for shift, places in ((0.0, [i[4] for i in mine]), (0.5, [i[4] + i[6] for i in mine])):
+            clusters = []
+            for b in sorted(math.floor(p + 0.5) for p in places):
+                if clusters and b - clusters[-1][-1] <= 2:
+                    clusters[-1].append(b)
+                else:
+                    clusters.append([b])
+            bounds |= {sum(c) / len(c) + shift for c in clusters if len(c) >= max(2, math.ceil(len(set(lines.values())) * 0.08))}
+        column = {i[2]: sum(b <= i[4] + i[6] / 2 for b in bounds) for i in mine}
+        used = sorted(set(column.values()))
+        cells = defaultdict(list)
+        for i in sorted(mine, key=lambda i: (i[4], i[2])):
+            cells[lines[i[2]], used.index(column[i[2]])].append(i[3].strip())
+        wanted |= {(d, *k, " ".join(t)) for k, t in cells.items()}
+    frame = spark.createDataFrame(items, "doc_id string, page int, seq int, text string, x double, y double, width double")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        grid = bank_files.pdf_grid(frame)
+        assert {tuple(r) for r in grid.collect()} == wanted
+        assert grid._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange") == 1
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")

@@ -15,10 +15,10 @@ IDENTITY = ("account_id", "value_date", "amount_minor", "direction", "descriptio
 
 
 def referenced(lines: DataFrame) -> DataFrame:
-    """account_id, external_reference -> the line that owns it: the first by statement and row."""
+    """account_id, external_reference -> the line that owns it, the first by statement and row, and lines: how many have it."""
     owner = F.min(F.struct("statement_id", "row_index", *IDENTITY[1:]))
-    owners = lines.where("external_reference is not null").groupBy("account_id", "external_reference").agg(owner.alias("o"))
-    return owners.select("account_id", "external_reference", "o.*")
+    owners = lines.where("external_reference is not null").groupBy("account_id", "external_reference").agg(owner.alias("o"), F.count("*").alias("lines"))
+    return owners.select("account_id", "external_reference", "o.*", "lines")
 
 
 def promote(lines: DataFrame) -> DataFrame:
@@ -31,8 +31,7 @@ def promote(lines: DataFrame) -> DataFrame:
     nth = F.row_number().over(Window.partitionBy(*IDENTITY, "statement_id").orderBy("row_index"))
     seats = plain.withColumn("nth", nth).groupBy(*IDENTITY, "nth").agg(F.count("*").alias("lines"))
     seats = seats.select(*IDENTITY, F.lit(None).cast("string").alias("external_reference"), F.lit(0).alias("tier"), F.col("nth").cast("long").alias("a"), F.lit(0).alias("b"), "lines")
-    counts = lines.where("external_reference is not null").groupBy("account_id", "external_reference").agg(F.count("*").alias("lines"))
-    owned = referenced(lines).join(counts, ["account_id", "external_reference"]).select(*IDENTITY, "external_reference", F.lit(1).alias("tier"), F.col("statement_id").alias("a"), F.col("row_index").alias("b"), "lines")
+    owned = referenced(lines).select(*IDENTITY, "external_reference", F.lit(1).alias("tier"), F.col("statement_id").alias("a"), F.col("row_index").alias("b"), "lines")
     order = Window.partitionBy(*IDENTITY).orderBy("tier", "a", "b", "external_reference")
     return seats.unionByName(owned).withColumn("occurrence_index", F.row_number().over(order) - 1).select(*IDENTITY, "external_reference", "occurrence_index", "lines")
 

@@ -540,3 +540,12 @@ def test_pdf_grid_exchanges_items_once(spark):
         assert grid._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange") == 1
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_owners_and_their_lines_are_found_together(spark):
+    """Promotion goes through the referenced lines once: the owner of a reference and how many lines have it need no join."""
+    lines = [(s, r, 1, "2024-01-01", 5, "DEBIT", "x", ref) for s, r, ref in ((2, 1, "A"), (1, 3, "A"), (1, 2, "B"), (3, 1, None), (4, 1, None), (5, 9, "A"))]
+    frame = spark.createDataFrame(lines, "statement_id long, row_index int, account_id long, value_date string, amount_minor long, direction string, description_normalized string, external_reference string")
+    made = ledger.promote(frame)
+    assert [(r.external_reference, r.occurrence_index, r.lines) for r in made.orderBy("occurrence_index").collect()] == [(None, 0, 2), ("B", 1, 1), ("A", 2, 3)]
+    assert "Join" not in made._jdf.queryExecution().optimizedPlan().toString()

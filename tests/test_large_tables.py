@@ -47,6 +47,20 @@ def test_rows_are_read_by_code_that_is_compiled(spark, plain_plans, capsys):
     assert sizes and max(sizes) < 8000
 
 
+@here
+def test_the_flow_writes_packed_tables(spark):
+    """Of each line of the input, the flow writes less than it reads."""
+    from tallyline.functions.lineage import shared_folder
+    from tallyline.plans import QUERIES
+
+    def size():
+        return sum(os.path.getsize(os.path.join(p, f)) for p, _, files in os.walk(shared_folder(spark).removeprefix("file:").replace("///", "/")) for f in files)
+
+    before = size()
+    assert QUERIES["flow_log"](spark, DATA).count()
+    assert 0 < size() - before < 120 * spark.read.parquet(f"{DATA}/lineitem.parquet").count()
+
+
 def test_words_are_no_amounts_and_odd_numbers_are(spark):
     texts = ["Debit", "Closing", "", None, ".", ",", "-", "()", "5.", "12345678901234567", "123456789012345.67", "(1,234,567,890,123.45)", "(5", "5)", "-0.5", "$.", "1 000,5"]
     old = [None, None, None, None, 0, None, None, None, 500, 1234567890123456700, 12345678901234567, 123456789012345, None, None, 50, 0, None]

@@ -11,7 +11,9 @@ short lists, keeps what occurs T - L times or more there, and probes the L longe
    shingles are dealt into k + 1 + e parts by their hash, linked sets agree entirely on
    1 + e parts or more. A second pass emits a signature of each of the k + 1 parts that
    hold most shingles that aren't frequent; of two sets' common parts the best one is
-   among both's. Sets that share a signature are chained, not paired, and the components
+   among both's. Most signatures stand alone: a pass that exchanges nothing but their
+   first bits, packed, tells where two or more meet, and only those are exchanged with
+   their sets. Sets that share a signature are chained, not paired, and the components
    of these few edges are blocks that no link leaves. Sizes fall into bands of ratio
    q/p; a set signs for its own band and the one below, whose k is the same for all.
 3. Only documents of blocks are read again. A block is searched by DivideSkip within a
@@ -31,6 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,6 +44,8 @@ from .hashing import WordHasher, mix
 SKETCH_BITS, SKETCH_PARTS = 20, 64
 #: Bits of the filter that says which documents are read again.
 FILTER_BITS = 23
+#: Bits of a signature that tell whether it may stand alone, parts in which they are compared, and bits of the filter of those that don't.
+PRINT_BITS, PRINT_PARTS, MEETING_BITS = 40, 256, 26
 #: Signatures that a task sorts at a time.
 FLUSH = 500_000
 #: Shingles and sets of a chunk of a block.
@@ -190,13 +195,86 @@ def _chain(signatures: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.nda
     return np.flatnonzero(np.append(True, ~same)) if len(keys) else edge, *_edges(keys[edge], keys[edge + 1])
 
 
+def _packed(prints: np.ndarray) -> bytes:
+    """Ascending numbers below 2**32: their gaps, byte by byte, so that the high ones, mostly 0, pack well."""
+    return zlib.compress(np.diff(prints, prepend=0).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def _unpacked(packed: bytes) -> np.ndarray:
+    gaps = np.frombuffer(zlib.decompress(packed), dtype=np.uint8).reshape(4, -1).T
+    return np.cumsum(np.ascontiguousarray(gaps).view("<u4").ravel(), dtype=np.int64)
+
+
+def _may_meet(signatures: np.ndarray, meeting: np.ndarray) -> np.ndarray:
+    """Which signatures the filter doesn't tell to stand alone."""
+    at = (signatures >> np.uint64(64 - MEETING_BITS)).astype(np.int64)
+    return (meeting[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+
+def _meeting(docs: DataFrame, width: int, sent: Broadcast, p: int, q: int) -> np.ndarray:
+    """A filter, 2**MEETING_BITS bits by the first bits of a signature: where one occurs twice or more.
+
+    A part of the signatures is compared at a time. Of one that is met more often, a task
+    hands on two at a time, so a very common one is no more than that.
+    """
+    part_bits, own = PRINT_PARTS.bit_length() - 1, MEETING_BITS - (PRINT_PARTS.bit_length() - 1)
+
+    def told(found: list[np.ndarray]) -> pa.RecordBatch:
+        prints = np.sort(np.concatenate(found) >> np.uint64(64 - PRINT_BITS)).astype(np.int64)
+        prints = prints[np.append([True, True], prints[2:] != prints[:-2])[: len(prints)]]
+        ends = np.searchsorted(prints, np.arange(PRINT_PARTS + 1) << (PRINT_BITS - part_bits))
+        rows = [(i, _packed(prints[a:b] - (i << (PRINT_BITS - part_bits)))) for i, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True)) if b > a]
+        return pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], names=["part", "prints"])
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler, signer = Shingler(width), Signer(p, q, sent.value)
+        found, held = [], 0
+        for batch in batches:
+            for s in shingler.sets(batch.column("text")):
+                if len(s):
+                    found.append(signer.sign(s))
+                    held += len(found[-1])
+                if held > FLUSH:
+                    yield told(found)
+                    found, held = [], 0
+        if found:
+            yield told(found)
+
+    def bits(part: int, held: list[bytes]) -> pa.RecordBatch:
+        prints = np.sort(np.concatenate([_unpacked(x) for x in held]))
+        out = np.zeros(1 << own, dtype=np.uint8)
+        out[prints[1:][prints[1:] == prints[:-1]] >> (PRINT_BITS - part_bits - own)] = 1
+        return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([zlib.compress(np.packbits(out, bitorder="little").tobytes(), 1)], pa.binary())], names=["part", "bits"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for batch in batches:
+            for part, prints in zip(batch.column("part").to_pylist(), batch.column("prints").to_pylist(), strict=True):
+                if part != now:
+                    if held:
+                        yield bits(now, held)
+                    now, held = part, []
+                held.append(prints)
+        if held:
+            yield bits(now, held)
+
+    signed = docs.select("text").mapInArrow(sign, "part int, prints binary")
+    met = signed.repartition("part").sortWithinPartitions("part").mapInArrow(meet, "part int, bits binary")
+    out = np.zeros((PRINT_PARTS, (1 << own) // 8), dtype=np.uint8)
+    for r in materialize(met, "shingle-meeting").collect():
+        out[r["part"]] = np.frombuffer(zlib.decompress(bytes(r["bits"])), dtype=np.uint8)
+    return out.ravel()
+
+
 def _sharing(docs: DataFrame, width: int, sketch: np.ndarray, p: int, q: int) -> DataFrame:
     """a, b: edges that connect all sets with a signature in common.
 
     A task connects what meets in it and hands on one set for each signature, so a
     signature that very many sets share is a row for each task that met it.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(sketch)
+    context = docs.sparkSession.sparkContext
+    sent = context.broadcast(sketch)
+    filtered = context.broadcast(_meeting(docs, width, sent, p, q))
 
     def flushed(found: list[np.ndarray], keys: list[int]) -> pa.RecordBatch:
         own = np.repeat(np.array(keys, dtype=np.uint64).view(np.int64), [len(x) for x in found])
@@ -211,14 +289,18 @@ def _sharing(docs: DataFrame, width: int, sketch: np.ndarray, p: int, q: int) ->
         )
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, signer = Shingler(width), Signer(p, q, sent.value)
+        shingler, signer, meeting = Shingler(width), Signer(p, q, sent.value), filtered.value
         found, keys, held = [], [], 0
         for batch in batches:
             for s in shingler.sets(batch.column("text")):
                 if len(s):
-                    found.append(signer.sign(s))
+                    signatures = signer.sign(s)
+                    signatures = signatures[_may_meet(signatures, meeting)]
+                    if not len(signatures):
+                        continue
+                    found.append(signatures)
                     keys.append(short_key(set_key(s)))
-                    held += len(found[-1])
+                    held += len(signatures)
                 if held > FLUSH:
                     yield flushed(found, keys)
                     found, keys, held = [], [], 0

@@ -520,3 +520,35 @@ def test_lm_scores(docs, rows, nothing, monkeypatch, share, flush, shard):
     assert lm_scores(nothing, F.lit(True)).count() == 0
     untrained = lm_scores(docs, F.lit(False)).collect()
     assert len(untrained) == len(rows) and all(r.score == 0 and r.base_score == 0 and r.n_known == 0 for r in untrained)
+
+
+def test_signatures_that_stand_alone_are_not_exchanged(spark):
+    """Of texts of which few are alike, few signatures are exchanged, and every one that two sets share is."""
+    import pyarrow as pa
+
+    from tallyline.llm import ngram_join as join
+
+    rng = random.Random(5)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(150, 400))) for _ in range(300)]
+    texts += [t.replace(" ", " x ", 1) for t in texts[:10]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    sketch = np.zeros(1 << join.SKETCH_BITS, dtype=np.uint32)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        edges = join._sharing(docs, 5, sketch, 4, 5)
+        found = {frozenset((r.a, r.b)) for r in edges.collect()}
+        sent, todo = [], [edges._jdf.queryExecution().executedPlan()]
+        while todo:
+            node = todo.pop()
+            todo += [node.children().apply(i) for i in range(node.children().size())]
+            if node.nodeName() == "Exchange" and "signature" in node.simpleString(200):
+                sent.append(node.metrics().apply("shuffleRecordsWritten").value())
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    shingler, signer = join.Shingler(5), join.Signer(4, 5, sketch)
+    sets = list(shingler.sets(pa.array(texts)))
+    signs = [set(signer.sign(s).tolist()) for s in sets]
+    keys = [int(np.uint64(join.short_key(join.set_key(s))).astype(np.int64)) for s in sets]
+    shared = {frozenset((keys[i], keys[300 + i])) for i in range(10) if signs[i] & signs[300 + i]}
+    assert len(shared) == 10 and found == shared
+    assert len(sent) == 1 and sent[0] < sum(map(len, signs)) / 5
